@@ -34,3 +34,55 @@ def view_click_channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
     ev = table(spark, sf_dir, "events")
     return (ev.filter("event_type = 'view'").select(*cols),
             ev.filter("event_type = 'click'").select(*cols))
+
+
+def block_id_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ1: one block id per event; the event kind decides its shape
+    (valid, wrong prefix, three parts, non-integer part, five parts)."""
+    e = events(spark, sf_dir)
+    u, k, i = (F.col("user_id").cast("string"), F.col("k").cast("string"),
+               F.col("event_id").cast("string"))
+    bid = (F.when(F.col("event_type") == "view", F.concat_ws("_", F.lit("shuffle"), u, k, i))
+           .when(F.col("event_type") == "click", F.concat_ws("_", F.lit("rdd"), u, k, i))
+           .when(F.col("event_type") == "error", F.concat_ws("_", F.lit("shuffle"), u, k))
+           .when(F.col("event_type") == "purchase",
+                 F.concat_ws("_", F.lit("shuffle"), u, F.concat(F.lit("x"), k), i))
+           .otherwise(F.concat_ws("_", F.lit("shuffle"), u, k, i, F.lit("extra"))))
+    return e.select("event_id", bid.alias("block_id"))
+
+
+def shuffle_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ2/SNK1: data file name per lineitem row."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber",
+                     F.concat(F.lit("shuffle_"), F.col("l_orderkey").cast("string"),
+                              F.lit("_0_0.data")).alias("key"))
+
+
+def typed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ4/AG3: documents as messages; type id = doc_id % 12 - 1 (so -1 and
+    the unknown 10 occur), body = text, string id = source."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", (F.col("doc_id") % 12 - 1).cast("int").alias("type_id"),
+                    F.col("source").alias("stream_id"), F.col("text").alias("body"))
+
+
+def stream_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """FLT1: stream = event_id, client = user_id % 7 (null when 0), owner =
+    k % 7 for streams with event_id % 11 <> 0 (the rest are unknown)."""
+    e = events(spark, sf_dir)
+    req = e.select(F.col("event_id").alias("stream_id"),
+                   F.nullif(F.col("user_id") % 7, F.lit(0)).cast("string").alias("client_id"))
+    own = e.filter(F.col("event_id") % 11 != 0).select(
+        F.col("event_id").alias("stream_id"), (F.col("k") % 7).cast("string").alias("owner_app"))
+    return req, own
+
+
+def declared_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT2: declared length = n_chars + 8, with -1, 8 and 2^31+8 planted for
+    doc_id % 10 in (0, 1, 2)."""
+    d = table(spark, sf_dir, "documents")
+    m = F.col("doc_id") % 10
+    dl = (F.when(m == 0, F.lit(-1)).when(m == 1, F.lit(8))
+          .when(m == 2, F.lit(2147483656)).otherwise(F.col("n_chars") + 8)).cast("bigint")
+    return d.select("doc_id", dl.alias("declared_len"))

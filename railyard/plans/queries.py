@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from railyard import functions as fn
 from railyard.operators import aggregates as ag
 from railyard.operators import joins as jn
+from railyard.operators import projections as pj
 from railyard.plans import bindings as b
 from railyard.plans.catalog import register
 
@@ -74,3 +76,129 @@ GROUP BY channel
 """)
 def q_latency_summary(spark, sf):
     return ag.latency_summary(_fifo(spark, sf), "channel", "req_ts", "resp_ts")
+
+
+# ======================================================== projections/filters
+EVENTS_K = """
+e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+"""
+
+BLOCK_IDS_SQL = "WITH " + EVENTS_K + """,
+ids AS (
+  SELECT event_id, CASE event_type
+    WHEN 'view' THEN 'shuffle_' || user_id || '_' || k || '_' || event_id
+    WHEN 'click' THEN 'rdd_' || user_id || '_' || k || '_' || event_id
+    WHEN 'error' THEN 'shuffle_' || user_id || '_' || k
+    WHEN 'purchase' THEN 'shuffle_' || user_id || '_x' || k || '_' || event_id
+    ELSE 'shuffle_' || user_id || '_' || k || '_' || event_id || '_extra' END AS block_id
+  FROM e
+), p AS (
+  SELECT *, string_split(regexp_replace(block_id, '_+$', ''), '_') AS parts FROM ids
+), n AS (
+  SELECT *,
+    CASE WHEN regexp_full_match(parts[2], '[+-]?[0-9]+') THEN TRY_CAST(parts[2] AS INTEGER) END AS a,
+    CASE WHEN regexp_full_match(parts[3], '[+-]?[0-9]+') THEN TRY_CAST(parts[3] AS INTEGER) END AS b,
+    CASE WHEN regexp_full_match(parts[4], '[+-]?[0-9]+') THEN TRY_CAST(parts[4] AS INTEGER) END AS c
+  FROM p
+), r AS (
+  SELECT *, CASE WHEN len(parts) < 4 THEN 'bad_block_id'
+                 WHEN parts[1] <> 'shuffle' THEN 'bad_shuffle_id'
+                 WHEN a IS NULL OR b IS NULL OR c IS NULL THEN 'non_int' END AS reject_reason
+  FROM n
+)
+SELECT event_id, block_id,
+       CASE WHEN reject_reason IS NULL THEN a END AS shuffle_id,
+       CASE WHEN reject_reason IS NULL THEN b END AS map_id,
+       CASE WHEN reject_reason IS NULL THEN c END AS reduce_id,
+       reject_reason
+FROM r
+"""
+
+
+@register("prj1_parse_block_ids", BLOCK_IDS_SQL)
+def q_parse_block_ids(spark, sf):
+    return pj.parse_block_ids(b.block_id_strings(spark, sf), "block_id")
+
+
+JAVA_HASH_SQL = """list_reduce(list_transform(string_split({c}, ''), lambda ch: ascii(ch)::BIGINT),
+                   lambda h, x: (h * 31 + x) % 4294967296, 0::BIGINT)"""
+
+
+@register("prj2_place_by_hash", """
+WITH f AS (SELECT l_orderkey, l_linenumber, 'shuffle_' || l_orderkey || '_0_0.data' AS key
+           FROM lineitem),
+u AS (SELECT *, """ + JAVA_HASH_SQL.format(c="key") + """ AS u FROM f),
+h AS (SELECT l_orderkey, l_linenumber, key,
+             abs(CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) AS h FROM u)
+SELECT *, CAST(h % 3 AS INTEGER) AS dir_id, CAST((h // 3) % 5 AS INTEGER) AS sub_id,
+       printf('%02x', (h // 3) % 5) AS sub_dir
+FROM h
+""")
+def q_place_by_hash(spark, sf):
+    return pj.place_by_hash(b.shuffle_file_names(spark, sf), "key", 3, 5)
+
+
+@register("prj3_join_nonempty", "WITH " + EVENTS_K + """
+SELECT event_id,
+       concat_ws('|', NULLIF(event_type, ''),
+                 NULLIF(CASE WHEN k % 3 = 0 THEN '' ELSE props END, ''),
+                 NULLIF('', ''),
+                 NULLIF(CASE WHEN k % 2 = 0 THEN NULL ELSE 'x' END, '')) AS joined
+FROM e
+""")
+def q_join_nonempty(spark, sf):
+    e = b.events(spark, sf)
+    return e.select("event_id", fn.join_nonempty(
+        "|", "event_type",
+        F.when(F.col("k") % 3 == 0, F.lit("")).otherwise(F.col("props")),
+        F.lit(""),
+        F.when(F.col("k") % 2 == 0, F.lit(None)).otherwise(F.lit("x"))).alias("joined"))
+
+
+MESSAGE_DICT_SQL = """
+d(type_id, type_name) AS (VALUES (0, 'ChunkFetchRequest'), (1, 'ChunkFetchSuccess'),
+  (2, 'ChunkFetchFailure'), (3, 'RpcRequest'), (4, 'RpcResponse'), (5, 'RpcFailure'),
+  (6, 'StreamRequest'), (7, 'StreamResponse'), (8, 'StreamFailure'), (9, 'OneWayMessage')),
+m AS (SELECT doc_id, CAST(doc_id % 12 - 1 AS INTEGER) AS type_id, source AS stream_id,
+             text AS body FROM documents),
+dm AS (SELECT m.*, d.type_name,
+              CASE WHEN d.type_name IS NOT NULL THEN NULL
+                   WHEN m.type_id = -1 THEN 'user_type' ELSE 'unknown_type' END AS reject_reason
+       FROM m LEFT JOIN d ON m.type_id = d.type_id)
+"""
+
+
+@register("prj4_decode_message_type", "WITH " + MESSAGE_DICT_SQL + """
+SELECT doc_id, type_id, type_name, reject_reason FROM dm
+""")
+def q_decode_message_type(spark, sf):
+    m = b.typed_messages(spark, sf)
+    out = pj.decode_message_type(m, "type_id", pj.dictionary(spark, "message"))
+    return out.select("doc_id", "type_id", "type_name", "reject_reason")
+
+
+@register("flt1_tenant_isolation", "WITH " + EVENTS_K + """,
+req AS (SELECT event_id AS stream_id, CAST(NULLIF(user_id % 7, 0) AS VARCHAR) AS client_id FROM e),
+own AS (SELECT event_id AS sid, CAST(k % 7 AS VARCHAR) AS owner_app FROM e WHERE event_id % 11 <> 0)
+SELECT stream_id, client_id, owner_app,
+       CASE WHEN sid IS NULL THEN 'unknown_stream'
+            WHEN client_id IS NULL OR client_id = '' THEN 'authorized'
+            WHEN client_id = owner_app THEN 'authorized' ELSE 'denied' END AS status
+FROM req LEFT JOIN own ON req.stream_id = own.sid
+""")
+def q_tenant_isolation(spark, sf):
+    req, own = b.stream_requests(spark, sf)
+    return pj.tenant_isolation(req, own)
+
+
+@register("flt2_frame_size_guard", """
+WITH f AS (SELECT doc_id, CAST(CASE doc_id % 10 WHEN 0 THEN -1 WHEN 1 THEN 8
+                                  WHEN 2 THEN 2147483656 ELSE n_chars + 8 END AS BIGINT) AS declared_len
+           FROM documents)
+SELECT doc_id, declared_len, declared_len - 8 AS payload_len,
+       CASE WHEN declared_len - 8 < 0 THEN 'negative' WHEN declared_len - 8 = 0 THEN 'empty'
+            WHEN declared_len - 8 >= 2147483647 THEN 'too_large' END AS reject_reason
+FROM f
+""")
+def q_frame_size_guard(spark, sf):
+    return pj.frame_size_guard(b.declared_frames(spark, sf), "declared_len")
