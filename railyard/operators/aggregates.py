@@ -28,3 +28,90 @@ def latency_summary(matched: DataFrame, peer: str = "channel", start: str = "req
                  F.min("lat_us").alias("min_us"),
                  F.percentile("lat_us", 0.5).alias("p50_us"))
             .withColumn("avg_us", F.col("total_us") / F.col("n")))
+
+
+# --------------------------------------------------------------------------- AG1
+def all_or_nothing(items: DataFrame, group: Sequence[str], valid: Column | str) -> DataFrame:
+    """One bad item fails its whole group: adds ``group_ok`` (every item of the
+    group valid) and ``status`` (``ok`` / ``failed``).  The group verdict is a
+    partial aggregate joined back on the group key (AQE splits a hot group's
+    join partition; the verdict side has one row per group)."""
+    group = list(group)
+    v = F.col(valid) if isinstance(valid, str) else valid
+    tagged = items.withColumn("__valid", F.coalesce(v, F.lit(False)))
+    verdict = tagged.groupBy(*group).agg(F.bool_and("__valid").alias("group_ok"))
+    return (tagged.join(verdict, group, "left").drop("__valid")
+            .withColumn("status", F.when(F.col("group_ok"), "ok").otherwise("failed")))
+
+
+# --------------------------------------------------------------------------- AG3
+# Per message type, the type-specific header bytes beyond the
+# 8-byte frame length and 1-byte type, which strings it carries, and whether
+# its body travels inside the frame.
+#   type            fixed  strings            body
+#   ChunkFetchRequest   12  -                  none
+#   ChunkFetchSuccess   12  -                  in frame
+#   ChunkFetchFailure   12  error              none
+#   RpcRequest          12  -                  in frame
+#   RpcResponse         12  -                  in frame
+#   RpcFailure           8  error              none
+#   StreamRequest        0  stream id          none
+#   StreamResponse       8  stream id          outside frame
+#   StreamFailure        0  stream id, error   none
+#   OneWayMessage        4  -                  in frame
+# Each string costs 4 bytes of length plus its UTF-8 bytes.
+MESSAGE_LAYOUT = {
+    "ChunkFetchRequest": (12, False, False, "none"),
+    "ChunkFetchSuccess": (12, False, False, "in_frame"),
+    "ChunkFetchFailure": (12, False, True, "none"),
+    "RpcRequest": (12, False, False, "in_frame"),
+    "RpcResponse": (12, False, False, "in_frame"),
+    "RpcFailure": (8, False, True, "none"),
+    "StreamRequest": (0, True, False, "none"),
+    "StreamResponse": (8, True, False, "outside_frame"),
+    "StreamFailure": (0, True, True, "none"),
+    "OneWayMessage": (4, False, False, "in_frame"),
+}
+FRAME_PREFIX_BYTES = 8 + 1
+
+
+def message_census(messages: DataFrame, spark=None) -> DataFrame:
+    """Per decoded message type: count, header bytes, body bytes and frame
+    bytes.  ``messages``: ``type_name, stream_id, body`` where ``body`` is the
+    payload (or, for failure types, the error text).  Header = 8 + 1 + the
+    type's fields; a frame carries the body only when it is "in frame"."""
+    spark = spark or messages.sparkSession
+    layout = F.broadcast(spark.createDataFrame(
+        [(k, *v) for k, v in MESSAGE_LAYOUT.items()],
+        "type_name STRING, fixed INT, has_sid BOOLEAN, has_err BOOLEAN, body_mode STRING"))
+    m = messages.filter(F.col("type_name").isNotNull()).join(layout, "type_name", "inner")
+    blen = F.octet_length("body").cast("bigint")
+    hdr = (F.lit(FRAME_PREFIX_BYTES) + F.col("fixed")
+           + F.when(F.col("has_sid"), 4 + F.octet_length("stream_id")).otherwise(0)
+           + F.when(F.col("has_err"), 4 + F.octet_length("body")).otherwise(0)).cast("bigint")
+    body = F.when(F.col("body_mode") != "none", blen).otherwise(F.lit(0).cast("bigint"))
+    frame = hdr + F.when(F.col("body_mode") == "in_frame", blen).otherwise(F.lit(0).cast("bigint"))
+    return (m.select("type_name", hdr.alias("h"), body.alias("b"), frame.alias("f"))
+            .groupBy("type_name")
+            .agg(F.count("*").alias("n"), F.sum("h").alias("header_bytes"),
+                 F.sum("b").alias("body_bytes"), F.sum("f").alias("frame_bytes")))
+
+
+# --------------------------------------------------------------------------- AG4
+def layered_settings(layers: DataFrame, mode: str = "present", key: str = "key",
+                     value: str = "value", layer: str = "layer", rank: str = "rank") -> DataFrame:
+    """Effective setting per key from layered sources: the layer with the
+    lowest ``rank`` that has the key wins.  ``mode='present'``: a key counts
+    as present even with an empty value (map merge); ``mode='non_empty'``:
+    null and empty values are skipped (first-non-empty chain).  Keys with no
+    qualifying layer are absent.  ``min_by`` is a partial aggregate."""
+    if mode == "present":
+        cand = layers.filter(F.col(value).isNotNull())
+    elif mode == "non_empty":
+        cand = layers.filter(F.col(value).isNotNull() & (F.col(value) != ""))
+    else:
+        raise ValueError("mode must be 'present' or 'non_empty'")
+    win = cand.groupBy(key).agg(
+        F.min_by(F.struct(F.col(value).alias("value"), F.col(layer).alias("layer")),
+                 F.col(rank)).alias("w"))
+    return win.select(key, F.col("w.value").alias("value"), F.col("w.layer").alias("layer"))

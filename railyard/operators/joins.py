@@ -68,3 +68,213 @@ def fifo_match(requests: DataFrame, responses: DataFrame, channel: str = "channe
         F.col("eid").alias("resp_id"), F.col("ts").alias("resp_ts"),
         F.lit("orphan").alias("status"))
     return paired.unionByName(orphan)
+
+
+def fifo_scan(requests: DataFrame, responses: DataFrame, channel: str, ts: str, rid: str,
+              block_unit: str | None = "day") -> DataFrame:
+    """Per-event FIFO queue walk used by ``fifo_match`` and
+    ``outstanding_gauge``: one row per request/response with the queue length
+    after it (``outstanding``) and whether a response found the queue empty."""
+    ev = (requests.select(F.col(channel).alias("channel"), F.col(ts).alias("ts"),
+                          F.col(rid).alias("eid"), F.lit(1).alias("is_req"))
+          .unionByName(responses.select(F.col(channel).alias("channel"), F.col(ts).alias("ts"),
+                                        F.col(rid).alias("eid"), F.lit(0).alias("is_req"))))
+    order = [F.col("ts"), F.col("is_req"), F.col("eid")]
+    block = time_block("ts", block_unit) if block_unit else None
+    ev = segmented_scan(ev, ["channel"], order,
+                        {"s": ("sum", F.when(F.col("is_req") == 1, 1).otherwise(-1))}, block=block)
+    ev = segmented_scan(ev, ["channel"], order, {"prior_min": ("min", F.col("s"))},
+                        block=block, inclusive=False)
+    low = F.least(F.lit(0), F.col("prior_min"))
+    return (ev.withColumn("orphan", (F.col("is_req") == 0) & (F.col("s") < low))
+            .withColumn("outstanding",
+                        F.col("s") - F.least(F.lit(0), F.col("s"), F.col("prior_min"))))
+
+
+# --------------------------------------------------------------------------- JN1
+def match_responses(requests: DataFrame, responses: DataFrame, keys: Sequence[str],
+                    ts: str = "ts", rid: str = "id", outcome: str = "outcome") -> tuple[DataFrame, DataFrame]:
+    """Pair keyed responses with requests (request keys unique).
+
+    The first response at or after the request (by ``ts`` then ``rid``)
+    consumes it; its ``outcome`` becomes the request status (e.g. ``ok`` /
+    ``failed``); requests with none stay ``outstanding``.  Every other
+    response is reported: ``early`` (before the request), ``late`` (after
+    the consuming one) or ``unknown`` (no such request).
+
+    Returns ``(requests_with_status, responses_with_disposition)``.  The
+    "first response" is a partial aggregate (``min`` of a struct), so a hot
+    key is combined on every task before the shuffle.
+    """
+    keys = list(keys)
+    req = requests.select(*keys, F.col(ts).alias("req_ts"), F.col(rid).alias("req_id"))
+    resp = responses.select(*keys, F.col(ts).alias("resp_ts"), F.col(rid).alias("resp_id"),
+                            F.col(outcome).alias("outcome"))
+    cand = resp.join(req, keys, "inner").filter(F.col("resp_ts") >= F.col("req_ts"))
+    first = cand.groupBy(*keys).agg(
+        F.min(F.struct("resp_ts", "resp_id", "outcome")).alias("first"))
+    matched = (req.join(first, keys, "left")
+               .select(*keys, "req_id", "req_ts",
+                       F.col("first.resp_id").alias("resp_id"),
+                       F.col("first.resp_ts").alias("resp_ts"),
+                       F.coalesce(F.col("first.outcome"), F.lit("outstanding")).alias("status")))
+    disp = (resp.join(req, keys, "left")
+            .join(first.select(*keys, F.col("first.resp_id").alias("__won")), keys, "left")
+            .select(*keys, "resp_id", "resp_ts", "outcome",
+                    F.when(F.col("req_id").isNull(), "unknown")
+                    .when(F.col("resp_ts") < F.col("req_ts"), "early")
+                    .when(F.col("resp_id") == F.col("__won"), "consumed")
+                    .otherwise("late").alias("disposition")))
+    return matched, disp
+
+
+# --------------------------------------------------------------------------- JN3
+def handshake(connections: DataFrame, hellos: DataFrame, pending: DataFrame,
+              timeout_seconds: float, who: str = "secret", ts: str = "ts",
+              rid: str = "id") -> DataFrame:
+    """Launcher handshake: each connection must receive a hello carrying a
+    pending secret within ``timeout_seconds``; the first connection to do so
+    consumes the secret.
+
+    ``connections`` and ``hellos``: ``(who, ts, rid)``; ``pending``: one
+    column ``who``.  Status: ``timed_out`` (no hello within the time-out, or
+    a time-out <= 0), ``unknown_secret``, ``duplicate`` (secret already
+    consumed by an earlier connection) or ``connected``.
+
+    The next hello after each connection is a backward running minimum
+    (segmented scan, split by day) — no interval join, so no pairs are ever
+    emitted; the per-secret "first" is a partial aggregate.
+    """
+    ev = (connections.select(F.col(who).alias("who"), F.col(ts).alias("ts"),
+                             F.col(rid).alias("eid"), F.lit(0).alias("is_hello"))
+          .unionByName(hellos.select(F.col(who).alias("who"), F.col(ts).alias("ts"),
+                                     F.col(rid).alias("eid"), F.lit(1).alias("is_hello"))))
+    order = [F.col("ts"), F.col("is_hello"), F.col("eid")]
+    hello_key = F.when(F.col("is_hello") == 1, F.struct(F.col("ts").alias("h_ts"),
+                                                         F.col("eid").alias("h_id")))
+    ev = segmented_scan(ev, ["who"], order, {"nxt": ("min", hello_key)},
+                        block=time_block("ts", "day"), direction="backward", inclusive=False)
+    conns = ev.filter("is_hello = 0").select(
+        "who", F.col("ts").alias("conn_ts"), F.col("eid").alias("conn_id"),
+        F.col("nxt.h_ts").alias("hello_ts"), F.col("nxt.h_id").alias("hello_id"))
+    if timeout_seconds <= 0:
+        in_time = F.lit(False)
+    else:
+        in_time = (F.col("hello_ts").isNotNull() &
+                   (F.col("hello_ts") <= F.col("conn_ts") + F.make_interval(
+                       secs=F.lit(float(timeout_seconds)))))
+    conns = conns.withColumn("hello_ts", F.when(in_time, F.col("hello_ts"))) \
+                 .withColumn("hello_id", F.when(in_time, F.col("hello_id")))
+    pend = pending.select(F.col(who).alias("who")).distinct().withColumn("__pending", F.lit(True))
+    conns = conns.join(pend, "who", "left")
+    eligible = conns.filter(F.col("hello_ts").isNotNull() & F.col("__pending"))
+    winner = eligible.groupBy("who").agg(
+        F.min(F.struct("hello_ts", "hello_id", "conn_ts", "conn_id")).alias("w"))
+    out = conns.join(winner.select("who", F.col("w.conn_id").alias("__win")), "who", "left")
+    status = (F.when(F.col("hello_ts").isNull(), "timed_out")
+              .when(F.col("__pending").isNull(), "unknown_secret")
+              .when(F.col("conn_id") == F.col("__win"), "connected")
+              .otherwise("duplicate"))
+    return out.select("who", "conn_id", "conn_ts", "hello_id", "hello_ts", status.alias("status"))
+
+
+# --------------------------------------------------------------------------- JN4
+def fail_on_disconnect(requests: DataFrame, disconnects: DataFrame, channel: str = "channel",
+                       include_streams: bool = False) -> DataFrame:
+    """Fail requests that were still open when their channel disconnected.
+
+    ``requests``: ``channel, req_id, req_ts, resp_ts, status, kind`` (kind in
+    ``rpc``/``chunk``/``stream``); ``disconnects``: ``channel, ts, id``.
+    A request fails with the first disconnect strictly after ``req_ts`` and
+    before its response (or ever, if unanswered).  Queued ``stream`` requests
+    survive a disconnect unless ``include_streams``.
+
+    The "next disconnect" lookup is a backward running minimum over the union
+    of both inputs per channel (segmented scan) — an as-of join without pairs.
+    """
+    r = requests.select("*", F.col(channel).alias("__ch"), F.col("req_ts").alias("__ts"),
+                        F.col("req_id").alias("__id"), F.lit(1).alias("__is_req"))
+    d = disconnects.select(F.col(channel).alias("__ch"), F.col("ts").alias("__ts"),
+                           F.col("id").alias("__id"), F.lit(0).alias("__is_req"))
+    u = r.unionByName(d, allowMissingColumns=True)
+    order = [F.col("__ts"), F.col("__is_req"), F.col("__id")]
+    u = segmented_scan(u, ["__ch"], order,
+                       {"__nd": ("min", F.when(F.col("__is_req") == 0, F.col("__ts")))},
+                       block=time_block("__ts", "day"), direction="backward", inclusive=False)
+    u = u.filter("__is_req = 1")
+    eligible = F.lit(True) if include_streams else (F.col("kind") != "stream")
+    hit = (eligible & F.col("__nd").isNotNull() & (F.col("__nd") > F.col("req_ts")) &
+           (F.col("resp_ts").isNull() | (F.col("__nd") < F.col("resp_ts"))))
+    return u.select(*requests.columns,
+                    F.when(hit, F.col("__nd")).alias("disconnect_ts"),
+                    F.when(hit, F.lit("failed_disconnect")).otherwise(F.col("status"))
+                    .alias("final_status"))
+
+
+# --------------------------------------------------------------------------- JN5
+# Shuffle manager class names and how each lays out its files.
+HASH_MANAGER = "org.apache.spark.shuffle.hash.HashShuffleManager"
+SORT_MANAGERS = ("org.apache.spark.shuffle.sort.SortShuffleManager",
+                 "org.apache.spark.shuffle.unsafe.UnsafeShuffleManager")
+
+
+def _placed_path(dirs: Column, sub_dirs: Column, name: Column) -> Column:
+    from railyard.functions import nonneg_hash
+    h = nonneg_hash(name)
+    n = F.size(dirs)
+    d = F.get(dirs, (h % n).cast("int"))
+    sub = F.floor(h / n) % sub_dirs
+    return F.concat_ws("/", d, F.lpad(F.lower(F.hex(sub)), 2, "0"), name)
+
+
+def resolve_blocks(requests: DataFrame, registry: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Resolve block ids to ``(path, offset, length)``.
+
+    ``requests``: ``app_id, exec_id, block_id`` (+ any columns, kept);
+    ``registry``: ``app_id, exec_id, local_dirs, sub_dirs, manager`` (one row
+    per executor); ``manifest``: ``shuffle_id, map_id, reduce_id, offset,
+    next_offset`` from ``offset_index``.
+
+    Hash layout: the block is its own file (offset 0, whole length); sort /
+    unsafe layout: ``[offset[r], offset[r+1])`` of the map's data file.
+    ``failure``: the block-id reason, ``unregistered_executor``,
+    ``unsupported_manager`` or ``missing_index``.
+    """
+    from railyard.operators.projections import parse_block_ids
+    p = parse_block_ids(requests, "block_id")
+    reg = registry.select("app_id", "exec_id", "local_dirs", "sub_dirs", "manager",
+                          F.lit(True).alias("__reg"))
+    j = p.join(reg, ["app_id", "exec_id"], "left")
+    man = manifest.select("shuffle_id", "map_id", "reduce_id", "offset", "next_offset")
+    j = j.join(man, ["shuffle_id", "map_id", "reduce_id"], "left")
+    is_hash = F.col("manager") == HASH_MANAGER
+    is_sort = F.col("manager").isin(*SORT_MANAGERS)
+    failure = (F.when(F.col("reject_reason").isNotNull(), F.col("reject_reason"))
+               .when(F.col("__reg").isNull(), "unregistered_executor")
+               .when(~(is_hash | is_sort), "unsupported_manager")
+               .when(is_sort & F.col("offset").isNull(), "missing_index"))
+    data_name = F.concat(F.lit("shuffle_"), F.col("shuffle_id").cast("string"), F.lit("_"),
+                         F.col("map_id").cast("string"), F.lit("_0.data"))
+    path = F.when(is_hash, _placed_path(F.col("local_dirs"), F.col("sub_dirs"), F.col("block_id"))) \
+            .otherwise(_placed_path(F.col("local_dirs"), F.col("sub_dirs"), data_name))
+    ok = failure.isNull()
+    size = F.col("next_offset") - F.col("offset")
+    return j.select(*requests.columns, "shuffle_id", "map_id", "reduce_id",
+                    F.when(ok, path).alias("path"),
+                    F.when(ok, F.when(is_hash, F.lit(0).cast("bigint")).otherwise(F.col("offset")))
+                    .alias("offset"),
+                    F.when(ok, size).alias("length"),
+                    failure.alias("failure"))
+
+
+# --------------------------------------------------------------------------- JN6
+def outstanding_items(requested: DataFrame, answered: DataFrame, item: Sequence[str],
+                      pos: Sequence[str]) -> DataFrame:
+    """Requested items minus answered items, duplicates removed, first request
+    position kept (``first_pos`` struct of the ``pos`` columns) so callers can
+    order by it.  Dedup is a partial aggregate; the difference a left-anti
+    join."""
+    item = list(item)
+    firsts = requested.groupBy(*item).agg(F.min(F.struct(*pos)).alias("first_pos"))
+    return firsts.join(answered.select(*item).distinct(), item, "left_anti") \
+                 .select(*item, *[F.col("first_pos." + p).alias("first_" + p) for p in pos])

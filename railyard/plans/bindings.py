@@ -86,3 +86,98 @@ def declared_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     dl = (F.when(m == 0, F.lit(-1)).when(m == 1, F.lit(8))
           .when(m == 2, F.lit(2147483656)).otherwise(F.col("n_chars") + 8)).cast("bigint")
     return d.select("doc_id", dl.alias("declared_len"))
+
+
+def first_views_and_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """JN1: request = first ``view`` per ``(user_id, k)``; answer = ``click``
+    (ok) or ``error`` (failed) with the same key."""
+    e = events(spark, sf_dir)
+    req = (e.filter("event_type = 'view'").groupBy("user_id", "k")
+           .agg(F.min(F.struct("ts", "event_id")).alias("f"))
+           .select("user_id", "k", F.col("f.ts").alias("ts"), F.col("f.event_id").alias("id")))
+    resp = e.filter("event_type IN ('click', 'error')").select(
+        "user_id", "k", "ts", F.col("event_id").alias("id"),
+        F.when(F.col("event_type") == "click", "ok").otherwise("failed").alias("outcome"))
+    return req, resp
+
+
+def launcher_handshakes(spark: SparkSession, sf_dir: str):
+    """JN3: connection = ``signup`` (secret = user_id), hello = ``view``,
+    pending secrets = users with ``user_id % 10 <> 0``."""
+    ev = table(spark, sf_dir, "events")
+    cols = [F.col("user_id").alias("secret"), "ts", F.col("event_id").alias("id")]
+    conns = ev.filter("event_type = 'signup'").select(*cols)
+    hellos = ev.filter("event_type = 'view'").select(*cols)
+    pending = ev.filter(F.col("user_id") % 10 != 0).select(F.col("user_id").alias("secret"))
+    return conns, hellos, pending
+
+
+def disconnect_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN4: a ``signup`` on the channel is a disconnect."""
+    return table(spark, sf_dir, "events").filter("event_type = 'signup'").select(
+        F.col("user_id").alias("channel"), "ts", F.col("event_id").alias("id"))
+
+
+def lineitem_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN1/SNK2: one block per lineitem row; map = order, block order
+    ``(l_shipdate, l_partkey, l_suppkey)``, size = quantity."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_shipdate", "l_partkey", "l_suppkey",
+                     F.col("l_quantity").cast("bigint").alias("size"))
+
+
+# Shuffle manager names by s_suppkey % 4 (the last one is not a
+# real manager, so its executors are "unsupported").
+MANAGER_BY_MOD4 = [
+    "org.apache.spark.shuffle.hash.HashShuffleManager",
+    "org.apache.spark.shuffle.sort.SortShuffleManager",
+    "org.apache.spark.shuffle.unsafe.UnsafeShuffleManager",
+    "org.apache.spark.shuffle.bogus.BogusShuffleManager",
+]
+
+
+def executor_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN5: suppliers are executors of app ``app-1`` (those with
+    ``s_suppkey % 5 = 0`` never registered); manager by ``s_suppkey % 4``."""
+    s = table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") % 5 != 0)
+    mgr = F.element_at(F.array(*[F.lit(m) for m in MANAGER_BY_MOD4]),
+                       (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return s.select(F.lit("app-1").alias("app_id"),
+                    F.col("s_suppkey").cast("string").alias("exec_id"),
+                    F.array(F.concat(F.lit("/data"), (F.col("s_nationkey") % 3).cast("string")),
+                            F.concat(F.lit("/spill"), (F.col("s_suppkey") % 2).cast("string")))
+                    .alias("local_dirs"),
+                    F.lit(7).alias("sub_dirs"), mgr.alias("manager"))
+
+
+def block_requests(indexed: DataFrame) -> DataFrame:
+    """JN5/AG1: each lineitem block is fetched from executor ``l_suppkey``;
+    ``l_partkey % 13 = 0`` asks for a reduce id past the index, ``% 17 = 0``
+    sends a three-part (bad) id.  Request group = order."""
+    base = F.concat(F.lit("shuffle_0_"), F.col("l_orderkey").cast("string"))
+    bid = (F.when(F.col("l_partkey") % 17 == 0, base)
+           .when(F.col("l_partkey") % 13 == 0,
+                 F.concat(base, F.lit("_"), (F.col("idx") + 1000).cast("string")))
+           .otherwise(F.concat(base, F.lit("_"), F.col("idx").cast("string"))))
+    return indexed.select("l_orderkey", "l_partkey", F.lit("app-1").alias("app_id"),
+                          F.col("l_suppkey").cast("string").alias("exec_id"),
+                          bid.alias("block_id"))
+
+
+def layered_customer_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG4: key = c_custkey; explicit layer = priority of the customer's last
+    order (emptied for ``c_custkey % 3 = 0``), file layer = market segment for
+    even keys, default ``'none'``."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    last = (o.groupBy("o_custkey")
+            .agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("p")))
+    explicit = last.select(F.col("o_custkey").alias("key"),
+                           F.when(F.col("o_custkey") % 3 == 0, F.lit("")).otherwise(F.col("p"))
+                           .alias("value"), F.lit("explicit").alias("layer"), F.lit(0).alias("rank"))
+    file_ = c.filter(F.col("c_custkey") % 2 == 0).select(
+        F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"),
+        F.lit("file").alias("layer"), F.lit(1).alias("rank"))
+    default = c.select(F.col("c_custkey").alias("key"), F.lit("none").alias("value"),
+                       F.lit("default").alias("layer"), F.lit(2).alias("rank"))
+    return explicit.unionByName(file_).unionByName(default)

@@ -202,3 +202,298 @@ FROM f
 """)
 def q_frame_size_guard(spark, sf):
     return pj.frame_size_guard(b.declared_frames(spark, sf), "declared_len")
+
+
+# ===================================================================== joins
+JN1_SQL = "WITH " + EVENTS_K + """,
+req AS (
+  SELECT user_id, k, ts AS req_ts, event_id AS req_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id) AS rn
+    FROM e WHERE event_type = 'view') t WHERE rn = 1
+), resp AS (
+  SELECT user_id, k, ts AS resp_ts, event_id AS resp_id,
+         CASE WHEN event_type = 'click' THEN 'ok' ELSE 'failed' END AS outcome
+  FROM e WHERE event_type IN ('click', 'error')
+), first_resp AS (
+  SELECT user_id, k, resp_id, resp_ts, outcome FROM (
+    SELECT resp.*, row_number() OVER (PARTITION BY resp.user_id, resp.k
+                                      ORDER BY resp_ts, resp_id) AS rn
+    FROM resp JOIN req ON resp.user_id = req.user_id AND resp.k = req.k
+    WHERE resp_ts >= req_ts) t WHERE rn = 1
+)
+"""
+
+
+@register("jn1_match_responses", JN1_SQL + """
+SELECT req.user_id, req.k, req.req_id, req.req_ts, f.resp_id, f.resp_ts,
+       COALESCE(f.outcome, 'outstanding') AS status
+FROM req LEFT JOIN first_resp f ON req.user_id = f.user_id AND req.k = f.k
+""")
+def q_match_responses(spark, sf):
+    req, resp = b.first_views_and_answers(spark, sf)
+    return jn.match_responses(req, resp, ["user_id", "k"])[0]
+
+
+@register("jn1_response_disposition", JN1_SQL + """
+SELECT resp.user_id, resp.k, resp.resp_id, resp.resp_ts, resp.outcome,
+       CASE WHEN req.req_id IS NULL THEN 'unknown'
+            WHEN resp.resp_ts < req.req_ts THEN 'early'
+            WHEN resp.resp_id = f.resp_id THEN 'consumed' ELSE 'late' END AS disposition
+FROM resp LEFT JOIN req ON resp.user_id = req.user_id AND resp.k = req.k
+LEFT JOIN first_resp f ON resp.user_id = f.user_id AND resp.k = f.k
+""")
+def q_response_disposition(spark, sf):
+    req, resp = b.first_views_and_answers(spark, sf)
+    return jn.match_responses(req, resp, ["user_id", "k"])[1]
+
+
+@register("jn3_handshake", """
+WITH c AS (SELECT user_id AS who, ts AS conn_ts, event_id AS conn_id FROM events
+           WHERE event_type = 'signup'),
+h AS (SELECT user_id AS who, ts AS h_ts, event_id AS h_id FROM events WHERE event_type = 'view'),
+nx AS (SELECT c.who, c.conn_ts, c.conn_id, h.h_ts, h.h_id
+       FROM c ASOF LEFT JOIN h ON c.who = h.who AND h.h_ts >= c.conn_ts),
+it AS (SELECT who, conn_ts, conn_id,
+              CASE WHEN h_ts <= conn_ts + INTERVAL 1 HOUR THEN h_id END AS hello_id,
+              CASE WHEN h_ts <= conn_ts + INTERVAL 1 HOUR THEN h_ts END AS hello_ts
+       FROM nx),
+pend AS (SELECT DISTINCT user_id AS who FROM events WHERE user_id % 10 <> 0),
+j AS (SELECT it.*, pend.who IS NOT NULL AS pending FROM it LEFT JOIN pend ON it.who = pend.who),
+w AS (SELECT who, conn_id AS win FROM (
+        SELECT *, row_number() OVER (PARTITION BY who ORDER BY hello_ts, hello_id, conn_ts, conn_id) rn
+        FROM j WHERE hello_ts IS NOT NULL AND pending) t WHERE rn = 1)
+SELECT j.who, j.conn_id, j.conn_ts, j.hello_id, j.hello_ts,
+       CASE WHEN j.hello_ts IS NULL THEN 'timed_out' WHEN NOT j.pending THEN 'unknown_secret'
+            WHEN j.conn_id = w.win THEN 'connected' ELSE 'duplicate' END AS status
+FROM j LEFT JOIN w ON j.who = w.who
+""")
+def q_handshake(spark, sf):
+    conns, hellos, pending = b.launcher_handshakes(spark, sf)
+    return jn.handshake(conns, hellos, pending, 3600, who="secret")
+
+
+@register("jn4_fail_on_disconnect", FIFO_SQL + """,
+r AS (SELECT channel, req_id, req_ts, resp_ts, status,
+             CASE WHEN req_id % 3 = 0 THEN 'stream' ELSE 'rpc' END AS kind
+      FROM fifo WHERE status <> 'orphan'),
+d AS (SELECT user_id AS channel, ts AS d_ts FROM events WHERE event_type = 'signup'),
+x AS (SELECT r.*, d.d_ts FROM r ASOF LEFT JOIN d ON r.channel = d.channel AND d.d_ts > r.req_ts),
+y AS (SELECT *, kind <> 'stream' AND d_ts IS NOT NULL
+                AND (resp_ts IS NULL OR d_ts < resp_ts) AS hit FROM x)
+SELECT channel, req_id, req_ts, resp_ts, status, kind,
+       CASE WHEN hit THEN d_ts END AS disconnect_ts,
+       CASE WHEN hit THEN 'failed_disconnect' ELSE status END AS final_status
+FROM y
+""")
+def q_fail_on_disconnect(spark, sf):
+    pairs = _fifo(spark, sf).filter("status <> 'orphan'").select(
+        "channel", "req_id", "req_ts", "resp_ts", "status",
+        F.when(F.col("req_id") % 3 == 0, "stream").otherwise("rpc").alias("kind"))
+    return jn.fail_on_disconnect(pairs, b.disconnect_events(spark, sf), "channel")
+
+
+OFFSET_SQL = """
+oi AS (
+  SELECT l_orderkey, l_shipdate, l_partkey, l_suppkey, size,
+         CAST(COALESCE(SUM(size) OVER w, 0) AS BIGINT) AS "offset",
+         CAST(COALESCE(SUM(size) OVER w, 0) + size AS BIGINT) AS next_offset,
+         CAST(COALESCE(COUNT(*) OVER w, 0) AS INTEGER) AS idx
+  FROM (SELECT l_orderkey, l_shipdate, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS size
+        FROM lineitem) t
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+"""
+
+
+def _offset_index(spark, sf):
+    from railyard.operators import windows as wn
+    from railyard.operators.scan import time_block
+    return wn.offset_index(b.lineitem_blocks(spark, sf), ["l_orderkey"],
+                           ["l_shipdate", "l_partkey", "l_suppkey"], "size",
+                           block=time_block("l_shipdate", "month"))
+
+
+RESOLVE_SQL = "WITH " + OFFSET_SQL + """,
+reg AS (
+  SELECT 'app-1' AS app_id, CAST(s_suppkey AS VARCHAR) AS exec_id,
+         ['/data' || (s_nationkey % 3), '/spill' || (s_suppkey % 2)] AS local_dirs, 7 AS sub_dirs,
+         ['org.apache.spark.shuffle.hash.HashShuffleManager',
+          'org.apache.spark.shuffle.sort.SortShuffleManager',
+          'org.apache.spark.shuffle.unsafe.UnsafeShuffleManager',
+          'org.apache.spark.shuffle.bogus.BogusShuffleManager'][s_suppkey % 4 + 1] AS manager
+  FROM supplier WHERE s_suppkey % 5 <> 0
+), rq AS (
+  SELECT l_orderkey, l_partkey, 'app-1' AS app_id, CAST(l_suppkey AS VARCHAR) AS exec_id,
+         CASE WHEN l_partkey % 17 = 0 THEN 'shuffle_0_' || l_orderkey
+              WHEN l_partkey % 13 = 0 THEN 'shuffle_0_' || l_orderkey || '_' || (idx + 1000)
+              ELSE 'shuffle_0_' || l_orderkey || '_' || idx END AS block_id
+  FROM oi
+), p AS (
+  SELECT *, string_split(regexp_replace(block_id, '_+$', ''), '_') AS parts FROM rq
+), n AS (
+  SELECT *,
+    CASE WHEN regexp_full_match(parts[2], '[+-]?[0-9]+') THEN TRY_CAST(parts[2] AS INTEGER) END AS a,
+    CASE WHEN regexp_full_match(parts[3], '[+-]?[0-9]+') THEN TRY_CAST(parts[3] AS INTEGER) END AS b,
+    CASE WHEN regexp_full_match(parts[4], '[+-]?[0-9]+') THEN TRY_CAST(parts[4] AS INTEGER) END AS c
+  FROM p
+), pr AS (
+  SELECT *, CASE WHEN len(parts) < 4 THEN 'bad_block_id'
+                 WHEN parts[1] <> 'shuffle' THEN 'bad_shuffle_id'
+                 WHEN a IS NULL OR b IS NULL OR c IS NULL THEN 'non_int' END AS reject_reason
+  FROM n
+), j AS (
+  SELECT pr.*, CASE WHEN reject_reason IS NULL THEN a END AS shuffle_id,
+         CASE WHEN reject_reason IS NULL THEN b END AS map_id,
+         CASE WHEN reject_reason IS NULL THEN c END AS reduce_id,
+         reg.local_dirs, reg.sub_dirs, reg.manager, reg.exec_id IS NOT NULL AS registered
+  FROM pr LEFT JOIN reg ON pr.app_id = reg.app_id AND pr.exec_id = reg.exec_id
+), jm AS (
+  SELECT j.*, oi."offset", oi.next_offset,
+         CASE WHEN manager = 'org.apache.spark.shuffle.hash.HashShuffleManager'
+              THEN block_id ELSE 'shuffle_' || shuffle_id || '_' || map_id || '_0.data' END AS fname
+  FROM j LEFT JOIN oi ON j.shuffle_id = 0 AND j.map_id = oi.l_orderkey AND j.reduce_id = oi.idx
+), hs AS (
+  SELECT *, """ + JAVA_HASH_SQL.format(c="fname") + """ AS u FROM jm
+), hh AS (
+  SELECT *, abs(CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) AS h FROM hs
+), f AS (
+  SELECT *, CASE WHEN reject_reason IS NOT NULL THEN reject_reason
+                 WHEN NOT registered THEN 'unregistered_executor'
+                 WHEN manager NOT IN ('org.apache.spark.shuffle.hash.HashShuffleManager',
+                                      'org.apache.spark.shuffle.sort.SortShuffleManager',
+                                      'org.apache.spark.shuffle.unsafe.UnsafeShuffleManager')
+                   THEN 'unsupported_manager'
+                 WHEN manager <> 'org.apache.spark.shuffle.hash.HashShuffleManager'
+                      AND "offset" IS NULL THEN 'missing_index' END AS failure
+  FROM hh
+), resolved AS (
+SELECT l_orderkey, l_partkey, app_id, exec_id, block_id, shuffle_id, map_id, reduce_id,
+       CASE WHEN failure IS NULL THEN local_dirs[h % len(local_dirs) + 1] || '/' ||
+            printf('%02x', (h // len(local_dirs)) % sub_dirs) || '/' || fname END AS path,
+       CASE WHEN failure IS NULL THEN
+            CASE WHEN manager = 'org.apache.spark.shuffle.hash.HashShuffleManager'
+                 THEN CAST(0 AS BIGINT) ELSE "offset" END END AS "offset",
+       CASE WHEN failure IS NULL THEN next_offset - "offset" END AS length,
+       failure
+FROM f
+)
+"""
+
+
+def _resolved(spark, sf):
+    idx = _offset_index(spark, sf)
+    manifest = idx.select(F.lit(0).alias("shuffle_id"), F.col("l_orderkey").cast("int").alias("map_id"),
+                          F.col("idx").alias("reduce_id"), "offset", "next_offset")
+    return jn.resolve_blocks(b.block_requests(idx), b.executor_registry(spark, sf), manifest)
+
+
+@register("jn5_resolve_blocks", RESOLVE_SQL + "SELECT * FROM resolved")
+def q_resolve_blocks(spark, sf):
+    return _resolved(spark, sf)
+
+
+@register("jn6_outstanding_items", "WITH " + EVENTS_K + """,
+rq AS (SELECT user_id, k, min(ts) AS first_ts FROM e WHERE event_type = 'view' GROUP BY 1, 2),
+fr AS (SELECT user_id, k, ts, event_id FROM e WHERE event_type = 'view'),
+firsts AS (SELECT rq.user_id, rq.k, rq.first_ts, min(fr.event_id) AS first_event_id
+           FROM rq JOIN fr ON rq.user_id = fr.user_id AND rq.k = fr.k AND fr.ts = rq.first_ts
+           GROUP BY 1, 2, 3)
+SELECT * FROM firsts
+WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.event_type = 'click'
+                  AND e.user_id = firsts.user_id AND e.k = firsts.k)
+""")
+def q_outstanding_items(spark, sf):
+    e = b.events(spark, sf)
+    return jn.outstanding_items(e.filter("event_type = 'view'"), e.filter("event_type = 'click'"),
+                                ["user_id", "k"], ["ts", "event_id"])
+
+
+# ================================================================ aggregates
+@register("ag1_all_or_nothing", RESOLVE_SQL + """,
+v AS (SELECT l_orderkey, bool_and(failure IS NULL) AS group_ok FROM resolved GROUP BY l_orderkey)
+SELECT r.l_orderkey, r.block_id, r.failure, v.group_ok,
+       CASE WHEN v.group_ok THEN 'ok' ELSE 'failed' END AS status
+FROM resolved r JOIN v ON r.l_orderkey = v.l_orderkey
+""")
+def q_all_or_nothing(spark, sf):
+    out = ag.all_or_nothing(_resolved(spark, sf), ["l_orderkey"], F.col("failure").isNull())
+    return out.select("l_orderkey", "block_id", "failure", "group_ok", "status")
+
+
+@register("ag3_message_census", "WITH " + MESSAGE_DICT_SQL + """,
+lay(type_name, fixed, has_sid, has_err, body_mode) AS (VALUES
+  ('ChunkFetchRequest', 12, false, false, 'none'), ('ChunkFetchSuccess', 12, false, false, 'in_frame'),
+  ('ChunkFetchFailure', 12, false, true, 'none'), ('RpcRequest', 12, false, false, 'in_frame'),
+  ('RpcResponse', 12, false, false, 'in_frame'), ('RpcFailure', 8, false, true, 'none'),
+  ('StreamRequest', 0, true, false, 'none'), ('StreamResponse', 8, true, false, 'outside_frame'),
+  ('StreamFailure', 0, true, true, 'none'), ('OneWayMessage', 4, false, false, 'in_frame')),
+x AS (SELECT dm.type_name, strlen(body) AS blen,
+             9 + fixed + CASE WHEN has_sid THEN 4 + strlen(stream_id) ELSE 0 END
+               + CASE WHEN has_err THEN 4 + strlen(body) ELSE 0 END AS h, body_mode
+      FROM dm JOIN lay ON dm.type_name = lay.type_name)
+SELECT type_name, COUNT(*) AS n, CAST(SUM(h) AS BIGINT) AS header_bytes,
+       CAST(SUM(CASE WHEN body_mode <> 'none' THEN blen ELSE 0 END) AS BIGINT) AS body_bytes,
+       CAST(SUM(h + CASE WHEN body_mode = 'in_frame' THEN blen ELSE 0 END) AS BIGINT) AS frame_bytes
+FROM x GROUP BY type_name
+""")
+def q_message_census(spark, sf):
+    m = pj.decode_message_type(b.typed_messages(spark, sf), "type_id", pj.dictionary(spark))
+    return ag.message_census(m, spark)
+
+
+LAYERS_SQL = """
+WITH lo AS (
+  SELECT o_custkey, o_orderpriority FROM (
+    SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) rn
+    FROM orders) t WHERE rn = 1
+), layers AS (
+  SELECT o_custkey AS key, CASE WHEN o_custkey % 3 = 0 THEN '' ELSE o_orderpriority END AS value,
+         'explicit' AS layer, 0 AS rank FROM lo
+  UNION ALL
+  SELECT c_custkey, c_mktsegment, 'file', 1 FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL
+  SELECT c_custkey, 'none', 'default', 2 FROM customer
+)
+SELECT key, arg_min(value, rank) AS value, arg_min(layer, rank) AS layer
+FROM layers WHERE value IS NOT NULL {extra} GROUP BY key
+"""
+
+
+@register("ag4_layered_settings_present", LAYERS_SQL.format(extra=""))
+def q_layered_present(spark, sf):
+    return ag.layered_settings(b.layered_customer_settings(spark, sf), "present")
+
+
+@register("ag4_layered_settings_non_empty", LAYERS_SQL.format(extra="AND value <> ''"))
+def q_layered_non_empty(spark, sf):
+    return ag.layered_settings(b.layered_customer_settings(spark, sf), "non_empty")
+
+
+# =================================================================== windows
+@register("wn1_offset_index", "WITH " + OFFSET_SQL + "SELECT * FROM oi")
+def q_offset_index(spark, sf):
+    return _offset_index(spark, sf)
+
+
+GAUGE_SQL = FIFO_SQL + """,
+g AS (SELECT channel, ts, eid, is_req, s - LEAST(0, s, COALESCE(prior_min, 0)) AS outstanding FROM s4)
+"""
+
+
+@register("wn2_outstanding_gauge", GAUGE_SQL + "SELECT * FROM g")
+def q_outstanding_gauge(spark, sf):
+    from railyard.operators import windows as wn
+    req, resp = b.view_click_channels(spark, sf)
+    return wn.outstanding_gauge(req, resp, "channel", "ts", "id")
+
+
+@register("wn2_peak_outstanding", GAUGE_SQL + """
+SELECT channel, COUNT(*) AS n_events, MAX(outstanding) AS peak,
+       arg_max(outstanding, epoch_us(ts) * 10 + is_req) AS final
+FROM g GROUP BY channel
+""")
+def q_peak_outstanding(spark, sf):
+    from railyard.operators import windows as wn
+    req, resp = b.view_click_channels(spark, sf)
+    return wn.peak_outstanding(wn.outstanding_gauge(req, resp, "channel", "ts", "id"))
