@@ -50,3 +50,246 @@ def peak_outstanding(gauge: DataFrame) -> DataFrame:
         F.count("*").alias("n_events"),
         F.max("outstanding").alias("peak"),
         F.max_by("outstanding", F.struct("ts", "is_req", "eid")).alias("final"))
+
+
+# --------------------------------------------------------------------------- WN3
+def _group_runs(keys):
+    """Start offsets of runs of equal consecutive keys (numpy arrays)."""
+    import numpy as np
+    n = len(keys[0])
+    if n == 0:
+        return np.array([], dtype=np.int64)
+    change = np.zeros(n, dtype=bool)
+    change[0] = True
+    for k in keys:
+        change[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(change)
+
+
+def _sorted_groups(batches, key_cols):
+    """Yield ``(key_tuple, pandas frame)`` for every run of equal keys in a
+    stream of batches that is sorted by ``key_cols``; a run may span batches,
+    only the current run is held."""
+    import pandas as pd
+    pending = None
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        keys = [pdf[c].to_numpy() for c in key_cols]
+        starts = list(_group_runs(keys)) + [len(pdf)]
+        for a, b in zip(starts[:-1], starts[1:]):
+            part = pdf.iloc[a:b]
+            key = tuple(part[c].iloc[0] for c in key_cols)
+            if pending is not None and pending[0] == key:
+                pending = (key, pd.concat([pending[1], part]))
+                continue
+            if pending is not None:
+                yield pending
+            pending = (key, part)
+    if pending is not None:
+        yield pending
+
+
+def _transfer_map(idx_values, n_chunks: int):
+    """Backward pass over one block's chunk indexes (in arrival order): the
+    entry states the block changes and the state each leaves it in.  State
+    ``e`` = next expected chunk; ``e == n_chunks`` means the stream ended."""
+    moves: dict[int, int] = {}
+    for i in idx_values[::-1]:
+        i = int(i)
+        if 0 <= i < n_chunks:
+            moves[i] = moves.get(i + 1, i + 1)
+    return sorted(moves.items())
+
+
+def in_order_prefix(df: DataFrame, stream: str, arrival: str, tiebreak: str, idx: str,
+                    n_chunks: int, block: Column | None = None,
+                    num_partitions: int | None = None) -> DataFrame:
+    """In-order chunk acceptance per stream.
+
+    A request succeeds only when its index equals the next expected one
+    (``accepted``); a wrong index fails without advancing (``out_of_order``);
+    once the last chunk is served the stream is gone (``past_end``).
+
+    The rule is a fold with a small state (next expected index), run as a
+    three-level scan so no stream has to fit one task:
+    (1) per ``(stream, block)``: the block's transfer map (entry state → exit
+    state, only for states the block changes) in one backward pass;
+    (2) per stream, over one row per block: every block's entry state;
+    (3) per ``(stream, block)``: label the rows from that entry state.
+    Levels 1 and 3 share one shuffle of the rows by ``(stream, block)``; each
+    level streams through partitions sorted by key with ``mapInPandas``, so
+    only the current group's index column is ever buffered.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    n = int(n_chunks)
+    cols = df.columns
+    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = df.withColumn("__blk", block if block is not None else F.lit(0))
+    rows = (tagged.repartition(parts, stream, "__blk")
+            .sortWithinPartitions(stream, "__blk", arrival, tiebreak))
+    stream_type = df.schema[stream].dataType.simpleString()
+    blk_type = tagged.schema["__blk"].dataType.simpleString()
+
+    def level1(batches):
+        for (s, blk), g in _sorted_groups(batches, [stream, "__blk"]):
+            moves = _transfer_map(g[idx].to_numpy(), n)
+            yield pd.DataFrame({stream: [s], "__blk": [blk],
+                                "__from": [[m[0] for m in moves]],
+                                "__to": [[m[1] for m in moves]]})
+
+    def level2(batches):
+        for (s,), g in _sorted_groups(batches, [stream]):
+            e, out = 0, []
+            for frm, to in zip(g["__from"], g["__to"]):
+                out.append(e)
+                e = dict(zip(frm, to)).get(e, e)
+            yield pd.DataFrame({stream: g[stream].to_numpy(), "__blk": g["__blk"].to_numpy(),
+                                "__entry": out})
+
+    out_schema = T.StructType(df.schema.fields + [T.StructField("status", T.StringType())])
+
+    def level3(batches):
+        for _, g in _sorted_groups(batches, [stream, "__blk"]):
+            e = int(g["__entry"].iloc[0]) if pd.notna(g["__entry"].iloc[0]) else 0
+            status = []
+            for i in g[idx].to_numpy():
+                if e >= n:
+                    status.append("past_end")
+                elif int(i) == e:
+                    status.append("accepted")
+                    e += 1
+                else:
+                    status.append("out_of_order")
+            res = g[cols].copy()
+            res["status"] = status
+            yield res
+
+    if block is None:
+        labelled = rows.withColumn("__entry", F.lit(0))
+    else:
+        maps = rows.select(stream, "__blk", idx).mapInPandas(
+            level1, f"{stream} {stream_type}, __blk {blk_type}, __from array<int>, __to array<int>")
+        entry = (maps.repartition(parts, stream).sortWithinPartitions(stream, "__blk")
+                 .mapInPandas(level2, f"{stream} {stream_type}, __blk {blk_type}, __entry int"))
+        labelled = (rows.join(entry, [stream, "__blk"], "left")
+                    .sortWithinPartitions(stream, "__blk", arrival, tiebreak))
+    return labelled.mapInPandas(level3, out_schema)
+
+
+# --------------------------------------------------------------------------- WN4
+def idle_channels(gauge: DataFrame, timeout_seconds: float, as_of: Column,
+                  close_idle: bool = False, block_unit: str = "day") -> DataFrame:
+    """Idle-timeout verdict per channel from its traffic (``outstanding_gauge``
+    rows: ``channel, ts, eid, is_req, outstanding``).
+
+    The idle check fires every ``timeout`` of silence; it acts only if the
+    last request is older than ``timeout`` at that moment — so after a
+    response the first check can act, after a request only the second.
+    Acting means ``dead`` if requests are still outstanding, otherwise
+    ``idle_closed`` when idle connections are closed; the first action ends
+    the channel.  Channels never acted on are ``alive`` (as of ``as_of``).
+
+    The next event per row is a backward running minimum (segmented scan);
+    the first verdict per channel a partial aggregate.
+    """
+    from railyard.operators.scan import segmented_scan, time_block
+    order = [F.col("ts"), F.col("is_req"), F.col("eid")]
+    g = segmented_scan(gauge, ["channel"], order, {"next_ts": ("min", F.col("ts"))},
+                       block=time_block("ts", block_unit), direction="backward", inclusive=False)
+    t_us = int(round(timeout_seconds * 1_000_000))
+    from railyard.functions import micros_between
+    gap = micros_between(F.col("ts"), F.coalesce(F.col("next_ts"), as_of))
+    checks = F.when(F.col("is_req") == 1, 2).otherwise(1).cast("bigint")
+    wait_us = checks * F.lit(t_us).cast("bigint")
+    fires = gap > wait_us
+    verdict = F.when(F.col("outstanding") > 0, "dead")
+    if close_idle:
+        verdict = verdict.otherwise("idle_closed")
+    acted = (g.filter(fires & verdict.isNotNull())
+             .select("channel", F.struct(
+                 F.timestamp_add("MICROSECOND", wait_us, F.col("ts")).alias("at"),
+                 F.col("eid").alias("after_eid"), verdict.alias("verdict"),
+                 F.col("outstanding").alias("outstanding")).alias("v"))
+             .groupBy("channel").agg(F.min("v").alias("v")))
+    chans = gauge.select("channel").distinct()
+    return (chans.join(acted, "channel", "left")
+            .select("channel", F.coalesce(F.col("v.verdict"), F.lit("alive")).alias("status"),
+                    F.col("v.at").alias("closed_at"), F.col("v.outstanding").alias("outstanding")))
+
+
+# --------------------------------------------------------------------------- WN5
+def resolve_retries(attempts: DataFrame, request: str = "request", item: str = "item",
+                    attempt: str = "attempt", seq: str = "seq", outcome: str = "outcome",
+                    max_retries: int = 3, materialize: bool = True) -> DataFrame:
+    """Settle a retried multi-item fetch.
+
+    ``attempts``: one row per answer — ``request, item, attempt, seq, outcome``
+    with outcome ``ok`` / ``io_error`` / ``fatal``.  The retry budget is per
+    request (``max_retries``).  Within the live attempt, in ``seq`` order:
+    ``ok`` / ``fatal`` of an unsettled item is final; the first ``io_error``
+    of an unsettled item with budget left starts the next attempt and every
+    later answer of the current attempt is ignored (even successes); an
+    ``io_error`` with no budget left is final (``failed_io``).  Answers for
+    already settled items and for attempts that never became live are
+    skipped.
+
+    Output per ``(request, item)``: ``status`` (``ok`` / ``failed`` /
+    ``failed_io`` / ``outstanding``), ``attempt_used`` and ``retries`` (per
+    request).  Runs as ``max_retries + 1`` unrolled steps, each a handful of
+    joins and partial aggregates keyed by request or (request, item) — no
+    per-request collection.  With ``materialize`` the log, the settled set and
+    each step's triggers are checkpointed, so every step's plan stays one step
+    deep instead of doubling.
+    """
+    rows = attempts.select(F.col(request).alias("req"), F.col(item).alias("item"),
+                           F.col(attempt).cast("int").alias("att"), F.col(seq).alias("seq"),
+                           F.col(outcome).alias("out"))
+    if materialize:
+        # Every step re-reads the log; cut its lineage once (reliable
+        # checkpoint in the shared checkpoint folder, survives lost executors).
+        rows = rows.checkpoint(eager=True)
+    settled = None
+    triggers = None
+    live = None
+    for a in range(max_retries + 1):
+        ra = rows.filter(F.col("att") == a)
+        if live is not None:
+            ra = ra.join(live, "req", "left_semi")
+        if settled is not None:
+            ra = ra.join(settled.select("req", "item"), ["req", "item"], "left_anti")
+        ff = (ra.filter(F.col("out").isin("ok", "fatal")).groupBy("req", "item")
+              .agg(F.min("seq").alias("ff_seq")))
+        ra = ra.join(ff, ["req", "item"], "left")
+        final = F.col("out").isin("ok", "fatal")
+        if a < max_retries:
+            trig = (ra.filter((F.col("out") == "io_error") &
+                              (F.col("ff_seq").isNull() | (F.col("ff_seq") > F.col("seq"))))
+                    .groupBy("req").agg(F.min("seq").alias("trig_seq")))
+            if materialize:
+                trig = trig.checkpoint(eager=True)
+            ra = ra.join(trig, "req", "left").filter(
+                F.col("trig_seq").isNull() | (F.col("seq") < F.col("trig_seq")))
+            step_trig = trig.select("req", F.lit(a).alias("att"))
+            triggers = step_trig if triggers is None else triggers.unionByName(step_trig)
+            live = trig.select("req")
+        else:
+            final = final | (F.col("out") == "io_error")
+        new = (ra.filter(final).groupBy("req", "item")
+               .agg(F.min_by("out", "seq").alias("out"))
+               .select("req", "item",
+                       F.when(F.col("out") == "ok", "ok").when(F.col("out") == "fatal", "failed")
+                       .otherwise("failed_io").alias("status"),
+                       F.lit(a).alias("attempt_used")))
+        settled = new if settled is None else settled.unionByName(new)
+        if materialize:
+            settled = settled.checkpoint(eager=True)
+    retries = triggers.groupBy("req").agg(F.count("*").cast("int").alias("retries"))
+    items = rows.select("req", "item").distinct()
+    return (items.join(settled, ["req", "item"], "left").join(retries, "req", "left")
+            .select(F.col("req").alias(request), F.col("item").alias(item),
+                    F.coalesce(F.col("status"), F.lit("outstanding")).alias("status"),
+                    "attempt_used",
+                    F.coalesce(F.col("retries"), F.lit(0)).alias("retries")))

@@ -181,3 +181,53 @@ def layered_customer_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     default = c.select(F.col("c_custkey").alias("key"), F.lit("none").alias("value"),
                        F.lit("default").alias("layer"), F.lit(2).alias("rank"))
     return explicit.unionByName(file_).unionByName(default)
+
+
+def chunk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN3: stream = user_id, arrival = ts, chunk index = k % 5 (5 chunks)."""
+    e = events(spark, sf_dir)
+    return e.select("user_id", "ts", "event_id", (F.col("k") % 5).cast("int").alias("idx"))
+
+
+def retry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN5/ST5: request = order, items = its distinct line numbers, attempts
+    0-3 for every item, seq = item, outcome from
+    ``(l_orderkey*31 + item*7 + attempt*13) % 5``: 0, 1 io_error; 2 fatal;
+    else ok."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    a = li.select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("attempt"))
+    code = (F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7 + F.col("attempt") * 13) % 5
+    return a.select(F.col("l_orderkey").alias("request"), F.col("l_linenumber").alias("item"),
+                    "attempt", F.col("l_linenumber").alias("seq"),
+                    F.when(code <= 1, "io_error").when(code == 2, "fatal").otherwise("ok")
+                    .alias("outcome"))
+
+
+def registry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1/ARR1: app = user_id % 20, exec = user_id; ``signup`` and ``view``
+    register (info k, dirs ``/d{k}``, ``/e{k}``); ``error`` removes the app,
+    with cleanup when k is even."""
+    e = events(spark, sf_dir).filter("event_type IN ('signup', 'view', 'error')")
+    reg = F.col("event_type") != "error"
+    ks = F.col("k").cast("string")
+    return e.select((F.col("user_id") % 20).alias("app"), F.col("user_id").alias("exec"),
+                    "ts", F.col("event_id").alias("eid"),
+                    F.when(reg, "register").otherwise("remove").alias("kind"),
+                    F.when(reg, F.col("k")).alias("info"),
+                    F.when(reg, F.array(F.concat(F.lit("/d"), ks), F.concat(F.lit("/e"), ks)))
+                    .alias("local_dirs"),
+                    F.when(~reg, F.col("k") % 2 == 0).alias("cleanup"))
+
+
+def app_state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2/ST7: app = user_id; signup SUBMITTED, view CONNECTED, click
+    RUNNING, error with k < 5 FAILED, purchase with k < 5 FINISHED; other
+    events carry no state change."""
+    e = events(spark, sf_dir)
+    st = (F.when(F.col("event_type") == "signup", "SUBMITTED")
+          .when(F.col("event_type") == "view", "CONNECTED")
+          .when(F.col("event_type") == "click", "RUNNING")
+          .when((F.col("event_type") == "error") & (F.col("k") < 5), "FAILED")
+          .when((F.col("event_type") == "purchase") & (F.col("k") < 5), "FINISHED"))
+    return e.select(F.col("user_id").alias("app"), "ts", F.col("event_id").alias("eid"),
+                    st.alias("state")).filter(F.col("state").isNotNull())

@@ -497,3 +497,191 @@ def q_peak_outstanding(spark, sf):
     from railyard.operators import windows as wn
     req, resp = b.view_click_channels(spark, sf)
     return wn.peak_outstanding(wn.outstanding_gauge(req, resp, "channel", "ts", "id"))
+
+
+@register("wn3_in_order_prefix", """
+WITH RECURSIVE r0 AS (
+  SELECT user_id, ts, event_id,
+         CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS INTEGER) AS idx,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events
+), walk(user_id, rn, e_after, status) AS (
+  SELECT user_id, rn, CASE WHEN idx = 0 THEN 1 ELSE 0 END,
+         CASE WHEN idx = 0 THEN 'accepted' ELSE 'out_of_order' END
+  FROM r0 WHERE rn = 1
+  UNION ALL
+  SELECT r0.user_id, r0.rn,
+         CASE WHEN w.e_after < 5 AND r0.idx = w.e_after THEN w.e_after + 1 ELSE w.e_after END,
+         CASE WHEN w.e_after >= 5 THEN 'past_end'
+              WHEN r0.idx = w.e_after THEN 'accepted' ELSE 'out_of_order' END
+  FROM walk w JOIN r0 ON r0.user_id = w.user_id AND r0.rn = w.rn + 1
+)
+SELECT r0.user_id, r0.ts, r0.event_id, r0.idx, walk.status
+FROM walk JOIN r0 ON walk.user_id = r0.user_id AND walk.rn = r0.rn
+""")
+def q_in_order_prefix(spark, sf):
+    from railyard.operators import windows as wn
+    from railyard.operators.scan import time_block
+    return wn.in_order_prefix(b.chunk_requests(spark, sf), "user_id", "ts", "event_id", "idx",
+                              5, block=time_block("ts", "day"))
+
+
+IDLE_SQL = GAUGE_SQL + """,
+nx AS (SELECT *, LEAD(ts) OVER (PARTITION BY channel ORDER BY ts, is_req, eid) AS next_ts FROM g),
+fz AS (SELECT nx.*, CAST(CASE WHEN is_req = 1 THEN 2 ELSE 1 END AS BIGINT) AS checks,
+              epoch_us(COALESCE(next_ts, (SELECT max(ts) FROM events))) - epoch_us(ts) AS gap
+       FROM nx),
+acted AS (SELECT channel, ts + to_microseconds(checks * 1800000000) AS fire_at, eid,
+                 CASE WHEN outstanding > 0 THEN 'dead' ELSE 'idle_closed' END AS verdict, outstanding
+          FROM fz WHERE gap > checks * 1800000000 AND (outstanding > 0 OR {close})),
+fa AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY fire_at, eid) AS rn
+                      FROM acted) t WHERE rn = 1)
+SELECT c.channel, COALESCE(fa.verdict, 'alive') AS status, fa.fire_at AS closed_at, fa.outstanding
+FROM (SELECT DISTINCT channel FROM g) c LEFT JOIN fa ON c.channel = fa.channel
+"""
+
+
+def _idle(spark, sf, close_idle):
+    from railyard.operators import windows as wn
+    req, resp = b.view_click_channels(spark, sf)
+    gauge = wn.outstanding_gauge(req, resp, "channel", "ts", "id")
+    as_of = b.table(spark, sf, "events").select(F.max("ts")).scalar()
+    return wn.idle_channels(gauge, 1800, as_of, close_idle=close_idle)
+
+
+@register("wn4_idle_channels", IDLE_SQL.format(close="false"))
+def q_idle_channels(spark, sf):
+    return _idle(spark, sf, False)
+
+
+@register("wn4_idle_channels_close", IDLE_SQL.format(close="true"))
+def q_idle_channels_close(spark, sf):
+    return _idle(spark, sf, True)
+
+
+def _retry_sql(max_retries: int = 3) -> str:
+    parts = ["""
+WITH rows AS (
+  SELECT l_orderkey AS request, l_linenumber AS item, att AS attempt, l_linenumber AS seq,
+         CASE WHEN (l_orderkey * 31 + l_linenumber * 7 + att * 13) % 5 <= 1 THEN 'io_error'
+              WHEN (l_orderkey * 31 + l_linenumber * 7 + att * 13) % 5 = 2 THEN 'fatal'
+              ELSE 'ok' END AS outcome
+  FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) li, range(0, 4) t(att)
+)"""]
+    for a in range(max_retries + 1):
+        live = f"AND request IN (SELECT request FROM trig{a - 1})" if a > 0 else ""
+        done = (f"AND NOT EXISTS (SELECT 1 FROM settled{a - 1} s WHERE s.request = rows.request "
+                f"AND s.item = rows.item)") if a > 0 else ""
+        parts.append(f""",
+ra{a} AS (SELECT * FROM rows WHERE attempt = {a} {live} {done}),
+ff{a} AS (SELECT request, item, min(seq) AS ff_seq FROM ra{a}
+          WHERE outcome IN ('ok', 'fatal') GROUP BY request, item),
+rb{a} AS (SELECT ra{a}.*, ff{a}.ff_seq FROM ra{a} LEFT JOIN ff{a}
+          ON ra{a}.request = ff{a}.request AND ra{a}.item = ff{a}.item)""")
+        if a < max_retries:
+            parts.append(f""",
+trig{a} AS (SELECT request, min(seq) AS trig_seq FROM rb{a}
+            WHERE outcome = 'io_error' AND (ff_seq IS NULL OR ff_seq > seq) GROUP BY request),
+pr{a} AS (SELECT rb{a}.* FROM rb{a} LEFT JOIN trig{a} ON rb{a}.request = trig{a}.request
+          WHERE trig{a}.trig_seq IS NULL OR rb{a}.seq < trig{a}.trig_seq)""")
+            fin = "outcome IN ('ok', 'fatal')"
+        else:
+            parts.append(f""",
+pr{a} AS (SELECT * FROM rb{a})""")
+            fin = "outcome IN ('ok', 'fatal', 'io_error')"
+        prev = f"SELECT * FROM settled{a - 1} UNION ALL " if a > 0 else ""
+        parts.append(f""",
+st{a} AS (SELECT request, item, arg_min(outcome, seq) AS out, {a} AS attempt_used
+          FROM pr{a} WHERE {fin} GROUP BY request, item),
+settled{a} AS ({prev}SELECT request, item,
+                  CASE out WHEN 'ok' THEN 'ok' WHEN 'fatal' THEN 'failed' ELSE 'failed_io' END AS status,
+                  attempt_used FROM st{a})""")
+    trig_union = " UNION ALL ".join(f"SELECT request FROM trig{a}" for a in range(max_retries))
+    parts.append(f""",
+retries AS (SELECT request, CAST(COUNT(*) AS INTEGER) AS retries FROM ({trig_union}) t GROUP BY request),
+items AS (SELECT DISTINCT request, item FROM rows)
+SELECT items.request, items.item, COALESCE(s.status, 'outstanding') AS status, s.attempt_used,
+       COALESCE(r.retries, 0) AS retries
+FROM items LEFT JOIN settled{max_retries} s ON items.request = s.request AND items.item = s.item
+LEFT JOIN retries r ON items.request = r.request
+""")
+    return "".join(parts)
+
+
+@register("wn5_resolve_retries", _retry_sql(3))
+def q_resolve_retries(spark, sf):
+    from railyard.operators import windows as wn
+    return wn.resolve_retries(b.retry_log(spark, sf), max_retries=3)
+
+
+# ===================================================================== state
+REG_EVENTS_SQL = "WITH " + EVENTS_K + """,
+re AS (
+  SELECT user_id % 20 AS app, user_id AS exec, ts, event_id AS eid,
+         CASE WHEN event_type = 'error' THEN 'remove' ELSE 'register' END AS kind,
+         CASE WHEN event_type <> 'error' THEN k END AS info,
+         CASE WHEN event_type <> 'error' THEN ['/d' || k, '/e' || k] END AS local_dirs,
+         CASE WHEN event_type = 'error' THEN k % 2 = 0 END AS cleanup
+  FROM e WHERE event_type IN ('signup', 'view', 'error')
+)
+"""
+
+
+@register("st1_registry_state", REG_EVENTS_SQL + """,
+lr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app, exec ORDER BY ts DESC, eid DESC) rn
+                      FROM re WHERE kind = 'register') t WHERE rn = 1),
+rm AS (SELECT app, max(ts) AS rm_ts FROM re WHERE kind = 'remove' GROUP BY app)
+SELECT lr.app, lr.exec, lr.info, lr.local_dirs, lr.ts AS reg_ts
+FROM lr LEFT JOIN rm ON lr.app = rm.app WHERE rm.rm_ts IS NULL OR lr.ts > rm.rm_ts
+""")
+def q_registry_state(spark, sf):
+    from railyard.operators import state as stt
+    return stt.registry_state(b.registry_events(spark, sf))
+
+
+@register("arr1_removed_dirs", REG_EVENTS_SQL + """,
+regs AS (SELECT * FROM re WHERE kind = 'register'),
+rms AS (SELECT app, ts AS rm_ts, eid AS rm_id, cleanup FROM re WHERE kind = 'remove'),
+nx AS (SELECT regs.*, rms.rm_ts, rms.rm_id, rms.cleanup AS rm_cleanup
+       FROM regs ASOF JOIN rms ON regs.app = rms.app AND rms.rm_ts >= regs.ts),
+last AS (SELECT app, exec, rm_id, rm_ts, arg_max(local_dirs, ts) AS dirs
+         FROM nx WHERE rm_cleanup GROUP BY app, exec, rm_id, rm_ts)
+SELECT app, exec, rm_id AS removal_id, rm_ts AS removal_ts, unnest(dirs) AS dir FROM last
+""")
+def q_removed_dirs(spark, sf):
+    from railyard.operators import arrays as ar
+    return ar.removed_dirs(b.registry_events(spark, sf))
+
+
+APP_EVENTS_SQL = "WITH " + EVENTS_K + """,
+ae AS (
+  SELECT user_id AS app, ts, event_id AS eid,
+         CASE WHEN event_type = 'signup' THEN 'SUBMITTED' WHEN event_type = 'view' THEN 'CONNECTED'
+              WHEN event_type = 'click' THEN 'RUNNING'
+              WHEN event_type = 'error' AND k < 5 THEN 'FAILED'
+              WHEN event_type = 'purchase' AND k < 5 THEN 'FINISHED' END AS state
+  FROM e
+), ae2 AS (SELECT * FROM ae WHERE state IS NOT NULL),
+ff AS (SELECT app, min(ts) AS ff_ts FROM ae2 WHERE state IN ('FINISHED', 'FAILED', 'KILLED') GROUP BY app),
+tr AS (SELECT ae2.*, CASE WHEN ff.ff_ts IS NOT NULL AND ae2.ts > ff.ff_ts THEN 'ignored'
+                          ELSE 'applied' END AS disposition
+       FROM ae2 LEFT JOIN ff ON ae2.app = ff.app)
+"""
+
+
+@register("st2_lifecycle_transitions", APP_EVENTS_SQL + "SELECT * FROM tr")
+def q_lifecycle_transitions(spark, sf):
+    from railyard.operators import state as stt
+    return stt.lifecycle_transitions(b.app_state_events(spark, sf))
+
+
+@register("st2_lifecycle_state", APP_EVENTS_SQL + """
+SELECT app, arg_max(state, ts) FILTER (WHERE disposition = 'applied') AS state,
+       CAST(SUM(CASE WHEN disposition = 'applied' THEN 1 ELSE 0 END) AS BIGINT) AS n_applied,
+       CAST(SUM(CASE WHEN disposition = 'ignored' THEN 1 ELSE 0 END) AS BIGINT) AS n_ignored,
+       arg_max(state, ts) FILTER (WHERE disposition = 'applied') IN ('FINISHED', 'FAILED', 'KILLED') AS is_final
+FROM tr GROUP BY app
+""")
+def q_lifecycle_state(spark, sf):
+    from railyard.operators import state as stt
+    return stt.lifecycle_state(b.app_state_events(spark, sf))
