@@ -231,3 +231,78 @@ def app_state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
           .when((F.col("event_type") == "purchase") & (F.col("k") < 5), "FINISHED"))
     return e.select(F.col("user_id").alias("app"), "ts", F.col("event_id").alias("eid"),
                     st.alias("state")).filter(F.col("state").isNotNull())
+
+
+def conversation_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """TXT3/ST6: stream = conv_id, index = turn, body = text; announced bytes
+    = the true total, +1 for ``conv_id % 7 = 0`` and -1 for ``% 7 = 1``."""
+    c = table(spark, sf_dir, "conversations")
+    chunks = c.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("chunk_idx"),
+                      F.col("text").alias("body"))
+    tot = c.groupBy("conv_id").agg(F.sum(F.octet_length("text")).cast("bigint").alias("t"))
+    adj = F.when(F.col("conv_id") % 7 == 0, 1).when(F.col("conv_id") % 7 == 1, -1).otherwise(0)
+    ann = tot.select(F.col("conv_id").alias("stream_id"), (F.col("t") + adj).alias("expected_bytes"))
+    return chunks, ann
+
+
+# ----------------------------------------------------------- rendered files
+# The source operators read files; these helpers render a driver table into
+# such files under the shared checkpoint folder (never a machine-local path
+# on a cluster) and return where they went.
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    from railyard.session import scratch_path
+    return scratch_path(spark, name)
+
+
+def rendered_customer_csv(spark: SparkSession, sf_dir: str) -> str:
+    """SRC1: ``c_name, c_custkey`` lines (blank after the comma)."""
+    path = _scratch(spark, "customer-csv")
+    c = table(spark, sf_dir, "customer")
+    c.select(F.concat_ws(", ", "c_name", F.col("c_custkey").cast("string")).alias("value")) \
+        .write.text(path)
+    return path
+
+
+def rendered_customer_json(spark: SparkSession, sf_dir: str) -> str:
+    """SRC2: JSON lines; the key is left out when ``c_custkey % 5 = 0``."""
+    path = _scratch(spark, "customer-json")
+    c = table(spark, sf_dir, "customer")
+    key = F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey"))
+    c.select(F.to_json(F.struct("c_name", key.alias("c_custkey"))).alias("value")).write.text(path)
+    return path
+
+
+def rendered_nation_kv(spark: SparkSession, sf_dir: str) -> str:
+    """SRC3: ``n_nationkey^An_name`` lines."""
+    path = _scratch(spark, "nation-kv")
+    n = table(spark, sf_dir, "nation")
+    n.select(F.concat_ws("\x01", F.col("n_nationkey").cast("string"), "n_name").alias("value")) \
+        .write.text(path)
+    return path
+
+
+def rendered_region_properties(spark: SparkSession, sf_dir: str) -> str:
+    """SRC4: ``region.<key> = <name>`` lines with padding, plus a comment,
+    a ``!`` comment and a blank line per region."""
+    path = _scratch(spark, "region-props")
+    r = table(spark, sf_dir, "region")
+    kv = F.concat(F.lit("  region."), F.col("r_regionkey").cast("string"), F.lit(" = "),
+                  F.col("r_name"), F.lit("  "))
+    lines = F.array(F.concat(F.lit("# region "), F.col("r_regionkey").cast("string")), kv,
+                    F.lit(""), F.lit("! end"))
+    r.select(F.explode(lines).alias("value")).write.text(path)
+    return path
+
+
+def rendered_document_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """SRC5: one file per document holding its text (plus the line end the
+    text writer adds); segments ``(doc_id % 50, 100)`` of each file."""
+    path = _scratch(spark, "doc-files")
+    d = table(spark, sf_dir, "documents")
+    d.select("doc_id", F.col("text").alias("value")).repartition("doc_id") \
+        .write.partitionBy("doc_id").text(path)
+    listing = spark.read.format("binaryFile").load(path).select("path", "doc_id")
+    segs = listing.select("doc_id", "path", (F.col("doc_id") % 50).alias("offset"),
+                          F.lit(100).cast("bigint").alias("length"))
+    return path, segs

@@ -685,3 +685,117 @@ FROM tr GROUP BY app
 def q_lifecycle_state(spark, sf):
     from railyard.operators import state as stt
     return stt.lifecycle_state(b.app_state_events(spark, sf))
+
+
+# ====================================================================== text
+@register("txt1_chunk_split", """
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_idx, CAST(i * 256 AS BIGINT) AS "offset",
+       CAST(least(256, length(text) - i * 256) AS BIGINT) AS length,
+       substring(text, CAST(i * 256 + 1 AS BIGINT), 256) AS body
+FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 256.0) AS BIGINT))) AS i
+      FROM documents WHERE length(text) > 0) t
+""")
+def q_chunk_split(spark, sf):
+    from railyard.operators import text as tx
+    return tx.chunk_split(b.table(spark, sf, "documents"), "doc_id", "text", 256)
+
+
+@register("txt2_slice_range", """
+SELECT doc_id, doc_id % 50 AS "offset", CAST(100 AS BIGINT) AS length,
+       CASE WHEN doc_id % 50 + 100 > length(text) THEN 'eof' END AS reject_reason,
+       CASE WHEN doc_id % 50 + 100 <= length(text)
+            THEN substring(text, CAST(doc_id % 50 + 1 AS BIGINT), 100) END AS slice
+FROM documents
+""")
+def q_slice_range(spark, sf):
+    from railyard.operators import text as tx
+    d = b.table(spark, sf, "documents").select(
+        "doc_id", "text", (F.col("doc_id") % 50).alias("offset"), F.lit(100).cast("bigint").alias("length"))
+    return tx.slice_range(d, "text", "offset", "length").drop("text")
+
+
+@register("txt3_reassemble_chunks", """
+WITH tot AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS txt,
+                    CAST(SUM(strlen(text)) AS BIGINT) AS t, COUNT(*) AS n
+             FROM conversations GROUP BY conv_id)
+SELECT conv_id AS stream_id,
+       t + CASE WHEN conv_id % 7 = 0 THEN 1 WHEN conv_id % 7 = 1 THEN -1 ELSE 0 END AS expected_bytes,
+       txt AS text, t AS bytes_read, n AS n_chunks,
+       CASE WHEN conv_id % 7 = 0 THEN 'incomplete' WHEN conv_id % 7 = 1 THEN 'overrun'
+            ELSE 'complete' END AS status
+FROM tot
+""")
+def q_reassemble_chunks(spark, sf):
+    from railyard.operators import text as tx
+    chunks, ann = b.conversation_streams(spark, sf)
+    return tx.reassemble_chunks(chunks, ann)
+
+
+# =================================================================== sources
+@register("src1_scan_delimited", "SELECT c_name, c_custkey FROM customer")
+def q_scan_delimited(spark, sf):
+    from railyard import sources as src
+    return src.scan_delimited(spark, b.rendered_customer_csv(spark, sf),
+                              "c_name STRING, c_custkey BIGINT")
+
+
+@register("src2_scan_json_lines", """
+SELECT c_name, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS c_custkey FROM customer
+""")
+def q_scan_json_lines(spark, sf):
+    from railyard import sources as src
+    return src.scan_json_lines(spark, b.rendered_customer_json(spark, sf),
+                               "c_name STRING, c_custkey BIGINT")
+
+
+@register("src3_scan_ctrl_a_kv", "SELECT n_nationkey AS key, n_name AS value FROM nation")
+def q_scan_ctrl_a_kv(spark, sf):
+    from railyard import sources as src
+    return src.scan_ctrl_a_kv(spark, b.rendered_nation_kv(spark, sf))
+
+
+@register("src4_scan_properties", """
+SELECT 'defaults' AS layer, 'region.' || r_regionkey AS key, r_name AS value FROM region
+""")
+def q_scan_properties(spark, sf):
+    from railyard import sources as src
+    return src.scan_properties(spark, b.rendered_region_properties(spark, sf), "defaults")
+
+
+@register("src5_scan_segments")
+def q_scan_segments(spark, sf):
+    from railyard import sources as src
+    path, segs = b.rendered_document_files(spark, sf)
+    return src.scan_segments(spark, path, segs).select(
+        "doc_id", "offset", "length", "file_size", "data", "reject_reason")
+
+
+@register("snk1_write_hashed_layout", """
+WITH f AS (SELECT l_orderkey, l_linenumber, 'shuffle_' || l_orderkey || '_0_0.data' AS key
+           FROM lineitem),
+u AS (SELECT *, """ + JAVA_HASH_SQL.format(c="key") + """ AS u FROM f),
+h AS (SELECT l_orderkey, l_linenumber, key,
+             abs(CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) AS h FROM u)
+SELECT *, CAST(h % 3 AS INTEGER) AS dir_id, CAST((h // 3) % 5 AS INTEGER) AS sub_id,
+       printf('%02x', (h // 3) % 5) AS sub_dir
+FROM h
+""")
+def q_write_hashed_layout(spark, sf):
+    from railyard import sources as src
+    path = b._scratch(spark, "hashed-layout")
+    src.write_hashed_layout(b.shuffle_file_names(spark, sf), "key", 3, 5, path)
+    return src.read_hashed_layout(
+        spark, path, "l_orderkey BIGINT, l_linenumber INT, key STRING, "
+        + src.sinks.HASHED_SCHEMA_EXTRA)
+
+
+@register("snk2_write_sorted_blocks", "WITH " + OFFSET_SQL + """
+SELECT l_orderkey, idx, "offset", next_offset FROM oi
+""")
+def q_write_sorted_blocks(spark, sf):
+    from railyard import sources as src
+    from railyard.operators.scan import time_block
+    path = b._scratch(spark, "sorted-blocks")
+    return src.write_sorted_blocks(b.lineitem_blocks(spark, sf), "l_orderkey",
+                                   ["l_shipdate", "l_partkey", "l_suppkey"], "size", path,
+                                   block=time_block("l_shipdate", "month"))
