@@ -799,3 +799,130 @@ def q_write_sorted_blocks(spark, sf):
     return src.write_sorted_blocks(b.lineitem_blocks(spark, sf), "l_orderkey",
                                    ["l_shipdate", "l_partkey", "l_suppkey"], "size", path,
                                    block=time_block("l_shipdate", "month"))
+
+
+# ================================================================= streaming
+def _staged(spark, df, ts, name, n_slices=4):
+    from railyard import streaming as sm
+    path = sm.stage_files(df, ts, n_slices, name)
+    return sm.read_stream(spark, path, df.schema)
+
+
+@register("st1_stream_registry_state", REG_EVENTS_SQL + """,
+lr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app, exec ORDER BY ts DESC, eid DESC) rn
+                      FROM re WHERE kind = 'register') t WHERE rn = 1),
+rm AS (SELECT app, max(ts) AS rm_ts FROM re WHERE kind = 'remove' GROUP BY app)
+SELECT lr.app, lr.exec, lr.info, lr.local_dirs, lr.ts AS reg_ts
+FROM lr LEFT JOIN rm ON lr.app = rm.app WHERE rm.rm_ts IS NULL OR lr.ts > rm.rm_ts
+""")
+def q_stream_registry_state(spark, sf):
+    from railyard import streaming as sm
+    s = _staged(spark, b.registry_events(spark, sf), "ts", "registry-events")
+    changes = sm.run_available(sm.stream_registry_state(s), "registry")
+    return sm.registry_from_changes(changes).withColumn("reg_ts", F.col("reg_ts").cast("timestamp_ntz"))
+
+
+@register("st2_stream_lifecycle_state", APP_EVENTS_SQL + """
+SELECT app, arg_max(state, ts) FILTER (WHERE disposition = 'applied') AS state,
+       CAST(SUM(CASE WHEN disposition = 'applied' THEN 1 ELSE 0 END) AS BIGINT) AS n_applied,
+       CAST(SUM(CASE WHEN disposition = 'ignored' THEN 1 ELSE 0 END) AS BIGINT) AS n_ignored,
+       arg_max(state, ts) FILTER (WHERE disposition = 'applied') IN ('FINISHED', 'FAILED', 'KILLED') AS is_final
+FROM tr GROUP BY app
+""")
+def q_stream_lifecycle_state(spark, sf):
+    from railyard import streaming as sm
+    s = _staged(spark, b.app_state_events(spark, sf), "ts", "app-events")
+    return sm.lifecycle_from_changes(sm.run_available(sm.stream_lifecycle_state(s), "lifecycle"))
+
+
+@register("st3_stream_match_responses")
+def q_stream_match_responses(spark, sf):
+    from railyard import streaming as sm
+    e = b.table(spark, sf, "events").filter("event_type IN ('signup', 'purchase')").select(
+        F.col("user_id").alias("channel"), "ts", F.col("event_id").alias("eid"),
+        F.when(F.col("event_type") == "signup", 1).otherwise(0).alias("is_req"))
+    s = _staged(spark, e, "ts", "rpc-events")
+    out = sm.run_available(sm.stream_match_responses(s, 86400), "rpc-match")
+    return (out.withColumn("req_ts", F.col("req_ts").cast("timestamp_ntz"))
+            .withColumn("resp_ts", F.col("resp_ts").cast("timestamp_ntz")))
+
+
+@register("st4_stream_idle_sessions", """
+WITH t AS (SELECT user_id AS channel, ts FROM events WHERE event_type IN ('view', 'click')),
+g AS (SELECT *, CASE WHEN LAG(ts) OVER (PARTITION BY channel ORDER BY ts) IS NULL
+                      OR ts - LAG(ts) OVER (PARTITION BY channel ORDER BY ts) >= INTERVAL 30 MINUTE
+                     THEN 1 ELSE 0 END AS brk FROM t),
+s AS (SELECT *, SUM(brk) OVER (PARTITION BY channel ORDER BY ts) AS sid FROM g),
+ss AS (SELECT channel, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
+              COUNT(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts
+       FROM s GROUP BY channel, sid)
+SELECT * FROM ss WHERE session_end <= (SELECT max(ts) FROM t) - INTERVAL 1 HOUR
+""")
+def q_stream_idle_sessions(spark, sf):
+    from railyard import streaming as sm
+    e = b.table(spark, sf, "events").filter("event_type IN ('view', 'click')").select(
+        F.col("user_id").alias("channel"), "ts")
+    s = _staged(spark, e, "ts", "traffic")
+    out = sm.run_available(sm.stream_idle_sessions(s, "channel", "ts", "30 minutes", "1 hour"),
+                           "sessions")
+    return out.select("channel", *[F.col(c).cast("timestamp_ntz").alias(c) for c in
+                                   ("session_start", "session_end")],
+                      "n_events", *[F.col(c).cast("timestamp_ntz").alias(c)
+                                    for c in ("first_ts", "last_ts")])
+
+
+@register("st5_stream_first_answer", """
+SELECT DISTINCT l_orderkey AS request, l_linenumber AS item FROM lineitem
+""")
+def q_stream_first_answer(spark, sf):
+    from railyard import streaming as sm
+    log = b.retry_log(spark, sf).withColumn(
+        "ts", F.timestamp_seconds(F.lit(1704067200) + F.col("attempt") * 3600 + F.col("seq"))
+        .cast("timestamp_ntz"))
+    s = _staged(spark, log, "ts", "answers")
+    out = sm.run_available(sm.stream_first_answer(s, ("request", "item"), "ts", "1 hour"),
+                           "first-answer")
+    return out.select("request", "item")
+
+
+@register("st6_stream_reassemble", """
+WITH c AS (SELECT conv_id, turn, strlen(text) AS nb FROM conversations),
+r AS (SELECT conv_id, turn,
+             CAST(SUM(nb) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run
+      FROM c),
+ex AS (SELECT conv_id, CAST(SUM(nb) AS BIGINT)
+              + CASE WHEN conv_id % 7 = 0 THEN 1 WHEN conv_id % 7 = 1 THEN -1 ELSE 0 END AS exp
+       FROM c GROUP BY conv_id),
+j AS (SELECT r.*, ex.exp FROM r JOIN ex ON r.conv_id = ex.conv_id),
+ov AS (SELECT conv_id, min(turn) AS t FROM j WHERE run > exp GROUP BY conv_id)
+SELECT conv_id AS stream_id, turn AS chunk_idx, run AS bytes_read, 'data' AS event FROM j
+UNION ALL
+SELECT conv_id, NULL, run, 'complete' FROM j WHERE run = exp
+UNION ALL
+SELECT j.conv_id, NULL, j.run, 'overrun' FROM j JOIN ov ON j.conv_id = ov.conv_id AND j.turn = ov.t
+""")
+def q_stream_reassemble(spark, sf):
+    from railyard import streaming as sm
+    chunks, ann = b.conversation_streams(spark, sf)
+    s = _staged(spark, chunks, None, "conv-chunks", 1)
+    joined = s.join(ann, "stream_id", "inner")
+    return sm.run_available(sm.stream_reassemble(joined), "reassembly")
+
+
+@register("st7_listener_sink", APP_EVENTS_SQL + """
+SELECT app, ts, eid, state, 'state_changed' AS change FROM tr WHERE disposition = 'applied'
+""")
+def q_listener_sink(spark, sf):
+    from railyard import streaming as sm
+    from railyard.session import scratch_path
+    s = _staged(spark, b.app_state_events(spark, sf), "ts", "app-events-l")
+    target = scratch_path(spark, "listener-out")
+
+    def listener(batch, batch_id):
+        batch.write.mode("append").parquet(target)
+
+    changes = sm.stream_state_changes(s)
+    q = sm.listener_sink(changes, listener, scratch_path(spark, "listener-ckpt"))
+    q.awaitTermination()
+    return (spark.read.schema(changes.schema).parquet(target)
+            .withColumn("ts", F.col("ts").cast("timestamp_ntz")))

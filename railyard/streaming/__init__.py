@@ -1,0 +1,20 @@
+"""Structured Streaming forms of the keyed-state and live-signal rules."""
+
+from railyard.streaming.runner import read_stream, run_available, run_foreach_batch, stage_files
+from railyard.streaming.stateful import (
+    lifecycle_from_changes,
+    registry_from_changes,
+    stream_lifecycle_state,
+    stream_match_responses,
+    stream_reassemble,
+    stream_registry_state,
+    stream_state_changes,
+)
+from railyard.streaming.windowed import listener_sink, stream_first_answer, stream_idle_sessions
+
+__all__ = [
+    "read_stream", "run_available", "run_foreach_batch", "stage_files",
+    "lifecycle_from_changes", "registry_from_changes", "stream_lifecycle_state",
+    "stream_match_responses", "stream_reassemble", "stream_registry_state",
+    "stream_state_changes", "listener_sink", "stream_first_answer", "stream_idle_sessions",
+]
