@@ -78,3 +78,217 @@ def reassemble_chunks(chunks: DataFrame, announced: DataFrame, stream: str = "st
                     read.alias("bytes_read"),
                     F.coalesce(F.col("n_chunks"), F.lit(0)).alias("n_chunks"),
                     status.alias("status"))
+
+
+# --------------------------------------------------------------------------- TXT4
+# Shell-like splitting.  A piece is a backslash-escaped character, a
+# single-quoted run (taken literally), a double-quoted run (backslash escapes
+# inside) or one plain character; a token is a run of pieces; tokens are
+# separated by white space.  A line is valid only if pieces and blanks cover
+# it completely (so an open quote or a dangling backslash rejects it).
+_PIECE = r"""\\[\s\S]|'[^']*'|"(?:[^"\\]|\\[\s\S])*"|[^\s'"\\]"""
+_TOKEN = "(?:" + _PIECE + ")+"
+_LINE_OK = r"^\s*(?:(?:" + _PIECE + r")++(?:\s+|$))*$"
+
+
+def shell_split(line: Column | str) -> Column:
+    """Array of unquoted tokens, or null when the line is not well formed."""
+    def unquote(p):
+        return (F.when(p.startswith("'"), F.substring(p, F.lit(2), F.length(p) - 2))
+                .when(p.startswith('"'), F.regexp_replace(
+                    F.substring(p, F.lit(2), F.length(p) - 2), r"\\([\s\S])", "$1"))
+                .when(p.startswith("\\"), F.substring(p, 2, 1))
+                .otherwise(p))
+
+    toks = F.regexp_extract_all(_c(line), F.lit(_TOKEN), 0)
+    words = F.transform(toks, lambda t: F.array_join(
+        F.transform(F.regexp_extract_all(t, F.lit(_PIECE), 0), unquote), ""))
+    return F.when(_c(line).rlike(_LINE_OK), words)
+
+
+# Submit options.  Options taking a value (with aliases), then
+# switches (with aliases); the first name is the canonical one.
+VALUED_OPTIONS = [
+    ["--archives"], ["--class"], ["--conf", "-c"], ["--deploy-mode"], ["--driver-class-path"],
+    ["--driver-cores"], ["--driver-java-options"], ["--driver-library-path"],
+    ["--driver-memory"], ["--executor-cores"], ["--executor-memory"], ["--files"], ["--jars"],
+    ["--keytab"], ["--kill"], ["--master"], ["--name"], ["--num-executors"], ["--packages"],
+    ["--exclude-packages"], ["--principal"], ["--properties-file"], ["--proxy-user"],
+    ["--py-files"], ["--queue"], ["--repositories"], ["--status"], ["--total-executor-cores"],
+]
+SWITCHES = [["--help", "-h"], ["--supervise"], ["--usage-error"], ["--verbose", "-v"],
+            ["--version"]]
+
+_OPT_T = "array<struct<name:string,value:string>>"
+
+
+def _option_map() -> Column:
+    kv = []
+    for names, valued in [(n, True) for n in VALUED_OPTIONS] + [(n, False) for n in SWITCHES]:
+        for alias in names:
+            kv += [F.lit(alias), F.struct(F.lit(names[0]).alias("long"),
+                                          F.lit(valued).alias("valued"))]
+    return F.create_map(*kv)
+
+
+def parse_submit_args(tokens: Column) -> Column:
+    """Walk a token list the way the submit option parser does: ``--k=v``
+    splits at the first ``=``; aliases map to the canonical name; a valued
+    option without ``=v`` takes the next token (none left: ``missing_value``);
+    a switch takes nothing; the first unknown token is the application
+    resource and everything after it is passed through as extras.
+
+    Returns ``struct<options, resource, extras, error>``; a fold
+    (``aggregate``) over the tokens, evaluated per row inside the JVM.
+    """
+    omap = _option_map()
+    init = F.struct(F.lit("opt").alias("mode"), F.lit(None).cast("string").alias("pending"),
+                    F.array().cast(_OPT_T).alias("options"),
+                    F.lit(None).cast("string").alias("resource"),
+                    F.array().cast("array<string>").alias("extras"))
+
+    def step(acc, tok):
+        eq = tok.rlike(r"^--[^=]+=.+$")
+        arg = F.when(eq, F.regexp_extract(tok, r"^(--[^=]+)=(.+)$", 1)).otherwise(tok)
+        val = F.when(eq, F.regexp_extract(tok, r"^(--[^=]+)=(.+)$", 2))
+        spec = F.element_at(omap, arg)
+        one = lambda n, v: F.array(F.struct(n.alias("name"), v.cast("string").alias("value")))
+        opts_scan = (F.when(spec.isNull(), acc["options"])
+                     .when(spec["valued"] & val.isNull(), acc["options"])
+                     .when(spec["valued"], F.concat(acc["options"], one(spec["long"], val)))
+                     .otherwise(F.concat(acc["options"], one(spec["long"], F.lit(None)))))
+        mode_scan = (F.when(spec.isNull(), "extra")
+                     .when(spec["valued"] & val.isNull(), "val").otherwise("opt"))
+        return F.struct(
+            F.when(acc["mode"] == "opt", mode_scan).when(acc["mode"] == "val", "opt")
+            .otherwise("extra").alias("mode"),
+            F.when((acc["mode"] == "opt") & spec.isNotNull() & spec["valued"] & val.isNull(),
+                   spec["long"]).alias("pending"),
+            F.when(acc["mode"] == "opt", opts_scan)
+            .when(acc["mode"] == "val", F.concat(acc["options"], one(acc["pending"], tok)))
+            .otherwise(acc["options"]).alias("options"),
+            F.when((acc["mode"] == "opt") & spec.isNull(), tok).otherwise(acc["resource"])
+            .alias("resource"),
+            F.when(acc["mode"] == "extra", F.concat(acc["extras"], F.array(tok)))
+            .otherwise(acc["extras"]).alias("extras"))
+
+    def finish(acc):
+        return F.struct(acc["options"].alias("options"), acc["resource"].alias("resource"),
+                        acc["extras"].alias("extras"),
+                        F.when(acc["mode"] == "val", "missing_value").alias("error"))
+
+    return F.aggregate(tokens, init, step, finish)
+
+
+def parse_command_lines(df: DataFrame, line: str = "line") -> DataFrame:
+    """Per command line: ``tokens``, parsed ``options`` (canonical name,
+    value), ``resource``, ``extras`` and ``reject_reason`` (``bad_quoting``
+    or ``missing_value``).  Row-local, no shuffle."""
+    toks = shell_split(line)
+    parsed = parse_submit_args(F.coalesce(toks, F.array().cast("array<string>")))
+    out = df.withColumn("tokens", toks).withColumn("__p", parsed)
+    reason = F.when(F.col("tokens").isNull(), "bad_quoting").otherwise(F.col("__p.error"))
+    ok = reason.isNull()
+    return out.select(*df.columns, "tokens",
+                      F.when(ok, F.col("__p.options")).alias("options"),
+                      F.when(ok, F.col("__p.resource")).alias("resource"),
+                      F.when(ok, F.col("__p.extras")).alias("extras"),
+                      reason.alias("reject_reason"))
+
+
+def option_usage(parsed: DataFrame) -> DataFrame:
+    """Per canonical option over the accepted lines: ``uses`` and
+    ``distinct_values``; rejected lines are counted under the option name
+    ``<rejected>``.  ``explode`` + partial aggregation (the distinct count
+    is exact)."""
+    used = (parsed.filter(F.col("reject_reason").isNull())
+            .select(F.explode("options").alias("o"))
+            .groupBy(F.col("o.name").alias("option"))
+            .agg(F.count("*").alias("uses"),
+                 F.count_distinct(F.col("o.value")).alias("distinct_values")))
+    rejected = (parsed.filter(F.col("reject_reason").isNotNull())
+                .agg(F.count("*").alias("uses"))
+                .select(F.lit("<rejected>").alias("option"), "uses",
+                        F.lit(0).cast("bigint").alias("distinct_values")))
+    return used.unionByName(rejected)
+
+
+# --------------------------------------------------------------------------- TXT5
+FRAME_HEADER_BYTES = 8
+MAX_FRAME_PAYLOAD = 2**31 - 1
+
+
+def reassemble_frames(packets: DataFrame, conn: str = "conn", seq: str = "seq",
+                      payload: str = "payload", num_partitions: int | None = None) -> DataFrame:
+    """Cut each connection's byte stream into frames.
+
+    A frame is an 8-byte big-endian length (counting itself) followed by the
+    payload; frames, and even the length field, may straddle packets.  Output
+    rows: ``conn, frame_idx, length, payload, status`` with status ``frame``,
+    ``bad_length`` (non-positive or too-large payload; the connection stops
+    there) or ``incomplete_tail`` (bytes held back at the end; ``length`` is
+    the number held).
+
+    Packets are shuffled by connection and sorted by ``seq`` inside each
+    partition; ``mapInPandas`` then streams through them keeping only the
+    current unfinished frame, so memory is bounded by one frame, not by a
+    connection's traffic.
+    """
+    import pandas as pd
+
+    parts = num_partitions or int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    conn_type = packets.schema[conn].dataType.simpleString()
+    ordered = (packets.select(conn, seq, payload).repartition(parts, conn)
+               .sortWithinPartitions(conn, seq))
+    cols = ["conn", "frame_idx", "length", "payload", "status"]
+
+    def cut(batches):
+        cur, buf, pos, need, idx, dead = object(), bytearray(), 0, None, 0, False
+        out = []
+
+        def flush_conn():
+            held = len(buf) - pos + (0 if need is None else FRAME_HEADER_BYTES)
+            if cur is not None and not dead and (held > 0 or need is not None):
+                out.append((cur, idx, held, None, "incomplete_tail"))
+
+        started = False
+        for pdf in batches:
+            for c, data in zip(pdf[conn].to_numpy(), pdf[payload]):
+                if not started or c != cur:
+                    if started:
+                        flush_conn()
+                    cur, buf, pos, need, idx, dead, started = c, bytearray(), 0, None, 0, False, True
+                if dead:
+                    continue
+                buf += bytes(data)
+                while True:
+                    if need is None:
+                        if len(buf) - pos < FRAME_HEADER_BYTES:
+                            break
+                        declared = int.from_bytes(buf[pos:pos + 8], "big", signed=True)
+                        body = declared - FRAME_HEADER_BYTES
+                        if body <= 0 or body >= MAX_FRAME_PAYLOAD:
+                            out.append((cur, idx, body, None, "bad_length"))
+                            dead = True
+                            break
+                        pos += FRAME_HEADER_BYTES
+                        need = body
+                    if len(buf) - pos < need:
+                        break
+                    out.append((cur, idx, need, bytes(buf[pos:pos + need]), "frame"))
+                    pos += need
+                    idx += 1
+                    need = None
+                if pos > 1 << 20:
+                    del buf[:pos]
+                    pos = 0
+            if out:
+                yield pd.DataFrame(out, columns=cols)
+                out = []
+        if started:
+            flush_conn()
+        if out:
+            yield pd.DataFrame(out, columns=cols)
+
+    return ordered.mapInPandas(
+        cut, f"conn {conn_type}, frame_idx int, length bigint, payload binary, status string")

@@ -926,3 +926,60 @@ def q_listener_sink(spark, sf):
     q.awaitTermination()
     return (spark.read.schema(changes.schema).parquet(target)
             .withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+# ============================================================ text (walks)
+LINES_SQL = """
+WITH l AS (SELECT o_orderkey, o_orderstatus AS st, o_orderkey % 10 AS m FROM orders)
+"""
+
+
+@register("txt4_parse_command_lines", LINES_SQL + """
+SELECT o_orderkey,
+       CASE WHEN m IN (1, 3) THEN NULL ELSE 'app.jar' END AS resource,
+       CASE WHEN m IN (1, 3) THEN NULL
+            ELSE '--name=o' || o_orderkey || ' --conf=p=' || st || ' --verbose=' END AS option_list,
+       CASE WHEN m IN (1, 3) THEN NULL WHEN m = 0 THEN 1 ELSE 0 END AS n_extras,
+       CASE m WHEN 1 THEN 'missing_value' WHEN 3 THEN 'bad_quoting' END AS reject_reason
+FROM l
+""")
+def q_parse_command_lines(spark, sf):
+    from railyard.operators import text as tx
+    p = tx.parse_command_lines(b.submit_command_lines(spark, sf), "line")
+    return p.select("o_orderkey", "resource",
+                    F.array_join(F.transform("options", lambda o: F.concat(
+                        o["name"], F.lit("="), F.coalesce(o["value"], F.lit("")))), " ")
+                    .alias("option_list"),
+                    F.when(F.col("extras").isNotNull(), F.size("extras")).alias("n_extras"),
+                    "reject_reason")
+
+
+@register("txt4_option_usage", LINES_SQL + """
+SELECT '--name' AS option, COUNT(*) AS uses, COUNT(DISTINCT o_orderkey) AS distinct_values
+FROM l WHERE m NOT IN (1, 3)
+UNION ALL
+SELECT '--conf', COUNT(*), COUNT(DISTINCT st) FROM l WHERE m NOT IN (1, 3)
+UNION ALL
+SELECT '--verbose', COUNT(*), 0 FROM l WHERE m NOT IN (1, 3)
+UNION ALL
+SELECT '<rejected>', COUNT(*), 0 FROM l WHERE m IN (1, 3)
+""")
+def q_option_usage(spark, sf):
+    from railyard.operators import text as tx
+    return tx.option_usage(tx.parse_command_lines(b.submit_command_lines(spark, sf), "line"))
+
+
+@register("txt5_reassemble_frames", """
+WITH d AS (SELECT doc_id % 8 AS conn, doc_id, text FROM documents),
+f AS (SELECT conn, CAST(row_number() OVER (PARTITION BY conn ORDER BY doc_id) - 1 AS INTEGER) AS frame_idx,
+             CAST(strlen(text) AS BIGINT) AS length, text AS payload, 'frame' AS status FROM d)
+SELECT * FROM f
+UNION ALL
+SELECT 6, CAST((SELECT COUNT(*) FROM d WHERE conn = 6) AS INTEGER), 0, NULL, 'bad_length'
+UNION ALL
+SELECT 7, CAST((SELECT COUNT(*) FROM d WHERE conn = 7) AS INTEGER), 4, NULL, 'incomplete_tail'
+""")
+def q_reassemble_frames(spark, sf):
+    from railyard.operators import text as tx
+    out = tx.reassemble_frames(b.framed_packets(spark, sf), "conn", "seq", "payload")
+    return out.withColumn("payload", F.decode("payload", "UTF-8"))
