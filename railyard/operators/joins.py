@@ -17,78 +17,74 @@ from railyard.operators.scan import segmented_scan, time_block
 
 
 # --------------------------------------------------------------------------- JN2
-def fifo_match(requests: DataFrame, responses: DataFrame, channel: str = "channel",
-               ts: str = "ts", rid: str = "id", block_unit: str | None = "day") -> DataFrame:
-    """First-in-first-out matching of keyless responses to requests.
-
-    On each channel, every response takes the oldest request still waiting; a
-    response that finds no waiting request is dropped (``orphan``).  Requests
-    never answered stay ``outstanding``.
-
-    Both inputs need columns ``channel``, ``ts`` and a unique tie-breaker ``rid``.
-    Output: ``channel, req_id, req_ts, resp_id, resp_ts, status``.
-
-    How: with ``S`` = running (+1 request / −1 response) sum per channel, a
-    response is an orphan exactly when ``S`` reaches a new minimum below zero.
-    The k-th accepted response then pairs with the k-th request, an equi-join
-    on ``(channel, k)`` whose keys are unique on both sides (no skew).  The
-    running sums are two-level scans split by ``block_unit`` time buckets.
+def fifo_scan(requests: DataFrame, responses: DataFrame, channel: str, ts: str, rid: str,
+              block_unit: str | None = "day") -> DataFrame:
+    """Per-event FIFO queue walk shared by ``fifo_match`` and
+    ``outstanding_gauge``.  One row per request (``is_req = 1``) or response
+    with: ``s`` running (+1 request / -1 response) sum, ``prior_min`` the
+    minimum of ``s`` before the row, ``orphan`` (a response that found the
+    queue empty), ``outstanding`` (queue length after the row) and ``k``
+    (the request's position, or the accepted response's position, per
+    channel).
+
+    With ``S`` the running sum, a response is an orphan exactly when ``S``
+    reaches a new minimum below zero, and the number of orphans so far is
+    ``-min(0, min S)``.  Both scans are two-level (``segmented_scan``) over
+    ``block_unit`` time buckets and share one shuffle of the events.
     """
     ev = (requests.select(F.col(channel).alias("channel"), F.col(ts).alias("ts"),
                           F.col(rid).alias("eid"), F.lit(1).alias("is_req"))
           .unionByName(responses.select(F.col(channel).alias("channel"), F.col(ts).alias("ts"),
                                         F.col(rid).alias("eid"), F.lit(0).alias("is_req"))))
     order = [F.col("ts"), F.col("is_req"), F.col("eid")]
-    block = time_block("ts", block_unit) if block_unit else None
-    step = F.when(F.col("is_req") == 1, 1).otherwise(-1)
+    block = None
+    if block_unit:
+        ev = ev.withColumn("__fblk", time_block("ts", block_unit))
+        block = "__fblk"
     ev = segmented_scan(ev, ["channel"], order, {
-        "s": ("sum", step),
+        "s": ("sum", F.when(F.col("is_req") == 1, 1).otherwise(-1)),
         "n_req": ("sum", F.col("is_req")),
         "n_resp": ("sum", 1 - F.col("is_req")),
     }, block=block)
     ev = segmented_scan(ev, ["channel"], order, {"prior_min": ("min", F.col("s"))},
                         block=block, inclusive=False)
     low = F.least(F.lit(0), F.col("prior_min"))
-    orphans_so_far = -F.least(F.lit(0), F.col("s"), F.col("prior_min"))
-    ev = ev.withColumn("orphan", (F.col("is_req") == 0) & (F.col("s") < low))
-    ev = ev.withColumn("k", F.when(F.col("is_req") == 1, F.col("n_req"))
-                       .when(~F.col("orphan"), F.col("n_resp") - orphans_so_far))
-
-    reqs = ev.filter("is_req = 1").select("channel", "k", F.col("eid").alias("req_id"),
-                                          F.col("ts").alias("req_ts"))
-    acc = ev.filter("is_req = 0 AND NOT orphan").select(
-        "channel", "k", F.col("eid").alias("resp_id"), F.col("ts").alias("resp_ts"))
-    paired = (reqs.join(acc, ["channel", "k"], "left")
-              .select("channel", "req_id", "req_ts", "resp_id", "resp_ts",
-                      F.when(F.col("resp_id").isNull(), "outstanding")
-                      .otherwise("matched").alias("status")))
-    orphan = ev.filter("orphan").select(
-        "channel", F.lit(None).cast("bigint").alias("req_id"),
-        F.lit(None).cast(requests.schema[ts].dataType).alias("req_ts"),
-        F.col("eid").alias("resp_id"), F.col("ts").alias("resp_ts"),
-        F.lit("orphan").alias("status"))
-    return paired.unionByName(orphan)
+    depth = F.least(F.lit(0), F.col("s"), F.col("prior_min"))
+    ev = (ev.withColumn("orphan", (F.col("is_req") == 0) & (F.col("s") < low))
+          .withColumn("outstanding", F.col("s") - depth)
+          .withColumn("k", F.when(F.col("is_req") == 1, F.col("n_req"))
+                      .when(~F.col("orphan"), F.col("n_resp") + depth)))
+    return ev.drop("__fblk") if block_unit else ev
 
 
-def fifo_scan(requests: DataFrame, responses: DataFrame, channel: str, ts: str, rid: str,
-              block_unit: str | None = "day") -> DataFrame:
-    """Per-event FIFO queue walk used by ``fifo_match`` and
-    ``outstanding_gauge``: one row per request/response with the queue length
-    after it (``outstanding``) and whether a response found the queue empty."""
-    ev = (requests.select(F.col(channel).alias("channel"), F.col(ts).alias("ts"),
-                          F.col(rid).alias("eid"), F.lit(1).alias("is_req"))
-          .unionByName(responses.select(F.col(channel).alias("channel"), F.col(ts).alias("ts"),
-                                        F.col(rid).alias("eid"), F.lit(0).alias("is_req"))))
-    order = [F.col("ts"), F.col("is_req"), F.col("eid")]
-    block = time_block("ts", block_unit) if block_unit else None
-    ev = segmented_scan(ev, ["channel"], order,
-                        {"s": ("sum", F.when(F.col("is_req") == 1, 1).otherwise(-1))}, block=block)
-    ev = segmented_scan(ev, ["channel"], order, {"prior_min": ("min", F.col("s"))},
-                        block=block, inclusive=False)
-    low = F.least(F.lit(0), F.col("prior_min"))
-    return (ev.withColumn("orphan", (F.col("is_req") == 0) & (F.col("s") < low))
-            .withColumn("outstanding",
-                        F.col("s") - F.least(F.lit(0), F.col("s"), F.col("prior_min"))))
+def fifo_match(requests: DataFrame, responses: DataFrame, channel: str = "channel",
+               ts: str = "ts", rid: str = "id", block_unit: str | None = "day") -> DataFrame:
+    """First-in-first-out matching of keyless responses to requests.
+
+    On each channel, every response takes the oldest request still waiting; a
+    response that finds no waiting request is dropped (``orphan``).  Requests
+    never answered stay ``outstanding``.
+
+    Both inputs need columns ``channel``, ``ts`` and a unique tie-breaker ``rid``.
+    Output: ``channel, req_id, req_ts, resp_id, resp_ts, status``.
+
+    The k-th accepted response pairs with the k-th request (``fifo_scan``),
+    so pairing is one aggregation over ``(channel, k)``: every group holds at
+    most one request and one response; orphans form groups of their own.
+    """
+    ev = fifo_scan(requests, responses, channel, ts, rid, block_unit)
+    key = F.when(F.col("orphan"), -F.col("eid") - 1).otherwise(F.col("k"))
+    req, resp = F.col("is_req") == 1, F.col("is_req") == 0
+    # at most one request and one response per group, so per-field max is
+    # exact and keeps this a hash aggregate (no struct buffers)
+    g = (ev.groupBy("channel", key.alias("__k"))
+         .agg(F.max(F.when(req, F.col("eid"))).alias("req_id"),
+              F.max(F.when(req, F.col("ts"))).alias("req_ts"),
+              F.max(F.when(resp, F.col("eid"))).alias("resp_id"),
+              F.max(F.when(resp, F.col("ts"))).alias("resp_ts")))
+    status = (F.when(F.col("req_id").isNull(), "orphan")
+              .when(F.col("resp_id").isNull(), "outstanding").otherwise("matched"))
+    return g.select("channel", "req_id", "req_ts", "resp_id", "resp_ts", status.alias("status"))
 
 
 # --------------------------------------------------------------------------- JN1

@@ -11,13 +11,16 @@ make one task hold a third of the data.
 1. a local window per ``(key, block)``, where ``block`` is any column that is
    non-decreasing along the ordering inside a key (typically a time bucket), so
    a hot key is spread over as many tasks as it has blocks;
-2. one aggregate row per ``(key, block)`` (partially aggregated before the
-   shuffle), then a small window over the blocks of a key gives each block the
-   carry-in of everything before (or after) it;
+2. one aggregate row per ``(key, block)``, taken from the windowed rows (they
+   are already clustered by ``(key, block)``, so this adds no shuffle), then a
+   small window over the blocks of a key gives each block the carry-in of
+   everything before (or after) it;
 3. an equi-join on ``(key, block)`` adds the carry-in back.  The big side is
    already hash-partitioned on ``(key, block)`` by step 1, so only the small
    block table moves; AQE may broadcast it once its measured size is small.
 
+The big side is shuffled once per chain of scans that share keys and block.
+
 Supported monoids: ``sum``, ``min``, ``max`` (``min``/``max`` also work on
 structs, which gives "first/last row with a property" lookups).
 """
@@ -49,7 +52,7 @@ def _combine(kind: str, carry: Column, local: Column) -> Column:
 
 
 def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-                   aggs: dict[str, tuple[str, Column]], block: Column | None = None,
+                   aggs: dict[str, tuple[str, Column]], block: Column | str | None = None,
                    direction: str = "forward", inclusive: bool = True) -> DataFrame:
     """Add one column per entry of ``aggs`` = ``{name: (kind, expr)}`` holding
     ``kind(expr)`` over the rows of the same key that come before (forward) or
@@ -57,7 +60,10 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
 
     ``order`` must be a total order inside a key (add a tie-breaker column).
     ``block`` must be non-decreasing along ``order`` inside a key; ``None``
-    falls back to one window per key (fine for keys known to be small).
+    falls back to one window per key (fine for keys known to be small).  Pass
+    the *name* of a block column already in ``df`` to chain scans: the rows
+    stay hash-partitioned by ``(keys, block)`` from the first scan, so later
+    scans over the same keys and block add no shuffle of the big side.
     """
     keys = list(keys)
     lo, hi = _frame(direction, inclusive)
@@ -65,14 +71,18 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(lo, hi)
         return df.select("*", *[_AGG[k](e).over(w).alias(n) for n, (k, e) in aggs.items()])
 
-    blk = "__blk"
-    tagged = df.withColumn(blk, block)
+    if isinstance(block, str):
+        blk, tagged = block, df
+    else:
+        blk, tagged = "__blk", df.withColumn("__blk", block)
     w_local = Window.partitionBy(*keys, blk).orderBy(*order).rowsBetween(lo, hi)
     local = tagged.select("*", *[_AGG[k](e).over(w_local).alias("__l_" + n)
                                  for n, (k, e) in aggs.items()])
 
-    totals = tagged.groupBy(*keys, blk).agg(*[_AGG[k](e).alias("__t_" + n)
-                                              for n, (k, e) in aggs.items()])
+    # Block totals come from the windowed rows, which are already clustered
+    # by (keys, block): a plain aggregate, no second shuffle of the input.
+    totals = local.groupBy(*keys, blk).agg(*[_AGG[k](e).alias("__t_" + n)
+                                             for n, (k, e) in aggs.items()])
     clo, chi = ((Window.unboundedPreceding, -1) if direction == "forward"
                 else (1, Window.unboundedFollowing))
     w_blk = Window.partitionBy(*keys).orderBy(blk).rowsBetween(clo, chi)
@@ -80,10 +90,9 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
                                         for n, (k, _) in aggs.items()])
 
     joined = local.join(carry, on=[*keys, blk], how="left")
-    out = joined.select(
-        *[F.col(c) for c in df.columns],
+    return joined.select(
+        *[F.col(c) for c in tagged.columns if c != "__blk"],
         *[_combine(k, F.col("__c_" + n), F.col("__l_" + n)).alias(n) for n, (k, _) in aggs.items()])
-    return out
 
 
 def time_block(ts: Column | str, unit: str = "day") -> Column:
