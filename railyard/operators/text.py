@@ -236,6 +236,8 @@ def reassemble_frames(packets: DataFrame, conn: str = "conn", seq: str = "seq",
     """
     import pandas as pd
 
+    from railyard.session import ship_package
+    ship_package(packets.sparkSession)
     parts = num_partitions or int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     conn_type = packets.schema[conn].dataType.simpleString()
     ordered = (packets.select(conn, seq, payload).repartition(parts, conn)

@@ -124,6 +124,8 @@ def in_order_prefix(df: DataFrame, stream: str, arrival: str, tiebreak: str, idx
     import pandas as pd
     from pyspark.sql import types as T
 
+    from railyard.session import ship_package
+    ship_package(df.sparkSession)
     n = int(n_chunks)
     cols = df.columns
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -58,3 +58,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     on a cluster, because the root comes from the cluster's setting)."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``railyard`` importable in Python workers (needed by operators
+    that run pandas code: their functions refer to module-level helpers).
+
+    Zips the package once per SparkContext on the driver and registers it
+    with ``addPyFile``; Spark serves it to every executor.  On a cluster
+    that already ships the package (``--py-files``) this is harmless.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="railyard-pyfiles-")
+    zpath = os.path.join(out_dir, "railyard.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            if "__pycache__" in root:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from railyard.operators.state import FINAL_STATES
+from railyard.session import ship_package
 
 _STATE = "blob STRING"
 
@@ -61,9 +62,11 @@ def stream_registry_state(events: DataFrame) -> DataFrame:
         rows = [{"app": key[0], "exec": int(e), "info": v[1], "local_dirs": v[2],
                  "reg_ts": _ts(v[0][0]), "live": st["rm"] is None or v[0] > st["rm"],
                  "version": st["v"]} for e, v in st["execs"].items()]
-        yield pd.DataFrame(rows, columns=["app", "exec", "info", "local_dirs", "reg_ts", "live",
-                                          "version"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["app", "exec", "info", "local_dirs", "reg_ts",
+                                              "live", "version"])
 
+    ship_package(events.sparkSession)
     return events.groupBy("app").applyInPandasWithState(
         fn, REGISTRY_OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -108,6 +111,7 @@ def stream_lifecycle_state(events: DataFrame) -> DataFrame:
         yield pd.DataFrame([{"app": key[0], "state": st["state"], "is_final": st["final"],
                              "n_applied": st["app_n"], "n_ignored": st["ign"], "version": st["v"]}])
 
+    ship_package(events.sparkSession)
     return events.groupBy("app").applyInPandasWithState(
         fn, LIFECYCLE_OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -124,10 +128,12 @@ def stream_state_changes(events: DataFrame) -> DataFrame:
         st = _load(state, {"state": "UNKNOWN", "final": False, "app_n": 0, "ign": 0})
         applied = _lifecycle(batches, st)
         state.update((json.dumps(st),))
-        yield pd.DataFrame([{"app": key[0], "ts": t, "eid": e, "state": s,
-                             "change": "state_changed"} for t, e, s in applied],
-                           columns=["app", "ts", "eid", "state", "change"])
+        if applied:
+            yield pd.DataFrame([{"app": key[0], "ts": t, "eid": e, "state": s,
+                                 "change": "state_changed"} for t, e, s in applied],
+                               columns=["app", "ts", "eid", "state", "change"])
 
+    ship_package(events.sparkSession)
     return events.groupBy("app").applyInPandasWithState(
         fn, TRANSITION_OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -179,10 +185,13 @@ def stream_match_responses(events: DataFrame, timeout_seconds: float,
             state.setTimeoutTimestamp((st["q"][0][0] + t_us) // 1000 + 1)
         else:
             state.remove()
-        yield pd.DataFrame([{"channel": key[0], "req_id": a, "req_ts": b, "resp_id": c,
-                             "resp_ts": d, "status": s} for a, b, c, d, s in out],
-                           columns=["channel", "req_id", "req_ts", "resp_id", "resp_ts", "status"])
+        if out:
+            yield pd.DataFrame([{"channel": key[0], "req_id": a, "req_ts": b, "resp_id": c,
+                                 "resp_ts": d, "status": s} for a, b, c, d, s in out],
+                               columns=["channel", "req_id", "req_ts", "resp_id", "resp_ts",
+                                        "status"])
 
+    ship_package(events.sparkSession)
     return (events.withWatermark("ts", watermark).groupBy("channel")
             .applyInPandasWithState(fn, MATCH_OUT, _STATE, "append",
                                     GroupStateTimeout.EventTimeTimeout))
@@ -228,11 +237,13 @@ def stream_reassemble(chunks: DataFrame, idle_timeout_ms: int | None = None) ->
         state.update((json.dumps(st),))
         if not st["done"] and idle_timeout_ms:
             state.setTimeoutDuration(int(idle_timeout_ms))
-        yield pd.DataFrame([{"stream_id": key[0], "chunk_idx": i, "bytes_read": n, "event": e}
-                            for i, n, e in out],
-                           columns=["stream_id", "chunk_idx", "bytes_read", "event"])
+        if out:
+            yield pd.DataFrame([{"stream_id": key[0], "chunk_idx": i, "bytes_read": n, "event": e}
+                                for i, n, e in out],
+                               columns=["stream_id", "chunk_idx", "bytes_read", "event"])
 
     timeout = (GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms
                else GroupStateTimeout.NoTimeout)
+    ship_package(chunks.sparkSession)
     return chunks.groupBy("stream_id").applyInPandasWithState(
         fn, REASSEMBLY_OUT, _STATE, "append", timeout)

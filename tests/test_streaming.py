@@ -53,11 +53,12 @@ def test_stream_match_responses_vs_simulation(spark):
     got = {(r["channel"], r["req_id"], r["resp_id"], r["status"]) for r in out.collect()}
     evs = [(r["channel"], int(r["ts"].timestamp() * 1e6), r["eid"], r["is_req"]) for r in e.collect()]
     expect, pending = simulate_timed_fifo(evs, timeout * 1_000_000)
-    # requests still pending at the end, or given up after the final
-    # watermark, are not emitted yet
-    missing = expect - got
-    assert not (got - expect)
-    assert all(s == "timed_out" for *_, s in missing)
+    # everything the simulation decides is emitted; beyond that the stream
+    # may only give up requests still pending at the end whose deadline the
+    # final watermark has passed
+    assert expect <= got
+    extra = got - expect
+    assert all(s == "timed_out" and (ch, rid) in pending for ch, rid, _, s in extra)
     assert len(got) > len(evs) // 2
 
 

@@ -61,8 +61,10 @@ def test_chunk_split_round_trip(spark):
                       F.octet_length("text").cast("bigint").alias("expected_bytes"))
     back = tx.reassemble_chunks(chunks.withColumnRenamed("doc_id", "stream_id"), ann,
                                 "stream_id", "chunk_idx", "body")
-    joined = back.join(docs, back.stream_id == docs.doc_id)
-    assert joined.filter(F.col("text") != F.col(back.columns[2])).count() == 0
+    orig = docs.select("doc_id", F.col("text").alias("orig"))
+    joined = back.join(orig, back.stream_id == orig.doc_id)
+    assert joined.count() == docs.count()
+    assert joined.filter(F.col("text") != F.col("orig")).count() == 0
     assert {r[0] for r in back.select("status").distinct().collect()} == {"complete"}
 
 
