@@ -103,7 +103,14 @@ def shell_split(line: Column | str) -> Column:
     toks = F.regexp_extract_all(_c(line), F.lit(_TOKEN), 0)
     words = F.transform(toks, lambda t: F.array_join(
         F.transform(F.regexp_extract_all(t, F.lit(_PIECE), 0), unquote), ""))
-    return F.when(_c(line).rlike(_LINE_OK), words)
+    # Fast path: without quotes or backslashes a line is just blank-separated
+    # words (always well formed).
+    stripped = F.regexp_replace(_c(line), r"^\s+|\s+$", "")
+    plain = F.when(stripped == "", F.array().cast("array<string>")) \
+             .otherwise(F.split(stripped, r"\s+"))
+    return (F.when(_c(line).isNull(), F.lit(None).cast("array<string>"))
+            .when(~_c(line).rlike(r"['\"\\\\]"), plain)
+            .when(_c(line).rlike(_LINE_OK), words))
 
 
 # Submit options.  Options taking a value (with aliases), then
@@ -199,18 +206,15 @@ def parse_command_lines(df: DataFrame, line: str = "line") -> DataFrame:
 def option_usage(parsed: DataFrame) -> DataFrame:
     """Per canonical option over the accepted lines: ``uses`` and
     ``distinct_values``; rejected lines are counted under the option name
-    ``<rejected>``.  ``explode`` + partial aggregation (the distinct count
-    is exact)."""
-    used = (parsed.filter(F.col("reject_reason").isNull())
-            .select(F.explode("options").alias("o"))
+    ``<rejected>``.  One pass: ``explode`` + partial aggregation (the
+    distinct count is exact)."""
+    rejected = F.array(F.struct(F.lit("<rejected>").alias("name"),
+                                F.lit(None).cast("string").alias("value")))
+    opts = F.when(F.col("reject_reason").isNotNull(), rejected).otherwise(F.col("options"))
+    return (parsed.select(F.explode(opts).alias("o"))
             .groupBy(F.col("o.name").alias("option"))
             .agg(F.count("*").alias("uses"),
                  F.count_distinct(F.col("o.value")).alias("distinct_values")))
-    rejected = (parsed.filter(F.col("reject_reason").isNotNull())
-                .agg(F.count("*").alias("uses"))
-                .select(F.lit("<rejected>").alias("option"), "uses",
-                        F.lit(0).cast("bigint").alias("distinct_values")))
-    return used.unionByName(rejected)
 
 
 # --------------------------------------------------------------------------- TXT5

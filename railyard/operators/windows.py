@@ -53,41 +53,16 @@ def peak_outstanding(gauge: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- WN3
-def _group_runs(keys):
-    """Start offsets of runs of equal consecutive keys (numpy arrays)."""
+def _run_starts(keys) -> "np.ndarray":
+    """Boolean mask of rows that start a new run of equal keys (numpy)."""
     import numpy as np
     n = len(keys[0])
-    if n == 0:
-        return np.array([], dtype=np.int64)
-    change = np.zeros(n, dtype=bool)
-    change[0] = True
-    for k in keys:
-        change[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(change)
-
-
-def _sorted_groups(batches, key_cols):
-    """Yield ``(key_tuple, pandas frame)`` for every run of equal keys in a
-    stream of batches that is sorted by ``key_cols``; a run may span batches,
-    only the current run is held."""
-    import pandas as pd
-    pending = None
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        keys = [pdf[c].to_numpy() for c in key_cols]
-        starts = list(_group_runs(keys)) + [len(pdf)]
-        for a, b in zip(starts[:-1], starts[1:]):
-            part = pdf.iloc[a:b]
-            key = tuple(part[c].iloc[0] for c in key_cols)
-            if pending is not None and pending[0] == key:
-                pending = (key, pd.concat([pending[1], part]))
-                continue
-            if pending is not None:
-                yield pending
-            pending = (key, part)
-    if pending is not None:
-        yield pending
+    start = np.zeros(n, dtype=bool)
+    if n:
+        start[0] = True
+        for k in keys:
+            start[1:] |= k[1:] != k[:-1]
+    return start
 
 
 def _transfer_map(idx_values, n_chunks: int):
@@ -118,9 +93,11 @@ def in_order_prefix(df: DataFrame, stream: str, arrival: str, tiebreak: str, idx
     (2) per stream, over one row per block: every block's entry state;
     (3) per ``(stream, block)``: label the rows from that entry state.
     Levels 1 and 3 share one shuffle of the rows by ``(stream, block)``; each
-    level streams through partitions sorted by key with ``mapInPandas``, so
-    only the current group's index column is ever buffered.
+    level streams through partitions sorted by key with ``mapInPandas``
+    (one Python loop per Arrow batch, state carried across batch edges), so
+    only the current block's index column is ever buffered.
     """
+    import numpy as np
     import pandas as pd
     from pyspark.sql import types as T
 
@@ -136,37 +113,74 @@ def in_order_prefix(df: DataFrame, stream: str, arrival: str, tiebreak: str, idx
     blk_type = tagged.schema["__blk"].dataType.simpleString()
 
     def level1(batches):
-        for (s, blk), g in _sorted_groups(batches, [stream, "__blk"]):
-            moves = _transfer_map(g[idx].to_numpy(), n)
-            yield pd.DataFrame({stream: [s], "__blk": [blk],
-                                "__from": [[m[0] for m in moves]],
-                                "__to": [[m[1] for m in moves]]})
+        key, buf = None, []
+        out_s, out_b, out_f, out_t = [], [], [], []
+
+        def emit():
+            moves = _transfer_map(np.concatenate(buf), n)
+            out_s.append(key[0]); out_b.append(key[1])
+            out_f.append([m[0] for m in moves]); out_t.append([m[1] for m in moves])
+
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            sv, bv, iv = pdf[stream].to_numpy(), pdf["__blk"].to_numpy(), pdf[idx].to_numpy()
+            starts = np.flatnonzero(_run_starts([sv, bv])).tolist() + [len(pdf)]
+            for a, b in zip(starts[:-1], starts[1:]):
+                k = (sv[a], bv[a])
+                if key is not None and k != key:
+                    emit()
+                    buf = []
+                key = k
+                buf.append(iv[a:b])
+            if len(out_s) > 0:
+                yield pd.DataFrame({stream: out_s, "__blk": out_b, "__from": out_f, "__to": out_t})
+                out_s, out_b, out_f, out_t = [], [], [], []
+        if key is not None:
+            emit()
+            yield pd.DataFrame({stream: out_s, "__blk": out_b, "__from": out_f, "__to": out_t})
 
     def level2(batches):
-        for (s,), g in _sorted_groups(batches, [stream]):
-            e, out = 0, []
-            for frm, to in zip(g["__from"], g["__to"]):
-                out.append(e)
+        cur, e = None, 0
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            entries = []
+            for s_, frm, to in zip(pdf[stream].to_numpy(), pdf["__from"], pdf["__to"]):
+                if s_ != cur:
+                    cur, e = s_, 0
+                entries.append(e)
                 e = dict(zip(frm, to)).get(e, e)
-            yield pd.DataFrame({stream: g[stream].to_numpy(), "__blk": g["__blk"].to_numpy(),
-                                "__entry": out})
+            yield pd.DataFrame({stream: pdf[stream].to_numpy(), "__blk": pdf["__blk"].to_numpy(),
+                                "__entry": entries})
 
     out_schema = T.StructType(df.schema.fields + [T.StructField("status", T.StringType())])
 
     def level3(batches):
-        for _, g in _sorted_groups(batches, [stream, "__blk"]):
-            e = int(g["__entry"].iloc[0]) if pd.notna(g["__entry"].iloc[0]) else 0
-            status = []
-            for i in g[idx].to_numpy():
+        key, e = None, 0
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            sv, bv = pdf[stream].to_numpy(), pdf["__blk"].to_numpy()
+            iv = pdf[idx].to_numpy()
+            ev = pdf["__entry"].fillna(0).to_numpy()
+            starts = _run_starts([sv, bv])
+            status = [None] * len(pdf)
+            for r in range(len(pdf)):
+                if starts[r]:
+                    k = (sv[r], bv[r])
+                    if k != key:
+                        key, e = k, int(ev[r])
+                i = iv[r]
                 if e >= n:
-                    status.append("past_end")
-                elif int(i) == e:
-                    status.append("accepted")
+                    status[r] = "past_end"
+                elif i == e:
+                    status[r] = "accepted"
                     e += 1
                 else:
-                    status.append("out_of_order")
-            res = g[cols].copy()
-            res["status"] = status
+                    status[r] = "out_of_order"
+            res = pdf[cols]
+            res = res.assign(status=status)
             yield res
 
     if block is None:

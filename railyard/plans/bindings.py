@@ -295,71 +295,27 @@ def rendered_region_properties(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def rendered_document_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """SRC5: one file per document holding its text (plus the line end the
-    text writer adds); segments ``(doc_id % 50, 100)`` of each file."""
+def rendered_document_files(spark: SparkSession, sf_dir: str, n_files: int = 16
+                            ) -> tuple[str, DataFrame]:
+    """SRC5: documents written like map-output data files: ``n_files``
+    files (``bucket = doc_id % n_files``), each holding its documents' text in
+    doc_id order (one line each), plus their byte offsets from
+    ``offset_index``.  Segment per document: ``length`` 100 at
+    ``doc offset + doc_id % 50`` of its file, so segments that run past the
+    end of a file are ``eof``."""
+    from railyard.operators.windows import offset_index
     path = _scratch(spark, "doc-files")
-    d = table(spark, sf_dir, "documents")
-    d.select("doc_id", F.col("text").alias("value")).repartition("doc_id") \
-        .write.partitionBy("doc_id").text(path)
-    listing = spark.read.format("binaryFile").load(path).select("path", "doc_id")
-    segs = listing.select("doc_id", "path", (F.col("doc_id") % 50).alias("offset"),
-                          F.lit(100).cast("bigint").alias("length"))
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.col("doc_id") % n_files).alias("bucket"), "text")
+    (d.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+     .select("bucket", F.col("text").alias("value"))
+     .write.partitionBy("bucket").text(path))
+    sized = d.select("doc_id", "bucket",
+                     (F.octet_length("text") + 1).cast("bigint").alias("size"))
+    idx = offset_index(sized, ["bucket"], ["doc_id"], "size",
+                       block=(F.col("doc_id") / 4096).cast("bigint"))
+    listing = spark.read.format("binaryFile").load(path).select("path", "bucket")
+    segs = idx.join(listing, "bucket").select(
+        "doc_id", "path", (F.col("offset") + F.col("doc_id") % 50).alias("offset"),
+        F.lit(100).cast("bigint").alias("length"))
     return path, segs
-
-
-def submit_command_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT4: one submit command line per order.  ``o_orderkey % 10``: 0 uses
-    the ``--k=v`` form, a short alias and a trailing app argument; 1 ends
-    with a valued option and no value; 2 single-quotes the conf value; 3 has
-    an unbalanced double quote; the rest is
-    ``--name o<key> --conf p=<status> -v app.jar``."""
-    o = table(spark, sf_dir, "orders")
-    k, st = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
-    m = F.col("o_orderkey") % 10
-    line = (F.when(m == 0, F.concat(F.lit("--name=o"), k, F.lit(" -c p="), st,
-                                    F.lit(" --verbose app.jar extra"), k))
-            .when(m == 1, F.concat(F.lit("--name o"), k, F.lit(" --conf")))
-            .when(m == 2, F.concat(F.lit("--name o"), k, F.lit(" --conf 'p="), st, F.lit("' -v app.jar")))
-            .when(m == 3, F.concat(F.lit('--name "o'), k, F.lit(" -v app.jar")))
-            .otherwise(F.concat(F.lit("--name o"), k, F.lit(" --conf p="), st, F.lit(" -v app.jar"))))
-    return o.select("o_orderkey", line.alias("line"))
-
-
-PACKET_BYTES = 1000
-
-
-def framed_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT5: documents as frames (8-byte big-endian self-inclusive length +
-    UTF-8 text) on connection ``doc_id % 8`` in doc_id order, the byte
-    stream cut into 1000-byte packets (frames and length fields straddle
-    packets).  Connection 6 ends with a frame declaring length 8 (empty, an
-    error); connection 7 ends with 4 stray bytes (an incomplete tail)."""
-    from railyard.operators.windows import offset_index
-    d = table(spark, sf_dir, "documents")
-    body = F.encode("text", "UTF-8")
-    frames = d.select((F.col("doc_id") % 8).alias("conn"), "doc_id",
-                      (F.octet_length(body) + 8).cast("bigint").alias("flen"),
-                      body.alias("body"))
-    frames = frames.withColumn(
-        "frame", F.concat(F.unhex(F.lpad(F.hex("flen"), 16, "0")), F.col("body")))
-    idx = offset_index(frames, ["conn"], ["doc_id"], "flen",
-                       block=(F.col("doc_id") / 1024).cast("bigint"))
-    P = PACKET_BYTES
-    first = (F.col("offset") / P).cast("bigint")
-    last = ((F.col("next_offset") - 1) / P).cast("bigint")
-    pieces = idx.select("conn", "doc_id", "frame", "offset", "next_offset",
-                        F.explode(F.sequence(first, last)).alias("p"))
-    start = F.greatest(F.col("offset"), F.col("p") * P)
-    end = F.least(F.col("next_offset"), (F.col("p") + 1) * P)
-    pieces = pieces.select("conn", "p", "doc_id", F.substring(
-        "frame", (start - F.col("offset") + 1).cast("int"), (end - start).cast("int")).alias("piece"))
-    packets = (pieces.groupBy("conn", "p")
-               .agg(F.array_sort(F.collect_list(F.struct("doc_id", "piece"))).alias("parts"))
-               .select("conn", F.col("p").alias("seq"),
-                       F.aggregate("parts", F.unhex(F.lit("")),
-                                   lambda acc, x: F.concat(acc, x["piece"])).alias("payload")))
-    tail = spark.createDataFrame(
-        [(6, 1 << 40, bytes.fromhex("0000000000000008")), (7, 1 << 40, bytes.fromhex("00000000"))],
-        "conn BIGINT, seq BIGINT, payload BINARY")
-    return packets.unionByName(tail)

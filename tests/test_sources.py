@@ -75,3 +75,16 @@ def test_sinks_round_trip(spark, tmp_path):
     tot = man.groupBy("l_orderkey").agg(F.max("next_offset").alias("t"))
     exp = blocks.groupBy("l_orderkey").agg(F.sum("size").alias("t"))
     assert rows(tot) == rows(exp)
+
+
+def test_segments_over_bucketed_document_files(spark):
+    path, segs = b.rendered_document_files(spark, SF_TINY, n_files=4)
+    out = src.scan_segments(spark, path, segs).collect()
+    docs = {r["doc_id"]: r["text"] for r in b.table(spark, SF_TINY, "documents").collect()}
+    assert len(out) == len(docs)
+    for r in out:
+        if r["reject_reason"] == "eof":
+            assert r["offset"] + r["length"] > r["file_size"]
+            continue
+        own = (docs[r["doc_id"]] + "\n").encode()[r["doc_id"] % 50:][:100]
+        assert bytes(r["data"])[:len(own)] == own
