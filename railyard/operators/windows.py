@@ -236,6 +236,40 @@ def idle_channels(gauge: DataFrame, timeout_seconds: float, as_of: Column,
                     F.col("v.at").alias("closed_at"), F.col("v.outstanding").alias("outstanding")))
 
 
+def activity_sessions(events: DataFrame, channel: str = "channel", ts: str = "ts",
+                      tiebreak: str = "eid", timeout_seconds: float = 1800,
+                      block_unit: str = "day") -> DataFrame:
+    """Per-session form of the idle rule (batch): a channel's session ends
+    after ``timeout_seconds`` of silence, like ``session_window(ts, timeout)``
+    (a gap of at least the time-out starts a new session).  Output:
+    ``channel, session_start, session_end (= last event + time-out),
+    n_events, first_ts, last_ts``.
+
+    Built from two chained segmented scans (previous event time, then a
+    running count of session starts) and one aggregate, so a hot channel is
+    split by ``block_unit`` instead of sorted in one task.
+    """
+    from railyard.functions import micros_between
+    from railyard.operators.scan import segmented_scan, time_block
+    t_us = int(round(timeout_seconds * 1_000_000))
+    ev = events.select(F.col(channel).alias("channel"), F.col(ts).alias("ts"),
+                       F.col(tiebreak).alias("eid"),
+                       time_block(F.col(ts), block_unit).alias("__sblk"))
+    order = [F.col("ts"), F.col("eid")]
+    ev = segmented_scan(ev, ["channel"], order, {"prev_ts": ("max", F.col("ts"))},
+                        block="__sblk", inclusive=False)
+    start = (F.col("prev_ts").isNull()
+             | (micros_between(F.col("prev_ts"), F.col("ts")) >= F.lit(t_us).cast("bigint")))
+    ev = segmented_scan(ev.withColumn("__start", start.cast("int")), ["channel"], order,
+                        {"session_no": ("sum", F.col("__start"))}, block="__sblk")
+    return (ev.groupBy("channel", "session_no")
+            .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+                 F.count("*").alias("n_events"))
+            .select("channel", F.col("first_ts").alias("session_start"),
+                    F.timestamp_add("MICROSECOND", F.lit(t_us).cast("bigint"), F.col("last_ts"))
+                    .alias("session_end"), "n_events", "first_ts", "last_ts"))
+
+
 # --------------------------------------------------------------------------- WN5
 def resolve_retries(attempts: DataFrame, request: str = "request", item: str = "item",
                     attempt: str = "attempt", seq: str = "seq", outcome: str = "outcome",
@@ -266,6 +300,8 @@ def resolve_retries(attempts: DataFrame, request: str = "request", item: str = "
     if materialize:
         # Every step re-reads the log; cut its lineage once (reliable
         # checkpoint in the shared checkpoint folder, survives lost executors).
+        from railyard.session import checkpoint_root
+        checkpoint_root(attempts.sparkSession)
         rows = rows.checkpoint(eager=True)
     settled = None
     triggers = None

@@ -802,7 +802,7 @@ def q_write_sorted_blocks(spark, sf):
 
 
 # ================================================================= streaming
-def _staged(spark, df, ts, name, n_slices=4):
+def _staged(spark, df, ts, name, n_slices=2):
     from railyard import streaming as sm
     path = sm.stage_files(df, ts, n_slices, name)
     return sm.read_stream(spark, path, df.schema)
@@ -880,7 +880,8 @@ def q_stream_first_answer(spark, sf):
         "ts", F.timestamp_seconds(F.lit(1704067200) + F.col("attempt") * 3600 + F.col("seq"))
         .cast("timestamp_ntz"))
     s = _staged(spark, log, "ts", "answers")
-    out = sm.run_available(sm.stream_first_answer(s, ("request", "item"), "ts", "1 hour"),
+    # the delay must cover a request's lifetime (its attempts span hours)
+    out = sm.run_available(sm.stream_first_answer(s, ("request", "item"), "ts", "1 day"),
                            "first-answer")
     return out.select("request", "item")
 
@@ -983,3 +984,20 @@ def q_reassemble_frames(spark, sf):
     from railyard.operators import text as tx
     out = tx.reassemble_frames(b.framed_packets(spark, sf), "conn", "seq", "payload")
     return out.withColumn("payload", F.decode("payload", "UTF-8"))
+
+
+@register("wn4_activity_sessions", """
+WITH t AS (SELECT user_id AS channel, ts, event_id FROM events WHERE event_type IN ('view', 'click')),
+g AS (SELECT *, CASE WHEN LAG(ts) OVER w IS NULL OR ts - LAG(ts) OVER w >= INTERVAL 30 MINUTE
+                     THEN 1 ELSE 0 END AS brk
+      FROM t WINDOW w AS (PARTITION BY channel ORDER BY ts, event_id)),
+s AS (SELECT *, SUM(brk) OVER (PARTITION BY channel ORDER BY ts, event_id) AS sid FROM g)
+SELECT channel, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
+       COUNT(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts
+FROM s GROUP BY channel, sid
+""")
+def q_activity_sessions(spark, sf):
+    from railyard.operators import windows as wn
+    e = b.table(spark, sf, "events").filter("event_type IN ('view', 'click')").select(
+        F.col("user_id").alias("channel"), "ts", F.col("event_id").alias("eid"))
+    return wn.activity_sessions(e, "channel", "ts", "eid", 1800)

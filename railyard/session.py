@@ -68,8 +68,10 @@ def ship_package(spark: SparkSession) -> None:
     that run pandas code: their functions refer to module-level helpers).
 
     Zips the package once per SparkContext on the driver and registers it
-    with ``addPyFile``; Spark serves it to every executor.  On a cluster
-    that already ships the package (``--py-files``) this is harmless.
+    with ``addPyFile``; Spark's file server hands it to every executor, so no
+    executor reads a driver path.  The zip goes under the checkpoint root
+    when that is a local folder, else in the driver's own temp folder.  On a
+    cluster that already ships the package (``--py-files``) this is harmless.
     """
     import zipfile
 
@@ -78,7 +80,13 @@ def ship_package(spark: SparkSession) -> None:
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    out_dir = tempfile.mkdtemp(prefix="railyard-pyfiles-")
+    root = checkpoint_root(spark)
+    local_root = root[len("file:"):] if root.startswith("file:") else root
+    if "://" not in root and os.path.isabs(local_root):
+        out_dir = os.path.join(local_root, "pyfiles-" + uuid.uuid4().hex[:12])
+        os.makedirs(out_dir, exist_ok=True)
+    else:
+        out_dir = tempfile.mkdtemp(prefix="railyard-pyfiles-")
     zpath = os.path.join(out_dir, "railyard.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg_dir):

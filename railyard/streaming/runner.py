@@ -54,10 +54,24 @@ def read_stream(spark: SparkSession, path: str, schema, max_files: int | None =
     return s
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB (off-heap, spills to local disk and is
+    snapshotted to the checkpoint) unless the session already chose a state
+    store; per-key state for millions of keys does not fit executor heaps."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    current = spark.conf.get(key, None)
+    if not current or current.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, ROCKSDB_PROVIDER)
+
+
 def run_available(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
     """Drain ``stream`` (``availableNow``) into a parquet sink under the
     checkpoint folder and return what it wrote."""
     spark = stream.sparkSession
+    use_rocksdb_state(spark)
     out = scratch_path(spark, name + "-out")
     ckpt = scratch_path(spark, name + "-ckpt")
     q = (stream.writeStream.format("parquet").outputMode(output_mode)
@@ -70,6 +84,7 @@ def run_available(stream: DataFrame, name: str, output_mode: str = "append") ->
 def run_foreach_batch(stream: DataFrame, fn, name: str, output_mode: str = "append") -> None:
     """Drain ``stream`` (``availableNow``) through ``foreachBatch(fn)``."""
     spark = stream.sparkSession
+    use_rocksdb_state(spark)
     ckpt = scratch_path(spark, name + "-ckpt")
     q = (stream.writeStream.outputMode(output_mode).foreachBatch(fn)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())

@@ -24,7 +24,9 @@ def stream_idle_sessions(events: DataFrame, channel: str = "channel", ts: str =
 def stream_first_answer(answers: DataFrame, keys=("request", "item"), ts: str = "ts",
                         delay: str = "1 hour") -> DataFrame:
     """Report each ``(request, item)`` once: later answers for the same key
-    (within the watermark delay) are dropped."""
+    are dropped.  The key is remembered until the watermark passes its first
+    answer plus ``delay``, so ``delay`` must cover a request's lifetime
+    (all its retry attempts)."""
     return answers.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -33,5 +35,7 @@ def listener_sink(changes: DataFrame, fn, checkpoint: str):
     """Deliver every micro-batch of state changes to a user callback
     ``fn(batch_df, batch_id)`` (``foreachBatch``).  Returns the running
     query; the callback is the listener."""
+    from railyard.streaming.runner import use_rocksdb_state
+    use_rocksdb_state(changes.sparkSession)
     return (changes.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -75,7 +75,8 @@ def test_first_answer_and_sessions(spark):
     log = b.retry_log(spark, SF_TINY).withColumn(
         "ts", F.timestamp_seconds(F.lit(1704067200) + F.col("attempt") * 3600 + F.col("seq"))
         .cast("timestamp_ntz"))
-    out = sm.run_available(sm.stream_first_answer(_stream(spark, log), ("request", "item")), "t-dd")
+    out = sm.run_available(sm.stream_first_answer(_stream(spark, log), ("request", "item"),
+                                                  delay="1 day"), "t-dd")
     assert out.count() == log.select("request", "item").distinct().count()
     ev = b.table(spark, SF_TINY, "events").select(F.col("user_id").alias("channel"), "ts")
     ses = sm.run_available(sm.stream_idle_sessions(_stream(spark, ev)), "t-ses")
