@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railyard.operators.scan import segmented_scan, time_block
@@ -19,42 +19,78 @@ from railyard.operators.scan import segmented_scan, time_block
 # --------------------------------------------------------------------------- JN2
 def fifo_scan(requests: DataFrame, responses: DataFrame, channel: str, ts: str, rid: str,
               block_unit: str | None = "day") -> DataFrame:
-    """Per-event FIFO queue walk shared by ``fifo_match`` and
-    ``outstanding_gauge``.  One row per request (``is_req = 1``) or response
+    """Per-event FIFO queue walk shared by ``fifo_match``, ``outstanding_gauge``
+    and ``idle_channels``.  One row per request (``is_req = 1``) or response
     with: ``s`` running (+1 request / -1 response) sum, ``prior_min`` the
     minimum of ``s`` before the row, ``orphan`` (a response that found the
-    queue empty), ``outstanding`` (queue length after the row) and ``k``
-    (the request's position, or the accepted response's position, per
-    channel).
+    queue empty), ``outstanding`` (queue length after the row), ``k`` (the
+    request's position, or the accepted response's position, per channel)
+    and ``next_ts`` (time of the channel's next event).
 
     With ``S`` the running sum, a response is an orphan exactly when ``S``
     reaches a new minimum below zero, and the number of orphans so far is
-    ``-min(0, min S)``.  Both scans are two-level (``segmented_scan``) over
-    ``block_unit`` time buckets and share one shuffle of the events.
+    ``-min(0, min S)``.
+
+    One two-level pass (see ``operators.scan``): the events are shuffled once
+    by ``(channel, time block)``; a local stage computes the block-local
+    running sums, the running minimum of the local sum and the next event
+    inside the block; one row per block carries totals (sum, minimum of the
+    local sum, first event time); three small windows over a channel's blocks
+    give each block its carry-in, joined back on ``(channel, block)``.  Both
+    consumers of the local stage share the same shuffle (window inputs are
+    plain columns, so the subtrees below the exchange are identical).
     """
-    ev = (requests.select(F.col(channel).alias("channel"), F.col(ts).alias("ts"),
-                          F.col(rid).alias("eid"), F.lit(1).alias("is_req"))
-          .unionByName(responses.select(F.col(channel).alias("channel"), F.col(ts).alias("ts"),
-                                        F.col(rid).alias("eid"), F.lit(0).alias("is_req"))))
+    cols = [F.col(channel).alias("channel"), F.col(ts).alias("ts"), F.col(rid).alias("eid")]
+    ev = (requests.select(*cols, F.lit(1).alias("is_req"))
+          .unionByName(responses.select(*cols, F.lit(0).alias("is_req"))))
+    blk = time_block("ts", block_unit) if block_unit else F.lit(0).cast("timestamp")
+    ev = ev.select("*", (F.col("is_req") * 2 - 1).alias("step"), blk.alias("__blk"))
     order = [F.col("ts"), F.col("is_req"), F.col("eid")]
-    block = None
-    if block_unit:
-        ev = ev.withColumn("__fblk", time_block("ts", block_unit))
-        block = "__fblk"
-    ev = segmented_scan(ev, ["channel"], order, {
-        "s": ("sum", F.when(F.col("is_req") == 1, 1).otherwise(-1)),
-        "n_req": ("sum", F.col("is_req")),
-        "n_resp": ("sum", 1 - F.col("is_req")),
-    }, block=block)
-    ev = segmented_scan(ev, ["channel"], order, {"prior_min": ("min", F.col("s"))},
-                        block=block, inclusive=False)
+    w = Window.partitionBy("channel", "__blk").orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ev.select("*", F.sum("step").over(run).alias("l_s"),
+                      F.sum("is_req").over(run).alias("l_req"),
+                      F.count(F.lit(1)).over(run).alias("l_cnt"),
+                      F.lead("ts").over(w).alias("l_next"))
+    local = local.select("*", F.min("l_s").over(
+        w.rowsBetween(Window.unboundedPreceding, -1)).alias("l_min"))
+
+    blocks = local.groupBy("channel", "__blk").agg(
+        F.sum("step").alias("t_s"),
+        F.max("l_req").alias("t_req"), F.max("l_cnt").alias("t_cnt"),
+        F.min("l_s").alias("m_b"), F.min("ts").alias("first_ts"))
+    wb = Window.partitionBy("channel").orderBy("__blk")
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    carry = blocks.select("channel", "__blk", "m_b",
+                          F.sum("t_s").over(before).alias("c_s"),
+                          F.sum("t_req").over(before).alias("c_req"),
+                          F.sum("t_cnt").over(before).alias("c_cnt"),
+                          F.min("first_ts").over(wb.rowsBetween(1, Window.unboundedFollowing))
+                          .alias("c_next"))
+    carry = carry.select("channel", "__blk", "c_s", "c_req", "c_cnt", "c_next",
+                         F.min(F.coalesce(F.col("c_s"), F.lit(0)) + F.col("m_b"))
+                         .over(before).alias("c_min"))
+
+    # null-safe keys: no filter is inferred on either side, so the subtree
+    # under the events shuffle is identical for both consumers and AQE
+    # reuses that one shuffle (null channels also stay as their own group)
+    carry = carry.withColumnRenamed("channel", "__cch").withColumnRenamed("__blk", "__cblk")
+    j = local.join(carry, (local["channel"].eqNullSafe(carry["__cch"]))
+                   & (local["__blk"].eqNullSafe(carry["__cblk"])), "left")
+    c_s = F.coalesce(F.col("c_s"), F.lit(0))
+    s_ = c_s + F.col("l_s")
+    n_req = F.coalesce(F.col("c_req"), F.lit(0)) + F.col("l_req")
+    n_all = F.coalesce(F.col("c_cnt"), F.lit(0)) + F.col("l_cnt")
+    prior_min = F.least(F.col("c_min"), c_s + F.col("l_min"))
+    ev = j.select("channel", "ts", "eid", "is_req", s_.alias("s"), n_req.alias("n_req"),
+                  (n_all - n_req).alias("n_resp"), prior_min.alias("prior_min"),
+                  F.coalesce(F.col("l_next"), F.col("c_next")).alias("next_ts"))
     low = F.least(F.lit(0), F.col("prior_min"))
     depth = F.least(F.lit(0), F.col("s"), F.col("prior_min"))
-    ev = (ev.withColumn("orphan", (F.col("is_req") == 0) & (F.col("s") < low))
-          .withColumn("outstanding", F.col("s") - depth)
-          .withColumn("k", F.when(F.col("is_req") == 1, F.col("n_req"))
-                      .when(~F.col("orphan"), F.col("n_resp") + depth)))
-    return ev.drop("__fblk") if block_unit else ev
+    return (ev.withColumn("orphan", (F.col("is_req") == 0) & (F.col("s") < low))
+            .withColumn("outstanding", F.col("s") - depth)
+            .withColumn("k", F.when(F.col("is_req") == 1, F.col("n_req"))
+                        .when(~F.col("orphan"), F.col("n_resp") + depth)))
 
 
 def fifo_match(requests: DataFrame, responses: DataFrame, channel: str = "channel",

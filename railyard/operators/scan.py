@@ -86,10 +86,17 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     clo, chi = ((Window.unboundedPreceding, -1) if direction == "forward"
                 else (1, Window.unboundedFollowing))
     w_blk = Window.partitionBy(*keys).orderBy(blk).rowsBetween(clo, chi)
-    carry = totals.select(*keys, blk, *[_AGG[k](F.col("__t_" + n)).over(w_blk).alias("__c_" + n)
-                                        for n, (k, _) in aggs.items()])
-
-    joined = local.join(carry, on=[*keys, blk], how="left")
+    carry = totals.select(*[F.col(k).alias("__ck_" + k) for k in keys],
+                          F.col(blk).alias("__ck_blk"),
+                          *[_AGG[k](F.col("__t_" + n)).over(w_blk).alias("__c_" + n)
+                            for n, (k, _) in aggs.items()])
+
+    # null-safe keys: no not-null filter is inferred into either input, so
+    # identical subtrees (and their shuffles) stay reusable across consumers
+    cond = local[blk].eqNullSafe(carry["__ck_blk"])
+    for k in keys:
+        cond = cond & local[k].eqNullSafe(carry["__ck_" + k])
+    joined = local.join(carry, cond, how="left")
     return joined.select(
         *[F.col(c) for c in tagged.columns if c != "__blk"],
         *[_combine(k, F.col("__c_" + n), F.col("__l_" + n)).alias(n) for n, (k, _) in aggs.items()])

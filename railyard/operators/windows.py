@@ -39,9 +39,10 @@ def outstanding_gauge(requests: DataFrame, responses: DataFrame, channel: str =
                       ts: str = "ts", rid: str = "id") -> DataFrame:
     """Open requests after every event of a channel (FIFO queue semantics:
     responses with nothing waiting do not go below zero).  Output:
-    ``channel, ts, eid, is_req, outstanding``."""
+    ``channel, ts, eid, is_req, outstanding, next_ts`` (time of the channel's
+    next event, which ``idle_channels`` uses instead of a scan of its own)."""
     ev = fifo_scan(requests, responses, channel, ts, rid)
-    return ev.select("channel", "ts", "eid", "is_req", "outstanding")
+    return ev.select("channel", "ts", "eid", "is_req", "outstanding", "next_ts")
 
 
 def peak_outstanding(gauge: DataFrame) -> DataFrame:
@@ -213,8 +214,12 @@ def idle_channels(gauge: DataFrame, timeout_seconds: float, as_of: Column,
     """
     from railyard.operators.scan import segmented_scan, time_block
     order = [F.col("ts"), F.col("is_req"), F.col("eid")]
-    g = segmented_scan(gauge, ["channel"], order, {"next_ts": ("min", F.col("ts"))},
-                       block=time_block("ts", block_unit), direction="backward", inclusive=False)
+    if "next_ts" in gauge.columns:
+        g = gauge  # the gauge's own scan already found each row's next event
+    else:
+        g = segmented_scan(gauge, ["channel"], order, {"next_ts": ("min", F.col("ts"))},
+                           block=time_block("ts", block_unit), direction="backward",
+                           inclusive=False)
     t_us = int(round(timeout_seconds * 1_000_000))
     from railyard.functions import micros_between
     gap = micros_between(F.col("ts"), F.coalesce(F.col("next_ts"), as_of))

@@ -477,7 +477,8 @@ def q_offset_index(spark, sf):
 
 
 GAUGE_SQL = FIFO_SQL + """,
-g AS (SELECT channel, ts, eid, is_req, s - LEAST(0, s, COALESCE(prior_min, 0)) AS outstanding FROM s4)
+g AS (SELECT channel, ts, eid, is_req, s - LEAST(0, s, COALESCE(prior_min, 0)) AS outstanding,
+             LEAD(ts) OVER (PARTITION BY channel ORDER BY ts, is_req, eid) AS next_ts FROM s4)
 """
 
 
@@ -527,7 +528,7 @@ def q_in_order_prefix(spark, sf):
 
 
 IDLE_SQL = GAUGE_SQL + """,
-nx AS (SELECT *, LEAD(ts) OVER (PARTITION BY channel ORDER BY ts, is_req, eid) AS next_ts FROM g),
+nx AS (SELECT * FROM g),
 fz AS (SELECT nx.*, CAST(CASE WHEN is_req = 1 THEN 2 ELSE 1 END AS BIGINT) AS checks,
               epoch_us(COALESCE(next_ts, (SELECT max(ts) FROM events))) - epoch_us(ts) AS gap
        FROM nx),
