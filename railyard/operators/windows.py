@@ -250,29 +250,50 @@ def activity_sessions(events: DataFrame, channel: str = "channel", ts: str = "ts
     ``channel, session_start, session_end (= last event + time-out),
     n_events, first_ts, last_ts``.
 
-    Built from two chained segmented scans (previous event time, then a
-    running count of session starts) and one aggregate, so a hot channel is
-    split by ``block_unit`` instead of sorted in one task.
+    One two-level pass instead of a per-channel sort: inside each
+    ``(channel, time block)`` the previous event and a running count of
+    session starts; one row per block (first/last event, starts after its
+    first event); small windows over a channel's blocks decide whether each
+    block's first event starts a session and how many sessions came before;
+    then one aggregate per session.  The events are shuffled once: the block
+    table reuses the same shuffle.
     """
     from railyard.functions import micros_between
-    from railyard.operators.scan import segmented_scan, time_block
-    t_us = int(round(timeout_seconds * 1_000_000))
+    from railyard.operators.scan import time_block
+    t_us = F.lit(int(round(timeout_seconds * 1_000_000))).cast("bigint")
     ev = events.select(F.col(channel).alias("channel"), F.col(ts).alias("ts"),
-                       F.col(tiebreak).alias("eid"),
-                       time_block(F.col(ts), block_unit).alias("__sblk"))
-    order = [F.col("ts"), F.col("eid")]
-    ev = segmented_scan(ev, ["channel"], order, {"prev_ts": ("max", F.col("ts"))},
-                        block="__sblk", inclusive=False)
-    start = (F.col("prev_ts").isNull()
-             | (micros_between(F.col("prev_ts"), F.col("ts")) >= F.lit(t_us).cast("bigint")))
-    ev = segmented_scan(ev.withColumn("__start", start.cast("int")), ["channel"], order,
-                        {"session_no": ("sum", F.col("__start"))}, block="__sblk")
-    return (ev.groupBy("channel", "session_no")
+                       F.col(tiebreak).alias("eid"), time_block(F.col(ts), block_unit).alias("__blk"))
+    w = Window.partitionBy("channel", "__blk").orderBy("ts", "eid")
+    local = ev.select("*", F.lag("ts").over(w).alias("l_prev"))
+    local = local.withColumn(
+        "l_start", (F.col("l_prev").isNotNull()
+                    & (micros_between(F.col("l_prev"), F.col("ts")) >= t_us)).cast("int"))
+    local = local.select("*", F.sum("l_start").over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("l_starts"))
+
+    blocks = local.groupBy("channel", "__blk").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.sum("l_start").alias("n_local"))
+    wb = Window.partitionBy("channel").orderBy("__blk")
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    carry = blocks.select("*", F.max("last_ts").over(before).alias("c_last"))
+    carry = carry.withColumn(
+        "first_start", (F.col("c_last").isNull()
+                        | (micros_between(F.col("c_last"), F.col("first_ts")) >= t_us)).cast("int"))
+    carry = carry.select(F.col("channel").alias("__cch"), F.col("__blk").alias("__cblk"),
+                         "first_start",
+                         F.sum(F.col("n_local") + F.col("first_start")).over(before)
+                         .alias("c_sessions"))
+    j = local.join(carry, local["channel"].eqNullSafe(carry["__cch"])
+                   & local["__blk"].eqNullSafe(carry["__cblk"]), "left")
+    session_no = (F.coalesce(F.col("c_sessions"), F.lit(0)) + F.col("first_start")
+                  + F.col("l_starts"))
+    return (j.groupBy("channel", session_no.alias("session_no"))
             .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
                  F.count("*").alias("n_events"))
             .select("channel", F.col("first_ts").alias("session_start"),
-                    F.timestamp_add("MICROSECOND", F.lit(t_us).cast("bigint"), F.col("last_ts"))
-                    .alias("session_end"), "n_events", "first_ts", "last_ts"))
+                    F.timestamp_add("MICROSECOND", t_us, F.col("last_ts")).alias("session_end"),
+                    "n_events", "first_ts", "last_ts"))
 
 
 # --------------------------------------------------------------------------- WN5
@@ -295,9 +316,10 @@ def resolve_retries(attempts: DataFrame, request: str = "request", item: str = "
     ``failed_io`` / ``outstanding``), ``attempt_used`` and ``retries`` (per
     request).  Runs as ``max_retries + 1`` unrolled steps, each a handful of
     joins and partial aggregates keyed by request or (request, item) — no
-    per-request collection.  With ``materialize`` the log, the settled set and
-    each step's triggers are checkpointed, so every step's plan stays one step
-    deep instead of doubling.
+    per-request collection.  With ``materialize`` the log, each step's
+    triggers (read three times) and the settled set (read twice by the next
+    step) are checkpointed, so every step's plan stays one step deep instead
+    of doubling.
     """
     rows = attempts.select(F.col(request).alias("req"), F.col(item).alias("item"),
                            F.col(attempt).cast("int").alias("att"), F.col(seq).alias("seq"),
