@@ -145,38 +145,46 @@ def parse_submit_args(tokens: Column) -> Column:
     a switch takes nothing; the first unknown token is the application
     resource and everything after it is passed through as extras.
 
-    Returns ``struct<options, resource, extras, error>``; a fold
-    (``aggregate``) over the tokens, evaluated per row inside the JVM.
+    Returns ``struct<options, resource, extras, error>``.  Each token is
+    classified once (regex split, dictionary lookup) in ``transform`` passes
+    — lambdas get no common-subexpression elimination, so the fold must not
+    repeat that work — and the walk is a fold (``aggregate``) over the small
+    per-token structs.  All JVM-side, per row.
     """
     omap = _option_map()
+    eq_re = r"^(--[^=]+)=(.+)$"
+    t1 = F.transform(tokens, lambda t: F.struct(t.alias("tok"), t.rlike(eq_re).alias("eq")))
+    t2 = F.transform(t1, lambda x: F.struct(
+        x["tok"].alias("tok"),
+        F.when(x["eq"], F.regexp_extract(x["tok"], eq_re, 1)).otherwise(x["tok"]).alias("arg"),
+        F.when(x["eq"], F.regexp_extract(x["tok"], eq_re, 2)).alias("val")))
+    t3 = F.transform(t2, lambda x: F.struct(
+        x["tok"].alias("tok"), x["val"].alias("val"),
+        F.element_at(omap, x["arg"]).alias("spec")))
     init = F.struct(F.lit("opt").alias("mode"), F.lit(None).cast("string").alias("pending"),
                     F.array().cast(_OPT_T).alias("options"),
                     F.lit(None).cast("string").alias("resource"),
                     F.array().cast("array<string>").alias("extras"))
 
-    def step(acc, tok):
-        eq = tok.rlike(r"^--[^=]+=.+$")
-        arg = F.when(eq, F.regexp_extract(tok, r"^(--[^=]+)=(.+)$", 1)).otherwise(tok)
-        val = F.when(eq, F.regexp_extract(tok, r"^(--[^=]+)=(.+)$", 2))
-        spec = F.element_at(omap, arg)
-        one = lambda n, v: F.array(F.struct(n.alias("name"), v.cast("string").alias("value")))
-        opts_scan = (F.when(spec.isNull(), acc["options"])
-                     .when(spec["valued"] & val.isNull(), acc["options"])
+    def one(n, v):
+        return F.array(F.struct(n.alias("name"), v.cast("string").alias("value")))
+
+    def step(acc, x):
+        mode, spec, tok, val = acc["mode"], x["spec"], x["tok"], x["val"]
+        known = spec.isNotNull()
+        wants_next = known & spec["valued"] & val.isNull()
+        scan_opts = (F.when(~known | wants_next, acc["options"])
                      .when(spec["valued"], F.concat(acc["options"], one(spec["long"], val)))
                      .otherwise(F.concat(acc["options"], one(spec["long"], F.lit(None)))))
-        mode_scan = (F.when(spec.isNull(), "extra")
-                     .when(spec["valued"] & val.isNull(), "val").otherwise("opt"))
         return F.struct(
-            F.when(acc["mode"] == "opt", mode_scan).when(acc["mode"] == "val", "opt")
-            .otherwise("extra").alias("mode"),
-            F.when((acc["mode"] == "opt") & spec.isNotNull() & spec["valued"] & val.isNull(),
-                   spec["long"]).alias("pending"),
-            F.when(acc["mode"] == "opt", opts_scan)
-            .when(acc["mode"] == "val", F.concat(acc["options"], one(acc["pending"], tok)))
+            F.when(mode == "opt", F.when(~known, "extra").when(wants_next, "val").otherwise("opt"))
+            .when(mode == "val", "opt").otherwise("extra").alias("mode"),
+            F.when((mode == "opt") & wants_next, spec["long"]).alias("pending"),
+            F.when(mode == "opt", scan_opts)
+            .when(mode == "val", F.concat(acc["options"], one(acc["pending"], tok)))
             .otherwise(acc["options"]).alias("options"),
-            F.when((acc["mode"] == "opt") & spec.isNull(), tok).otherwise(acc["resource"])
-            .alias("resource"),
-            F.when(acc["mode"] == "extra", F.concat(acc["extras"], F.array(tok)))
+            F.when((mode == "opt") & ~known, tok).otherwise(acc["resource"]).alias("resource"),
+            F.when(mode == "extra", F.concat(acc["extras"], F.array(tok)))
             .otherwise(acc["extras"]).alias("extras"))
 
     def finish(acc):
@@ -184,7 +192,7 @@ def parse_submit_args(tokens: Column) -> Column:
                         acc["extras"].alias("extras"),
                         F.when(acc["mode"] == "val", "missing_value").alias("error"))
 
-    return F.aggregate(tokens, init, step, finish)
+    return F.aggregate(t3, init, step, finish)
 
 
 def parse_command_lines(df: DataFrame, line: str = "line") -> DataFrame:
