@@ -40,7 +40,8 @@ def all_or_nothing(items: DataFrame, group: Sequence[str], valid: Column | str)
     v = F.col(valid) if isinstance(valid, str) else valid
     tagged = items.withColumn("__valid", F.coalesce(v, F.lit(False)))
     verdict = tagged.groupBy(*group).agg(F.bool_and("__valid").alias("group_ok"))
-    return (tagged.join(verdict, group, "left").drop("__valid")
+    from railyard.operators.joinback import join_back
+    return (join_back(tagged, verdict, group).drop("__valid")
             .withColumn("status", F.when(F.col("group_ok"), "ok").otherwise("failed")))
 
 

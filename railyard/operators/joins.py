@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from railyard.operators.joinback import join_back
 from railyard.operators.scan import segmented_scan, time_block
 
 
@@ -145,7 +146,7 @@ def match_responses(requests: DataFrame, responses: DataFrame, keys: Sequence[st
     cand = resp.join(req, keys, "inner").filter(F.col("resp_ts") >= F.col("req_ts"))
     first = cand.groupBy(*keys).agg(
         F.min(F.struct("resp_ts", "resp_id", "outcome")).alias("first"))
-    matched = (req.join(first, keys, "left")
+    matched = (join_back(req, first, keys)
                .select(*keys, "req_id", "req_ts",
                        F.col("first.resp_id").alias("resp_id"),
                        F.col("first.resp_ts").alias("resp_ts"),
@@ -202,7 +203,7 @@ def handshake(connections: DataFrame, hellos: DataFrame, pending: DataFrame,
     eligible = conns.filter(F.col("hello_ts").isNotNull() & F.col("__pending"))
     winner = eligible.groupBy("who").agg(
         F.min(F.struct("hello_ts", "hello_id", "conn_ts", "conn_id")).alias("w"))
-    out = conns.join(winner.select("who", F.col("w.conn_id").alias("__win")), "who", "left")
+    out = join_back(conns, winner.select("who", F.col("w.conn_id").alias("__win")), ["who"])
     status = (F.when(F.col("hello_ts").isNull(), "timed_out")
               .when(F.col("__pending").isNull(), "unknown_secret")
               .when(F.col("conn_id") == F.col("__win"), "connected")
@@ -278,7 +279,10 @@ def resolve_blocks(requests: DataFrame, registry: DataFrame, manifest: DataFrame
                           F.lit(True).alias("__reg"))
     j = p.join(reg, ["app_id", "exec_id"], "left")
     man = manifest.select("shuffle_id", "map_id", "reduce_id", "offset", "next_offset")
-    j = j.join(man, ["shuffle_id", "map_id", "reduce_id"], "left")
+    # null-safe keys: rejected ids (null parts) find nothing either way, and
+    # no filter is inferred into the manifest, which is often derived from
+    # the same data as the requests
+    j = join_back(j, man, ["shuffle_id", "map_id", "reduce_id"])
     is_hash = F.col("manager") == HASH_MANAGER
     is_sort = F.col("manager").isin(*SORT_MANAGERS)
     failure = (F.when(F.col("reject_reason").isNotNull(), F.col("reject_reason"))

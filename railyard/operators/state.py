@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from railyard.operators.joinback import join_back
+
 # Application states; the last three are final.
 APP_STATES = ["UNKNOWN", "CONNECTED", "SUBMITTED", "RUNNING", "FINISHED", "FAILED", "KILLED"]
 FINAL_STATES = ["FINISHED", "FAILED", "KILLED"]
@@ -33,7 +35,7 @@ def registry_state(events: DataFrame) -> DataFrame:
             .agg(F.max(F.struct("ts", "eid", "info", "local_dirs")).alias("r")))
     rms = (events.filter(F.col("kind") == "remove").groupBy("app")
            .agg(F.max(F.struct("ts", "eid")).alias("rm")))
-    live = regs.join(rms, "app", "left").filter(
+    live = join_back(regs, rms, ["app"]).filter(
         F.col("rm").isNull() | (F.struct(F.col("r.ts"), F.col("r.eid")) > F.col("rm")))
     return live.select("app", "exec", F.col("r.info").alias("info"),
                        F.col("r.local_dirs").alias("local_dirs"), F.col("r.ts").alias("reg_ts"))
@@ -46,7 +48,7 @@ def lifecycle_transitions(events: DataFrame) -> DataFrame:
     (same-state updates before that still apply)."""
     ff = (events.filter(F.col("state").isin(*FINAL_STATES)).groupBy("app")
           .agg(F.min(F.struct("ts", "eid")).alias("ff")))
-    j = events.join(ff, "app", "left")
+    j = join_back(events, ff, ["app"])
     ignored = F.col("ff").isNotNull() & (F.struct("ts", "eid") > F.col("ff"))
     return j.select(*events.columns,
                     F.when(ignored, "ignored").otherwise("applied").alias("disposition"))
