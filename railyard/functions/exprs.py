@@ -48,5 +48,6 @@ def to_ts(c: Column | str) -> Column:
 
 
 def micros_between(start: Column | str, end: Column | str) -> Column:
-    """``end - start`` in whole microseconds (BIGINT), for NTZ or LTZ input."""
-    return F.unix_micros(to_ts(end)) - F.unix_micros(to_ts(start))
+    """``end - start`` in whole microseconds (BIGINT), for NTZ or LTZ input
+    (no time-zone conversion, so DST changes cannot shift it)."""
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
