@@ -113,3 +113,16 @@ def test_idle_channels(spark):
     # after a request only the second check (2 x timeout) can act
     got = rows(wn.idle_channels(g, 60, as_of), "channel", "status")
     assert got == [(1, "alive"), (2, "alive"), (3, "alive")]
+
+
+def test_outstanding_gauge_and_peak(spark):
+    req = spark.createDataFrame([(1, t(1), 1), (1, t(2), 2), (1, t(3), 3), (2, t(1), 4)],
+                                "channel INT, ts TIMESTAMP, id INT")
+    resp = spark.createDataFrame([(1, t(0), 10), (1, t(4), 11), (1, t(5), 12)],
+                                 "channel INT, ts TIMESTAMP, id INT")
+    g = wn.outstanding_gauge(req, resp)
+    got = [(r["eid"], r["outstanding"]) for r in g.filter("channel = 1").orderBy("ts").collect()]
+    # the early response finds nothing open and does not go below zero
+    assert got == [(10, 0), (1, 1), (2, 2), (3, 3), (11, 2), (12, 1)]
+    assert rows(wn.peak_outstanding(g), "channel", "n_events", "peak", "final") == [
+        (1, 6, 3, 1), (2, 1, 1, 1)]
