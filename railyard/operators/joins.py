@@ -291,8 +291,10 @@ def resolve_blocks(requests: DataFrame, registry: DataFrame, manifest: DataFrame
                .when(is_sort & F.col("offset").isNull(), "missing_index"))
     data_name = F.concat(F.lit("shuffle_"), F.col("shuffle_id").cast("string"), F.lit("_"),
                          F.col("map_id").cast("string"), F.lit("_0.data"))
-    path = F.when(is_hash, _placed_path(F.col("local_dirs"), F.col("sub_dirs"), F.col("block_id"))) \
-            .otherwise(_placed_path(F.col("local_dirs"), F.col("sub_dirs"), data_name))
+    # one hash per row: hash layouts place the block's own file, sort layouts
+    # the map's data file
+    file_name = F.when(is_hash, F.col("block_id")).otherwise(data_name)
+    path = _placed_path(F.col("local_dirs"), F.col("sub_dirs"), file_name)
     ok = failure.isNull()
     size = F.col("next_offset") - F.col("offset")
     return j.select(*requests.columns, "shuffle_id", "map_id", "reduce_id",
