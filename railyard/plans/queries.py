@@ -477,7 +477,8 @@ def q_offset_index(spark, sf):
 
 
 GAUGE_SQL = FIFO_SQL + """,
-g AS (SELECT channel, ts, eid, is_req, s - LEAST(0, s, COALESCE(prior_min, 0)) AS outstanding,
+g AS (SELECT channel, ts, eid, is_req,
+             CAST(s - LEAST(0, s, COALESCE(prior_min, 0)) AS BIGINT) AS outstanding,
              LEAD(ts) OVER (PARTITION BY channel ORDER BY ts, is_req, eid) AS next_ts FROM s4)
 """
 
