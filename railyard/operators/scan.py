@@ -11,15 +11,19 @@ make one task hold a third of the data.
 1. a local window per ``(key, block)``, where ``block`` is any column that is
    non-decreasing along the ordering inside a key (typically a time bucket), so
    a hot key is spread over as many tasks as it has blocks;
-2. one aggregate row per ``(key, block)``, taken from the windowed rows (they
-   are already clustered by ``(key, block)``, so this adds no shuffle), then a
-   small window over the blocks of a key gives each block the carry-in of
-   everything before (or after) it;
-3. an equi-join on ``(key, block)`` adds the carry-in back.  The big side is
-   already hash-partitioned on ``(key, block)`` by step 1, so only the small
-   block table moves; AQE may broadcast it once its measured size is small.
-
-The big side is shuffled once per chain of scans that share keys and block.
+2. one aggregate row per ``(key, block)`` of the same values — Catalyst
+   computes it straight from the input with map-side partial aggregation, so
+   only partial results move — then a small window over the blocks of a key
+   gives each block the carry-in of everything before (or after) it;
+3. a null-safe equi-join on ``(key, block)`` adds the carry-in back.  The big
+   side is already hash-partitioned on ``(key, block)`` by step 1, so only the
+   small block table moves; AQE may broadcast it once its measured size is
+   small.
+
+Chained scans that pass the *name* of an existing block column reuse the first
+scan's ``(key, block)`` partitioning for their windows.  Operators whose
+chained quantities depend on each other in order (the FIFO walk, activity
+sessions) use a dedicated single pass instead, so the rows are shuffled once.
 
 Supported monoids: ``sum``, ``min``, ``max`` (``min``/``max`` also work on
 structs, which gives "first/last row with a property" lookups).
@@ -63,7 +67,7 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     falls back to one window per key (fine for keys known to be small).  Pass
     the *name* of a block column already in ``df`` to chain scans: the rows
     stay hash-partitioned by ``(keys, block)`` from the first scan, so later
-    scans over the same keys and block add no shuffle of the big side.
+    scans' windows over the same keys and block need no new shuffle.
     """
     keys = list(keys)
     lo, hi = _frame(direction, inclusive)
