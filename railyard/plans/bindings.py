@@ -23,10 +23,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("k", json_int("props", "k"))
 
 
-def events_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return events(spark, sf_dir).filter(F.col("event_type") == kind)
-
-
 def view_click_channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """JN2/AG2/WN2/JN4: requests = ``view``, responses = ``click``, channel =
     ``user_id``, tie-breaker ``event_id``."""

@@ -82,3 +82,17 @@ def test_first_answer_and_sessions(spark):
     ses = sm.run_available(sm.stream_idle_sessions(_stream(spark, ev)), "t-ses")
     assert ses.count() > 0
     assert ses.filter(F.col("session_end") != F.col("last_ts") + F.expr("INTERVAL 30 MINUTES")).count() == 0
+
+
+def test_stream_sessions_equal_batch_sessions(spark):
+    from railyard.operators import windows as wn
+    ev = b.table(spark, SF_TINY, "events").select(F.col("user_id").alias("channel"), "ts",
+                                                  F.col("event_id").alias("eid"))
+    batch = {(r["channel"], r["first_ts"], r["last_ts"], r["n_events"])
+             for r in wn.activity_sessions(ev, "channel", "ts", "eid", 1800).collect()}
+    st = sm.run_available(sm.stream_idle_sessions(_stream(spark, ev.drop("eid"))), "t-ses2")
+    closed = {(r["channel"], r["first_ts"].replace(tzinfo=None), r["last_ts"].replace(tzinfo=None),
+               r["n_events"]) for r in st.select(
+                   "channel", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"),
+                   F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "n_events").collect()}
+    assert closed and closed <= batch
