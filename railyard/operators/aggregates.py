@@ -15,18 +15,29 @@ from railyard.functions import micros_between
 
 # --------------------------------------------------------------------------- AG2
 def latency_summary(matched: DataFrame, peer: str = "channel", start: str = "req_ts",
-                    end: str = "resp_ts") -> DataFrame:
+                    end: str = "resp_ts", approx: bool = False,
+                    accuracy: int = 10_000) -> DataFrame:
     """Per peer: number of completed exchanges and their latency in
-    microseconds (total, mean, median, max).  Rows without an ``end`` are not
-    completed and are skipped.  Median is the exact interpolated percentile."""
+    microseconds (total, mean, median, min, max).  Rows without an ``end``
+    are not completed and are skipped.
+
+    The median is exact by default (``percentile``: its buffer holds one
+    count per distinct latency of the peer, so a peer with a huge share of
+    all exchanges makes one large buffer).  ``approx=True`` uses
+    ``percentile_approx`` instead — a fixed-size sketch per peer and per
+    task, merged after the shuffle — for peers too hot for the exact form.
+    Count, sum, min and max are partial aggregates either way.
+    """
     lat = (matched.filter(F.col(end).isNotNull() & F.col(start).isNotNull())
            .select(F.col(peer).alias("peer"), micros_between(start, end).alias("lat_us")))
+    median = (F.percentile_approx("lat_us", 0.5, accuracy).cast("double") if approx
+              else F.percentile("lat_us", 0.5))
     return (lat.groupBy("peer")
             .agg(F.count("*").alias("n"),
                  F.sum("lat_us").alias("total_us"),
                  F.max("lat_us").alias("max_us"),
                  F.min("lat_us").alias("min_us"),
-                 F.percentile("lat_us", 0.5).alias("p50_us"))
+                 median.alias("p50_us"))
             .withColumn("avg_us", F.col("total_us") / F.col("n")))
 
 

@@ -140,3 +140,13 @@ def test_outstanding_items_keeps_first_position(spark):
     got = sorted(((r["first_pos"], r["item"]) for r in
                   jn.outstanding_items(requested, answered, ["item"], ["pos"]).collect()))
     assert got == [(1, "b2"), (4, "b1")]
+
+
+def test_latency_summary_exact_and_approx(spark):
+    from railyard.operators import aggregates as ag
+    m = spark.createDataFrame([(1, t(0), t(s)) for s in (1, 2, 3, 10)] + [(2, t(0), None)],
+                              "channel INT, req_ts TIMESTAMP, resp_ts TIMESTAMP")
+    ex = ag.latency_summary(m).collect()
+    assert [(r["peer"], r["n"], r["p50_us"], r["max_us"]) for r in ex] == [(1, 4, 2_500_000.0, 10_000_000)]
+    ap = ag.latency_summary(m, approx=True).collect()[0]
+    assert ap["p50_us"] in (2_000_000.0, 3_000_000.0) and ap["n"] == 4
