@@ -80,11 +80,13 @@ def place_by_hash(df: DataFrame, key: str, n_dirs: int, n_sub: int) -> DataFrame
 
 # --------------------------------------------------------------------------- PRJ4
 def decode_message_type(df: DataFrame, id_col: str, dictionary_df: DataFrame) -> DataFrame:
-    """Map type ids to names with a broadcast join against a bounded
-    dictionary (``type_id, type_name``).  Unknown ids get
+    """Map type ids to names by a left join against a dictionary
+    (``type_id, type_name``).  Unknown ids get
     ``reject_reason = 'unknown_type'``; ``-1`` gets ``'user_type'`` (it exists
-    but cannot be decoded)."""
-    d = F.broadcast(dictionary_df.select(F.col("type_id").alias("__tid"), "type_name"))
+    but cannot be decoded).  No broadcast hint: the fixed dictionaries are
+    tiny local tables the planner broadcasts from their known size, and a
+    caller-supplied dictionary is broadcast only if AQE measures it small."""
+    d = dictionary_df.select(F.col("type_id").alias("__tid"), "type_name")
     out = df.join(d, F.col(id_col) == F.col("__tid"), "left").drop("__tid")
     return out.withColumn(
         "reject_reason",
