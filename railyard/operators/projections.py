@@ -2,8 +2,8 @@
 type decoding, tenant isolation and frame-size guards.
 
 All are projections/filters over built-in expressions (whole-stage codegen),
-except the two joins against bounded dictionaries (broadcast) and the owner
-table (a plain equi-join left to AQE).
+except the join against a type dictionary and the one against the owner table,
+both plain equi-joins whose strategy the planner/AQE picks from sizes.
 """
 
 from __future__ import annotations
