@@ -32,6 +32,17 @@ def view_click_channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
             ev.filter("event_type = 'click'").select(*cols))
 
 
+def hot_channel_view_clicks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """JN2 under skew: as ``view_click_channels`` but every event with
+    ``event_id % 3 = 0`` is moved to channel -1, so one channel carries a
+    third of all requests and responses."""
+    ch = F.when(F.col("event_id") % 3 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("user_id"))
+    cols = [ch.alias("channel"), "ts", F.col("event_id").alias("id")]
+    ev = table(spark, sf_dir, "events")
+    return (ev.filter("event_type = 'view'").select(*cols),
+            ev.filter("event_type = 'click'").select(*cols))
+
+
 def block_id_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ1: one block id per event; the event kind decides its shape
     (valid, wrong prefix, three parts, non-integer part, five parts)."""

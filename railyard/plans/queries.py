@@ -78,6 +78,15 @@ def q_latency_summary(spark, sf):
     return ag.latency_summary(_fifo(spark, sf), "channel", "req_ts", "resp_ts")
 
 
+@register("jn2_fifo_match_hot_channel", FIFO_SQL.replace(
+    "SELECT user_id AS channel,",
+    "SELECT CASE WHEN event_id % 3 = 0 THEN CAST(-1 AS BIGINT) ELSE user_id END AS channel,")
+    + "SELECT * FROM fifo")
+def q_fifo_match_hot_channel(spark, sf):
+    req, resp = b.hot_channel_view_clicks(spark, sf)
+    return jn.fifo_match(req, resp, "channel", "ts", "id")
+
+
 # ======================================================== projections/filters
 EVENTS_K = """
 e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)

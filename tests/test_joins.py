@@ -150,3 +150,27 @@ def test_latency_summary_exact_and_approx(spark):
     assert [(r["peer"], r["n"], r["p50_us"], r["max_us"]) for r in ex] == [(1, 4, 2_500_000.0, 10_000_000)]
     ap = ag.latency_summary(m, approx=True).collect()[0]
     assert ap["p50_us"] in (2_000_000.0, 3_000_000.0) and ap["n"] == 4
+
+
+def test_fifo_match_under_a_hot_channel(spark):
+    from railyard.operators.scan import time_block
+    req, resp = b.hot_channel_view_clicks(spark, SF_SMALL)
+    both = req.unionByName(resp)
+    hot = both.filter("channel = -1").count()
+    assert hot >= both.count() // 4
+    # the per-(channel, day) blocks the scan works on are a small part of it
+    biggest = (both.groupBy("channel", time_block("ts", "day").alias("d")).count()
+               .agg(F.max("count")).first()[0])
+    assert biggest * 10 < hot
+    ev = [(r["channel"], r["ts"], r["id"], True) for r in req.collect()] + \
+         [(r["channel"], r["ts"], r["id"], False) for r in resp.collect()]
+    expect = simulate_fifo(ev)
+    got = {}
+    for r in jn.fifo_match(req, resp, "channel", "ts", "id").collect():
+        if r["status"] == "orphan":
+            got[("resp", r["resp_id"])] = "orphan"
+        elif r["status"] == "matched":
+            got[("req", r["req_id"])] = ("matched", r["resp_id"])
+        else:
+            got[("req", r["req_id"])] = "outstanding"
+    assert got == expect
