@@ -199,9 +199,9 @@ def parse_command_lines(df: DataFrame, line: str = "line") -> DataFrame:
     """Per command line: ``tokens``, parsed ``options`` (canonical name,
     value), ``resource``, ``extras`` and ``reject_reason`` (``bad_quoting``
     or ``missing_value``).  Row-local, no shuffle."""
-    toks = shell_split(line)
-    parsed = parse_submit_args(F.coalesce(toks, F.array().cast("array<string>")))
-    out = df.withColumn("tokens", toks).withColumn("__p", parsed)
+    out = df.withColumn("tokens", shell_split(line))
+    out = out.withColumn("__p", parse_submit_args(
+        F.coalesce(F.col("tokens"), F.array().cast("array<string>"))))
     reason = F.when(F.col("tokens").isNull(), "bad_quoting").otherwise(F.col("__p.error"))
     ok = reason.isNull()
     return out.select(*df.columns, "tokens",
