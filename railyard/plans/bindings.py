@@ -196,6 +196,15 @@ def chunk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", "ts", "event_id", (F.col("k") % 5).cast("int").alias("idx"))
 
 
+def chunk_requests_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN3 under skew: as ``chunk_requests`` but events with
+    ``event_id % 3 = 0`` all belong to stream -1 (a third of all requests)."""
+    e = events(spark, sf_dir)
+    stream = F.when(F.col("event_id") % 3 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("user_id"))
+    return e.select(stream.alias("user_id"), "ts", "event_id",
+                    (F.col("k") % 5).cast("int").alias("idx"))
+
+
 def retry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN5/ST5: request = order, items = its distinct line numbers, attempts
     0-3 for every item, seq = item, outcome from

@@ -537,6 +537,17 @@ def q_in_order_prefix(spark, sf):
                               5, block=time_block("ts", "day"))
 
 
+# No oracle SQL: the recursive CTE that checks WN3 walks one row per step, and
+# on the hot stream (a third of all events) it exhausts memory; the query is
+# checked against a brute-force walk in tests/test_windows.py instead.
+@register("wn3_in_order_prefix_hot_stream")
+def q_in_order_prefix_hot_stream(spark, sf):
+    from railyard.operators import windows as wn
+    from railyard.operators.scan import time_block
+    return wn.in_order_prefix(b.chunk_requests_hot(spark, sf), "user_id", "ts", "event_id", "idx",
+                              5, block=time_block("ts", "day"))
+
+
 IDLE_SQL = GAUGE_SQL + """,
 nx AS (SELECT * FROM g),
 fz AS (SELECT nx.*, CAST(CASE WHEN is_req = 1 THEN 2 ELSE 1 END AS BIGINT) AS checks,

@@ -126,3 +126,16 @@ def test_outstanding_gauge_and_peak(spark):
     assert got == [(10, 0), (1, 1), (2, 2), (3, 3), (11, 2), (12, 1)]
     assert rows(wn.peak_outstanding(g), "channel", "n_events", "peak", "final") == [
         (1, 6, 3, 1), (2, 1, 1, 1)]
+
+
+def test_in_order_prefix_hot_stream_query_vs_brute_force(spark):
+    import __spark_entry__ as e
+    from itertools import groupby
+    out = {r["event_id"]: r["status"] for r in
+           e.queries()["wn3_in_order_prefix_hot_stream"](spark, SF_TINY).collect()}
+    src = sorted(b.chunk_requests_hot(spark, SF_TINY).collect(),
+                 key=lambda r: (r["user_id"], r["ts"], r["event_id"]))
+    assert len(out) == len(src)
+    for _, grp in groupby(src, key=lambda r: r["user_id"]):
+        g = list(grp)
+        assert [out[r["event_id"]] for r in g] == simulate_in_order([r["idx"] for r in g], 5)
