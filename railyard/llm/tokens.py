@@ -10,27 +10,42 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 
 import tiktoken
 
 _UNSAFE = re.compile(r" \s|\s ")
-_KEEP_PIECES = 120_000    # pieces kept per generation
+_WORD_MARKS = re.compile(r"([^\W\d_]+)([^\w\s]+)")
+_KEEP_PIECES = 150_000    # pieces kept per generation
+_KEEP_MARKS = 4096
 _KEEP_CHARS = 48          # longer pieces are not kept
 
 _ENCODERS: dict = {}
 
 
 class _Pieces(dict):
-    """Ids (little-endian bytes) of a piece with a blank before it."""
+    """Ids (little-endian bytes) of a piece with a blank before it.  Letters
+    with marks behind them are two tokens' worth for the pre-tokeniser, so
+    they are looked up apart."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.old, self.marks = encode, {}, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = self.encode(" " + piece)
+            parts = _WORD_MARKS.fullmatch(piece)
+            if parts and parts[1].isalpha():
+                marks = self.marks.get(parts[2])
+                if marks is None:
+                    marks = self.encode(parts[2])
+                    if len(self.marks) < _KEEP_MARKS:
+                        self.marks[parts[2]] = marks
+                ids = self[parts[1]] + marks
+            else:
+                ids = self.encode(" " + piece)
         if len(piece) <= _KEEP_CHARS:
             if len(self) >= _KEEP_PIECES:
                 self.old = dict(self)
@@ -49,7 +64,10 @@ class Encoder:
         self._pieces = _Pieces(self._direct)
 
     def _direct(self, text: str) -> bytes:
-        return self._core.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        ids = array("I", self._core.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         if _UNSAFE.search(text):
