@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +31,9 @@ def text_of(col: str) -> Column:
 def tagged(docs: DataFrame, id_col: str, text_col: str, tag: str = "tag") -> DataFrame:
     """``(doc_id, tag, text)`` with a tag that tells repeated rows apart.
 
-    The tag numbers the rows of the scan, so it repeats whenever the same
-    files are scanned by the same frame.  Only these columns are kept, so
-    extra columns can carry any name.
+    The tag numbers the rows of the scan; it is the same in every use of the
+    frame if that is ``stable``.  Only these columns are kept, so extra
+    columns can carry any name.
     """
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                        F.monotonically_increasing_id().alias(tag),
@@ -45,6 +47,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stable(docs: DataFrame) -> DataFrame:
+    """The same rows in the same places at every use: a plain scan of files
+    as it is, anything else (a shuffle, local rows) written first."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    nodes = re.findall(r"^[\s:+|!'-]*(\w+)", plan, re.M)
+    return docs if set(nodes) <= {"Project", "Filter", "Relation"} else written(docs, "stable")
+
+
 def small_join(big: DataFrame, small: DataFrame, cond, how: str = "left") -> DataFrame:
     """Join a table that is usually small.  Its rows are counted first: it is
     broadcast up to ``BROADCAST_ROWS``, shuffled beyond."""

@@ -7,10 +7,13 @@ equals) is the window's anchor, so equal windows have equal anchors wherever
 they stand and nothing is lost.  Consecutive windows with one anchor are a
 run; a run's suffix is known by the hash of its anchor and that of its bytes.
 
-1. Runs are dealt to shards by anchor.  A shard takes them batch by batch.  A
-   batch is sorted into a suffix array; it is merge-scanned against the arrays
-   of all levels for equal anchors; then it joins the family, where arrays of
-   one level merge into one of the next, so a suffix is moved once per level.
+1. Equal runs are counted (combined before the shuffle, so a passage in a
+   third of all texts is one row of each task) and dealt to shards by anchor.
+   A shard takes them batch by batch.  A batch is sorted into a suffix array;
+   it is merge-scanned against the arrays of all levels for equal anchors; then
+   it joins the family, where arrays of one level merge into one of the next,
+   so a suffix is moved once per level.  What was found is joined back to the
+   runs, a join that Spark splits where a run is frequent.
 2. Runs with equal bytes repeat whole: all their windows are found.  Runs that
    share only the anchor end or begin a match; of equal ones a single run, they
    are compared window by window, by two 64-bit hashes.  Equal windows have
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, column, mix64, partitions, python_ready, tagged, written
+from .common import buffers, column, mix64, partitions, python_ready, stable, tagged, written
 
 ANCHOR = 64
 OFTEN = 20_000            # distinct runs of an anchor, before they are dealt out by distance
@@ -43,7 +46,7 @@ NEAR = 8                  # distances that stay together then
 _BLOCK = 1 << 19
 
 RUNS = "tag bigint, start int, n int, anchor bigint, depth int, body bigint"
-HITS = "tag bigint, start int, n int, anchor bigint, depth int, same boolean, compare boolean, often boolean"
+FLAGS = "anchor bigint, body bigint, tag bigint, start int, same boolean, compare boolean, often boolean"
 
 
 def _odd(seed: int) -> int:
@@ -164,15 +167,14 @@ class Family:
     def __init__(self):
         self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
 
-    def add(self, keys: np.ndarray, rows: np.ndarray, shared: np.ndarray, same: np.ndarray) -> None:
-        """Take a batch of ``rows`` with ``keys`` (anchor, body).  Rows whose
-        anchor, or whose anchor and body, stand elsewhere are marked in
-        ``shared`` and ``same``, on both sides."""
+    def add(self, keys: np.ndarray, rows: np.ndarray, shared: np.ndarray) -> None:
+        """Take a batch of ``rows`` with ``keys`` (anchor, body); rows whose
+        anchor stands elsewhere are marked in ``shared``, on both sides."""
         order = np.lexsort((keys[:, 1], keys[:, 0]))
         keys, rows = keys[order], rows[order]
-        _mark(keys, rows, shared, same)
+        _mark(keys, rows, shared)
         for _, old_keys, old_rows in self.levels:
-            _scan(keys, rows, old_keys, old_rows, shared, same)
+            _scan(keys, rows, old_keys, old_rows, shared)
         level = 0
         while self.levels and self.levels[-1][0] == level:
             _, old_keys, old_rows = self.levels.pop()
@@ -183,31 +185,28 @@ class Family:
         self.levels.append((level, keys, rows))
 
 
-def _mark(keys, rows, shared, same) -> None:
-    """Mark equal neighbours of a sorted array."""
+def _mark(keys, rows, shared) -> None:
+    """Mark neighbours of a sorted array that share the anchor."""
     eq = keys[1:, 0] == keys[:-1, 0]
-    for mark, hit in ((shared, eq), (same, eq & (keys[1:, 1] == keys[:-1, 1]))):
-        mark[rows[1:][hit]] = True
-        mark[rows[:-1][hit]] = True
+    shared[rows[1:][eq]] = True
+    shared[rows[:-1][eq]] = True
 
 
-def _scan(keys, rows, old_keys, old_rows, shared, same) -> None:
-    """Merge-scan: of the old array only stretches with an anchor of the new
-    one are looked at, and put in order with them."""
+def _scan(keys, rows, old_keys, old_rows, shared) -> None:
+    """Merge-scan of a new array against an old one: mark both sides of
+    anchors that stand in both."""
     lo, hi = (np.searchsorted(old_keys[:, 0], keys[:, 0], side) for side in ("left", "right"))
     new = hi > lo
-    if not new.any():
-        return
+    shared[rows[new]] = True
     edge = np.zeros(len(old_keys) + 1, np.int64)
     np.add.at(edge, lo[new], 1)
     np.add.at(edge, hi[new], -1)
-    old = np.cumsum(edge[:-1]) > 0
-    both, them = np.concatenate((old_keys[old], keys[new])), np.concatenate((old_rows[old], rows[new]))
-    order = np.lexsort((both[:, 1], both[:, 0]))
-    _mark(both[order], them[order], shared, same)
+    shared[old_rows[np.cumsum(edge[:-1]) > 0]] = True
 
 
 def _index(batch_rows: int):
+    """Of the distinct runs of a shard, those that stand twice (``same``) or
+    share their anchor with others (``compare``)."""
     def run(batches):
         tables = [b for b in batches if b.num_rows]
         if not tables:
@@ -215,23 +214,15 @@ def _index(batch_rows: int):
         table = pa.Table.from_batches(tables)
         count = table.num_rows
         keys = np.column_stack([np.asarray(column(table, c)).view(np.uint64) for c in ("anchor", "body")])
-        shared, same = np.zeros(count, bool), np.zeros(count, bool)
-        family = Family()
+        same = np.asarray(column(table, "k")) > 1
+        shared, family = np.zeros(count, bool), Family()
         for a in range(0, count, batch_rows):
             rows = np.arange(a, min(a + batch_rows, count))
-            family.add(keys[rows], rows, shared, same)
-        hit = np.flatnonzero(shared)
-        # of equal runs one stands for all in the comparison by window
-        order = hit[np.lexsort((keys[hit, 1], keys[hit, 0]))]
-        k = keys[order]
-        lead = np.concatenate(([True], (k[1:] != k[:-1]).any(1))) if len(k) else np.zeros(0, bool)
-        anchors, back = np.unique(k[:, 0], return_inverse=True)
-        kinds = np.bincount(back[lead], minlength=len(anchors))
-        compare, often = np.zeros(count, bool), np.zeros(count, bool)
-        compare[order] = lead & (kinds[back] > 1)
-        often[order] = kinds[back] > OFTEN
-        out = table.take(pa.array(hit)).select(["tag", "start", "n", "anchor", "depth"])
-        for name, mark in (("same", same), ("compare", compare), ("often", often)):
+            family.add(keys[rows], rows, shared)
+        _, back, kinds = np.unique(keys[:, 0], return_inverse=True, return_counts=True)
+        hit = np.flatnonzero(shared | same)
+        out = table.take(pa.array(hit)).select(["anchor", "body", "tag", "start"])
+        for name, mark in (("same", same), ("compare", shared), ("often", kinds[back] > OFTEN)):
             out = out.append_column(name, pa.array(mark[hit]))
         yield from out.to_batches(max_chunksize=100_000)
     return run
@@ -375,10 +366,18 @@ def repeated_spans(docs: DataFrame, length: int = 200, batch_rows: int = 65_536,
         raise ValueError(f"length must be over {ANCHOR}")
     spark = docs.sparkSession
     python_ready(spark)
-    texts = tagged(docs, id_col, text_col)
+    texts = tagged(stable(docs), id_col, text_col)
     n = partitions(spark)
     found = texts.select("tag", "text").mapInArrow(_find_runs(length), RUNS)
-    hits = written(found.repartition(n, "anchor").mapInArrow(_index(batch_rows), HITS), "hits")
+    first = F.min(F.struct("tag", "start")).alias("first")
+    distinct = (found.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("k"), first)
+                .select("anchor", "body", "k", "first.tag", "first.start"))
+    flags = written(distinct.repartition(n, "anchor").mapInArrow(_index(batch_rows), FLAGS), "flags")
+    flags = flags.select("anchor", "body", F.col("tag").alias("lead_tag"), F.col("start").alias("lead_start"),
+                         "same", "compare", "often")
+    lead = F.col("compare") & (F.col("tag") == F.col("lead_tag")) & (F.col("start") == F.col("lead_start"))
+    hits = found.join(flags, ["anchor", "body"]).select("tag", "start", "n", "anchor", "depth", "same",
+                                                        lead.alias("compare"), "often")
     per_text = hits.groupBy("tag").agg(F.collect_list(
         F.struct("start", "n", "anchor", "depth", "same", "compare", "often")).alias("hits"))
     visit = written(texts.join(per_text, "tag", "left").mapInArrow(_visit(length), VISIT), "visit")
