@@ -13,8 +13,8 @@ A rate beyond ``STEP`` is drawn as a sum of independent draws of at most
 Defined results.  Null text counts no characters; a null source is a source of
 its own.  A source of empty texts only, or of weight zero, has rate 1 or 0.
 Rows without an id, and repeated rows, draw by the hash of what they hold, so
-equal rows get equal counts.  An empty table gives no rows.  Added columns are
-prefixed, so they replace none of the documents'.
+equal rows get equal counts.  An empty table gives no rows.  The documents'
+columns stay as they are; an added column whose name they have is left out.
 """
 
 from __future__ import annotations
@@ -80,16 +80,18 @@ def poisson_mix(docs: DataFrame, temperature: float = 0.5, weights: dict | None
     """All columns of ``docs`` for each copy, with ``mix_rate, mix_copies,
     mix_copy`` (from 0) and ``mix_order`` (sorted within partitions)."""
     spark = docs.sparkSession
-    docs = docs.drop(*ADDED)
+    added = [c for c in ADDED if c not in docs.columns]
     per_source = rates(docs, temperature, weights, epochs, source_col, text_col)
-    draws = F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / STEP)).cast("int")
-    per_source = (per_source.withColumn("mix_draws", draws)
-                  .withColumn("mix_cdf", _distribution(F.col("mix_rate") / F.col("mix_draws"))))
+    per_source = per_source.select(F.col("src").alias("__src"), F.col("mix_rate").alias("__rate"),
+                                   F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / STEP)).cast("int").alias("__draws"))
+    per_source = per_source.withColumn("__cdf", _distribution(F.col("__rate") / F.col("__draws")))
     key = F.coalesce(F.col(id_col).cast("string"), F.sha2(text_of(text_col), 256))
-    rows = small_join(docs, per_source, F.col(source_col).cast("string").eqNullSafe(F.col("src")))
-    n = F.when(F.col("mix_rate") > 0, copies(F.col("mix_draws"), F.col("mix_cdf"), key, seed)).otherwise(0)
-    out = (rows.withColumn("mix_copies", n).filter("mix_copies > 0").drop("src", "mix_draws", "mix_cdf")
-           .withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-           .withColumn("mix_order", F.substring(F.md5(F.concat_ws(
-               ":", F.lit(f"order{seed}"), key, F.col("mix_copy").cast("string"))), 1, 16)))
-    return out.repartition(partitions(spark), "mix_order").sortWithinPartitions("mix_order")
+    rows = small_join(docs, per_source, F.col(source_col).cast("string").eqNullSafe(F.col("__src")))
+    n = F.when(F.col("__rate") > 0, copies(F.col("__draws"), F.col("__cdf"), key, seed)).otherwise(0)
+    out = (rows.withColumn("__copies", n).filter("__copies > 0")
+           .withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+           .withColumn("__order", F.substring(F.md5(F.concat_ws(
+               ":", F.lit(f"order{seed}"), key, F.col("__copy").cast("string"))), 1, 16)))
+    out = out.select(*docs.columns, "__rate", "__copies", "__copy", "__order")
+    out = out.repartition(partitions(spark), "__order").sortWithinPartitions("__order")
+    return out.select(*docs.columns, *[F.col(c.replace("mix", "_")).alias(c) for c in added])
