@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railyard.llm import exact_dedup, mixing, packing, quality, simhash_dedup
-from railyard.llm.common import documents, written
+from railyard.llm.common import documents, stable, written
 from railyard.llm.queries import CAPACITY, END_ID, MAX_BITS, MIX, SHINGLE, VOCABULARY
 
 _TAG = "__pipeline_tag"
@@ -29,6 +29,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents scored under one half go."""
+    docs = stable(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = quality.classify(docs, labels)
     return _without(docs, written(found.filter("score < 0.5").select("tag"), "rejected"))
@@ -36,12 +37,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: of equal texts the row with the largest id stays."""
+    docs = stable(docs)
     found = exact_dedup.exact_dedup(docs, exact_dedup.older_half(docs))
     return _without(docs, written(found.filter("NOT kept").select("tag"), "copies"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: of each component the row with the smallest id stays."""
+    docs = stable(docs)
     found = simhash_dedup.near_dedup(docs, SHINGLE, MAX_BITS)
     return _without(docs, written(found.filter("NOT kept").select("tag"), "near-copies"))
 
