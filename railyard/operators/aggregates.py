@@ -92,15 +92,17 @@ def message_census(messages: DataFrame, spark=None) -> DataFrame:
     bytes.  ``messages``: ``type_name, stream_id, body`` where ``body`` is the
     payload (or, for failure types, the error text).  Header = 8 + 1 + the
     type's fields; a frame carries the body only when it is "in frame"."""
-    spark = spark or messages.sparkSession
-    layout = F.broadcast(spark.createDataFrame(
-        [(k, *v) for k, v in MESSAGE_LAYOUT.items()],
-        "type_name STRING, fixed INT, has_sid BOOLEAN, has_err BOOLEAN, body_mode STRING"))
-    m = messages.filter(F.col("type_name").isNotNull()).join(layout, "type_name", "inner")
-    blen = F.octet_length("body").cast("bigint")
+    m = messages.filter(F.col("type_name").isin(*MESSAGE_LAYOUT))
+    # the fixed layout is looked up in literal maps: lengths are taken where
+    # the rows are read and nothing wide is joined
+    for k, name in enumerate(["fixed", "has_sid", "has_err", "body_mode"]):
+        m = m.withColumn(name, F.create_map(*[F.lit(x) for t, v in MESSAGE_LAYOUT.items()
+                                              for x in (t, v[k])])[F.col("type_name")])
+    # a null field is an empty one
+    blen = F.coalesce(F.octet_length("body"), F.lit(0)).cast("bigint")
     hdr = (F.lit(FRAME_PREFIX_BYTES) + F.col("fixed")
-           + F.when(F.col("has_sid"), 4 + F.octet_length("stream_id")).otherwise(0)
-           + F.when(F.col("has_err"), 4 + F.octet_length("body")).otherwise(0)).cast("bigint")
+           + F.when(F.col("has_sid"), 4 + F.coalesce(F.octet_length("stream_id"), F.lit(0))).otherwise(0)
+           + F.when(F.col("has_err"), 4 + blen).otherwise(0)).cast("bigint")
     body = F.when(F.col("body_mode") != "none", blen).otherwise(F.lit(0).cast("bigint"))
     frame = hdr + F.when(F.col("body_mode") == "in_frame", blen).otherwise(F.lit(0).cast("bigint"))
     return (m.select("type_name", hdr.alias("h"), body.alias("b"), frame.alias("f"))

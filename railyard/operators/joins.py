@@ -110,11 +110,11 @@ def fifo_match(requests: DataFrame, responses: DataFrame, channel: str = "channe
     most one request and one response; orphans form groups of their own.
     """
     ev = fifo_scan(requests, responses, channel, ts, rid, block_unit)
-    key = F.when(F.col("orphan"), -F.col("eid") - 1).otherwise(F.col("k"))
     req, resp = F.col("is_req") == 1, F.col("is_req") == 0
     # at most one request and one response per group, so per-field max is
     # exact and keeps this a hash aggregate (no struct buffers)
-    g = (ev.groupBy("channel", key.alias("__k"))
+    g = (ev.groupBy("channel", F.when(F.col("orphan"), F.col("eid")).alias("__orphan"),
+                    F.when(~F.col("orphan"), F.col("k")).alias("__k"))
          .agg(F.max(F.when(req, F.col("eid"))).alias("req_id"),
               F.max(F.when(req, F.col("ts"))).alias("req_ts"),
               F.max(F.when(resp, F.col("eid"))).alias("resp_id"),
@@ -265,8 +265,9 @@ def resolve_blocks(requests: DataFrame, registry: DataFrame, manifest: DataFrame
 
     ``requests``: ``app_id, exec_id, block_id`` (+ any columns, kept);
     ``registry``: ``app_id, exec_id, local_dirs, sub_dirs, manager`` (one row
-    per executor); ``manifest``: ``shuffle_id, map_id, reduce_id, offset,
-    next_offset`` from ``offset_index``.
+    per executor); ``manifest``: ``app_id, exec_id, shuffle_id, map_id,
+    reduce_id, offset, next_offset`` (from ``offset_index``): block ids repeat
+    between applications, so the executor is part of the key.
 
     Hash layout: the block is its own file (offset 0, whole length); sort /
     unsafe layout: ``[offset[r], offset[r+1])`` of the map's data file.
@@ -278,11 +279,11 @@ def resolve_blocks(requests: DataFrame, registry: DataFrame, manifest: DataFrame
     reg = registry.select("app_id", "exec_id", "local_dirs", "sub_dirs", "manager",
                           F.lit(True).alias("__reg"))
     j = p.join(reg, ["app_id", "exec_id"], "left")
-    man = manifest.select("shuffle_id", "map_id", "reduce_id", "offset", "next_offset")
+    man = manifest.select("app_id", "exec_id", "shuffle_id", "map_id", "reduce_id", "offset", "next_offset")
     # null-safe keys: rejected ids (null parts) find nothing either way, and
     # no filter is inferred into the manifest, which is often derived from
     # the same data as the requests
-    j = join_back(j, man, ["shuffle_id", "map_id", "reduce_id"])
+    j = join_back(j, man, ["app_id", "exec_id", "shuffle_id", "map_id", "reduce_id"])
     is_hash = F.col("manager") == HASH_MANAGER
     is_sort = F.col("manager").isin(*SORT_MANAGERS)
     failure = (F.when(F.col("reject_reason").isNotNull(), F.col("reject_reason"))

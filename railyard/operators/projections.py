@@ -79,15 +79,19 @@ def place_by_hash(df: DataFrame, key: str, n_dirs: int, n_sub: int) -> DataFrame
 
 
 # --------------------------------------------------------------------------- PRJ4
-def decode_message_type(df: DataFrame, id_col: str, dictionary_df: DataFrame) -> DataFrame:
-    """Map type ids to names by a left join against a dictionary
-    (``type_id, type_name``).  Unknown ids get
-    ``reject_reason = 'unknown_type'``; ``-1`` gets ``'user_type'`` (it exists
-    but cannot be decoded).  No broadcast hint: the fixed dictionaries are
-    tiny local tables the planner broadcasts from their known size, and a
-    caller-supplied dictionary is broadcast only if AQE measures it small."""
-    d = dictionary_df.select(F.col("type_id").alias("__tid"), "type_name")
-    out = df.join(d, F.col(id_col) == F.col("__tid"), "left").drop("__tid")
+def decode_message_type(df: DataFrame, id_col: str, dictionary: DataFrame | str = "message") -> DataFrame:
+    """Map type ids to names.  Unknown ids get ``reject_reason =
+    'unknown_type'``; ``-1`` gets ``'user_type'`` (it exists but cannot be
+    decoded).  ``dictionary``: ``'message'`` or ``'block'`` for the fixed ones,
+    looked up in a literal map, so the rows are neither joined nor shuffled;
+    or a table ``type_id, type_name``, left-joined as the planner sees fit."""
+    if isinstance(dictionary, str):
+        names = MESSAGE_TYPES if dictionary == "message" else BLOCK_TRANSFER_TYPES
+        known = F.create_map(*[F.lit(x) for pair in names for x in pair])
+        out = df.withColumn("type_name", F.try_element_at(known, F.col(id_col).cast("int")))
+    else:
+        d = dictionary.select(F.col("type_id").alias("__tid"), "type_name")
+        out = df.join(d, F.col(id_col) == F.col("__tid"), "left").drop("__tid")
     return out.withColumn(
         "reject_reason",
         F.when(F.col("type_name").isNotNull(), F.lit(None).cast("string"))
@@ -98,19 +102,26 @@ def decode_message_type(df: DataFrame, id_col: str, dictionary_df: DataFrame) ->
 # --------------------------------------------------------------------------- FLT1
 def tenant_isolation(requests: DataFrame, owners: DataFrame, stream: str = "stream_id",
                      client: str = "client_id", owner: str = "owner_app") -> DataFrame:
-    """Authorise each request for a stream: ``unknown_stream`` when the stream
-    has no owner row, ``authorized`` when the client id is null/empty or equals
-    the owner app, otherwise ``denied``.  ``owners`` must hold one row per
-    stream."""
+    """Authorise each request for a stream: ``authorized`` when the client id
+    is null or empty (no check is made, the stream may be unknown) or equals
+    the owner app; ``unknown_stream`` when the stream has no owner row;
+    otherwise ``denied``.  ``owners`` must hold one row per stream."""
     o = owners.select(F.col(stream).alias("__sid"), F.col(owner).alias(owner))
     j = requests.join(o, F.col(stream) == F.col("__sid"), "left")
-    status = (F.when(F.col("__sid").isNull(), "unknown_stream")
-              .when(F.col(client).isNull() | (F.col(client) == ""), "authorized")
+    status = (F.when(F.col(client).isNull() | (F.col(client) == ""), "authorized")
+              .when(F.col("__sid").isNull(), "unknown_stream")
               .when(F.col(client) == F.col(owner), "authorized")
               .otherwise("denied"))
     return j.withColumn("status", status).drop("__sid")
 
 
+def rpc_isolation(requests: DataFrame, client: str = "client_id", app: str = "app_id") -> DataFrame:
+    """RPC form: a null client is let through; any other, the empty one too,
+    must equal the app that the request names."""
+    same = F.col(client).isNull() | F.col(client).eqNullSafe(F.col(app))
+    return requests.withColumn("status", F.when(same, "authorized").otherwise("denied"))
+
+
 def authorized(requests: DataFrame, owners: DataFrame, **kw) -> DataFrame:
     return tenant_isolation(requests, owners, **kw).filter("status = 'authorized'")
 

@@ -8,7 +8,7 @@ happen here, so Catalyst pushes them into the parquet scans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railyard.functions import json_int
@@ -143,13 +143,18 @@ MANAGER_BY_MOD4 = [
 ]
 
 
+def app_of(supplier: str) -> Column:
+    """Two applications: the supplier's parity decides."""
+    return F.concat(F.lit("app-"), (F.col(supplier) % 2 + 1).cast("string"))
+
+
 def executor_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN5: suppliers are executors of app ``app-1`` (those with
+    """JN5: suppliers are executors of two apps (those with
     ``s_suppkey % 5 = 0`` never registered); manager by ``s_suppkey % 4``."""
     s = table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") % 5 != 0)
     mgr = F.element_at(F.array(*[F.lit(m) for m in MANAGER_BY_MOD4]),
                        (F.col("s_suppkey") % 4 + 1).cast("int"))
-    return s.select(F.lit("app-1").alias("app_id"),
+    return s.select(app_of("s_suppkey").alias("app_id"),
                     F.col("s_suppkey").cast("string").alias("exec_id"),
                     F.array(F.concat(F.lit("/data"), (F.col("s_nationkey") % 3).cast("string")),
                             F.concat(F.lit("/spill"), (F.col("s_suppkey") % 2).cast("string")))
@@ -166,7 +171,7 @@ def block_requests(indexed: DataFrame) -> DataFrame:
            .when(F.col("l_partkey") % 13 == 0,
                  F.concat(base, F.lit("_"), (F.col("idx") + 1000).cast("string")))
            .otherwise(F.concat(base, F.lit("_"), F.col("idx").cast("string"))))
-    return indexed.select("l_orderkey", "l_partkey", F.lit("app-1").alias("app_id"),
+    return indexed.select("l_orderkey", "l_partkey", app_of("l_suppkey").alias("app_id"),
                           F.col("l_suppkey").cast("string").alias("exec_id"),
                           bid.alias("block_id"))
 

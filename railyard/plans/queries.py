@@ -182,7 +182,7 @@ SELECT doc_id, type_id, type_name, reject_reason FROM dm
 """)
 def q_decode_message_type(spark, sf):
     m = b.typed_messages(spark, sf)
-    out = pj.decode_message_type(m, "type_id", pj.dictionary(spark, "message"))
+    out = pj.decode_message_type(m, "type_id", "message")
     return out.select("doc_id", "type_id", "type_name", "reject_reason")
 
 
@@ -190,8 +190,8 @@ def q_decode_message_type(spark, sf):
 req AS (SELECT event_id AS stream_id, CAST(NULLIF(user_id % 7, 0) AS VARCHAR) AS client_id FROM e),
 own AS (SELECT event_id AS sid, CAST(k % 7 AS VARCHAR) AS owner_app FROM e WHERE event_id % 11 <> 0)
 SELECT stream_id, client_id, owner_app,
-       CASE WHEN sid IS NULL THEN 'unknown_stream'
-            WHEN client_id IS NULL OR client_id = '' THEN 'authorized'
+       CASE WHEN client_id IS NULL OR client_id = '' THEN 'authorized'
+            WHEN sid IS NULL THEN 'unknown_stream'
             WHEN client_id = owner_app THEN 'authorized' ELSE 'denied' END AS status
 FROM req LEFT JOIN own ON req.stream_id = own.sid
 """)
@@ -325,7 +325,7 @@ def _offset_index(spark, sf):
 
 RESOLVE_SQL = "WITH " + OFFSET_SQL + """,
 reg AS (
-  SELECT 'app-1' AS app_id, CAST(s_suppkey AS VARCHAR) AS exec_id,
+  SELECT 'app-' || CAST(s_suppkey % 2 + 1 AS VARCHAR) AS app_id, CAST(s_suppkey AS VARCHAR) AS exec_id,
          ['/data' || (s_nationkey % 3), '/spill' || (s_suppkey % 2)] AS local_dirs, 7 AS sub_dirs,
          ['org.apache.spark.shuffle.hash.HashShuffleManager',
           'org.apache.spark.shuffle.sort.SortShuffleManager',
@@ -333,7 +333,7 @@ reg AS (
           'org.apache.spark.shuffle.bogus.BogusShuffleManager'][s_suppkey % 4 + 1] AS manager
   FROM supplier WHERE s_suppkey % 5 <> 0
 ), rq AS (
-  SELECT l_orderkey, l_partkey, 'app-1' AS app_id, CAST(l_suppkey AS VARCHAR) AS exec_id,
+  SELECT l_orderkey, l_partkey, 'app-' || CAST(l_suppkey % 2 + 1 AS VARCHAR) AS app_id, CAST(l_suppkey AS VARCHAR) AS exec_id,
          CASE WHEN l_partkey % 17 = 0 THEN 'shuffle_0_' || l_orderkey
               WHEN l_partkey % 13 = 0 THEN 'shuffle_0_' || l_orderkey || '_' || (idx + 1000)
               ELSE 'shuffle_0_' || l_orderkey || '_' || idx END AS block_id
@@ -362,6 +362,8 @@ reg AS (
          CASE WHEN manager = 'org.apache.spark.shuffle.hash.HashShuffleManager'
               THEN block_id ELSE 'shuffle_' || shuffle_id || '_' || map_id || '_0.data' END AS fname
   FROM j LEFT JOIN oi ON j.shuffle_id = 0 AND j.map_id = oi.l_orderkey AND j.reduce_id = oi.idx
+                 AND j.exec_id = CAST(oi.l_suppkey AS VARCHAR)
+                 AND j.app_id = 'app-' || CAST(oi.l_suppkey % 2 + 1 AS VARCHAR)
 ), hs AS (
   SELECT *, """ + JAVA_HASH_SQL.format(c="fname") + """ AS u FROM jm
 ), hh AS (
@@ -392,7 +394,8 @@ FROM f
 
 def _resolved(spark, sf):
     idx = _offset_index(spark, sf)
-    manifest = idx.select(F.lit(0).alias("shuffle_id"), F.col("l_orderkey").cast("int").alias("map_id"),
+    manifest = idx.select(b.app_of("l_suppkey").alias("app_id"), F.col("l_suppkey").cast("string").alias("exec_id"),
+                          F.lit(0).alias("shuffle_id"), F.col("l_orderkey").cast("int").alias("map_id"),
                           F.col("idx").alias("reduce_id"), "offset", "next_offset")
     return jn.resolve_blocks(b.block_requests(idx), b.executor_registry(spark, sf), manifest)
 
@@ -437,9 +440,9 @@ lay(type_name, fixed, has_sid, has_err, body_mode) AS (VALUES
   ('RpcResponse', 12, false, false, 'in_frame'), ('RpcFailure', 8, false, true, 'none'),
   ('StreamRequest', 0, true, false, 'none'), ('StreamResponse', 8, true, false, 'outside_frame'),
   ('StreamFailure', 0, true, true, 'none'), ('OneWayMessage', 4, false, false, 'in_frame')),
-x AS (SELECT dm.type_name, strlen(body) AS blen,
-             9 + fixed + CASE WHEN has_sid THEN 4 + strlen(stream_id) ELSE 0 END
-               + CASE WHEN has_err THEN 4 + strlen(body) ELSE 0 END AS h, body_mode
+x AS (SELECT dm.type_name, coalesce(strlen(body), 0) AS blen,
+             9 + fixed + CASE WHEN has_sid THEN 4 + coalesce(strlen(stream_id), 0) ELSE 0 END
+               + CASE WHEN has_err THEN 4 + coalesce(strlen(body), 0) ELSE 0 END AS h, body_mode
       FROM dm JOIN lay ON dm.type_name = lay.type_name)
 SELECT type_name, COUNT(*) AS n, CAST(SUM(h) AS BIGINT) AS header_bytes,
        CAST(SUM(CASE WHEN body_mode <> 'none' THEN blen ELSE 0 END) AS BIGINT) AS body_bytes,
@@ -447,7 +450,7 @@ SELECT type_name, COUNT(*) AS n, CAST(SUM(h) AS BIGINT) AS header_bytes,
 FROM x GROUP BY type_name
 """)
 def q_message_census(spark, sf):
-    m = pj.decode_message_type(b.typed_messages(spark, sf), "type_id", pj.dictionary(spark))
+    m = pj.decode_message_type(b.typed_messages(spark, sf), "type_id", "message")
     return ag.message_census(m, spark)
 
 

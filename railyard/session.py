@@ -41,11 +41,14 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and stream checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only invent one (under
-    the system temp folder) when it is unset, which happens in local tests.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset a
+    local session gets one under the system temp folder; a cluster session is
+    an error, as its executors share no such folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "railyard-ckpt-" + uuid.uuid4().hex[:8])
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():

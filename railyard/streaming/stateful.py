@@ -85,17 +85,31 @@ LIFECYCLE_OUT = ("app BIGINT, state STRING, is_final BOOLEAN, n_applied BIGINT,
 TRANSITION_OUT = "app BIGINT, ts TIMESTAMP, eid BIGINT, state STRING, change STRING"
 
 
+def _n_bytes(body) -> int:
+    if body is None:
+        return 0
+    return len(body.encode("utf-8")) if isinstance(body, str) else len(body)
+
+
+def _in_order(batches, by):
+    """All rows of a key in a micro-batch, in order.  They come in several
+    Arrow chunks, of several files, so no chunk is in order by itself."""
+    parts = [pdf for pdf in batches if len(pdf)]
+    if not parts:
+        return iter(())
+    return pd.concat(parts).sort_values(by, kind="mergesort").itertuples(index=False)
+
+
 def _lifecycle(batches, st):
     out = []
-    for pdf in batches:
-        for r in pdf.sort_values(["ts", "eid"], kind="mergesort").itertuples(index=False):
-            if st["final"]:
-                st["ign"] += 1
-                continue
-            st["state"] = r.state
-            st["app_n"] += 1
-            st["final"] = r.state in FINAL_STATES
-            out.append((r.ts, int(r.eid), r.state))
+    for r in _in_order(batches, ["ts", "eid"]):
+        if st["final"]:
+            st["ign"] += 1
+            continue
+        st["state"] = r.state
+        st["app_n"] += 1
+        st["final"] = r.state in FINAL_STATES
+        out.append((r.ts, int(r.eid), r.state))
     return out
 
 
@@ -169,17 +183,16 @@ def stream_match_responses(events: DataFrame, timeout_seconds: float,
         if state.hasTimedOut:
             expire(state.getCurrentWatermarkMs() * 1000)
         else:
-            for pdf in batches:
-                for r in pdf.sort_values(["ts", "is_req", "eid"], kind="mergesort").itertuples(index=False):
-                    now = _us(r.ts)
-                    expire(now)
-                    if r.is_req == 1:
-                        st["q"].append([now, int(r.eid)])
-                    elif st["q"]:
-                        ts0, e0 = st["q"].pop(0)
-                        out.append((e0, _ts(ts0), int(r.eid), r.ts, "matched"))
-                    else:
-                        out.append((None, None, int(r.eid), r.ts, "orphan"))
+            for r in _in_order(batches, ["ts", "is_req", "eid"]):
+                now = _us(r.ts)
+                expire(now)
+                if r.is_req == 1:
+                    st["q"].append([now, int(r.eid)])
+                elif st["q"]:
+                    ts0, e0 = st["q"].pop(0)
+                    out.append((e0, _ts(ts0), int(r.eid), r.ts, "matched"))
+                else:
+                    out.append((None, None, int(r.eid), r.ts, "orphan"))
         if st["q"]:
             state.update((json.dumps(st),))
             state.setTimeoutTimestamp((st["q"][0][0] + t_us) // 1000 + 1)
@@ -223,17 +236,16 @@ def stream_reassemble(chunks: DataFrame, idle_timeout_ms: int | None = None) ->
             return
         st = _load(state, {"read": 0, "done": False, "exp": None})
         out = []
-        for pdf in batches:
-            for r in pdf.sort_values("chunk_idx", kind="mergesort").itertuples(index=False):
-                st["exp"] = int(r.expected_bytes)
-                st["read"] += len(r.body.encode("utf-8")) if r.body is not None else 0
-                out.append((int(r.chunk_idx), st["read"], "data"))
-                if st["read"] == st["exp"] and not st["done"]:
-                    st["done"] = True
-                    out.append((None, st["read"], "complete"))
-                elif st["read"] > st["exp"] and not st.get("over"):
-                    st["done"] = st["over"] = True
-                    out.append((None, st["read"], "overrun"))
+        for r in _in_order(batches, "chunk_idx"):
+            st["exp"] = int(r.expected_bytes)
+            st["read"] += _n_bytes(r.body)
+            out.append((int(r.chunk_idx), st["read"], "data"))
+            if st["read"] == st["exp"] and not st["done"]:
+                st["done"] = True
+                out.append((None, st["read"], "complete"))
+            elif st["read"] > st["exp"] and not st.get("over"):
+                st["done"] = st["over"] = True
+                out.append((None, st["read"], "overrun"))
         state.update((json.dumps(st),))
         if not st["done"] and idle_timeout_ms:
             state.setTimeoutDuration(int(idle_timeout_ms))

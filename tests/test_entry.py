@@ -27,7 +27,8 @@ def test_oracles_agree_on_tiny_scale(spark):
     q, o = entry.queries(), entry.oracle_sql()
     for name in ["jn2_fifo_match", "ag2_latency_summary", "jn5_resolve_blocks",
                  "wn3_in_order_prefix", "wn5_resolve_retries", "txt4_option_usage",
-                 "arr1_removed_dirs", "wn4_idle_channels_close"]:
+                 "arr1_removed_dirs", "wn4_idle_channels_close", "flt1_tenant_isolation",
+                 "ag3_message_census", "prj4_decode_message_type", "ag1_all_or_nothing"]:
         df = q[name](spark, SF_TINY)
         res = con.sql(o[name])
         assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == \

@@ -113,8 +113,10 @@ def test_resolve_blocks(spark):
          ("app0", "e-sort", ["/bippy", "/flippy"], 7, sort_m),
          ("app0", "e-bogus", ["/x"], 7, "foobar")],
         "app_id STRING, exec_id STRING, local_dirs ARRAY<STRING>, sub_dirs INT, manager STRING")
-    manifest = spark.createDataFrame([(0, 0, 0, 0, 6), (0, 0, 1, 6, 12)],
-                                     "shuffle_id INT, map_id INT, reduce_id INT, offset BIGINT, next_offset BIGINT")
+    manifest = spark.createDataFrame(
+        [("app0", e, 0, 0, r, 6 * r, 6 * r + 6) for e in ("e-sort", "e-hash") for r in (0, 1)]
+        + [("app1", "e-sort", 0, 0, 1, 40, 90)],
+        "app_id STRING, exec_id STRING, shuffle_id INT, map_id INT, reduce_id INT, offset BIGINT, next_offset BIGINT")
     req = spark.createDataFrame(
         [("app0", "e-sort", "shuffle_0_0_1"), ("app0", "e-sort", "shuffle_0_0_5"),
          ("app0", "e-hash", "shuffle_0_0_0"), ("app0", "e-bogus", "shuffle_0_0_0"),
@@ -174,3 +176,24 @@ def test_fifo_match_under_a_hot_channel(spark):
         else:
             got[("req", r["req_id"])] = "outstanding"
     assert got == expect
+
+
+def test_resolve_blocks_of_two_apps_with_the_same_block_ids(spark):
+    reg = spark.createDataFrame([(a, "e", ["/d"], 7, jn.SORT_MANAGERS[0]) for a in ("a", "b")],
+                                "app_id STRING, exec_id STRING, local_dirs ARRAY<STRING>, sub_dirs INT, manager STRING")
+    manifest = spark.createDataFrame([("a", "e", 0, 1, 2, 0, 10), ("b", "e", 0, 1, 2, 5, 99)],
+                                     "app_id STRING, exec_id STRING, shuffle_id INT, map_id INT, reduce_id INT, "
+                                     "offset BIGINT, next_offset BIGINT")
+    req = spark.createDataFrame([("a", "e", "shuffle_0_1_2"), ("b", "e", "shuffle_0_1_2")],
+                                "app_id STRING, exec_id STRING, block_id STRING")
+    got = sorted((r["app_id"], r["offset"], r["length"]) for r in jn.resolve_blocks(req, reg, manifest).collect())
+    assert got == [("a", 0, 10), ("b", 5, 94)]
+
+
+def test_fifo_orphan_with_a_negative_id(spark):
+    import datetime as dt
+    t = [dt.datetime(2024, 1, 1, 0, 0, k) for k in range(5)]
+    req = spark.createDataFrame([(1, t[1], 10), (1, t[2], 11)], "channel LONG, ts TIMESTAMP, id LONG")
+    resp = spark.createDataFrame([(1, t[0], -3), (1, t[3], 20)], "channel LONG, ts TIMESTAMP, id LONG")
+    got = {(r["req_id"], r["resp_id"], r["status"]) for r in jn.fifo_match(req, resp).collect()}
+    assert got == {(None, -3, "orphan"), (10, 20, "matched"), (11, None, "outstanding")}

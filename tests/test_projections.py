@@ -95,3 +95,22 @@ def test_join_nonempty(spark):
                                "p STRING, q STRING, r STRING, s STRING")
     got = [r[0] for r in df.select(join_nonempty("/", "p", "q", "r", "s")).collect()]
     assert got == ["a/b", "", "a/b/c"]
+
+
+def test_isolation_lets_unnamed_clients_through(spark):
+    req = spark.createDataFrame([(1, None), (1, ""), (1, "a"), (2, "a"), (2, "b")], "stream_id INT, client_id STRING")
+    own = spark.createDataFrame([(2, "a")], "stream_id INT, owner_app STRING")
+    got = sorted((r["stream_id"], r["client_id"] or "-", r["status"]) for r in pj.tenant_isolation(req, own).collect())
+    assert got == [(1, "-", "authorized"), (1, "-", "authorized"), (1, "a", "unknown_stream"),
+                   (2, "a", "authorized"), (2, "b", "denied")]
+    rpc = spark.createDataFrame([(None, "x"), ("", "x"), ("x", "x")], "client_id STRING, app_id STRING")
+    assert [r["status"] for r in pj.rpc_isolation(rpc).collect()] == ["authorized", "denied", "authorized"]
+
+
+def test_census_counts_null_fields_as_empty_and_joins_nothing(spark):
+    from railyard.operators.aggregates import message_census
+    m = spark.createDataFrame([(2, None, None), (8, None, "err")], "type_id INT, stream_id STRING, body STRING")
+    out = message_census(pj.decode_message_type(m, "type_id", "message"))
+    got = {r["type_name"]: (r["n"], r["header_bytes"]) for r in out.collect()}
+    assert got == {"ChunkFetchFailure": (1, 25), "StreamFailure": (1, 20)}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
