@@ -50,7 +50,8 @@ def slice_range(df: DataFrame, body: str, offset: Column | str, length: Column |
 def reassemble_chunks(chunks: DataFrame, announced: DataFrame, stream: str = "stream_id",
                       idx: str = "chunk_idx", body: str = "body",
                       expected: str = "expected_bytes") -> DataFrame:
-    """Put pieces back together in index order and check the byte count.
+    """Put pieces back together in index order and check the byte count;
+    the result has the type of the pieces, STRING or BINARY.
 
     ``chunks``: ``stream, idx, body``; ``announced``: ``stream,
     expected_bytes`` (one row per stream).  Output per announced stream:
@@ -72,9 +73,11 @@ def reassemble_chunks(chunks: DataFrame, announced: DataFrame, stream: str = "st
     read = F.coalesce(F.col("__bytes"), F.lit(0).cast("bigint"))
     status = (F.when(read == F.col(expected), "complete")
               .when(read < F.col(expected), "incomplete").otherwise("overrun"))
-    return j.select(stream, expected,
-                    F.coalesce(F.array_join(F.transform("__parts", lambda p: p["b"]), ""),
-                               F.lit("")).alias("text"),
+    if chunks.schema[body].dataType.typeName() == "binary":
+        whole = F.unhex(F.coalesce(F.array_join(F.transform("__parts", lambda p: F.hex(p["b"])), ""), F.lit("")))
+    else:
+        whole = F.coalesce(F.array_join(F.transform("__parts", lambda p: p["b"]), ""), F.lit(""))
+    return j.select(stream, expected, whole.alias("text"),
                     read.alias("bytes_read"),
                     F.coalesce(F.col("n_chunks"), F.lit(0)).alias("n_chunks"),
                     status.alias("status"))

@@ -54,146 +54,165 @@ def peak_outstanding(gauge: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- WN3
-def _run_starts(keys) -> "np.ndarray":
-    """Boolean mask of rows that start a new run of equal keys (numpy)."""
+STATUSES = ["out_of_order", "accepted", "past_end"]
+
+
+def _text_key(df: DataFrame, name: str) -> Column:
+    """A non-null string that tells the values of a column (null too) apart."""
+    c = F.col(name)
+    c = F.hex(c) if df.schema[name].dataType.typeName() == "binary" else c.cast("string")
+    return F.coalesce(F.concat(F.lit("v"), c), F.lit("n"))
+
+
+def _runs(groups, last):
+    """Start positions of the runs of equal strings in an Arrow array, and
+    whether the first run goes on from the run of ``last``."""
     import numpy as np
-    n = len(keys[0])
-    start = np.zeros(n, dtype=bool)
-    if n:
-        start[0] = True
-        for k in keys:
-            start[1:] |= k[1:] != k[:-1]
-    return start
+    import pyarrow.compute as pc
+    change = np.asarray(pc.not_equal(groups[1:], groups[:-1])) if len(groups) > 1 else np.zeros(0, bool)
+    return np.concatenate(([0], np.flatnonzero(change) + 1)).tolist(), groups[0].as_py() == last
 
 
-def _transfer_map(idx_values, n_chunks: int):
+def _transfer_map(indexes, n_chunks: int):
     """Backward pass over one block's chunk indexes (in arrival order): the
     entry states the block changes and the state each leaves it in.  State
     ``e`` = next expected chunk; ``e == n_chunks`` means the stream ended."""
     moves: dict[int, int] = {}
-    for i in idx_values[::-1]:
-        i = int(i)
+    for i in reversed(indexes):
         if 0 <= i < n_chunks:
             moves[i] = moves.get(i + 1, i + 1)
-    return sorted(moves.items())
+    return list(moves), list(moves.values())
+
+
+def _block_maps(batches):
+    """One row per ``(stream, block)`` with the block's transfer map."""
+    import pyarrow as pa
+    head, indexes, n = None, [], 0
+    names = ["__grp", "__key", "__blk"]
+
+    def rows(heads, maps):
+        table = pa.Table.from_batches(heads).combine_chunks()
+        lists = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [table.column(c).combine_chunks() if table.column(c).num_chunks != 1 else table.column(c).chunk(0)
+             for c in names] + [pa.array([m[0] for m in maps], lists), pa.array([m[1] for m in maps], lists)],
+            names=names + ["__from", "__to"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts, same = _runs(batch.column("__grp"), head.column("__grp")[0].as_py() if head else None)
+        values, counts = batch.column("__i").to_pylist(), batch.column("__n")
+        narrow = batch.select(names)
+        heads, maps = [], []
+        for k, at in enumerate(starts):
+            stop = starts[k + 1] if k + 1 < len(starts) else len(values)
+            if k or not same:
+                if head is not None:
+                    heads.append(head)
+                    maps.append(_transfer_map(indexes, n))
+                head, indexes, n = narrow.slice(at, 1), [], counts[at].as_py()
+            indexes.extend(values[at:stop])
+        if heads:
+            yield rows(heads, maps)
+    if head is not None:
+        yield rows([head], [_transfer_map(indexes, n)])
+
+
+def _block_entries(batches):
+    """Next expected chunk at the start of each block of a stream."""
+    import pyarrow as pa
+    key, state = None, 0
+    for batch in batches:
+        entries = []
+        for k, before, after in zip(*(batch.column(c).to_pylist() for c in ("__key", "__from", "__to"))):
+            if k != key:
+                key, state = k, 0
+            entries.append(state)
+            state = dict(zip(before, after)).get(state, state)
+        yield pa.RecordBatch.from_arrays([batch.column("__grp"), pa.array(entries, pa.int64())],
+                                         names=["__grp", "__entry"])
+
+
+def _label(columns):
+    """Rows with their status; the other columns pass as they are."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        last, state = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, same = _runs(batch.column("__grp"), last)
+            values, counts, entries = (batch.column(c) for c in ("__i", "__n", "__entry"))
+            values = values.to_pylist()
+            codes = np.zeros(len(values), np.int8)
+            for k, at in enumerate(starts):
+                stop = starts[k + 1] if k + 1 < len(starts) else len(values)
+                if k or not same:
+                    state = entries[at].as_py()
+                n = counts[at].as_py()
+                for r in range(at, stop):
+                    if state >= n:
+                        codes[r:stop] = 2
+                        break
+                    if values[r] == state:
+                        codes[r] = 1
+                        state += 1
+            last = batch.column("__grp")[len(values) - 1].as_py()
+            status = pa.array(STATUSES).take(pa.array(codes))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), status],
+                                             names=[*columns, "status"])
+    return run
 
 
 def in_order_prefix(df: DataFrame, stream: str, arrival: str, tiebreak: str, idx: str,
-                    n_chunks: int, block: Column | None = None,
+                    n_chunks: int | str, block: Column | None = None,
                     num_partitions: int | None = None) -> DataFrame:
     """In-order chunk acceptance per stream.
 
     A request succeeds only when its index equals the next expected one
-    (``accepted``); a wrong index fails without advancing (``out_of_order``);
-    once the last chunk is served the stream is gone (``past_end``).
+    (``accepted``); a wrong or null index fails without advancing
+    (``out_of_order``); once the last chunk is served the stream is gone
+    (``past_end``).  ``n_chunks`` is the number of chunks of every stream, or
+    the name of a column that gives it (the same on all rows of a stream; a
+    null count serves nothing).  A null stream is a stream of its own.
 
     The rule is a fold with a small state (next expected index), run as a
     three-level scan so no stream has to fit one task:
-    (1) per ``(stream, block)``: the block's transfer map (entry state → exit
+    (1) per ``(stream, block)``: the block's transfer map (entry state to exit
     state, only for states the block changes) in one backward pass;
     (2) per stream, over one row per block: every block's entry state;
     (3) per ``(stream, block)``: label the rows from that entry state.
-    Levels 1 and 3 share one shuffle of the rows by ``(stream, block)``; each
-    level streams through partitions sorted by key with ``mapInPandas``
-    (one Python loop per Arrow batch, state carried across batch edges), so
-    only the current block's index column is ever buffered.
+    Each level streams through sorted partitions with ``mapInArrow``, state
+    carried across batches, so only the current block's indexes are buffered
+    and the rows' own columns never leave Arrow.
     """
-    import numpy as np
-    import pandas as pd
     from pyspark.sql import types as T
 
     from railyard.session import ship_package
     ship_package(df.sparkSession)
-    n = int(n_chunks)
-    cols = df.columns
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = df.withColumn("__blk", block if block is not None else F.lit(0))
-    rows = (tagged.repartition(parts, stream, "__blk")
-            .sortWithinPartitions(stream, "__blk", arrival, tiebreak))
-    stream_type = df.schema[stream].dataType.simpleString()
-    blk_type = tagged.schema["__blk"].dataType.simpleString()
-
-    def level1(batches):
-        key, buf = None, []
-        out_s, out_b, out_f, out_t = [], [], [], []
-
-        def emit():
-            moves = _transfer_map(np.concatenate(buf), n)
-            out_s.append(key[0]); out_b.append(key[1])
-            out_f.append([m[0] for m in moves]); out_t.append([m[1] for m in moves])
-
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            sv, bv, iv = pdf[stream].to_numpy(), pdf["__blk"].to_numpy(), pdf[idx].to_numpy()
-            starts = np.flatnonzero(_run_starts([sv, bv])).tolist() + [len(pdf)]
-            for a, b in zip(starts[:-1], starts[1:]):
-                k = (sv[a], bv[a])
-                if key is not None and k != key:
-                    emit()
-                    buf = []
-                key = k
-                buf.append(iv[a:b])
-            if len(out_s) > 0:
-                yield pd.DataFrame({stream: out_s, "__blk": out_b, "__from": out_f, "__to": out_t})
-                out_s, out_b, out_f, out_t = [], [], [], []
-        if key is not None:
-            emit()
-            yield pd.DataFrame({stream: out_s, "__blk": out_b, "__from": out_f, "__to": out_t})
-
-    def level2(batches):
-        cur, e = None, 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            entries = []
-            for s_, frm, to in zip(pdf[stream].to_numpy(), pdf["__from"], pdf["__to"]):
-                if s_ != cur:
-                    cur, e = s_, 0
-                entries.append(e)
-                e = dict(zip(frm, to)).get(e, e)
-            yield pd.DataFrame({stream: pdf[stream].to_numpy(), "__blk": pdf["__blk"].to_numpy(),
-                                "__entry": entries})
-
-    out_schema = T.StructType(df.schema.fields + [T.StructField("status", T.StringType())])
-
-    def level3(batches):
-        key, e = None, 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            sv, bv = pdf[stream].to_numpy(), pdf["__blk"].to_numpy()
-            iv = pdf[idx].to_numpy()
-            ev = pdf["__entry"].fillna(0).to_numpy()
-            starts = _run_starts([sv, bv])
-            status = [None] * len(pdf)
-            for r in range(len(pdf)):
-                if starts[r]:
-                    k = (sv[r], bv[r])
-                    if k != key:
-                        key, e = k, int(ev[r])
-                i = iv[r]
-                if e >= n:
-                    status[r] = "past_end"
-                elif i == e:
-                    status[r] = "accepted"
-                    e += 1
-                else:
-                    status[r] = "out_of_order"
-            res = pdf[cols]
-            res = res.assign(status=status)
-            yield res
-
+    count = F.col(n_chunks) if isinstance(n_chunks, str) else F.lit(int(n_chunks))
+    tagged = df.select("*", _text_key(df, stream).alias("__key"),
+                       (block if block is not None else F.lit(0)).alias("__blk"),
+                       F.coalesce(F.col(idx).cast("bigint"), F.lit(-1)).alias("__i"),
+                       F.coalesce(count.cast("bigint"), F.lit(0)).alias("__n"))
+    tagged = tagged.withColumn("__grp", F.concat_ws(":", F.length("__key").cast("string"), "__key",
+                                                    _text_key(tagged, "__blk")))
+    order = ["__grp", arrival, tiebreak]
+    rows = tagged.repartition(parts, "__grp").sortWithinPartitions(*order)
     if block is None:
-        labelled = rows.withColumn("__entry", F.lit(0))
+        labelled = rows.withColumn("__entry", F.lit(0).cast("bigint"))
     else:
-        maps = rows.select(stream, "__blk", idx).mapInPandas(
-            level1, f"{stream} {stream_type}, __blk {blk_type}, __from array<int>, __to array<int>")
-        entry = (maps.repartition(parts, stream).sortWithinPartitions(stream, "__blk")
-                 .mapInPandas(level2, f"{stream} {stream_type}, __blk {blk_type}, __entry int"))
-        labelled = (rows.join(entry, [stream, "__blk"], "left")
-                    .sortWithinPartitions(stream, "__blk", arrival, tiebreak))
-    return labelled.mapInPandas(level3, out_schema)
+        blk = tagged.schema["__blk"].dataType.simpleString()
+        maps = rows.select("__grp", "__key", "__blk", "__i", "__n").mapInArrow(
+            _block_maps, f"__grp string, __key string, __blk {blk}, __from array<bigint>, __to array<bigint>")
+        entry = (maps.repartition(parts, "__key").sortWithinPartitions("__key", "__blk")
+                 .mapInArrow(_block_entries, "__grp string, __entry bigint"))
+        labelled = rows.join(entry, "__grp", "left").sortWithinPartitions(*order)
+    out = T.StructType(df.schema.fields + [T.StructField("status", T.StringType())])
+    return labelled.mapInArrow(_label(df.columns), out)
 
 
 # --------------------------------------------------------------------------- WN4
@@ -229,14 +248,10 @@ def idle_channels(gauge: DataFrame, timeout_seconds: float, as_of: Column,
     verdict = F.when(F.col("outstanding") > 0, "dead")
     if close_idle:
         verdict = verdict.otherwise("idle_closed")
-    acted = (g.filter(fires & verdict.isNotNull())
-             .select("channel", F.struct(
-                 F.timestamp_add("MICROSECOND", wait_us, F.col("ts")).alias("at"),
-                 F.col("eid").alias("after_eid"), verdict.alias("verdict"),
-                 F.col("outstanding").alias("outstanding")).alias("v"))
-             .groupBy("channel").agg(F.min("v").alias("v")))
-    chans = gauge.select("channel").distinct()
-    return (chans.join(acted, "channel", "left")
+    act = F.struct(F.timestamp_add("MICROSECOND", wait_us, F.col("ts")).alias("at"),
+                   F.col("eid").alias("after_eid"), verdict.alias("verdict"),
+                   F.col("outstanding").alias("outstanding"))
+    return (g.groupBy("channel").agg(F.min(F.when(fires & verdict.isNotNull(), act)).alias("v"))
             .select("channel", F.coalesce(F.col("v.verdict"), F.lit("alive")).alias("status"),
                     F.col("v.at").alias("closed_at"), F.col("v.outstanding").alias("outstanding")))
 
@@ -299,7 +314,7 @@ def activity_sessions(events: DataFrame, channel: str = "channel", ts: str = "ts
 # --------------------------------------------------------------------------- WN5
 def resolve_retries(attempts: DataFrame, request: str = "request", item: str = "item",
                     attempt: str = "attempt", seq: str = "seq", outcome: str = "outcome",
-                    max_retries: int = 3, materialize: bool = True) -> DataFrame:
+                    max_retries: int = 3) -> DataFrame:
     """Settle a retried multi-item fetch.
 
     ``attempts``: one row per answer — ``request, item, attempt, seq, outcome``
@@ -310,65 +325,72 @@ def resolve_retries(attempts: DataFrame, request: str = "request", item: str = "
     later answer of the current attempt is ignored (even successes); an
     ``io_error`` with no budget left is final (``failed_io``).  Answers for
     already settled items and for attempts that never became live are
-    skipped.
+    skipped, as are answers without a ``seq``; their items are listed.
 
     Output per ``(request, item)``: ``status`` (``ok`` / ``failed`` /
     ``failed_io`` / ``outstanding``), ``attempt_used`` and ``retries`` (per
-    request).  Runs as ``max_retries + 1`` unrolled steps, each a handful of
-    joins and partial aggregates keyed by request or (request, item) — no
-    per-request collection.  With ``materialize`` the log, each step's
-    triggers (read three times) and the settled set (read twice by the next
-    step) are checkpointed, so every step's plan stays one step deep instead
-    of doubling.
+    request).
+
+    The log is reduced once, by partial aggregation, to a row per item with
+    each attempt's first final answer and first ``io_error``.  Attempt ``a``
+    then needs the moments at which a request's earlier attempts were given
+    up: a table of one row per request that each step joins to the items and
+    aggregates into the next, ``max_retries`` times.  The items' shuffle is
+    the same in all steps, so it is reused; nothing runs before an action.
     """
-    rows = attempts.select(F.col(request).alias("req"), F.col(item).alias("item"),
-                           F.col(attempt).cast("int").alias("att"), F.col(seq).alias("seq"),
-                           F.col(outcome).alias("out"))
-    if materialize:
-        # Every step re-reads the log; cut its lineage once (reliable
-        # checkpoint in the shared checkpoint folder, survives lost executors).
-        from railyard.session import checkpoint_root
-        checkpoint_root(attempts.sparkSession)
-        rows = rows.checkpoint(eager=True)
-    settled = None
-    triggers = None
-    live = None
+    att, out = F.col(attempt).cast("int"), F.col(outcome)
+    known = F.col(seq).isNotNull()
+    firsts = []
     for a in range(max_retries + 1):
-        ra = rows.filter(F.col("att") == a)
-        if live is not None:
-            ra = ra.join(live, "req", "left_semi")
-        if settled is not None:
-            ra = ra.join(settled.select("req", "item"), ["req", "item"], "left_anti")
-        ff = (ra.filter(F.col("out").isin("ok", "fatal")).groupBy("req", "item")
-              .agg(F.min("seq").alias("ff_seq")))
-        ra = ra.join(ff, ["req", "item"], "left")
-        final = F.col("out").isin("ok", "fatal")
-        if a < max_retries:
-            trig = (ra.filter((F.col("out") == "io_error") &
-                              (F.col("ff_seq").isNull() | (F.col("ff_seq") > F.col("seq"))))
-                    .groupBy("req").agg(F.min("seq").alias("trig_seq")))
-            if materialize:
-                trig = trig.checkpoint(eager=True)
-            ra = ra.join(trig, "req", "left").filter(
-                F.col("trig_seq").isNull() | (F.col("seq") < F.col("trig_seq")))
-            step_trig = trig.select("req", F.lit(a).alias("att"))
-            triggers = step_trig if triggers is None else triggers.unionByName(step_trig)
-            live = trig.select("req")
-        else:
-            final = final | (F.col("out") == "io_error")
-        new = (ra.filter(final).groupBy("req", "item")
-               .agg(F.min_by("out", "seq").alias("out"))
-               .select("req", "item",
-                       F.when(F.col("out") == "ok", "ok").when(F.col("out") == "fatal", "failed")
-                       .otherwise("failed_io").alias("status"),
-                       F.lit(a).alias("attempt_used")))
-        settled = new if settled is None else settled.unionByName(new)
-        if materialize:
-            settled = settled.checkpoint(eager=True)
-    retries = triggers.groupBy("req").agg(F.count("*").cast("int").alias("retries"))
-    items = rows.select("req", "item").distinct()
-    return (items.join(settled, ["req", "item"], "left").join(retries, "req", "left")
-            .select(F.col("req").alias(request), F.col("item").alias(item),
-                    F.coalesce(F.col("status"), F.lit("outstanding")).alias("status"),
-                    "attempt_used",
-                    F.coalesce(F.col("retries"), F.lit(0)).alias("retries")))
+        here = known & (att == a)
+        firsts += [F.min(F.when(here & out.isin("ok", "fatal"),
+                                F.struct(F.col(seq).alias("seq"), out.alias("out")))).alias(f"ff{a}"),
+                   F.min(F.when(here & (out == "io_error"), F.col(seq))).alias(f"io{a}")]
+    items = (attempts.groupBy(F.col(request).alias("req"), F.col(item).alias("item")).agg(*firsts)
+             .select("req", "item", F.array(*[
+                 F.struct(F.col(f"ff{a}").alias("ff"), F.col(f"io{a}").alias("io"))
+                 for a in range(max_retries + 1)]).alias("tries")))
+
+    def first(a: int) -> Column:
+        return F.col("tries")[a]["ff"]
+
+    def gave_up(a: int) -> Column:
+        return F.col(f"t{a}")
+
+    def live(a: int) -> Column:
+        return gave_up(a - 1).isNotNull() if a else F.lit(True)
+
+    def settled(a: int) -> Column:
+        return (live(a) & first(a).isNotNull()
+                & F.coalesce(first(a)["seq"] < gave_up(a), F.lit(True)))
+
+    def with_moments(moments: DataFrame | None) -> DataFrame:
+        if moments is None:
+            return items
+        moments = moments.withColumnRenamed("req", "__req")
+        return items.join(moments, F.col("req").eqNullSafe(F.col("__req")), "left").drop("__req")
+
+    moments = None
+    for a in range(max_retries):
+        io = F.col("tries")[a]["io"]
+        open_ = live(a)
+        for earlier in range(a):
+            open_ = open_ & ~settled(earlier)
+        starts = open_ & io.isNotNull() & F.coalesce(first(a)["seq"] > io, F.lit(True))
+        moments = with_moments(moments).groupBy("req").agg(
+            *[F.min(f"t{b}").alias(f"t{b}") for b in range(a)], F.min(F.when(starts, io)).alias(f"t{a}"))
+
+    last = max_retries
+    io = F.col("tries")[last]["io"]
+    final = F.least(first(last), F.when(io.isNotNull(), F.struct(io.alias("seq"), F.lit("io_error").alias("out"))))
+    ends = [F.when(settled(a), F.struct(first(a)["out"].alias("out"), F.lit(a).alias("att")))
+            for a in range(last)]
+    ends.append(F.when(live(last) & final.isNotNull(), F.struct(final["out"].alias("out"), F.lit(last).alias("att"))))
+    retries = F.lit(0)
+    for a in range(last):
+        retries = retries + gave_up(a).isNotNull().cast("int")
+    status = (F.when(F.col("end").isNull(), "outstanding").when(F.col("end.out") == "ok", "ok")
+              .when(F.col("end.out") == "fatal", "failed").otherwise("failed_io"))
+    return (with_moments(moments).select("req", "item", F.coalesce(*ends).alias("end"), retries.alias("retries"))
+            .select(F.col("req").alias(request), F.col("item").alias(item), status.alias("status"),
+                    F.col("end.att").alias("attempt_used"), "retries"))

@@ -294,25 +294,30 @@ def rendered_customer_json(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def rendered_nation_kv(spark: SparkSession, sf_dir: str) -> str:
-    """SRC3: ``n_nationkey^An_name`` lines."""
-    path = _scratch(spark, "nation-kv")
-    n = table(spark, sf_dir, "nation")
-    n.select(F.concat_ws("\x01", F.col("n_nationkey").cast("string"), "n_name").alias("value")) \
+def rendered_customer_kv(spark: SparkSession, sf_dir: str) -> str:
+    """SRC3: ``c_custkey^Ac_name`` lines."""
+    path = _scratch(spark, "customer-kv")
+    c = table(spark, sf_dir, "customer")
+    c.select(F.concat_ws("\x01", F.col("c_custkey").cast("string"), "c_name").alias("value")) \
         .write.text(path)
     return path
 
 
-def rendered_region_properties(spark: SparkSession, sf_dir: str) -> str:
-    """SRC4: ``region.<key> = <name>`` lines with padding, plus a comment,
-    a ``!`` comment and a blank line per region."""
-    path = _scratch(spark, "region-props")
-    r = table(spark, sf_dir, "region")
-    kv = F.concat(F.lit("  region."), F.col("r_regionkey").cast("string"), F.lit(" = "),
-                  F.col("r_name"), F.lit("  "))
-    lines = F.array(F.concat(F.lit("# region "), F.col("r_regionkey").cast("string")), kv,
-                    F.lit(""), F.lit("! end"))
-    r.select(F.explode(lines).alias("value")).write.text(path)
+def rendered_customer_properties(spark: SparkSession, sf_dir: str) -> str:
+    """SRC4: per customer a comment, a blank line and ``cust.<key>`` set to
+    the name, by ``c_custkey % 4`` with a padded ``=``, a ``:`` and an escape
+    in the key, white space, or on two lines; ``c_custkey % 7 = 0`` adds a
+    line with a malformed escape."""
+    path = _scratch(spark, "customer-props")
+    c = table(spark, sf_dir, "customer")
+    k, m = F.col("c_custkey").cast("string"), F.col("c_custkey") % 4
+    kv = (F.when(m == 0, F.concat(F.lit("  cust."), k, F.lit(" = "), "c_name", F.lit("  ")))
+          .when(m == 1, F.concat(F.lit("cust\\u002e"), k, F.lit(":"), "c_name"))
+          .when(m == 2, F.concat(F.lit("cust."), k, F.lit("\t"), "c_name"))
+          .otherwise(F.concat(F.lit("cust\\\n   ."), k, F.lit("="), "c_name")))
+    bad = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("bad."), k, F.lit(" = \\u12")))
+    lines = F.array(F.concat(F.lit("# customer "), k, F.lit("\\")), kv, F.lit(""), F.lit("! end"), bad)
+    c.select(F.explode(lines).alias("value")).filter("value IS NOT NULL").write.text(path)
     return path
 
 

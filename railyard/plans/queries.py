@@ -540,10 +540,26 @@ def q_in_order_prefix(spark, sf):
                               5, block=time_block("ts", "day"))
 
 
-# No oracle SQL: the recursive CTE that checks WN3 walks one row per step, and
-# on the hot stream (a third of all events) it exhausts memory; the query is
-# checked against a brute-force walk in tests/test_windows.py instead.
-@register("wn3_in_order_prefix_hot_stream")
+# The recursive walk above takes one step per row, too many on the hot stream;
+# with five chunks, each chunk is served by its first request after the last one's.
+@register("wn3_in_order_prefix_hot_stream", """
+WITH r0 AS (
+  SELECT CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id, ts, event_id,
+         CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS INTEGER) AS idx
+  FROM events
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM r0
+), a0 AS (SELECT user_id, min(rn) AS at FROM r WHERE idx = 0 GROUP BY user_id)
+""" + "".join(f""", a{i} AS (SELECT r.user_id, min(rn) AS at FROM r JOIN a{i - 1} p ON p.user_id = r.user_id
+               WHERE r.idx = {i} AND rn > p.at GROUP BY r.user_id)
+""" for i in range(1, 5)) + """
+SELECT r.user_id, r.ts, r.event_id, r.idx,
+       CASE WHEN rn > a4.at THEN 'past_end' WHEN rn IN (a0.at, a1.at, a2.at, a3.at, a4.at) THEN 'accepted'
+            ELSE 'out_of_order' END AS status
+FROM r LEFT JOIN a0 ON a0.user_id = r.user_id LEFT JOIN a1 ON a1.user_id = r.user_id
+LEFT JOIN a2 ON a2.user_id = r.user_id LEFT JOIN a3 ON a3.user_id = r.user_id
+LEFT JOIN a4 ON a4.user_id = r.user_id
+""")
 def q_in_order_prefix_hot_stream(spark, sf):
     from railyard.operators import windows as wn
     from railyard.operators.scan import time_block
@@ -773,18 +789,22 @@ def q_scan_json_lines(spark, sf):
                                "c_name STRING, c_custkey BIGINT")
 
 
-@register("src3_scan_ctrl_a_kv", "SELECT n_nationkey AS key, n_name AS value FROM nation")
+@register("src3_scan_ctrl_a_kv", "SELECT c_custkey AS key, c_name AS value FROM customer")
 def q_scan_ctrl_a_kv(spark, sf):
     from railyard import sources as src
-    return src.scan_ctrl_a_kv(spark, b.rendered_nation_kv(spark, sf))
+    return src.scan_ctrl_a_kv(spark, b.rendered_customer_kv(spark, sf))
 
 
 @register("src4_scan_properties", """
-SELECT 'defaults' AS layer, 'region.' || r_regionkey AS key, r_name AS value FROM region
+SELECT 'defaults' AS layer, 'cust.' || c_custkey AS key, c_name AS value,
+       CAST(NULL AS VARCHAR) AS reject_reason FROM customer
+UNION ALL
+SELECT 'defaults', CAST(NULL AS VARCHAR), 'bad.' || c_custkey || ' = \\u12', 'malformed_escape'
+FROM customer WHERE c_custkey % 7 = 0
 """)
 def q_scan_properties(spark, sf):
     from railyard import sources as src
-    return src.scan_properties(spark, b.rendered_region_properties(spark, sf), "defaults")
+    return src.scan_properties(spark, b.rendered_customer_properties(spark, sf), "defaults")
 
 
 @register("src5_scan_segments")

@@ -7,18 +7,29 @@ column pruning and filters reach the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 # --------------------------------------------------------------------------- SRC1
+def _with_reject(schema: StructType | str, reject_col: str | None) -> StructType | str:
+    if reject_col is None:
+        return schema
+    if isinstance(schema, str):
+        return f"{schema}, {reject_col} STRING"
+    return StructType(schema.fields + [StructField(reject_col, StringType())])
+
+
 def scan_delimited(spark: SparkSession, path: str, schema: StructType | str,
-                   sep: str = ",") -> DataFrame:
+                   sep: str = ",", reject_col: str | None = None) -> DataFrame:
     """Delimited text rows (``name, age``): the blank after a separator is
-    not data.  Malformed numeric fields become null (PERMISSIVE)."""
-    return spark.read.csv(path, schema=schema, sep=sep, ignoreLeadingWhiteSpace=True,
-                          ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
+    not data.  Malformed numeric fields become null (PERMISSIVE); name a
+    ``reject_col`` to get the whole line of every row with a malformed field
+    or a wrong number of fields (null on good rows)."""
+    return spark.read.csv(path, schema=_with_reject(schema, reject_col), sep=sep,
+                          ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
+                          mode="PERMISSIVE", columnNameOfCorruptRecord=reject_col)
 
 
 # --------------------------------------------------------------------------- SRC2
@@ -34,25 +45,56 @@ def scan_json_lines(spark: SparkSession, path: str,
 
 
 # --------------------------------------------------------------------------- SRC3
-def scan_ctrl_a_kv(spark: SparkSession, path: str) -> DataFrame:
-    """``key^Avalue`` rows as ``key INT, value STRING``; duplicate keys are
-    legal and kept."""
-    return spark.read.csv(path, schema="key INT, value STRING", sep="\x01", quote="",
-                          escape="", mode="PERMISSIVE")
+def scan_ctrl_a_kv(spark: SparkSession, path: str, reject_col: str | None = None) -> DataFrame:
+    """``key^Avalue`` rows as ``key BIGINT, value STRING``; duplicate keys are
+    legal and kept.  ``reject_col`` as in ``scan_delimited``."""
+    return spark.read.csv(path, schema=_with_reject("key BIGINT, value STRING", reject_col), sep="\x01",
+                          quote="", escape="", mode="PERMISSIVE", columnNameOfCorruptRecord=reject_col)
 
 
 # --------------------------------------------------------------------------- SRC4
+# A comment, or a line with everything its escapes hold (line ends too).
+_LOGICAL_LINE = r"[ \t\f]*+[#!][^\r\n]*+|[^\\\r\n]*+(?:\\(?:\r\n|[\s\S]|\z)[^\\\r\n]*+)*+"
+_CONTINUED = r"(\\[^\r\n])|\\(?:\r\n|\r|\n|\z)[ \t\f]*"
+_KEY_VALUE = r"^([^\\=: \t\f]*+(?:\\[\s\S][^\\=: \t\f]*+)*+)[ \t\f]*+[=:]?[ \t\f]*+([\s\S]*+)\z"
+_PIECE = r"(?:\\u[0-9a-fA-F]{4})+|\\[\s\S]|[^\\]++"
+_ESCAPES_OK = (r"^[^\\]*+(?:\\(?:[^u]|u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+               r"|u(?![dD][89a-fA-F])[0-9a-fA-F]{4})[^\\]*+)*+\z")
+_CONTROL = {"t": "\t", "n": "\n", "r": "\r", "f": "\f"}
+
+
+def _unescape(c: Column) -> Column:
+    def piece(p: Column) -> Column:
+        letter = F.substring(p, 2, 1)
+        plain = F.when(p.rlike(r"^\\u"), F.decode(F.unhex(F.replace(p, F.lit("\\u"), F.lit(""))), "UTF-16BE"))
+        for name, char in _CONTROL.items():
+            plain = plain.when(p == "\\" + name, F.lit(char))
+        return plain.when(p.startswith("\\"), letter).otherwise(p)
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0)), piece), "")
+
+
 def scan_properties(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    """Properties file as ``(layer, key, value)`` rows.  Supported form:
-    ``key=value`` split at the first ``=``, key and value trimmed; blank
-    lines and lines starting with ``#`` or ``!`` are skipped, as are lines
-    without ``=``."""
-    lines = spark.read.text(path).select(F.trim(F.col("value")).alias("line"))
-    kept = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#")
-                        & ~F.col("line").startswith("!") & F.col("line").contains("="))
-    parts = F.split(F.col("line"), "=", 2)
-    return kept.select(F.lit(layer).alias("layer"), F.trim(F.get(parts, 0)).alias("key"),
-                       F.trim(F.get(parts, 1)).alias("value"))
+    """Properties files as ``(layer, key, value, reject_reason)`` rows, in
+    the format's whole grammar: ``=``, ``:`` or white space between key and
+    value, comments with ``#`` or ``!``, lines continued by a backslash,
+    ``\\t \\n \\r \\f \\uXXXX`` and other escapes; values are trimmed.  A line
+    whose unicode escape is malformed (or half a surrogate pair) is kept:
+    null key, the line as value, ``malformed_escape`` as reason.  A key that
+    is set twice gives two rows.  Continuations tie lines together, so a
+    settings file is read as one cell."""
+    lines = (spark.read.text(path, wholetext=True)
+             .select(F.explode(F.regexp_extract_all("value", F.lit(_LOGICAL_LINE), F.lit(0))).alias("line"))
+             .filter(~F.col("line").rlike(r"^[ \t\f]*[#!]"))
+             .select(F.regexp_replace(F.regexp_replace("line", _CONTINUED, "$1"), r"^[ \t\f]+", "").alias("line"))
+             .filter("line <> ''"))
+    ok = F.col("line").rlike(_ESCAPES_OK)
+    value = F.regexp_replace(_unescape(F.regexp_extract("line", _KEY_VALUE, 2)),
+                             r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
+    return lines.select(
+        F.lit(layer).alias("layer"),
+        F.when(ok, _unescape(F.regexp_extract("line", _KEY_VALUE, 1))).alias("key"),
+        F.when(ok, value).otherwise(F.col("line")).alias("value"),
+        F.when(~ok, "malformed_escape").alias("reject_reason"))
 
 
 # --------------------------------------------------------------------------- SRC5

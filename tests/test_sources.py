@@ -29,11 +29,27 @@ def test_scan_ctrl_a_kv_keeps_duplicates(spark, tmp_path):
                                                        (3, 'x,"y"')]
 
 
+def test_scan_rejects(spark, tmp_path):
+    p = _write(tmp_path / "people.txt", "Ann, 29\nBo, many\nCy, 19, 7\n")
+    assert rows(src.scan_delimited(spark, str(p), "name STRING, age INT", reject_col="bad")) == [
+        ("Ann", 29, None), ("Bo", None, "Bo, many"), ("Cy", 19, "Cy, 19, 7")]
+    k = _write(tmp_path / "kv.txt", "9007199254740993\x01a\nx\x01b\n")
+    got = {r["value"]: (r["key"], r["bad"]) for r in src.scan_ctrl_a_kv(spark, str(k), reject_col="bad").collect()}
+    assert got == {"a": (9007199254740993, None), "b": (None, "x\x01b")}
+
+
 def test_scan_properties(spark, tmp_path):
     p = _write(tmp_path / "defaults.conf",
-               "# comment\n! also comment\n\n spark.a = 1 \nspark.b=x=y\nnoequals\nspark.c=\n")
-    assert rows(src.scan_properties(spark, str(p), "file")) == [
-        ("file", "spark.a", "1"), ("file", "spark.b", "x=y"), ("file", "spark.c", "")]
+               "# comment\\\n! also comment\n\n spark.a = 1 \nspark.b=x=y\nnovalue\nspark.c 3\nspark.d:4\n"
+               "\tspark.e\t=\t5\t\n\t# c=1\ntwo\\\n   .lines = a\\\n  b\nwith\\ blank\\=key = v\\tw\\\\\n"
+               "uni = \\u00e9\\ud83d\\ude00\nbad = \\u12\nend = x\\")
+    got = {r["key"]: r["value"] for r in src.scan_properties(spark, str(p), "file").collect()
+           if r["reject_reason"] is None}
+    assert got == {"spark.a": "1", "spark.b": "x=y", "novalue": "", "spark.c": "3", "spark.d": "4",
+                   "spark.e": "5", "two.lines": "ab", "with blank=key": "v\tw\\",
+                   "uni": "\u00e9\U0001F600", "end": "x"}
+    bad = src.scan_properties(spark, str(p), "file").filter("reject_reason IS NOT NULL").collect()
+    assert [tuple(r) for r in bad] == [("file", None, "bad = \\u12", "malformed_escape")]
 
 
 def test_scan_segments(spark, tmp_path):

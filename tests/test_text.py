@@ -127,3 +127,12 @@ def test_reassemble_frames_random_cuts(spark):
     assert [(r["status"], r["length"]) for r in tail] == [("incomplete_tail", 11)]
     assert [(r["status"], r["length"]) for r in out if r["conn"] == 8] == [("bad_length", 0)]
     assert [(r["status"], r["length"]) for r in out if r["conn"] == 9] == [("bad_length", -9)]
+
+
+def test_reassemble_binary_keeps_bytes(spark):
+    chunks = spark.createDataFrame([(1, 1, b"\x00a"), (1, 0, b"\xff\xfe"), (2, 0, None)],
+                                   "stream_id INT, chunk_idx INT, body BINARY")
+    ann = spark.createDataFrame([(1, 4), (2, 0), (3, 0)], "stream_id INT, expected_bytes BIGINT")
+    got = {r["stream_id"]: (bytes(r["text"]), r["status"])
+           for r in tx.reassemble_chunks(chunks, ann).collect()}
+    assert got == {1: (b"\xff\xfe\x00a", "complete"), 2: (b"", "complete"), 3: (b"", "complete")}

@@ -62,6 +62,57 @@ def test_in_order_prefix_random_blocks(spark):
         assert [out[d[2]] for d in mine] == exp
 
 
+def test_in_order_prefix_nulls_large_ids_and_counts(spark):
+    big = 1 << 60
+    data = [(s, t(i), i, x, n, "p") for i, (s, x, n) in enumerate(
+        [(None, 0, 2), (big, 0, 3), (big + 1, 0, 1), (None, None, 2), (big, 1, 3), (big + 1, 1, 1),
+         (None, 1, 2), (big, None, 3), (None, 0, 2), (big, 2, 3), (7, 0, None)])]
+    df = spark.createDataFrame(data, "s BIGINT, ts TIMESTAMP, id INT, idx INT, n INT, p STRING")
+    exp = ["accepted", "accepted", "accepted", "out_of_order", "accepted", "past_end",
+           "accepted", "out_of_order", "past_end", "accepted", "past_end"]
+    for block in (None, (F.col("id") / 4).cast("int")):
+        got = sorted(wn.in_order_prefix(df, "s", "ts", "id", "idx", "n", block=block).collect(),
+                     key=lambda r: r["id"])
+        assert [r["status"] for r in got] == exp
+        assert [(r["s"], r["idx"], r["n"], r["p"]) for r in got] == [(d[0], d[3], d[4], d[5]) for d in data]
+
+
+def walk_retries(answers, max_retries):
+    """Settle one request's answers ``(item, attempt, seq, outcome)`` in order."""
+    status, retries = {a[0]: "outstanding" for a in answers}, 0
+    for attempt in range(max_retries + 1):
+        again = False
+        for item, _, _, outcome in sorted((a for a in answers if a[1] == attempt), key=lambda a: a[2]):
+            if status[item] != "outstanding":
+                continue
+            if outcome == "io_error" and attempt < max_retries:
+                again = True
+                break
+            status[item] = {"ok": "ok", "fatal": "failed", "io_error": "failed_io"}[outcome]
+        if not again:
+            break
+        retries += 1
+    return status, retries
+
+
+def test_resolve_retries_vs_walk(spark):
+    rnd = random.Random(11)
+    data = []
+    for req in [None, *range(60)]:
+        for att in range(4):
+            items = [i for i in range(rnd.randint(1, 6)) for _ in range(rnd.randint(0, 2))]
+            rnd.shuffle(items)
+            data += [(req, i, att, q, rnd.choice(["ok", "io_error", "fatal"])) for q, i in enumerate(items)]
+    df = spark.createDataFrame(data, "request INT, item INT, attempt INT, seq BIGINT, outcome STRING")
+    out = wn.resolve_retries(df, max_retries=3).collect()
+    assert len(out) == len({d[:2] for d in data})
+    for req in {d[0] for d in data}:
+        status, retries = walk_retries([d[1:] for d in data if d[0] == req], 3)
+        mine = [r for r in out if r["request"] == req]
+        assert {r["item"]: r["status"] for r in mine} == status
+        assert {r["retries"] for r in mine} == {retries}
+
+
 # Retry scripts: per attempt, the answers in arrival order.
 SCRIPTS = {
     "no_failure": ([[("b0", "ok"), ("b1", "ok")]], {"b0": "ok", "b1": "ok"}, 0),
