@@ -16,29 +16,41 @@ from railyard.functions import micros_between
 # --------------------------------------------------------------------------- AG2
 def latency_summary(matched: DataFrame, peer: str = "channel", start: str = "req_ts",
                     end: str = "resp_ts", approx: bool = False,
-                    accuracy: int = 10_000) -> DataFrame:
+                    accuracy: int = 10_000, blocks_per_doubling: int = 16) -> DataFrame:
     """Per peer: number of completed exchanges and their latency in
     microseconds (total, mean, median, min, max).  Rows without an ``end``
     are not completed and are skipped.
 
-    The median is exact by default (``percentile``: its buffer holds one
-    count per distinct latency of the peer, so a peer with a huge share of
-    all exchanges makes one large buffer).  ``approx=True`` uses
-    ``percentile_approx`` instead — a fixed-size sketch per peer and per
-    task, merged after the shuffle — for peers too hot for the exact form.
-    Count, sum, min and max are partial aggregates either way.
+    The median is exact by default: exchanges are counted per peer and
+    latency, the counts summed up along the latencies (a scan in blocks on a
+    logarithmic scale, ``blocks_per_doubling`` each time the latency doubles,
+    so a hot peer is spread over many tasks) and the middle one or two
+    latencies picked.  ``approx=True`` uses ``percentile_approx``
+    instead, a fixed-size sketch per peer and task.
     """
+    from railyard.operators.joinback import join_back
+    from railyard.operators.scan import segmented_scan
     lat = (matched.filter(F.col(end).isNotNull() & F.col(start).isNotNull())
            .select(F.col(peer).alias("peer"), micros_between(start, end).alias("lat_us")))
-    median = (F.percentile_approx("lat_us", 0.5, accuracy).cast("double") if approx
-              else F.percentile("lat_us", 0.5))
-    return (lat.groupBy("peer")
-            .agg(F.count("*").alias("n"),
-                 F.sum("lat_us").alias("total_us"),
-                 F.max("lat_us").alias("max_us"),
-                 F.min("lat_us").alias("min_us"),
-                 median.alias("p50_us"))
-            .withColumn("avg_us", F.col("total_us") / F.col("n")))
+    c = F.lit(1) if approx else F.col("c")
+    sums = [F.sum(c).cast("bigint").alias("n"), F.sum(c * F.col("lat_us")).alias("total_us"),
+            F.max("lat_us").alias("max_us"), F.min("lat_us").alias("min_us")]
+    if approx:
+        out = lat.groupBy("peer").agg(*sums, F.percentile_approx("lat_us", 0.5, accuracy).cast("double").alias("p50_us"))
+        return out.withColumn("avg_us", F.col("total_us") / F.col("n"))
+    hist = lat.groupBy("peer", "lat_us").agg(F.count("*").alias("c"))
+    counts = segmented_scan(hist, ["peer"], ["lat_us"], {"upto": ("sum", F.col("c"))},
+                            block=F.floor(F.log2(F.greatest(F.col("lat_us"), F.lit(0)) + 1) * blocks_per_doubling))
+    totals = hist.groupBy("peer").agg(*sums)
+    keep = ["n", "total_us", "max_us", "min_us"]
+    both = join_back(counts.select("peer", "lat_us", "upto"), totals, ["peer"])
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    out = both.groupBy("peer").agg(
+        *[F.max(k).alias(k) for k in keep],
+        F.min(F.when(F.col("upto") >= low, F.col("lat_us"))).alias("__low"),
+        F.min(F.when(F.col("upto") >= high, F.col("lat_us"))).alias("__high"))
+    return out.select("peer", *keep, ((F.col("__low") + F.col("__high")) / 2).alias("p50_us"),
+                      (F.col("total_us") / F.col("n")).alias("avg_us"))
 
 
 # --------------------------------------------------------------------------- AG1

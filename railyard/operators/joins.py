@@ -164,7 +164,7 @@ def match_responses(requests: DataFrame, responses: DataFrame, keys: Sequence[st
 # --------------------------------------------------------------------------- JN3
 def handshake(connections: DataFrame, hellos: DataFrame, pending: DataFrame,
               timeout_seconds: float, who: str = "secret", ts: str = "ts",
-              rid: str = "id") -> DataFrame:
+              rid: str = "id", block_unit: str = "day") -> DataFrame:
     """Launcher handshake: each connection must receive a hello carrying a
     pending secret within ``timeout_seconds``; the first connection to do so
     consumes the secret.
@@ -186,7 +186,7 @@ def handshake(connections: DataFrame, hellos: DataFrame, pending: DataFrame,
     hello_key = F.when(F.col("is_hello") == 1, F.struct(F.col("ts").alias("h_ts"),
                                                          F.col("eid").alias("h_id")))
     ev = segmented_scan(ev, ["who"], order, {"nxt": ("min", hello_key)},
-                        block=time_block("ts", "day"), direction="backward", inclusive=False)
+                        block=time_block("ts", block_unit), direction="backward", inclusive=False)
     conns = ev.filter("is_hello = 0").select(
         "who", F.col("ts").alias("conn_ts"), F.col("eid").alias("conn_id"),
         F.col("nxt.h_ts").alias("hello_ts"), F.col("nxt.h_id").alias("hello_id"))
@@ -213,7 +213,7 @@ def handshake(connections: DataFrame, hellos: DataFrame, pending: DataFrame,
 
 # --------------------------------------------------------------------------- JN4
 def fail_on_disconnect(requests: DataFrame, disconnects: DataFrame, channel: str = "channel",
-                       include_streams: bool = False) -> DataFrame:
+                       include_streams: bool = False, block_unit: str = "day") -> DataFrame:
     """Fail requests that were still open when their channel disconnected.
 
     ``requests``: ``channel, req_id, req_ts, resp_ts, status, kind`` (kind in
@@ -233,7 +233,7 @@ def fail_on_disconnect(requests: DataFrame, disconnects: DataFrame, channel: str
     order = [F.col("__ts"), F.col("__is_req"), F.col("__id")]
     u = segmented_scan(u, ["__ch"], order,
                        {"__nd": ("min", F.when(F.col("__is_req") == 0, F.col("__ts")))},
-                       block=time_block("__ts", "day"), direction="backward", inclusive=False)
+                       block=time_block("__ts", block_unit), direction="backward", inclusive=False)
     u = u.filter("__is_req = 1")
     eligible = F.lit(True) if include_streams else (F.col("kind") != "stream")
     hit = (eligible & F.col("__nd").isNotNull() & (F.col("__nd") > F.col("req_ts")) &

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railyard.operators.joins import fifo_scan
-from railyard.operators.scan import segmented_scan
+from railyard.operators.scan import segmented_scan, time_block
 
 
 # --------------------------------------------------------------------------- WN1
@@ -45,6 +45,30 @@ def outstanding_gauge(requests: DataFrame, responses: DataFrame, channel: str =
     return ev.select("channel", "ts", "eid", "is_req", "outstanding", "next_ts")
 
 
+def gauge_with_streams(gauge: DataFrame, marks: DataFrame, channel: str = "channel", ts: str = "ts",
+                       mid: str = "id", active: str = "active", block_unit: str = "day") -> DataFrame:
+    """The gauge of a channel that also counts the stream it is receiving:
+    a stream's response leaves the queue of waiting requests, but the channel
+    stays busy by one until the stream's last byte.  ``marks``: one row when
+    a stream starts to arrive (``active`` 1) and one when it ends (0); they
+    come after a request or response of the same time.  Output as the gauge,
+    without ``next_ts``; a mark's row has a null ``is_req``."""
+    after = F.col("is_req").isNull().cast("int")
+    rows = (gauge.select("channel", "ts", "eid", "is_req", "outstanding", F.lit(None).cast("int").alias("__on"))
+            .unionByName(marks.select(
+                F.col(channel).alias("channel"), F.col(ts).alias("ts"), F.col(mid).alias("eid"),
+                F.lit(None).cast("int").alias("is_req"), F.lit(None).cast("bigint").alias("outstanding"),
+                F.col(active).cast("int").alias("__on"))))
+    rows = rows.withColumn("__after", after)
+    waiting = F.when(F.col("__after") == 0, F.struct("ts", "is_req", "eid", "outstanding"))
+    mark = F.when(F.col("__after") == 1, F.struct("ts", "eid", "__on"))
+    out = segmented_scan(rows, ["channel"], ["ts", "__after", "is_req", "eid"],
+                         {"__waiting": ("max", waiting), "__mark": ("max", mark)},
+                         block=time_block("ts", block_unit))
+    busy = F.coalesce(F.col("__waiting.outstanding"), F.lit(0)) + F.coalesce(F.col("__mark.__on"), F.lit(0))
+    return out.select("channel", "ts", "eid", "is_req", busy.cast("bigint").alias("outstanding"))
+
+
 def peak_outstanding(gauge: DataFrame) -> DataFrame:
     """Per channel: events seen, peak and final number of open requests."""
     return gauge.groupBy("channel").agg(
@@ -231,7 +255,6 @@ def idle_channels(gauge: DataFrame, timeout_seconds: float, as_of: Column,
     The next event per row is a backward running minimum (segmented scan);
     the first verdict per channel a partial aggregate.
     """
-    from railyard.operators.scan import segmented_scan, time_block
     order = [F.col("ts"), F.col("is_req"), F.col("eid")]
     if "next_ts" in gauge.columns:
         g = gauge  # the gauge's own scan already found each row's next event
@@ -274,7 +297,6 @@ def activity_sessions(events: DataFrame, channel: str = "channel", ts: str = "ts
     table reuses the same shuffle.
     """
     from railyard.functions import micros_between
-    from railyard.operators.scan import time_block
     t_us = F.lit(int(round(timeout_seconds * 1_000_000))).cast("bigint")
     ev = events.select(F.col(channel).alias("channel"), F.col(ts).alias("ts"),
                        F.col(tiebreak).alias("eid"), time_block(F.col(ts), block_unit).alias("__blk"))
@@ -339,20 +361,18 @@ def resolve_retries(attempts: DataFrame, request: str = "request", item: str = "
     the same in all steps, so it is reused; nothing runs before an action.
     """
     att, out = F.col(attempt).cast("int"), F.col(outcome)
-    known = F.col(seq).isNotNull()
-    firsts = []
-    for a in range(max_retries + 1):
-        here = known & (att == a)
-        firsts += [F.min(F.when(here & out.isin("ok", "fatal"),
-                                F.struct(F.col(seq).alias("seq"), out.alias("out")))).alias(f"ff{a}"),
-                   F.min(F.when(here & (out == "io_error"), F.col(seq))).alias(f"io{a}")]
+    firsts = [F.min(F.when((att == a) & (out == kind), F.col(seq))).alias(f"{kind}{a}")
+              for a in range(max_retries + 1) for kind in ("ok", "fatal", "io_error")]
     items = (attempts.groupBy(F.col(request).alias("req"), F.col(item).alias("item")).agg(*firsts)
              .select("req", "item", F.array(*[
-                 F.struct(F.col(f"ff{a}").alias("ff"), F.col(f"io{a}").alias("io"))
+                 F.struct(*[F.col(f"{kind}{a}").alias(kind) for kind in ("ok", "fatal", "io_error")])
                  for a in range(max_retries + 1)]).alias("tries")))
 
+    def at(a: int, kind: str) -> Column:
+        return F.col("tries")[a][kind]
+
     def first(a: int) -> Column:
-        return F.col("tries")[a]["ff"]
+        return F.least(at(a, "ok"), at(a, "fatal"))
 
     def gave_up(a: int) -> Column:
         return F.col(f"t{a}")
@@ -362,7 +382,7 @@ def resolve_retries(attempts: DataFrame, request: str = "request", item: str = "
 
     def settled(a: int) -> Column:
         return (live(a) & first(a).isNotNull()
-                & F.coalesce(first(a)["seq"] < gave_up(a), F.lit(True)))
+                & F.coalesce(first(a) < gave_up(a), F.lit(True)))
 
     def with_moments(moments: DataFrame | None) -> DataFrame:
         if moments is None:
@@ -372,25 +392,26 @@ def resolve_retries(attempts: DataFrame, request: str = "request", item: str = "
 
     moments = None
     for a in range(max_retries):
-        io = F.col("tries")[a]["io"]
+        io = at(a, "io_error")
         open_ = live(a)
         for earlier in range(a):
             open_ = open_ & ~settled(earlier)
-        starts = open_ & io.isNotNull() & F.coalesce(first(a)["seq"] > io, F.lit(True))
+        starts = open_ & io.isNotNull() & F.coalesce(first(a) > io, F.lit(True))
         moments = with_moments(moments).groupBy("req").agg(
             *[F.min(f"t{b}").alias(f"t{b}") for b in range(a)], F.min(F.when(starts, io)).alias(f"t{a}"))
 
     last = max_retries
-    io = F.col("tries")[last]["io"]
-    final = F.least(first(last), F.when(io.isNotNull(), F.struct(io.alias("seq"), F.lit("io_error").alias("out"))))
-    ends = [F.when(settled(a), F.struct(first(a)["out"].alias("out"), F.lit(a).alias("att")))
-            for a in range(last)]
-    ends.append(F.when(live(last) & final.isNotNull(), F.struct(final["out"].alias("out"), F.lit(last).alias("att"))))
+    answers = [at(last, kind) for kind in ("fatal", "io_error", "ok")]
+    ends = [F.when(settled(a), F.struct(F.when(at(a, "fatal") == first(a), "failed").otherwise("ok").alias("status"),
+                                        F.lit(a).alias("att"))) for a in range(last)]
+    ended = F.least(*answers)
+    ends.append(F.when(live(last) & ended.isNotNull(), F.struct(
+        F.when(answers[0] == ended, "failed").when(answers[1] == ended, "failed_io").otherwise("ok").alias("status"),
+        F.lit(last).alias("att"))))
     retries = F.lit(0)
     for a in range(last):
         retries = retries + gave_up(a).isNotNull().cast("int")
-    status = (F.when(F.col("end").isNull(), "outstanding").when(F.col("end.out") == "ok", "ok")
-              .when(F.col("end.out") == "fatal", "failed").otherwise("failed_io"))
     return (with_moments(moments).select("req", "item", F.coalesce(*ends).alias("end"), retries.alias("retries"))
-            .select(F.col("req").alias(request), F.col("item").alias(item), status.alias("status"),
+            .select(F.col("req").alias(request), F.col("item").alias(item),
+                    F.coalesce(F.col("end.status"), F.lit("outstanding")).alias("status"),
                     F.col("end.att").alias("attempt_used"), "retries"))

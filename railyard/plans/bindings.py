@@ -201,6 +201,13 @@ def chunk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", "ts", "event_id", (F.col("k") % 5).cast("int").alias("idx"))
 
 
+def stream_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN2: a purchase starts a stream on its user's channel, an error ends it."""
+    e = events(spark, sf_dir).filter("event_type IN ('purchase', 'error')")
+    return e.select(F.col("user_id").alias("channel"), "ts", F.col("event_id").alias("id"),
+                    (F.col("event_type") == "purchase").cast("int").alias("active"))
+
+
 def chunk_requests_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN3 under skew: as ``chunk_requests`` but events with
     ``event_id % 3 = 0`` all belong to stream -1 (a third of all requests)."""

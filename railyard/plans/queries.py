@@ -513,6 +513,35 @@ def q_peak_outstanding(spark, sf):
     return wn.peak_outstanding(wn.outstanding_gauge(req, resp, "channel", "ts", "id"))
 
 
+@register("wn2_gauge_with_streams", """
+WITH ev AS (
+  SELECT user_id AS channel, ts, event_id AS eid, event_type,
+         CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 0 END AS is_req
+  FROM events WHERE event_type IN ('view', 'click', 'purchase', 'error')
+), walk AS (
+  SELECT channel, list({'ts': ts, 'eid': eid, 'is_req': is_req, 'event_type': event_type}
+                       ORDER BY ts, is_req NULLS LAST, eid) AS l FROM ev GROUP BY channel
+), steps AS (
+  SELECT channel, unnest(l) AS e,
+         unnest(list_transform(l, lambda x, i: i)) AS i, l FROM walk
+), queued AS (
+  SELECT channel, e, i, unnest(list_transform([l], lambda x: list_reduce(
+    list_prepend(0, list_transform(x[1:i], lambda y: CASE y.is_req WHEN 1 THEN 1 WHEN 0 THEN -1 ELSE 0 END)),
+    lambda q, d: greatest(q + d, 0)))) AS q,
+    list_filter(l[1:i], lambda y: y.is_req IS NULL)[-1].event_type AS mark
+  FROM steps
+)
+SELECT channel, e.ts AS ts, e.eid AS eid, e.is_req AS is_req,
+       CAST(q + CASE WHEN mark = 'purchase' THEN 1 ELSE 0 END AS BIGINT) AS outstanding
+FROM queued
+""")
+def q_gauge_with_streams(spark, sf):
+    from railyard.operators import windows as wn
+    req, resp = b.view_click_channels(spark, sf)
+    return wn.gauge_with_streams(wn.outstanding_gauge(req, resp, "channel", "ts", "id"),
+                                 b.stream_marks(spark, sf))
+
+
 @register("wn3_in_order_prefix", """
 WITH RECURSIVE r0 AS (
   SELECT user_id, ts, event_id,
@@ -582,12 +611,12 @@ FROM (SELECT DISTINCT channel FROM g) c LEFT JOIN fa ON c.channel = fa.channel
 """
 
 
-def _idle(spark, sf, close_idle):
+def _idle(spark, sf, close_idle, timeout_seconds=1800):
     from railyard.operators import windows as wn
     req, resp = b.view_click_channels(spark, sf)
     gauge = wn.outstanding_gauge(req, resp, "channel", "ts", "id")
     as_of = b.table(spark, sf, "events").select(F.max("ts")).scalar()
-    return wn.idle_channels(gauge, 1800, as_of, close_idle=close_idle)
+    return wn.idle_channels(gauge, timeout_seconds, as_of, close_idle=close_idle)
 
 
 @register("wn4_idle_channels", IDLE_SQL.format(close="false"))
@@ -600,6 +629,16 @@ def q_idle_channels_close(spark, sf):
     return _idle(spark, sf, True)
 
 
+# A time-out of four days: some channels die, some are closed, most stay alive.
+FOUR_DAYS = 4 * 86_400
+
+
+@register("wn4_idle_channels_four_days",
+          IDLE_SQL.format(close="true").replace("1800000000", str(FOUR_DAYS * 1_000_000)))
+def q_idle_channels_four_days(spark, sf):
+    return _idle(spark, sf, True, FOUR_DAYS)
+
+
 def _retry_sql(max_retries: int = 3) -> str:
     parts = ["""
 WITH rows AS (

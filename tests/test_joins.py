@@ -154,6 +154,22 @@ def test_latency_summary_exact_and_approx(spark):
     assert ap["p50_us"] in (2_000_000.0, 3_000_000.0) and ap["n"] == 4
 
 
+def test_latency_summary_median_vs_statistics(spark):
+    import random
+    import statistics
+    from railyard.operators import aggregates as ag
+    rnd = random.Random(5)
+    lats = {p: [rnd.choice([0, 1, 2, 0.5, rnd.random() * 5]) for _ in range(n)]
+            for p, n in ((None, 7), (1, 1), (2, 2), (3, 400), (4, 401))}
+    m = spark.createDataFrame([(p, t(0), t(x)) for p, xs in lats.items() for x in xs],
+                              "channel INT, req_ts TIMESTAMP, resp_ts TIMESTAMP")
+    got = {r["peer"]: r for r in ag.latency_summary(m).collect()}
+    assert set(got) == set(lats)
+    for p, xs in lats.items():
+        us = [(t(x) - t(0)) / dt.timedelta(microseconds=1) for x in xs]
+        assert (got[p]["n"], got[p]["p50_us"], got[p]["total_us"]) == (len(us), statistics.median(us), sum(us))
+
+
 def test_fifo_match_under_a_hot_channel(spark):
     from railyard.operators.scan import time_block
     req, resp = b.hot_channel_view_clicks(spark, SF_SMALL)

@@ -179,6 +179,18 @@ def test_outstanding_gauge_and_peak(spark):
         (1, 6, 3, 1), (2, 1, 1, 1)]
 
 
+def test_gauge_counts_the_stream_being_received(spark):
+    req = spark.createDataFrame([(1, t(0), 1), (1, t(5), 5)], "channel INT, ts TIMESTAMP, id INT")
+    resp = spark.createDataFrame([(1, t(1), 2), (1, t(6), 6)], "channel INT, ts TIMESTAMP, id INT")
+    marks = spark.createDataFrame([(1, t(1), 2, 1), (1, t(2), 3, 0), (2, t(1), 4, 1)],
+                                  "channel INT, ts TIMESTAMP, id INT, active INT")
+    got = sorted(((r["channel"], r["ts"], r["is_req"] is None, r["outstanding"])
+                  for r in wn.gauge_with_streams(wn.outstanding_gauge(req, resp), marks).collect()))
+    # the response leaves the queue, its stream keeps the channel busy to the end
+    assert got == [(1, t(0), False, 1), (1, t(1), False, 0), (1, t(1), True, 1), (1, t(2), True, 0),
+                   (1, t(5), False, 1), (1, t(6), False, 0), (2, t(1), True, 1)]
+
+
 def test_in_order_prefix_hot_stream_query_vs_brute_force(spark):
     import __spark_entry__ as e
     from itertools import groupby
