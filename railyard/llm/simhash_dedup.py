@@ -5,9 +5,11 @@ grouped by linked fingerprints.  The search has two levels:
 
 * Shards.  64 bits are cut into ``max_bits + 1`` blocks; two fingerprints
   within ``max_bits`` bits agree on a block, so each is dealt to one shard per
-  block.  A shard beyond ``SHARD_MAX`` rows is split into rings of Hamming
-  distance around two vantage points; a row near the inner edge of its ring
-  is also sent to the ring inside, so boundary-overlapping shards lose no pair.
+  block.  The rows of a shard beyond ``SHARD_MAX`` are dealt once more, by as
+  many blocks of the bits that the shard leaves open.  What is still larger is
+  split into rings of Hamming distance around two vantage points; a row near
+  the inner edge of its ring is also sent to the ring inside, so
+  boundary-overlapping shards lose no pair.
 * Trees.  Within a shard, points are halved by distance from a vantage point.
   By the triangle bound, a pair across the halves has its outer point within
   ``max_bits`` of the boundary, so only those points go into both halves.
@@ -35,7 +37,7 @@ from .graph import components, forest
 
 SEED = 42
 LEAF = 64                 # points a leaf compares directly
-SHARD_MAX = 200_000       # rows of a shard before it is split into rings
+SHARD_MAX = 20_000        # rows of a shard before it is split
 RING = 8                  # width of a ring, more than max_bits
 _SHINGLES = 65_536        # shingles held as bits at a time
 
@@ -175,21 +177,40 @@ def _ring(vantage: str, bits: int) -> F.Column:
         F.when((F.pmod(d, F.lit(RING)) < bits) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home)))
 
 
+def _masks(free: int, blocks: int) -> list[int]:
+    """The set bits of ``free``, from the lowest, cut into equal blocks."""
+    bits = [b for b in range(64) if free >> b & 1]
+    cuts = [len(bits) * k // blocks for k in range(blocks + 1)]
+    return [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _block(mask: int, *names) -> F.Column:
+    """Shard of the fingerprints that agree on ``mask``."""
+    signed = mask - (1 << 64) if mask >> 63 else mask
+    return F.xxhash64(*map(F.lit, names), F.col("fp").bitwiseAND(F.lit(signed).cast("bigint")))
+
+
+def _oversized(dealt: DataFrame) -> DataFrame:
+    return (dealt.groupBy("block")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("v1"), F.max("fp").alias("v2"))
+            .filter(F.col("n") > SHARD_MAX).select("block", "v1", "v2"))
+
+
 def links(points: DataFrame, max_bits: int = 4) -> DataFrame:
     """Links ``a, b`` that connect all distinct fingerprints ``fp`` within
     ``max_bits`` of each other (a spanning forest of each shard)."""
     spark = points.sparkSession
     python_ready(spark)
-    blocks = max_bits + 1
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    parts = [F.shiftright(F.shiftleft(F.col("fp"), lo), 0) if hi - lo == 64 else
-             F.shiftrightunsigned(F.shiftleft(F.col("fp"), lo), 64 - (hi - lo)) * blocks + k
-             for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-    dealt = points.select("fp", F.explode(F.array(*parts)).alias("block"))
-    large = (dealt.groupBy("block")
-             .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("v1"), F.max("fp").alias("v2"))
-             .filter(F.col("n") > SHARD_MAX).select("block", "v1", "v2"))
-    dealt = small_join(dealt, large, "block")
+    blocks, whole = max_bits + 1, (1 << 64) - 1
+    dealt = points.select("fp", F.posexplode(F.array(
+        *[_block(m, k) for k, m in enumerate(_masks(whole, blocks))])).alias("k", "block"))
+    # a pair of one shard differs in the other bits only: cut those likewise
+    finer = F.array(F.col("block"))
+    for k, mask in enumerate(_masks(whole, blocks)):
+        cut = F.array(*[_block(mask | m, k, j) for j, m in enumerate(_masks(whole & ~mask, blocks))])
+        finer = F.when(F.col("v1").isNotNull() & (F.col("k") == k), cut).otherwise(finer)
+    dealt = small_join(dealt, _oversized(dealt), "block").select("fp", F.explode(finer).alias("block"))
+    dealt = small_join(dealt, _oversized(dealt), "block")
     rings = (dealt.withColumn("r1", F.explode(_ring("v1", max_bits)))
              .withColumn("r2", F.explode(_ring("v2", max_bits))))
     shards = rings.select("fp", F.xxhash64("block", "r1", "r2").alias("shard"))

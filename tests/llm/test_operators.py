@@ -309,7 +309,7 @@ def test_simhash_components(spark, texts, odd, none):
     assert simhash_dedup.near_dedup(none).count() == 0
 
 
-@pytest.mark.parametrize("shard_max", [200_000, 30])
+@pytest.mark.parametrize("shard_max", [20_000, 200, 30])
 def test_links_against_all_pairs(spark, shard_max, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "SHARD_MAX", shard_max)
     rng = np.random.default_rng(9)
