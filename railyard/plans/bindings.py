@@ -261,6 +261,31 @@ def app_state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                     st.alias("state")).filter(F.col("state").isNotNull())
 
 
+def app_events_with_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST7: the events of ``app_state_events``, and purchases with k >= 5,
+    which set the app's id to ``app-<k>``."""
+    e = events(spark, sf_dir).filter("event_type = 'purchase' AND k >= 5")
+    return app_state_events(spark, sf_dir).withColumn("info", F.lit(None).cast("string")).unionByName(
+        e.select(F.col("user_id").alias("app"), "ts", F.col("event_id").alias("eid"),
+                 F.lit(None).cast("string").alias("state"),
+                 F.concat(F.lit("app-"), F.col("k").cast("string")).alias("info")))
+
+
+def signup_purchase_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST3: requests = ``signup``, responses = ``purchase``, channel =
+    ``user_id``, correlation id = ``k`` modulo 4."""
+    return events(spark, sf_dir).filter("event_type IN ('signup', 'purchase')").select(
+        F.col("user_id").alias("channel"), (F.col("k") % 4).alias("corr"), "ts",
+        F.col("event_id").alias("eid"),
+        F.when(F.col("event_type") == "signup", 1).otherwise(0).alias("is_req"))
+
+
+def timed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5: the retry log, a request a minute, its attempts an hour apart."""
+    at = F.lit(1704067200) + F.col("request") * 60 + F.col("attempt") * 3600 + F.col("seq")
+    return retry_log(spark, sf_dir).withColumn("ts", F.timestamp_seconds(at).cast("timestamp_ntz"))
+
+
 def conversation_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """TXT3/ST6: stream = conv_id, index = turn, body = text; announced bytes
     = the true total, +1 for ``conv_id % 7 = 0`` and -1 for ``% 7 = 1``."""
@@ -328,10 +353,10 @@ def rendered_customer_properties(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def rendered_document_files(spark: SparkSession, sf_dir: str, n_files: int = 16
+def rendered_document_files(spark: SparkSession, sf_dir: str, per_file: int = 200
                             ) -> tuple[str, DataFrame]:
-    """SRC5: documents written like map-output data files: ``n_files``
-    files (``bucket = doc_id % n_files``), each holding its documents' text in
+    """SRC5: documents written like map-output data files: a file for every
+    ``per_file`` ids (``bucket``), holding its documents' text in
     doc_id order (one line each), plus their byte offsets from
     ``offset_index``.  Segment per document: ``length`` 100 at
     ``doc offset + doc_id % 50`` of its file, so segments that run past the
@@ -339,7 +364,7 @@ def rendered_document_files(spark: SparkSession, sf_dir: str, n_files: int = 16
     from railyard.operators.windows import offset_index
     path = _scratch(spark, "doc-files")
     d = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.col("doc_id") % n_files).alias("bucket"), "text")
+        "doc_id", F.floor(F.col("doc_id") / per_file).alias("bucket"), "text")
     (d.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
      .select("bucket", F.col("text").alias("value"))
      .write.partitionBy("bucket").text(path))

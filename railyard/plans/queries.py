@@ -17,6 +17,48 @@ from railyard.plans import bindings as b
 from railyard.plans.catalog import register
 
 # ---------------------------------------------------------------- shared SQL
+def queue_walk_sql(events: str, give_up_us: int = 1 << 60) -> str:
+    """FIFO matching by walking every channel's queue event by event:
+    ``walk`` holds the queue after each event, ``done`` what was decided.
+    ``events`` selects ``channel, ts, eid, is_req``."""
+    return f"""
+WITH RECURSIVE ev AS ({events}),
+num AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY channel ORDER BY ts, is_req, eid) AS n
+        FROM ev),
+walk AS (
+  SELECT DISTINCT channel, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(us BIGINT, id BIGINT)[]) AS q,
+         CAST([] AS STRUCT(us BIGINT, id BIGINT)[]) AS gone, CAST(NULL AS STRUCT(us BIGINT, id BIGINT)) AS hit,
+         CAST(NULL AS BIGINT) AS resp, CAST(NULL AS TIMESTAMP) AS came
+  FROM num
+  UNION ALL
+  SELECT channel, n, CASE WHEN is_req = 1 THEN list_append(alive, {{'us': us, 'id': eid}}) ELSE alive[2:] END,
+         gone, CASE WHEN is_req = 0 THEN alive[1] END, CASE WHEN is_req = 0 THEN eid END, ts
+  FROM (SELECT e.*, [x for x in w.q if x.us + {give_up_us} >= e.us] AS alive,
+               [x for x in w.q if x.us + {give_up_us} < e.us] AS gone
+        FROM walk w JOIN num e ON e.channel = w.channel AND e.n = w.n + 1) t
+),
+done AS (
+  SELECT channel, hit.id AS req_id, make_timestamp(hit.us) AS req_ts, resp AS resp_id, came AS resp_ts,
+         CASE WHEN hit IS NULL THEN 'orphan' ELSE 'matched' END AS status
+  FROM walk WHERE resp IS NOT NULL
+  UNION ALL
+  SELECT channel, g.id, make_timestamp(g.us), NULL, NULL, 'timed_out'
+  FROM (SELECT channel, unnest(gone) AS g FROM walk) t
+),
+waiting AS (
+  SELECT channel, g.id AS req_id, g.us AS us
+  FROM (SELECT channel, unnest(arg_max(q, n)) AS g FROM walk GROUP BY channel) t
+)"""
+
+
+VIEW_CLICKS_SQL = """
+  SELECT user_id AS channel, ts, event_id AS eid, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS is_req
+  FROM events WHERE event_type IN ('view', 'click')"""
+QUEUE_FIFO_SQL = queue_walk_sql(VIEW_CLICKS_SQL) + """,
+fifo AS (SELECT * FROM done UNION ALL
+         SELECT channel, req_id, make_timestamp(us), NULL, NULL, 'outstanding' FROM waiting)
+"""
+
 # JN2 in SQL: the same running-sum characterisation with plain windows over
 # whole channels (the Spark side splits channels into day blocks).
 FIFO_SQL = """
@@ -60,7 +102,7 @@ def _fifo(spark, sf):
     return jn.fifo_match(req, resp, "channel", "ts", "id")
 
 
-@register("jn2_fifo_match", FIFO_SQL + "SELECT * FROM fifo")
+@register("jn2_fifo_match", QUEUE_FIFO_SQL + "SELECT * FROM fifo")
 def q_fifo_match(spark, sf):
     return _fifo(spark, sf)
 
@@ -281,7 +323,7 @@ def q_handshake(spark, sf):
     return jn.handshake(conns, hellos, pending, 3600, who="secret")
 
 
-@register("jn4_fail_on_disconnect", FIFO_SQL + """,
+@register("jn4_fail_on_disconnect", QUEUE_FIFO_SQL + """,
 r AS (SELECT channel, req_id, req_ts, resp_ts, status,
              CASE WHEN req_id % 3 = 0 THEN 'stream' ELSE 'rpc' END AS kind
       FROM fifo WHERE status <> 'orphan'),
@@ -846,12 +888,23 @@ def q_scan_properties(spark, sf):
     return src.scan_properties(spark, b.rendered_customer_properties(spark, sf), "defaults")
 
 
-@register("src5_scan_segments")
+@register("src5_scan_segments", """
+WITH f AS (SELECT doc_id // 200 AS bucket, encode(string_agg(text || chr(10), '' ORDER BY doc_id)) AS body
+           FROM documents GROUP BY 1),
+d AS (SELECT doc_id, doc_id // 200 AS bucket,
+             CAST(sum(octet_length(encode(text)) + 1) OVER (PARTITION BY doc_id // 200 ORDER BY doc_id)
+                  - octet_length(encode(text)) - 1 + doc_id % 50 AS BIGINT) AS start FROM documents),
+s AS (SELECT doc_id, start, octet_length(body) AS size, body FROM d JOIN f USING (bucket))
+SELECT doc_id, start AS "offset", CAST(100 AS BIGINT) AS length, size AS file_size,
+       CASE WHEN start + 100 <= size THEN substr(hex(body), 2 * start + 1, 200) END AS data_hex,
+       CASE WHEN start + 100 > size THEN 'eof' END AS reject_reason
+FROM s
+""")
 def q_scan_segments(spark, sf):
     from railyard import sources as src
     path, segs = b.rendered_document_files(spark, sf)
     return src.scan_segments(spark, path, segs).select(
-        "doc_id", "offset", "length", "file_size", "data", "reject_reason")
+        "doc_id", "offset", "length", "file_size", F.hex("data").alias("data_hex"), "reject_reason")
 
 
 @register("snk1_write_hashed_layout", """
@@ -886,10 +939,25 @@ def q_write_sorted_blocks(spark, sf):
 
 
 # ================================================================= streaming
-def _staged(spark, df, ts, name, n_slices=2):
+# Streams read 12 files, the rows of a quarter of the time in no order in three
+# of them, in three micro-batches; the delay covers such a quarter.
+DELAY = "8 days"
+DELAY_MS = 8 * 86_400_000
+
+
+def _staged(spark, df, ts, name):
     from railyard import streaming as sm
-    path = sm.stage_files(df, ts, n_slices, name)
-    return sm.read_stream(spark, path, df.schema)
+    path = sm.stage_files(df, ts, 4, name, n_files=3)
+    return sm.read_stream(spark, path, df.schema, max_files=4)
+
+
+def _due_sql(rows: str) -> str:
+    return f"(SELECT * FROM {rows} WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM {rows}) - {DELAY_MS})"
+
+
+APP_STREAM_SQL = APP_EVENTS_SQL.replace(
+    "ae2 AS (SELECT * FROM ae WHERE state IS NOT NULL)",
+    f"ae1 AS (SELECT * FROM ae WHERE state IS NOT NULL), ae2 AS {_due_sql('ae1')}")
 
 
 @register("st1_stream_registry_state", REG_EVENTS_SQL + """,
@@ -906,7 +974,7 @@ def q_stream_registry_state(spark, sf):
     return sm.registry_from_changes(changes).withColumn("reg_ts", F.col("reg_ts").cast("timestamp_ntz"))
 
 
-@register("st2_stream_lifecycle_state", APP_EVENTS_SQL + """
+@register("st2_stream_lifecycle_state", APP_STREAM_SQL + """
 SELECT app, arg_max(state, ts) FILTER (WHERE disposition = 'applied') AS state,
        CAST(SUM(CASE WHEN disposition = 'applied' THEN 1 ELSE 0 END) AS BIGINT) AS n_applied,
        CAST(SUM(CASE WHEN disposition = 'ignored' THEN 1 ELSE 0 END) AS BIGINT) AS n_ignored,
@@ -916,21 +984,45 @@ FROM tr GROUP BY app
 def q_stream_lifecycle_state(spark, sf):
     from railyard import streaming as sm
     s = _staged(spark, b.app_state_events(spark, sf), "ts", "app-events")
-    return sm.lifecycle_from_changes(sm.run_available(sm.stream_lifecycle_state(s), "lifecycle"))
+    return sm.lifecycle_from_changes(sm.run_available(sm.stream_lifecycle_state(s, DELAY), "lifecycle"))
+
+
+def _timed_sql(channel: str, shown: str) -> str:
+    """Decided pairs of a one-day give-up time, at the final watermark."""
+    rows = f"""
+  SELECT * FROM (SELECT {channel} AS channel, ts, event_id AS eid,
+                        CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS is_req
+                 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) e
+                 WHERE event_type IN ('signup', 'purchase')) t
+  WHERE epoch_ms(ts) < (SELECT wm FROM mark)"""
+    mark = ("mark AS (SELECT max(epoch_ms(ts)) - " + str(DELAY_MS) + " AS wm FROM events "
+            "WHERE event_type IN ('signup', 'purchase')), ev AS (")
+    return queue_walk_sql(rows, 86_400_000_000).replace("ev AS (", mark, 1) + f"""
+SELECT {shown}, req_id, req_ts, resp_id, resp_ts, status FROM done
+UNION ALL
+SELECT {shown}, req_id, make_timestamp(us), NULL, NULL, 'timed_out'
+FROM waiting WHERE us + 86400000000 < 1000 * (SELECT wm FROM mark)
+"""
 
 
-@register("st3_stream_match_responses")
-def q_stream_match_responses(spark, sf):
+def _timed_matches(spark, sf, keys):
     from railyard import streaming as sm
-    e = b.table(spark, sf, "events").filter("event_type IN ('signup', 'purchase')").select(
-        F.col("user_id").alias("channel"), "ts", F.col("event_id").alias("eid"),
-        F.when(F.col("event_type") == "signup", 1).otherwise(0).alias("is_req"))
-    s = _staged(spark, e, "ts", "rpc-events")
-    out = sm.run_available(sm.stream_match_responses(s, 86400), "rpc-match")
+    s = _staged(spark, b.signup_purchase_events(spark, sf), "ts", "rpc-events")
+    out = sm.run_available(sm.stream_match_responses(s, 86400, DELAY, keys), "rpc-match")
     return (out.withColumn("req_ts", F.col("req_ts").cast("timestamp_ntz"))
             .withColumn("resp_ts", F.col("resp_ts").cast("timestamp_ntz")))
 
 
+@register("st3_stream_match_responses", _timed_sql("user_id", "channel"))
+def q_stream_match_responses(spark, sf):
+    return _timed_matches(spark, sf, ("channel",))
+
+
+@register("st3_stream_match_by_id", _timed_sql("{'c': user_id, 'k': k % 4}", "channel.c AS channel, channel.k AS corr"))
+def q_stream_match_by_id(spark, sf):
+    return _timed_matches(spark, sf, ("channel", "corr"))
+
+
 @register("st4_stream_idle_sessions", """
 WITH t AS (SELECT user_id AS channel, ts FROM events WHERE event_type IN ('view', 'click')),
 g AS (SELECT *, CASE WHEN LAG(ts) OVER (PARTITION BY channel ORDER BY ts) IS NULL
@@ -940,14 +1032,14 @@ s AS (SELECT *, SUM(brk) OVER (PARTITION BY channel ORDER BY ts) AS sid FROM g),
 ss AS (SELECT channel, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
               COUNT(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts
        FROM s GROUP BY channel, sid)
-SELECT * FROM ss WHERE session_end <= (SELECT max(ts) FROM t) - INTERVAL 1 HOUR
+SELECT * FROM ss WHERE session_end <= (SELECT max(ts) FROM t) - INTERVAL 8 DAY
 """)
 def q_stream_idle_sessions(spark, sf):
     from railyard import streaming as sm
     e = b.table(spark, sf, "events").filter("event_type IN ('view', 'click')").select(
         F.col("user_id").alias("channel"), "ts")
     s = _staged(spark, e, "ts", "traffic")
-    out = sm.run_available(sm.stream_idle_sessions(s, "channel", "ts", "30 minutes", "1 hour"),
+    out = sm.run_available(sm.stream_idle_sessions(s, "channel", "ts", "30 minutes", DELAY),
                            "sessions")
     return out.select("channel", *[F.col(c).cast("timestamp_ntz").alias(c) for c in
                                    ("session_start", "session_end")],
@@ -956,18 +1048,28 @@ def q_stream_idle_sessions(spark, sf):
 
 
 @register("st5_stream_first_answer", """
-SELECT DISTINCT l_orderkey AS request, l_linenumber AS item FROM lineitem
+WITH a AS (SELECT DISTINCT l_orderkey AS request, l_linenumber AS item FROM lineitem),
+t AS (SELECT request, item, CAST(n.n AS INTEGER) AS attempt, item AS seq,
+             make_timestamp((1704067200 + request * 60 + n.n * 3600 + item) * 1000000) AS ts,
+             (request * 31 + item * 7 + n.n * 13) % 5 AS code
+      FROM a CROSS JOIN (SELECT unnest(range(0, 4)) AS n) n),
+o AS (SELECT request, item, attempt, seq, ts,
+             CASE WHEN code <= 1 THEN 'io_error' WHEN code = 2 THEN 'fatal' ELSE 'ok' END AS outcome,
+             row_number() OVER (PARTITION BY request, item ORDER BY ts, attempt) AS rn,
+             count(*) OVER (PARTITION BY request, item) AS n_answers,
+             max(ts) OVER (PARTITION BY request, item) AS last_ts
+      FROM t)
+SELECT request, item, ts, attempt, seq, outcome, n_answers FROM o
+WHERE rn = 1 AND last_ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM t) - INTERVAL 3 HOUR
 """)
 def q_stream_first_answer(spark, sf):
     from railyard import streaming as sm
-    log = b.retry_log(spark, sf).withColumn(
-        "ts", F.timestamp_seconds(F.lit(1704067200) + F.col("attempt") * 3600 + F.col("seq"))
-        .cast("timestamp_ntz"))
-    s = _staged(spark, log, "ts", "answers")
-    # the delay must cover a request's lifetime (its attempts span hours)
-    out = sm.run_available(sm.stream_first_answer(s, ("request", "item"), "ts", "1 day"),
-                           "first-answer")
-    return out.select("request", "item")
+    log = b.timed_answers(spark, sf)
+    # in no order at all, so in one micro-batch
+    s = sm.read_stream(spark, sm.stage_files(log, name="answers", n_files=6), log.schema)
+    out = sm.run_available(sm.stream_first_answer(s, ("request", "item"), "ts", "3 hours", "2 hours",
+                                                  ("attempt",)), "first-answer")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @register("st6_stream_reassemble", """
@@ -989,24 +1091,35 @@ SELECT j.conv_id, NULL, j.run, 'overrun' FROM j JOIN ov ON j.conv_id = ov.conv_i
 def q_stream_reassemble(spark, sf):
     from railyard import streaming as sm
     chunks, ann = b.conversation_streams(spark, sf)
-    s = _staged(spark, chunks, None, "conv-chunks", 1)
+    s = _staged(spark, chunks, None, "conv-chunks")
     joined = s.join(ann, "stream_id", "inner")
     return sm.run_available(sm.stream_reassemble(joined), "reassembly")
 
 
-@register("st7_listener_sink", APP_EVENTS_SQL + """
-SELECT app, ts, eid, state, 'state_changed' AS change FROM tr WHERE disposition = 'applied'
+@register("st7_listener_sink", APP_EVENTS_SQL.replace(
+    "ae2 AS (SELECT * FROM ae WHERE state IS NOT NULL)", f"""
+ai AS (SELECT user_id AS app, ts, event_id AS eid, NULL AS state FROM e
+       WHERE event_type = 'purchase' AND k >= 5),
+aa AS (SELECT * FROM ae WHERE state IS NOT NULL UNION ALL SELECT * FROM ai),
+du AS {_due_sql('aa')},
+ae2 AS (SELECT * FROM du WHERE state IS NOT NULL),
+info AS (SELECT app, ts, eid FROM du WHERE state IS NULL)""") + """,
+ok AS (SELECT app, ts, eid, state FROM tr WHERE disposition = 'applied')
+SELECT app, ts, eid, state, 'state_changed' AS change FROM ok
+UNION ALL
+SELECT i.app, i.ts, i.eid, coalesce(ok.state, 'UNKNOWN'), 'info_changed'
+FROM info i ASOF LEFT JOIN ok ON i.app = ok.app AND i.ts >= ok.ts
 """)
 def q_listener_sink(spark, sf):
     from railyard import streaming as sm
     from railyard.session import scratch_path
-    s = _staged(spark, b.app_state_events(spark, sf), "ts", "app-events-l")
+    s = _staged(spark, b.app_events_with_info(spark, sf), "ts", "app-events-l")
     target = scratch_path(spark, "listener-out")
 
     def listener(batch, batch_id):
         batch.write.mode("append").parquet(target)
 
-    changes = sm.stream_state_changes(s)
+    changes = sm.stream_state_changes(s, DELAY)
     q = sm.listener_sink(changes, listener, scratch_path(spark, "listener-ckpt"))
     q.awaitTermination()
     return (spark.read.schema(changes.schema).parquet(target)

@@ -18,12 +18,15 @@ from railyard.session import scratch_path
 
 
 def stage_files(df: DataFrame, ts: str | None = None, n_slices: int = 4,
-                name: str = "stream-in") -> str:
+                name: str = "stream-in", n_files: int | None = None) -> str:
     """Write ``df`` as ``n_slices`` time-ordered slices (slice i holds the
     i-th range of ``ts``, one write each so the file source lists them in
-    order); without ``ts`` a single slice.  Returns the folder."""
+    order); without ``ts`` a single slice.  ``n_files`` deals the rows of a
+    slice out over that many files in no order.  Returns the folder."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if n_files:
+        df = df.repartition(n_files)
     if ts is None or n_slices <= 1:
         df.write.parquet(path)
         return path
@@ -40,10 +43,11 @@ def stage_files(df: DataFrame, ts: str | None = None, n_slices: int = 4,
     return path
 
 
-def read_stream(spark: SparkSession, path: str, schema, max_files: int | None = 1,
+def read_stream(spark: SparkSession, path: str, schema, max_files: int | None = None,
                 ts_cols: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Open staged files as a stream; ``TIMESTAMP_NTZ`` event-time columns
-    become ``TIMESTAMP`` (watermarks need it; the session zone is UTC)."""
+    become ``TIMESTAMP`` (watermarks need it; the session zone is UTC).
+    ``max_files`` bounds the files of a micro-batch; no result depends on it."""
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)

@@ -2,13 +2,14 @@
 
 Custom state goes through ``applyInPandasWithState``: each key's state is a
 small JSON document (bounded by that key's live items: executors of an app,
-pending requests of a channel, counters of a stream).  Event times are epoch
-microseconds inside the state.
+pending requests of a channel, counters of a stream, events that the watermark
+has not passed yet).  Event times are epoch microseconds inside the state.
 """
 
 from __future__ import annotations
 
 import json
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -91,43 +92,70 @@ def _n_bytes(body) -> int:
     return len(body.encode("utf-8")) if isinstance(body, str) else len(body)
 
 
-def _in_order(batches, by):
-    """All rows of a key in a micro-batch, in order.  They come in several
-    Arrow chunks, of several files, so no chunk is in order by itself."""
-    parts = [pdf for pdf in batches if len(pdf)]
-    if not parts:
-        return iter(())
-    return pd.concat(parts).sort_values(by, kind="mergesort").itertuples(index=False)
+def _due(rows, st, state):
+    """Events of a key, ``[micros, ...]``, whose time the watermark has
+    passed, in order; the others wait in ``st["buf"]``.  What is due has no
+    earlier event still to come, however the input was cut into files,
+    Arrow chunks and micro-batches (within the watermark's delay)."""
+    wm = state.getCurrentWatermarkMs()
+    held = sorted(st.get("buf", []) + rows)
+    n = next((i for i, r in enumerate(held) if r[0] // 1000 >= wm), len(held))
+    st["buf"] = held[n:]
+    return held[:n]
 
 
-def _lifecycle(batches, st):
+def _wait(st, state, *times):
+    """Keep the state; wake when the watermark passes the next event held
+    back or one of ``times`` (micros)."""
+    state.update((json.dumps(st),))
+    times = [t for t in (*times, *(r[0] for r in st["buf"][:1])) if t is not None]
+    if times:
+        state.setTimeoutTimestamp(min(times) // 1000)
+
+
+def _changes(batches):
+    """State events as ``[micros, eid, state, info]``."""
+    return [[_us(r.ts), int(r.eid), r.state if pd.notna(r.state) else None,
+             r.info if pd.notna(getattr(r, "info", None)) else None]
+            for pdf in batches for r in pdf.itertuples(index=False)]
+
+
+def _lifecycle(due, st):
+    """Apply events in order; ``(micros, eid, state, change)`` of those that
+    a listener is told."""
     out = []
-    for r in _in_order(batches, ["ts", "eid"]):
+    for us, eid, new, info in due:
+        if info is not None:                      # told after a final state, too
+            out.append((us, eid, st["state"], "info_changed"))
+        if new is None:
+            continue
         if st["final"]:
             st["ign"] += 1
             continue
-        st["state"] = r.state
+        st["state"], st["final"] = new, new in FINAL_STATES
         st["app_n"] += 1
-        st["final"] = r.state in FINAL_STATES
-        out.append((r.ts, int(r.eid), r.state))
+        out.append((us, eid, new, "state_changed"))
     return out
 
 
-def stream_lifecycle_state(events: DataFrame) -> DataFrame:
-    """Per app after each micro-batch: current state, whether it is final,
-    applied and ignored changes.  Final states absorb; the stream is assumed
-    to deliver each app's events in time order across micro-batches."""
+def stream_lifecycle_state(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """Per app, whenever events of it fall due: current state, whether it is
+    final, applied and ignored changes.  Final states absorb.  An event is
+    applied once the watermark (latest event time less ``watermark``) has
+    passed it, in ``(ts, eid)`` order; later ones are dropped as late."""
     def fn(key, batches, state):
         st = _load(state, {"state": "UNKNOWN", "final": False, "app_n": 0, "ign": 0, "v": 0})
-        _lifecycle(batches, st)
-        st["v"] += 1
-        state.update((json.dumps(st),))
-        yield pd.DataFrame([{"app": key[0], "state": st["state"], "is_final": st["final"],
-                             "n_applied": st["app_n"], "n_ignored": st["ign"], "version": st["v"]}])
+        due = _due([] if state.hasTimedOut else _changes(batches), st, state)
+        _lifecycle(due, st)
+        st["v"] += bool(due)
+        _wait(st, state)
+        if due:
+            yield pd.DataFrame([{"app": key[0], "state": st["state"], "is_final": st["final"],
+                                 "n_applied": st["app_n"], "n_ignored": st["ign"], "version": st["v"]}])
 
     ship_package(events.sparkSession)
-    return events.groupBy("app").applyInPandasWithState(
-        fn, LIFECYCLE_OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", watermark).groupBy("app").applyInPandasWithState(
+        fn, LIFECYCLE_OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def lifecycle_from_changes(changes: DataFrame) -> DataFrame:
@@ -135,86 +163,92 @@ def lifecycle_from_changes(changes: DataFrame) -> DataFrame:
     return changes.join(last, ["app", "version"], "inner").drop("version")
 
 
-def stream_state_changes(events: DataFrame) -> DataFrame:
-    """Applied transitions only (what a state listener is told), one row per
-    change with ``change = 'state_changed'``; ignored ones are dropped."""
+def stream_state_changes(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """What a state listener is told, one row per change: ``state_changed``
+    for an applied transition (ignored ones are dropped), ``info_changed`` for
+    an event whose ``info`` (if there is such a column) is not null, also
+    after a final state; an event may be both.  Taken in ``(ts, eid)`` order
+    as in ``stream_lifecycle_state``."""
     def fn(key, batches, state):
         st = _load(state, {"state": "UNKNOWN", "final": False, "app_n": 0, "ign": 0})
-        applied = _lifecycle(batches, st)
-        state.update((json.dumps(st),))
-        if applied:
-            yield pd.DataFrame([{"app": key[0], "ts": t, "eid": e, "state": s,
-                                 "change": "state_changed"} for t, e, s in applied],
+        told = _lifecycle(_due([] if state.hasTimedOut else _changes(batches), st, state), st)
+        _wait(st, state)
+        if told:
+            yield pd.DataFrame([{"app": key[0], "ts": _ts(t), "eid": e, "state": s, "change": c}
+                                for t, e, s, c in told],
                                columns=["app", "ts", "eid", "state", "change"])
 
     ship_package(events.sparkSession)
-    return events.groupBy("app").applyInPandasWithState(
-        fn, TRANSITION_OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", watermark).groupBy("app").applyInPandasWithState(
+        fn, TRANSITION_OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --------------------------------------------------------------------------- ST3
-MATCH_OUT = ("channel BIGINT, req_id BIGINT, req_ts TIMESTAMP, resp_id BIGINT, resp_ts TIMESTAMP, "
-             "status STRING")
+MATCH_OUT = ("req_id BIGINT, req_ts TIMESTAMP, resp_id BIGINT, resp_ts TIMESTAMP, status STRING")
 
 
-def stream_match_responses(events: DataFrame, timeout_seconds: float,
-                           watermark: str = "1 day") -> DataFrame:
-    """FIFO response matching with a give-up time.
+def stream_match_responses(events: DataFrame, timeout_seconds: float, watermark: str = "1 day",
+                           keys=("channel",)) -> DataFrame:
+    """Response matching with a give-up time.
 
-    ``events``: ``channel, ts, eid, is_req`` (1 request / 0 response).  A
-    response answers the oldest request still waiting on its channel; a
+    ``events``: ``keys, ts, eid, is_req`` (1 request / 0 response).  A
+    response answers the oldest request still waiting under its keys; a
     request not answered within ``timeout_seconds`` is given up
     (``timed_out``) and no longer waits; a response finding nothing waiting
-    is an ``orphan``.  Give-ups with no later traffic are emitted when the
-    watermark passes their deadline (event-time timeout).  Events of a
-    channel are assumed in time order across micro-batches.
+    is an ``orphan``.  Keys ``(channel,)`` match first in, first out;
+    ``(channel, correlation id)`` match by id.  Events are taken in ``(ts,
+    is_req, eid)`` order once the watermark has passed them; give-ups with no
+    later traffic are emitted when it passes their deadline.  Keys that are
+    null form one key of their own.
     """
     t_us = int(round(timeout_seconds * 1_000_000))
+    keys = list(keys)
+    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + MATCH_OUT
 
     def fn(key, batches, state):
         st = _load(state, {"q": []})
-        out = []
+        queue, out = deque(st["q"]), []
 
         def expire(now_us):
-            while st["q"] and st["q"][0][0] + t_us < now_us:
-                ts0, e0 = st["q"].pop(0)
+            while queue and queue[0][0] + t_us < now_us:
+                ts0, e0 = queue.popleft()
                 out.append((e0, _ts(ts0), None, None, "timed_out"))
 
-        if state.hasTimedOut:
-            expire(state.getCurrentWatermarkMs() * 1000)
-        else:
-            for r in _in_order(batches, ["ts", "is_req", "eid"]):
-                now = _us(r.ts)
-                expire(now)
-                if r.is_req == 1:
-                    st["q"].append([now, int(r.eid)])
-                elif st["q"]:
-                    ts0, e0 = st["q"].pop(0)
-                    out.append((e0, _ts(ts0), int(r.eid), r.ts, "matched"))
-                else:
-                    out.append((None, None, int(r.eid), r.ts, "orphan"))
-        if st["q"]:
-            state.update((json.dumps(st),))
-            state.setTimeoutTimestamp((st["q"][0][0] + t_us) // 1000 + 1)
-        else:
+        rows = [] if state.hasTimedOut else [[_us(r.ts), int(r.is_req), int(r.eid)] for pdf in batches
+                                             for r in pdf.itertuples(index=False)]
+        for now, is_req, eid in _due(rows, st, state):
+            expire(now)
+            if is_req == 1:
+                queue.append([now, eid])
+            elif queue:
+                ts0, e0 = queue.popleft()
+                out.append((e0, _ts(ts0), eid, _ts(now), "matched"))
+            else:
+                out.append((None, None, eid, _ts(now), "orphan"))
+        expire(state.getCurrentWatermarkMs() * 1000)
+        st["q"] = list(queue)
+        if st["q"] or st["buf"]:
+            _wait(st, state, queue[0][0] + t_us if queue else None)
+        elif state.exists:
             state.remove()
         if out:
-            yield pd.DataFrame([{"channel": key[0], "req_id": a, "req_ts": b, "resp_id": c,
-                                 "resp_ts": d, "status": s} for a, b, c, d, s in out],
-                               columns=["channel", "req_id", "req_ts", "resp_id", "resp_ts",
-                                        "status"])
+            cols = dict(zip(["req_id", "req_ts", "resp_id", "resp_ts", "status"],
+                            map(list, zip(*out, strict=True)), strict=True))
+            for c in ("req_id", "resp_id"):
+                cols[c] = pd.array(cols[c], dtype="Int64")       # no float between
+            yield pd.DataFrame({k: [v] * len(out) for k, v in zip(keys, key, strict=True)} | cols)
 
     ship_package(events.sparkSession)
-    return (events.withWatermark("ts", watermark).groupBy("channel")
-            .applyInPandasWithState(fn, MATCH_OUT, _STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    return (events.withWatermark("ts", watermark).groupBy(*keys)
+            .applyInPandasWithState(fn, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 # --------------------------------------------------------------------------- ST6
 REASSEMBLY_OUT = "stream_id BIGINT, chunk_idx BIGINT, bytes_read BIGINT, event STRING"
 
 
-def stream_reassemble(chunks: DataFrame, idle_timeout_ms: int | None = None) -> DataFrame:
+def stream_reassemble(chunks: DataFrame, idle_timeout_ms: int | None = None, first_idx: int = 0) -> DataFrame:
     """Incremental reassembly: ``data`` per piece (with the running byte
     count), then ``complete`` once the announced byte count is reached,
     ``overrun`` if a piece goes past it, and ``incomplete`` when a stream
@@ -223,9 +257,10 @@ def stream_reassemble(chunks: DataFrame, idle_timeout_ms: int | None = None) ->
     processing-time time-out keeps such a query running until it fires.
 
     ``chunks``: ``stream_id, chunk_idx, body, expected_bytes`` (the
-    announcement joined on, e.g. a stream-static join).  Pieces of a stream
-    are taken in index order inside a micro-batch and assumed in order
-    across micro-batches.
+    announcement joined on, e.g. a stream-static join).  Pieces are numbered
+    from ``first_idx`` and read in that order whatever order they arrive in:
+    a piece that is ahead waits (its size is kept, not its body) until those
+    before it are there; one that comes twice is read once.
     """
     def fn(key, batches, state):
         if state.hasTimedOut:
@@ -234,12 +269,17 @@ def stream_reassemble(chunks: DataFrame, idle_timeout_ms: int | None = None) ->
             yield pd.DataFrame([{"stream_id": key[0], "chunk_idx": None,
                                  "bytes_read": st["read"], "event": "incomplete"}])
             return
-        st = _load(state, {"read": 0, "done": False, "exp": None})
+        st = _load(state, {"read": 0, "done": False, "exp": None, "next": first_idx, "ahead": {}})
         out = []
-        for r in _in_order(batches, "chunk_idx"):
-            st["exp"] = int(r.expected_bytes)
-            st["read"] += _n_bytes(r.body)
-            out.append((int(r.chunk_idx), st["read"], "data"))
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                st["exp"] = int(r.expected_bytes)
+                if r.chunk_idx >= st["next"]:
+                    st["ahead"].setdefault(str(int(r.chunk_idx)), _n_bytes(r.body))
+        while str(st["next"]) in st["ahead"]:
+            st["read"] += st["ahead"].pop(str(st["next"]))
+            out.append((st["next"], st["read"], "data"))
+            st["next"] += 1
             if st["read"] == st["exp"] and not st["done"]:
                 st["done"] = True
                 out.append((None, st["read"], "complete"))

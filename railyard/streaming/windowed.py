@@ -22,12 +22,17 @@ def stream_idle_sessions(events: DataFrame, channel: str = "channel", ts: str =
 
 # --------------------------------------------------------------------------- ST5
 def stream_first_answer(answers: DataFrame, keys=("request", "item"), ts: str = "ts",
-                        delay: str = "1 hour") -> DataFrame:
-    """Report each ``(request, item)`` once: later answers for the same key
-    are dropped.  The key is remembered until the watermark passes its first
-    answer plus ``delay``, so ``delay`` must cover a request's lifetime
-    (all its retry attempts)."""
-    return answers.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+                        delay: str = "1 hour", lifetime: str = "1 hour", order=()) -> DataFrame:
+    """The first answer of each ``(request, item)`` by ``(ts, *order)`` (then
+    by all other columns), with the number of answers ``n_answers``.  Answers
+    no further apart than ``lifetime`` are of one request; it is reported
+    once the watermark has passed the last of them by ``lifetime``, so the
+    result does not depend on the order of arrival."""
+    keys, order = list(keys), list(order)
+    rest = [c for c in answers.columns if c not in (*keys, ts, *order)]
+    return (answers.withWatermark(ts, delay).groupBy(*keys, F.session_window(ts, lifetime).alias("__w"))
+            .agg(F.min(F.struct(ts, *order, *rest)).alias("__first"), F.count("*").alias("n_answers"))
+            .select(*keys, "__first.*", "n_answers"))
 
 
 # --------------------------------------------------------------------------- ST7

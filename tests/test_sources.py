@@ -94,7 +94,7 @@ def test_sinks_round_trip(spark, tmp_path):
 
 
 def test_segments_over_bucketed_document_files(spark):
-    path, segs = b.rendered_document_files(spark, SF_TINY, n_files=4)
+    path, segs = b.rendered_document_files(spark, SF_TINY, per_file=50)
     out = src.scan_segments(spark, path, segs).collect()
     docs = {r["doc_id"]: r["text"] for r in b.table(spark, SF_TINY, "documents").collect()}
     assert len(out) == len(docs)

@@ -1,5 +1,6 @@
 from collections import defaultdict, deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_TINY, rows
@@ -9,8 +10,29 @@ from railyard.operators import text as tx
 from railyard.plans import bindings as b
 
 
-def _stream(spark, df, ts="ts", n=3, name="t"):
-    return sm.read_stream(spark, sm.stage_files(df, ts, n, name), df.schema)
+DELAY = "11 days"           # more than a third of the events' time
+DELAY_MS = 11 * 86_400_000
+
+
+def _stream(spark, df, ts="ts", n=3, name="t", n_files=None, max_files=1):
+    return sm.read_stream(spark, sm.stage_files(df, ts, n, name, n_files), df.schema, max_files)
+
+
+def _due(df):
+    """Rows that the final watermark has passed."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    top = df.agg(F.max(ms)).first()[0]
+    return df.filter(ms < top - DELAY_MS)
+
+
+@pytest.fixture(params=[(1, 1, 10_000), (4, 3, 7)], ids=["in-order", "shuffled"])
+def cut(request, spark):
+    """Files of a slice, files of a micro-batch, rows of an Arrow chunk."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, request.param[2])
+    yield {"n_files": request.param[0], "max_files": request.param[1]}
+    spark.conf.set(key, old)
 
 
 def test_registry_stream_equals_batch(spark):
@@ -20,14 +42,29 @@ def test_registry_stream_equals_batch(spark):
     assert rows(sm.registry_from_changes(changes), "app", "exec", "info") == batch
 
 
-def test_lifecycle_stream_equals_batch(spark):
+def test_lifecycle_stream_equals_batch(spark, cut):
     ev = b.app_state_events(spark, SF_TINY)
-    batch = rows(stt.lifecycle_state(ev), "app", "state", "is_final", "n_applied", "n_ignored")
+    batch = rows(stt.lifecycle_state(_due(ev)), "app", "state", "is_final", "n_applied", "n_ignored")
     out = sm.lifecycle_from_changes(
-        sm.run_available(sm.stream_lifecycle_state(_stream(spark, ev)), "t-life"))
+        sm.run_available(sm.stream_lifecycle_state(_stream(spark, ev, **cut), DELAY), "t-life"))
     assert rows(out, "app", "state", "is_final", "n_applied", "n_ignored") == batch
 
 
+def test_changes_told_to_a_listener(spark, cut):
+    ev = b.app_events_with_info(spark, SF_TINY)
+    out = sm.run_available(sm.stream_state_changes(_stream(spark, ev, **cut), DELAY), "t-told")
+    got = sorted((r["app"], r["eid"], r["state"], r["change"]) for r in out.collect())
+    want, state = [], defaultdict(lambda: "UNKNOWN")
+    for r in sorted(_due(ev).collect(), key=lambda r: (r["ts"], r["eid"])):
+        if r["info"] is not None:
+            want.append((r["app"], r["eid"], state[r["app"]], "info_changed"))
+        elif state[r["app"]] not in ("FINISHED", "FAILED", "KILLED"):
+            state[r["app"]] = r["state"]
+            want.append((r["app"], r["eid"], r["state"], "state_changed"))
+    assert got == sorted(want)
+    assert any(c == "info_changed" and s in ("FINISHED", "FAILED") for _, _, s, c in want)
+
+
 def simulate_timed_fifo(events, timeout_us):
     q = defaultdict(deque)
     out = set()
@@ -44,40 +81,61 @@ def simulate_timed_fifo(events, timeout_us):
     return out, pending
 
 
-def test_stream_match_responses_vs_simulation(spark):
-    e = b.table(spark, SF_TINY, "events").filter("event_type IN ('signup', 'purchase')").select(
-        F.col("user_id").alias("channel"), "ts", F.col("event_id").alias("eid"),
-        F.when(F.col("event_type") == "signup", 1).otherwise(0).alias("is_req"))
+@pytest.mark.parametrize("keys", [("channel",), ("channel", "corr")])
+def test_stream_match_responses_vs_simulation(spark, cut, keys):
+    e = b.signup_purchase_events(spark, SF_TINY)
     timeout = 3 * 86400
-    out = sm.run_available(sm.stream_match_responses(_stream(spark, e), timeout), "t-rpc")
-    got = {(r["channel"], r["req_id"], r["resp_id"], r["status"]) for r in out.collect()}
-    evs = [(r["channel"], int(r["ts"].timestamp() * 1e6), r["eid"], r["is_req"]) for r in e.collect()]
+    out = sm.run_available(sm.stream_match_responses(_stream(spark, e, **cut), timeout, DELAY, keys), "t-rpc")
+    got = {(tuple(r[k] for k in keys), r["req_id"], r["resp_id"], r["status"]) for r in out.collect()}
+    evs = [(tuple(r[k] for k in keys), round(r["ts"].timestamp() * 1e6), r["eid"], r["is_req"])
+           for r in _due(e).collect()]
     expect, pending = simulate_timed_fifo(evs, timeout * 1_000_000)
-    # everything the simulation decides is emitted; beyond that the stream
-    # may only give up requests still pending at the end whose deadline the
-    # final watermark has passed
-    assert expect <= got
-    extra = got - expect
-    assert all(s == "timed_out" and (ch, rid) in pending for ch, rid, _, s in extra)
-    assert len(got) > len(evs) // 2
+    # requests still pending at the end are given up if the final watermark
+    # has passed their deadline
+    top = max(round(r["ts"].timestamp() * 1e6) for r in e.collect())
+    at = {(k, eid): us for k, us, eid, _ in evs}
+    wm = (top // 1000 - DELAY_MS) * 1000
+    expect |= {(k, eid, None, "timed_out") for k, eid in pending if at[k, eid] + timeout * 1_000_000 < wm}
+    assert got == expect and len(got) > len(evs) // 2
+
+
+def test_stream_match_keeps_large_ids(spark):
+    big = 2**60 + 1
+    e = spark.createDataFrame([(1, 1, big, 1), (1, 2, big + 2, 0), (1, 3, big + 4, 0), (2, 9_000_000, 5, 1)],
+                              "channel long, s long, eid long, is_req int")
+    e = e.select("channel", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "eid", "is_req")
+    out = sm.run_available(sm.stream_match_responses(_stream(spark, e, n=1, max_files=None), 60, "1 hour"), "t-big")
+    assert rows(out, "req_id", "resp_id", "status") == sorted(
+        [(big, big + 2, "matched"), (None, big + 4, "orphan")], key=repr)
 
 
 def test_stream_reassembly_matches_batch(spark):
     chunks, ann = b.conversation_streams(spark, SF_TINY)
-    s = sm.read_stream(spark, sm.stage_files(chunks, None, 1, "t-conv"), chunks.schema)
+    s = sm.read_stream(spark, sm.stage_files(chunks, None, 1, "t-conv", 5), chunks.schema, max_files=2)
     out = sm.run_available(sm.stream_reassemble(s.join(ann, "stream_id")), "t-reasm")
     final = {r["stream_id"]: r["event"] for r in out.filter("event <> 'data'").collect()}
     batch = {r["stream_id"]: r["status"] for r in tx.reassemble_chunks(chunks, ann).collect()}
     assert final == {k: v for k, v in batch.items() if v != "incomplete"}
 
 
-def test_first_answer_and_sessions(spark):
-    log = b.retry_log(spark, SF_TINY).withColumn(
-        "ts", F.timestamp_seconds(F.lit(1704067200) + F.col("attempt") * 3600 + F.col("seq"))
-        .cast("timestamp_ntz"))
-    out = sm.run_available(sm.stream_first_answer(_stream(spark, log), ("request", "item"),
-                                                  delay="1 day"), "t-dd")
-    assert out.count() == log.select("request", "item").distinct().count()
+def test_first_answer(spark):
+    log = b.timed_answers(spark, SF_TINY)
+    s = sm.read_stream(spark, sm.stage_files(log, name="t-dd", n_files=6), log.schema)
+    out = sm.run_available(sm.stream_first_answer(s, ("request", "item"), "ts", "3 hours", "2 hours",
+                                                  ("attempt",)), "t-dd")
+    got = {(r["request"], r["item"]): (r["attempt"], r["outcome"], r["n_answers"]) for r in out.collect()}
+    log = log.collect()
+    top = max(r["ts"] for r in log)
+    want, last = {}, {}
+    for r in sorted(log, key=lambda r: r["ts"], reverse=True):
+        key = r["request"], r["item"]
+        last.setdefault(key, r["ts"])
+        want[key] = (r["attempt"], r["outcome"], 4)
+    assert got == {k: v for k, v in want.items() if (top - last[k]).total_seconds() >= 5 * 3600}
+    assert len(got) > len(want) // 2
+
+
+def test_sessions(spark):
     ev = b.table(spark, SF_TINY, "events").select(F.col("user_id").alias("channel"), "ts")
     ses = sm.run_available(sm.stream_idle_sessions(_stream(spark, ev)), "t-ses")
     assert ses.count() > 0
