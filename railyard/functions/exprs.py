@@ -13,14 +13,17 @@ def _c(c: Column | str) -> Column:
 
 
 def java_string_hash(c: Column | str) -> Column:
-    """Java's ``String.hashCode``: fold ``h = 31*h + code`` with 32-bit wrap,
-    returned as a signed 32-bit value (BIGINT column).  Keys are expected to be
-    ASCII / BMP text (Java folds UTF-16 units)."""
+    """Java's ``String.hashCode``: fold ``h = 31*h + unit`` over the UTF-16
+    units (a character beyond the BMP is two) with 32-bit wrap, returned as a
+    signed 32-bit value (BIGINT column)."""
+    def step(h, x):
+        over = x - 0x10000
+        pair = (h * 31 + F.shiftright(over, 10) + 0xD800) * 31 + over.bitwiseAND(F.lit(0x3FF)) + 0xDC00
+        return F.pmod(F.when(x < 0x10000, h * 31 + x).otherwise(pair), F.lit(_TWO_32))
+
     unsigned = F.aggregate(
         F.transform(F.split(_c(c), ""), lambda ch: F.ascii(ch).cast("bigint")),
-        F.lit(0).cast("bigint"),
-        lambda h, x: F.pmod(h * 31 + x, F.lit(_TWO_32)),
-    )
+        F.lit(0).cast("bigint"), step)
     return F.when(unsigned >= 2**31, unsigned - _TWO_32).otherwise(unsigned)
 
 

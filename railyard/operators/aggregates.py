@@ -1,5 +1,5 @@
-"""Aggregations: all-or-nothing groups, latency summaries, message census and
-layered settings.  All are ``groupBy().agg()`` with map-side partial
+"""Aggregations: all-or-nothing groups, latency summaries, message census,
+layered and typed settings.  All are ``groupBy().agg()`` with map-side partial
 aggregation, so a hot group is pre-combined on every task before the shuffle.
 """
 
@@ -141,3 +141,34 @@ def layered_settings(layers: DataFrame, mode: str = "present", key: str = "key",
         F.min_by(F.struct(F.col(value).alias("value"), F.col(layer).alias("layer")),
                  F.col(rank)).alias("w"))
     return win.select(key, F.col("w.value").alias("value"), F.col("w.layer").alias("layer"))
+
+
+# Fixed grammar of numbers in settings: sign and digits; decimals may have
+# a fraction, an exponent, a type letter, or be a named value.
+_WHOLE = r"^[+-]?[0-9]+$"
+_DECIMAL = r"^[+-]?(?:NaN|Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)[dDfF]?$"
+
+
+def typed_settings(settings: DataFrame, kind: str, default=None, key: str = "key",
+                   value: str = "value") -> DataFrame:
+    """Settings read as ``kind`` (``boolean``, ``int``, ``bigint`` or
+    ``double``): ``typed`` beside the other columns, and ``reject_reason``.
+
+    A null value (a key that no layer sets) takes ``default``.  A boolean is
+    true if it spells ``true`` in any case, otherwise false.  A number that is
+    malformed or out of range is an error (``bad_<kind>``, ``typed`` null),
+    never the default; white space is allowed around a double only."""
+    if kind not in ("boolean", "int", "bigint", "double"):
+        raise ValueError("kind must be 'boolean', 'int', 'bigint' or 'double'")
+    v = F.col(value)
+    if kind == "boolean":
+        parsed = F.lower(v) == "true"
+    elif kind == "double":
+        v = F.regexp_replace(v, r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
+        parsed = F.when(v.rlike(_DECIMAL), F.regexp_replace(v, r"(?<=[0-9.])[dDfF]$|(?<=NaN|ity)[dDfF]$", "")).try_cast("double")
+    else:
+        parsed = F.when(v.rlike(_WHOLE), v).try_cast(kind)
+    bad = v.isNotNull() & parsed.isNull()
+    return settings.select(
+        "*", F.when(v.isNull(), F.lit(default).cast(kind)).otherwise(parsed).alias("typed"),
+        F.when(bad, F.lit(f"bad_{kind}")).alias("reject_reason"))

@@ -195,6 +195,16 @@ def layered_customer_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explicit.unionByName(file_).unionByName(default)
 
 
+def typed_customer_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG4: a setting per customer; by ``c_custkey % 5`` a whole number, a
+    spelling of a boolean, a decimal, a malformed number, or not set."""
+    c = table(spark, sf_dir, "customer")
+    k, m = F.col("c_custkey").cast("string"), F.col("c_custkey") % 5
+    value = (F.when(m == 0, F.concat(F.lit("-"), k)).when(m == 1, F.lit("TRUE"))
+             .when(m == 2, F.concat(k, F.lit(".5"))).when(m == 3, F.concat(k, F.lit("x"))))
+    return c.select(F.col("c_custkey").alias("key"), value.alias("value"))
+
+
 def chunk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN3: stream = user_id, arrival = ts, chunk index = k % 5 (5 chunks)."""
     e = events(spark, sf_dir)

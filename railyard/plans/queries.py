@@ -435,9 +435,13 @@ FROM f
 
 
 def _resolved(spark, sf):
-    idx = _offset_index(spark, sf)
+    # the index is a stored table that both the requests and the manifest read
+    from railyard.session import scratch_path
+    idx, path = _offset_index(spark, sf), scratch_path(spark, "offset-index")
+    idx.write.parquet(path)
+    idx = spark.read.schema(idx.schema).parquet(path)
     manifest = idx.select(b.app_of("l_suppkey").alias("app_id"), F.col("l_suppkey").cast("string").alias("exec_id"),
-                          F.lit(0).alias("shuffle_id"), F.col("l_orderkey").cast("int").alias("map_id"),
+                          F.lit(0).alias("shuffle_id"), F.col("l_orderkey").try_cast("int").alias("map_id"),
                           F.col("idx").alias("reduce_id"), "offset", "next_offset")
     return jn.resolve_blocks(b.block_requests(idx), b.executor_registry(spark, sf), manifest)
 
@@ -524,6 +528,31 @@ def q_layered_non_empty(spark, sf):
     return ag.layered_settings(b.layered_customer_settings(spark, sf), "non_empty")
 
 
+@register("ag4_typed_settings", """
+WITH t AS (
+  SELECT c_custkey AS key, [0 - c_custkey, 0, 0, 0, -1][c_custkey % 5 + 1] AS whole,
+         [0 - c_custkey, 0, c_custkey + 0.5, 0, 0.25][c_custkey % 5 + 1] AS decimal, c_custkey % 5 AS m
+  FROM customer)
+SELECT key, 'boolean' AS kind, CASE WHEN m IN (1, 4) THEN 'true' ELSE 'false' END AS typed,
+       CAST(NULL AS VARCHAR) AS reject_reason FROM t
+UNION ALL
+SELECT key, 'bigint', CASE WHEN m IN (0, 4) THEN CAST(CAST(whole AS BIGINT) AS VARCHAR) END,
+       CASE WHEN m IN (1, 2, 3) THEN 'bad_bigint' END FROM t
+UNION ALL
+SELECT key, 'double', CASE WHEN m IN (0, 2, 4) THEN CAST(CAST(decimal * 4 AS BIGINT) AS VARCHAR) END,
+       CASE WHEN m IN (1, 3) THEN 'bad_double' END FROM t
+""")
+def q_typed_settings(spark, sf):
+    s = b.typed_customer_settings(spark, sf)
+    # doubles are shown in quarters, which print alike everywhere
+    parts = [ag.typed_settings(s, kind, default).select(
+        "key", F.lit(kind).alias("kind"),
+        (F.col("typed") * 4).cast("bigint").cast("string").alias("typed") if kind == "double"
+        else F.col("typed").cast("string"), "reject_reason")
+        for kind, default in (("boolean", True), ("bigint", -1), ("double", 0.25))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # =================================================================== windows
 @register("wn1_offset_index", "WITH " + OFFSET_SQL + "SELECT * FROM oi")
 def q_offset_index(spark, sf):

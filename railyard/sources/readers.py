@@ -79,22 +79,25 @@ def scan_properties(spark: SparkSession, path: str, layer: str) -> DataFrame:
     value, comments with ``#`` or ``!``, lines continued by a backslash,
     ``\\t \\n \\r \\f \\uXXXX`` and other escapes; values are trimmed.  A line
     whose unicode escape is malformed (or half a surrogate pair) is kept:
-    null key, the line as value, ``malformed_escape`` as reason.  A key that
-    is set twice gives two rows.  Continuations tie lines together, so a
-    settings file is read as one cell."""
+    null key, the line as value, ``malformed_escape`` as reason.  Of a key
+    that a file sets twice the last value counts.  Continuations tie lines
+    together, so a settings file is read as one cell."""
     lines = (spark.read.text(path, wholetext=True)
-             .select(F.explode(F.regexp_extract_all("value", F.lit(_LOGICAL_LINE), F.lit(0))).alias("line"))
+             .select(F.col("_metadata.file_path").alias("file"),
+                     F.posexplode(F.regexp_extract_all("value", F.lit(_LOGICAL_LINE), F.lit(0))).alias("at", "line"))
              .filter(~F.col("line").rlike(r"^[ \t\f]*[#!]"))
-             .select(F.regexp_replace(F.regexp_replace("line", _CONTINUED, "$1"), r"^[ \t\f]+", "").alias("line"))
+             .select("file", "at", F.regexp_replace(F.regexp_replace("line", _CONTINUED, "$1"), r"^[ \t\f]+", "").alias("line"))
              .filter("line <> ''"))
     ok = F.col("line").rlike(_ESCAPES_OK)
     value = F.regexp_replace(_unescape(F.regexp_extract("line", _KEY_VALUE, 2)),
                              r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
-    return lines.select(
-        F.lit(layer).alias("layer"),
-        F.when(ok, _unescape(F.regexp_extract("line", _KEY_VALUE, 1))).alias("key"),
-        F.when(ok, value).otherwise(F.col("line")).alias("value"),
-        F.when(~ok, "malformed_escape").alias("reject_reason"))
+    # a rejected line is a group of its own, any key is one per file
+    return (lines.withColumn("key", F.when(ok, _unescape(F.regexp_extract("line", _KEY_VALUE, 1))))
+            .withColumn("value", F.when(ok, value).otherwise(F.col("line")))
+            .groupBy("file", "key", F.when(~ok, F.col("at")).alias("rejected"))
+            .agg(F.max_by("value", "at").alias("value"))
+            .select(F.lit(layer).alias("layer"), "key", "value",
+                    F.when(F.col("rejected").isNotNull(), "malformed_escape").alias("reject_reason")))
 
 
 # --------------------------------------------------------------------------- SRC5

@@ -7,14 +7,15 @@ from railyard.operators import projections as pj
 
 def java_hash(s: str) -> int:
     h = 0
-    for ch in s:
-        h = (31 * h + ord(ch)) & 0xFFFFFFFF
+    units = s.encode("utf-16-be")
+    for i in range(0, len(units), 2):
+        h = (31 * h + int.from_bytes(units[i:i + 2])) & 0xFFFFFFFF
     return h - (1 << 32) if h >= 1 << 31 else h
 
 
 def test_java_string_hash(spark):
     keys = ["", "a", "shuffle_1_0_0.data", "shuffle_0_1_0.index", "polygenelubricants",
-            "Aa", "BB", "x" * 200]
+            "Aa", "BB", "x" * 200, "é\U0001F600z\U00010000\U0010FFFF\uffff"]
     df = spark.createDataFrame([(k,) for k in keys], "k STRING")
     got = {r["k"]: (r["h"], r["n"]) for r in
            df.select("k", java_string_hash("k").alias("h"), nonneg_hash("k").alias("n")).collect()}
@@ -114,3 +115,25 @@ def test_census_counts_null_fields_as_empty_and_joins_nothing(spark):
     got = {r["type_name"]: (r["n"], r["header_bytes"]) for r in out.collect()}
     assert got == {"ChunkFetchFailure": (1, 25), "StreamFailure": (1, 20)}
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_typed_settings(spark):
+    from railyard.operators.aggregates import typed_settings
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(
+        [None, "", "TRUE", "yes", "-7", "+7", " 7", "2147483648", "1.5", " 1e3 ", "NaN", "2f", "0x1", "\u0663"])],
+        "key int, value string")
+
+    def got(kind, default):
+        return {r["value"]: (r["typed"], r["reject_reason"]) for r in typed_settings(df, kind, default).collect()}
+
+    as_int = got("int", 3)
+    assert as_int[None] == (3, None) and as_int["-7"] == (-7, None) and as_int["+7"] == (7, None)
+    for v in ("", " 7", "2147483648", "1.5", "TRUE", "\u0663"):
+        assert as_int[v] == (None, "bad_int")
+    assert got("bigint", None)["2147483648"] == (2147483648, None) and got("bigint", None)[None] == (None, None)
+    as_bool = got("boolean", True)
+    assert as_bool[None] == (True, None) and as_bool["TRUE"] == (True, None) and as_bool["yes"] == (False, None)
+    as_double = got("double", 0.5)
+    assert [as_double[v][0] for v in (None, "1.5", " 1e3 ", " 7", "2f")] == [0.5, 1.5, 1000.0, 7.0, 2.0]
+    assert as_double["NaN"][0] != as_double["NaN"][0] and as_double["NaN"][1] is None
+    assert as_double[""] == (None, "bad_double")

@@ -40,9 +40,9 @@ def test_scan_rejects(spark, tmp_path):
 
 def test_scan_properties(spark, tmp_path):
     p = _write(tmp_path / "defaults.conf",
-               "# comment\\\n! also comment\n\n spark.a = 1 \nspark.b=x=y\nnovalue\nspark.c 3\nspark.d:4\n"
+               "# comment\\\n! also comment\n\n spark.a = first \nspark.b=x=y\nnovalue\nspark.c 3\nspark.d:4\n"
                "\tspark.e\t=\t5\t\n\t# c=1\ntwo\\\n   .lines = a\\\n  b\nwith\\ blank\\=key = v\\tw\\\\\n"
-               "uni = \\u00e9\\ud83d\\ude00\nbad = \\u12\nend = x\\")
+               "uni = \\u00e9\\ud83d\\ude00\nbad = \\u12\nspark.a : 1\nend = x\\")
     got = {r["key"]: r["value"] for r in src.scan_properties(spark, str(p), "file").collect()
            if r["reject_reason"] is None}
     assert got == {"spark.a": "1", "spark.b": "x=y", "novalue": "", "spark.c": "3", "spark.d": "4",
