@@ -23,6 +23,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks(spark: SparkSession, rows: int, per_task: int) -> int:
+    """Partitions that hold about ``per_task`` rows each, and no fewer than
+    the session's: what a task holds in memory does not grow with the input."""
+    return max(partitions(spark), -(-rows // per_task))
+
+
 def text_of(col: str) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -32,12 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, partitions, python_ready, small_join, tagged, written
+from .common import column, python_ready, small_join, tagged, tasks, written
 from .graph import components, forest
 
 SEED = 42
 LEAF = 64                 # points a leaf compares directly
 SHARD_MAX = 20_000        # rows of a shard before it is split
+TASK_ROWS = 2_000_000     # rows of all shards of a task, about 50 bytes each
 RING = 8                  # width of a ring, more than max_bits
 _SHINGLES = 65_536        # shingles held as bits at a time
 
@@ -214,7 +215,8 @@ def links(points: DataFrame, max_bits: int = 4) -> DataFrame:
     rings = (dealt.withColumn("r1", F.explode(_ring("v1", max_bits)))
              .withColumn("r2", F.explode(_ring("v2", max_bits))))
     shards = rings.select("fp", F.xxhash64("block", "r1", "r2").alias("shard"))
-    return shards.repartition(partitions(spark), "shard").mapInArrow(
+    n = tasks(spark, points.count() * blocks, TASK_ROWS)
+    return shards.repartition(n, "shard").mapInArrow(
         _shard_links(max_bits), "a bigint, b bigint")
 
 

@@ -38,10 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, column, mix64, partitions, python_ready, stable, tagged, written
+from .common import buffers, column, mix64, python_ready, stable, tagged, tasks, written
 
 ANCHOR = 64
 OFTEN = 20_000            # distinct runs of an anchor, before they are dealt out by distance
+TASK_BYTES = 1 << 28      # bytes of text whose suffixes a task indexes, about 40 bytes in 57
 NEAR = 8                  # distances that stay together then
 _BLOCK = 1 << 19
 
@@ -367,7 +368,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, batch_rows: int = 65_536,
     spark = docs.sparkSession
     python_ready(spark)
     texts = tagged(stable(docs), id_col, text_col)
-    n = partitions(spark)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = tasks(spark, size, TASK_BYTES)
     found = texts.select("tag", "text").mapInArrow(_find_runs(length), RUNS)
     first = F.min(F.struct("tag", "start")).alias("first")
     distinct = (found.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("k"), first)
