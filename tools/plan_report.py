@@ -17,9 +17,23 @@ STREAMING = ("st1_stream", "st2_stream", "st3_stream", "st4_stream", "st5_stream
              "st6_stream", "st7_")
 
 
+def final_lines(plan: str) -> list[str]:
+    """Lines of the final plan and of its subqueries' final plans: what an
+    initial plan's heading stands over, by indentation, is left out."""
+    out, skip = [], None
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :|+-"))
+        if skip is not None and depth < skip:
+            skip = None
+        if "== Initial Plan ==" in line and skip is None:
+            skip = depth
+        if skip is None:
+            out.append(line)
+    return out
+
+
 def summarise(plan: str) -> dict:
-    final = plan.split("== Initial Plan ==")[0]
-    lines = final.splitlines()
+    lines = final_lines(plan)
     shuffles = [l for l in lines if re.search(r"\bExchange hashpartitioning|Exchange rangepartitioning"
                                               r"|Exchange SinglePartition|Exchange RoundRobin", l)
                 and "ReusedExchange" not in l and "BroadcastExchange" not in l]
@@ -29,23 +43,24 @@ def summarise(plan: str) -> dict:
         "broadcast": sum("BroadcastHashJoin" in l for l in lines),
         "smj": sum("SortMergeJoin" in l for l in lines),
         "sort_agg": sum("SortAggregate" in l for l in lines),
-        "python": sum(bool(re.search(r"MapInPandas|FlatMapGroupsInPandas|ArrowEvalPython|"
+        "python": sum(bool(re.search(r"MapInPandas|MapInArrow|FlatMapGroupsInPandas|ArrowEvalPython|"
                                      r"BatchEvalPython", l)) for l in lines),
         "window": sum(l.strip().startswith(("Window", "+- Window", ":- Window")) or " Window [" in l
                       for l in lines),
         "nested_loop": sum("NestedLoopJoin" in l or "CartesianProduct" in l for l in lines),
-        "pushed": sorted(set(re.findall(r"PushedFilters: \[([^\]]+)\]", final))),
+        "pushed": sorted(set(re.findall(r"PushedFilters: \[([^\]]+)\]", "\n".join(lines)))),
     }
 
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     out = sys.argv[2] if len(sys.argv) > 2 else "PLANS.md"
-    import __spark_entry__ as e
     from railyard.session import build_session
     spark = build_session()
     rows = []
-    for name, fn in e.queries().items():
+    from railyard.plans import catalog
+    catalog.load_all()
+    for name, fn in catalog.QUERIES.items():
         if name.startswith(STREAMING):
             continue
         df = fn(spark, sf)
