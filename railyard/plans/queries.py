@@ -980,6 +980,16 @@ def _staged(spark, df, ts, name):
     return sm.read_stream(spark, path, df.schema, max_files=4)
 
 
+def _finite(spark, df, name, wait_ms=0):
+    """A staged stream and what stages its end row: past it the watermark has
+    passed every event, and every time-out of ``wait_ms`` after one."""
+    from railyard import streaming as sm
+    df = sm.with_end(df)
+    path = sm.stage_files(df, "ts", 4, name, n_files=3)
+    return (sm.read_stream(spark, path, df.schema, max_files=4),
+            lambda: sm.stage_end(df, path, DELAY_MS + wait_ms + 1000))
+
+
 def _due_sql(rows: str) -> str:
     return f"(SELECT * FROM {rows} WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM {rows}) - {DELAY_MS})"
 
@@ -1012,8 +1022,8 @@ FROM tr GROUP BY app
 """)
 def q_stream_lifecycle_state(spark, sf):
     from railyard import streaming as sm
-    s = _staged(spark, b.app_state_events(spark, sf), "ts", "app-events")
-    return sm.lifecycle_from_changes(sm.run_available(sm.stream_lifecycle_state(s, DELAY), "lifecycle"))
+    s, end = _finite(spark, b.app_state_events(spark, sf), "app-events")
+    return sm.lifecycle_from_changes(sm.run_available(sm.stream_lifecycle_state(s, DELAY), "lifecycle", end=end))
 
 
 def _timed_sql(channel: str, shown: str) -> str:
@@ -1036,8 +1046,8 @@ FROM waiting WHERE us + 86400000000 < 1000 * (SELECT wm FROM mark)
 
 def _timed_matches(spark, sf, keys):
     from railyard import streaming as sm
-    s = _staged(spark, b.signup_purchase_events(spark, sf), "ts", "rpc-events")
-    out = sm.run_available(sm.stream_match_responses(s, 86400, DELAY, keys), "rpc-match")
+    s, end = _finite(spark, b.signup_purchase_events(spark, sf), "rpc-events", 86_400_000)
+    out = sm.run_available(sm.stream_match_responses(s, 86400, DELAY, keys), "rpc-match", end=end)
     return (out.withColumn("req_ts", F.col("req_ts").cast("timestamp_ntz"))
             .withColumn("resp_ts", F.col("resp_ts").cast("timestamp_ntz")))
 
@@ -1067,9 +1077,9 @@ def q_stream_idle_sessions(spark, sf):
     from railyard import streaming as sm
     e = b.table(spark, sf, "events").filter("event_type IN ('view', 'click')").select(
         F.col("user_id").alias("channel"), "ts")
-    s = _staged(spark, e, "ts", "traffic")
+    s, end = _finite(spark, e, "traffic", 1_800_000)
     out = sm.run_available(sm.stream_idle_sessions(s, "channel", "ts", "30 minutes", DELAY),
-                           "sessions")
+                           "sessions", end=end)
     return out.select("channel", *[F.col(c).cast("timestamp_ntz").alias(c) for c in
                                    ("session_start", "session_end")],
                       "n_events", *[F.col(c).cast("timestamp_ntz").alias(c)
@@ -1142,15 +1152,17 @@ FROM info i ASOF LEFT JOIN ok ON i.app = ok.app AND i.ts >= ok.ts
 def q_listener_sink(spark, sf):
     from railyard import streaming as sm
     from railyard.session import scratch_path
-    s = _staged(spark, b.app_events_with_info(spark, sf), "ts", "app-events-l")
+    s, end = _finite(spark, b.app_events_with_info(spark, sf), "app-events-l")
     target = scratch_path(spark, "listener-out")
 
     def listener(batch, batch_id):
         batch.write.mode("append").parquet(target)
 
     changes = sm.stream_state_changes(s, DELAY)
-    q = sm.listener_sink(changes, listener, scratch_path(spark, "listener-ckpt"))
-    q.awaitTermination()
+    checkpoint = scratch_path(spark, "listener-ckpt")
+    sm.listener_sink(changes, listener, checkpoint).awaitTermination()
+    end()
+    sm.listener_sink(changes, listener, checkpoint).awaitTermination()
     return (spark.read.schema(changes.schema).parquet(target)
             .withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 

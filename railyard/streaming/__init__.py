@@ -1,6 +1,13 @@
 """Structured Streaming forms of the keyed-state and live-signal rules."""
 
-from railyard.streaming.runner import read_stream, run_available, run_foreach_batch, stage_files
+from railyard.streaming.runner import (
+    read_stream,
+    run_available,
+    run_foreach_batch,
+    stage_end,
+    stage_files,
+    with_end,
+)
 from railyard.streaming.stateful import (
     lifecycle_from_changes,
     registry_from_changes,
@@ -13,7 +20,7 @@ from railyard.streaming.stateful import (
 from railyard.streaming.windowed import listener_sink, stream_first_answer, stream_idle_sessions
 
 __all__ = [
-    "read_stream", "run_available", "run_foreach_batch", "stage_files",
+    "read_stream", "run_available", "run_foreach_batch", "stage_end", "stage_files", "with_end",
     "lifecycle_from_changes", "registry_from_changes", "stream_lifecycle_state",
     "stream_match_responses", "stream_reassemble", "stream_registry_state",
     "stream_state_changes", "listener_sink", "stream_first_answer", "stream_idle_sessions",

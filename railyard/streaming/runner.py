@@ -7,15 +7,49 @@ order), ``read_stream`` opens them with an explicit schema, and
 parquet sink, returning the sink as a batch DataFrame.  Every location is
 under the shared checkpoint folder, so a restarted query resumes from its
 checkpoint instead of starting over.
+
+A finite input is flushed by an end row (``with_end``, ``stage_end``): it
+carries the watermark past the last event, and is dropped right behind it
+(``watermarked``), so it is in no result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railyard.session import scratch_path
 
+# Null in events; in the end row of a finite input, its event time.
+END = "__end_of_input"
+
+
+def with_end(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """``df`` with the column that tells an end row from events."""
+    return df.withColumn(END, F.lit(None).cast(df.schema[ts].dataType))
+
+
+def stage_end(df: DataFrame, path: str, after_ms: int, ts: str = "ts") -> None:
+    """Add the end row of ``df`` (``with_end``) to the staged folder, dated
+    ``after_ms`` past its last event; none if there is no event.  Stage it
+    once the events are drained: a file source goes by modification times,
+    which need not tell the last file of events from this one."""
+    at = F.col("top") + F.expr(f"make_dt_interval(0, 0, 0, {after_ms / 1000:.3f})")
+    top = df.agg(F.max(ts).alias("top")).filter("top IS NOT NULL")
+    (top.select(*[(at if f.name in (ts, END) else F.lit(None)).cast(f.dataType).alias(f.name)
+                  for f in df.schema.fields]).write.mode("append").parquet(path))
+
+
+def watermarked(events: DataFrame, ts: str, delay: str) -> DataFrame:
+    """``events`` with a watermark and, behind it, without an end row.  The
+    condition mentions ``ts``, so that it is not pushed below the watermark."""
+    out = events.withWatermark(ts, delay)
+    if END not in out.columns:
+        return out
+    return out.filter(F.coalesce(F.col(ts) != F.col(END), F.lit(True))).drop(END)
+
 
 def stage_files(df: DataFrame, ts: str | None = None, n_slices: int = 4,
                 name: str = "stream-in", n_files: int | None = None) -> str:
@@ -44,7 +78,7 @@ def stage_files(df: DataFrame, ts: str | None = None, n_slices: int = 4,
 
 
 def read_stream(spark: SparkSession, path: str, schema, max_files: int | None = None,
-                ts_cols: tuple[str, ...] = ("ts",)) -> DataFrame:
+                ts_cols: tuple[str, ...] = ("ts", END)) -> DataFrame:
     """Open staged files as a stream; ``TIMESTAMP_NTZ`` event-time columns
     become ``TIMESTAMP`` (watermarks need it; the session zone is UTC).
     ``max_files`` bounds the files of a micro-batch; no result depends on it."""
@@ -71,17 +105,26 @@ def use_rocksdb_state(spark: SparkSession) -> None:
         spark.conf.set(key, ROCKSDB_PROVIDER)
 
 
-def run_available(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, name: str, output_mode: str = "append",
+                  end: Callable[[], None] | None = None) -> DataFrame:
     """Drain ``stream`` (``availableNow``) into a parquet sink under the
-    checkpoint folder and return what it wrote."""
+    checkpoint folder and return what it wrote.  ``end`` stages the end row
+    of a finite input once all else is drained; the query then resumes."""
     spark = stream.sparkSession
     use_rocksdb_state(spark)
     out = scratch_path(spark, name + "-out")
     ckpt = scratch_path(spark, name + "-ckpt")
-    q = (stream.writeStream.format("parquet").outputMode(output_mode)
-         .option("checkpointLocation", ckpt).option("path", out)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+
+    def drain():
+        q = (stream.writeStream.format("parquet").outputMode(output_mode)
+             .option("checkpointLocation", ckpt).option("path", out)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    drain()
+    if end:
+        end()
+        drain()
     return spark.read.schema(stream.schema).parquet(out)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from railyard.operators.state import FINAL_STATES
 from railyard.session import ship_package
+from railyard.streaming.runner import watermarked
 
 _STATE = "blob STRING"
 
@@ -154,7 +155,7 @@ def stream_lifecycle_state(events: DataFrame, watermark: str = "1 hour") -> Data
                                  "n_applied": st["app_n"], "n_ignored": st["ign"], "version": st["v"]}])
 
     ship_package(events.sparkSession)
-    return events.withWatermark("ts", watermark).groupBy("app").applyInPandasWithState(
+    return watermarked(events, "ts", watermark).groupBy("app").applyInPandasWithState(
         fn, LIFECYCLE_OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -179,7 +180,7 @@ def stream_state_changes(events: DataFrame, watermark: str = "1 hour") -> DataFr
                                columns=["app", "ts", "eid", "state", "change"])
 
     ship_package(events.sparkSession)
-    return events.withWatermark("ts", watermark).groupBy("app").applyInPandasWithState(
+    return watermarked(events, "ts", watermark).groupBy("app").applyInPandasWithState(
         fn, TRANSITION_OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -240,7 +241,7 @@ def stream_match_responses(events: DataFrame, timeout_seconds: float, watermark:
             yield pd.DataFrame({k: [v] * len(out) for k, v in zip(keys, key, strict=True)} | cols)
 
     ship_package(events.sparkSession)
-    return (events.withWatermark("ts", watermark).groupBy(*keys)
+    return (watermarked(events, "ts", watermark).groupBy(*keys)
             .applyInPandasWithState(fn, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from railyard.streaming.runner import watermarked
+
 
 # --------------------------------------------------------------------------- ST4
 def stream_idle_sessions(events: DataFrame, channel: str = "channel", ts: str = "ts",
@@ -12,7 +14,7 @@ def stream_idle_sessions(events: DataFrame, channel: str = "channel", ts: str =
     """Activity sessions per channel: a session closes after ``timeout`` of
     silence (the live form of the idle check).  Append mode emits a session
     once the watermark (max event time − ``delay``) passes its end."""
-    return (events.withWatermark(ts, delay)
+    return (watermarked(events, ts, delay)
             .groupBy(F.col(channel).alias("channel"), F.session_window(ts, timeout).alias("session"))
             .agg(F.count("*").alias("n_events"), F.min(ts).alias("first_ts"),
                  F.max(ts).alias("last_ts"))

@@ -154,3 +154,59 @@ def test_stream_sessions_equal_batch_sessions(spark):
                    "channel", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"),
                    F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "n_events").collect()}
     assert closed and closed <= batch
+
+
+# ---- registered streams take the whole finite input
+
+def _whole(spark, name):
+    from railyard.plans import catalog
+    catalog.load_all()
+    return catalog.QUERIES[name](spark, SF_TINY)
+
+
+def test_lifecycle_query_takes_every_event(spark):
+    cols = "app", "state", "is_final", "n_applied", "n_ignored"
+    batch = rows(stt.lifecycle_state(b.app_state_events(spark, SF_TINY)), *cols)
+    assert rows(_whole(spark, "st2_stream_lifecycle_state"), *cols) == batch
+
+
+def test_listener_query_is_told_every_change(spark):
+    got = rows(_whole(spark, "st7_listener_sink"), "app", "eid", "state", "change")
+    want, state = [], defaultdict(lambda: "UNKNOWN")
+    for r in sorted(b.app_events_with_info(spark, SF_TINY).collect(), key=lambda r: (r["ts"], r["eid"])):
+        if r["info"] is not None:
+            want.append((r["app"], r["eid"], state[r["app"]], "info_changed"))
+        if r["state"] is not None and state[r["app"]] not in ("FINISHED", "FAILED", "KILLED"):
+            state[r["app"]] = r["state"]
+            want.append((r["app"], r["eid"], r["state"], "state_changed"))
+    assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name,keys", [("st3_stream_match_responses", ("channel",)),
+                                       ("st3_stream_match_by_id", ("channel", "corr"))])
+def test_match_queries_settle_every_event(spark, name, keys):
+    out = _whole(spark, name).collect()
+    got = {(tuple(r[k] for k in keys), r["req_id"], r["resp_id"], r["status"]) for r in out}
+    evs = [(tuple(r[k] for k in keys), round(r["ts"].timestamp() * 1e6), r["eid"], r["is_req"])
+           for r in b.signup_purchase_events(spark, SF_TINY).collect()]
+    expect, pending = simulate_timed_fifo(evs, 86400 * 1_000_000)
+    assert got == expect | {(k, eid, None, "timed_out") for k, eid in pending} and len(out) == len(got)
+    assert {x for r in out for x in (r["req_id"], r["resp_id"])} - {None} == {e[2] for e in evs}
+
+
+def test_session_query_closes_every_session(spark):
+    from railyard.operators import windows as wn
+    ev = b.table(spark, SF_TINY, "events").filter("event_type IN ('view', 'click')").select(
+        F.col("user_id").alias("channel"), "ts", F.col("event_id").alias("eid"))
+    cols = "channel", "first_ts", "last_ts", "n_events"
+    assert rows(_whole(spark, "st4_stream_idle_sessions"), *cols) == \
+        rows(wn.activity_sessions(ev, "channel", "ts", "eid", 1800), *cols)
+
+
+def test_end_row_is_in_no_result_and_empty_input_has_none(spark):
+    e = sm.with_end(b.app_state_events(spark, SF_TINY).filter("false"))
+    path = sm.stage_files(e, "ts", 4, "t-end")
+    s = sm.read_stream(spark, path, e.schema)
+    out = sm.run_available(sm.stream_lifecycle_state(s, DELAY), "t-end",
+                           end=lambda: sm.stage_end(e, path, DELAY_MS))
+    assert out.count() == 0
