@@ -15,16 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railyard.llm import exact_dedup, mixing, packing, quality, simhash_dedup
-from railyard.llm.common import documents, stable, written
+from railyard.llm.common import documents, numbered, stable, written
 from railyard.llm.queries import CAPACITY, END_ID, MAX_BITS, MIX, SHINGLE, VOCABULARY
 
 _TAG = "__pipeline_tag"
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose number in the scan is not among ``dropped``."""
-    numbered = docs.withColumn(_TAG, F.monotonically_increasing_id())
-    return numbered.join(dropped.select(F.col("tag").alias(_TAG)), _TAG, "left_anti").select(*docs.columns)
+    """Rows of ``docs`` whose tag is not among ``dropped``."""
+    tagged = numbered(docs, _TAG, *docs.columns)
+    return tagged.join(dropped.select(F.col("tag").alias(_TAG)), _TAG, "left_anti").select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,9 @@ from railyard.session import scratch_path, ship_package
 
 # A side of at most this many rows may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 50_000
+# A tag has a file's number over so many bits of a row's place in it.
+_ROW_BITS = 40
+_FILE, _BASE = "__tag_file", "__tag_base"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,16 +38,37 @@ def text_of(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def untagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, text)``, for operators that need not tell repeated rows apart."""
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
+
+
 def tagged(docs: DataFrame, id_col: str, text_col: str, tag: str = "tag") -> DataFrame:
     """``(doc_id, tag, text)`` with a tag that tells repeated rows apart.
 
-    The tag numbers the rows of the scan; it is the same in every use of the
-    frame if that is ``stable``.  Only these columns are kept, so extra
+    The tag is that of ``numbered``.  Only these columns are kept, so extra
     columns can carry any name.
     """
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
-                       F.monotonically_increasing_id().alias(tag),
-                       text_of(text_col).alias("text"))
+    return numbered(docs, tag, F.col(id_col).cast("bigint").alias("doc_id"),
+                    text_of(text_col).alias("text")).select("doc_id", tag, "text")
+
+
+def numbered(docs: DataFrame, tag: str, *columns: Column) -> DataFrame:
+    """``columns`` and a bigint ``tag`` that tells the rows apart: the number
+    of the row's file among the frame's files and its place in that file.  It
+    is the same in every use of the frame if that is ``stable``, however the
+    scan is split (by cores at hand, for one)."""
+    docs = stable(docs)
+    meta = docs.metadataColumn("_metadata")
+    rows = docs.select(*columns, meta["row_index"].alias(tag), F.regexp_replace(meta["file_path"], ":/+", ":/").alias(_FILE))
+    files = sorted({re.sub(":/+", ":/", f) for f in docs.inputFiles()})     # file:/// there, file:/ here
+    if len(files) <= 1:
+        return rows.drop(_FILE)
+    known = docs.sparkSession.createDataFrame([(f, i << _ROW_BITS) for i, f in enumerate(files)],
+                                              f"{_FILE} string, {_BASE} bigint")
+    base = F.coalesce(_BASE, F.raise_error(F.concat(F.lit("not among the files: "), _FILE)).cast("bigint"))
+    return (rows.join(F.broadcast(known), _FILE, "left").withColumn(tag, base + F.col(tag))
+            .drop(_FILE, _BASE))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -54,11 +79,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def stable(docs: DataFrame) -> DataFrame:
-    """The same rows in the same places at every use: a plain scan of files
-    as it is, anything else (a shuffle, local rows) written first."""
+    """The same rows with the same file and place in it at every use: a plain
+    scan of files that knows them as it is, anything else (a shuffle, local
+    rows) written first."""
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     nodes = re.findall(r"^[\s:+|!'-]*(\w+)", plan, re.M)
-    return docs if set(nodes) <= {"Project", "Filter", "Relation"} else written(docs, "stable")
+    if not set(nodes) <= {"Project", "Filter", "Relation"}:
+        return written(docs, "stable")
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta["row_index"], meta["file_path"]).schema
+    except AnalysisException:                         # no row_index in this format
+        return written(docs, "stable")
+    return docs
 
 
 def small_join(big: DataFrame, small: DataFrame, cond, how: str = "left") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, python_ready, text_of, tagged
+from .common import column, python_ready, text_of, untagged
 from .linear import fit_sparse, mean_scores, sigmoid, sparse
 
 UNKNOWN = "und"
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model, held_out: Column | None = None, id_col: str
     spark = docs.sparkSession
     python_ready(spark)
     shared = spark.sparkContext.broadcast(model)      # PLACES x bits floats at most
-    rows = tagged(docs, id_col, text_col)
+    rows = untagged(docs, id_col, text_col)
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     return rows.select("doc_id", held.alias("held_out"), F.col("text").rlike(r"\p{L}").alias("letters"), "text").mapInArrow(
         _predict(shared), "doc_id bigint, held_out boolean, lang_pred string, score double, ambiguous boolean")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, column, python_ready, text_of
+from .common import buffers, column, numbered, python_ready, text_of
 from .linear import fit_dense, fit_sparse, mean_scores, sigmoid, sparse, spans
 
 ROUNDS = 4
@@ -180,11 +180,10 @@ def _fit(rounds: int):
 
 
 def _views(docs: DataFrame, id_col, text_col, lang_col, source_col, length_col) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
-                       F.monotonically_increasing_id().alias("tag"), text_of(text_col).alias("text"),
-                       F.col(lang_col).cast("string").alias("lang"),
-                       F.col(source_col).cast("string").alias("source"),
-                       F.col(length_col).cast("bigint").alias("n_chars"))
+    return numbered(docs, "tag", F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"),
+                    F.col(lang_col).cast("string").alias("lang"),
+                    F.col(source_col).cast("string").alias("source"),
+                    F.col(length_col).cast("bigint").alias("n_chars"))
 
 
 def train(rows: DataFrame, labels: DataFrame, labelled: int = 2400, pool: int = 2400, rounds: int = ROUNDS,

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from railyard.operators.scan import segmented_scan
 
-from .common import column, python_ready, tagged, written
+from .common import column, python_ready, untagged, written
 from .tokens import encoder
 
 BLOCK_BYTES = 1 << 18
@@ -73,7 +73,7 @@ def flat_files(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, widt
     """Tokenise into flat files, one per task: block rows (``body``), and
     manifest rows (``doc_ids`` in file order) that only the query uses."""
     python_ready(docs.sparkSession)
-    return tagged(docs, id_col, text_col).select("doc_id", "text").mapInArrow(
+    return untagged(docs, id_col, text_col).mapInArrow(
         _flat(ranks_path, pattern, end_id, width), FLAT)
 
 

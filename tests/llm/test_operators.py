@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from railyard.llm import (exact_dedup, fingerprint, graph, language_id, license_scan, mixing, packing, quality,
+from railyard.llm import (common, exact_dedup, fingerprint, graph, language_id, license_scan, mixing, packing, quality,
                           queries, simhash_dedup, suffix_dedup, token_counts, tokens)
 from railyard.llm.common import documents
 
@@ -365,6 +365,62 @@ def test_fingerprint_is_a_homomorphism(odd, none):
     assert fingerprint.fingerprints(none).count() == 0
 
 
+# ---- row tags
+
+@pytest.fixture
+def split(spark):
+    """Sets the bytes of a scan's split, as executors that come and go do."""
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    yield lambda size: spark.conf.set(key, size)
+    spark.conf.set(key, old)
+
+
+@pytest.fixture(scope="module")
+def many_files(spark, tiny, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("tags") / "a b%20c")
+    tiny.repartition(7).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_tags_do_not_depend_on_the_splits(many_files, split):
+    seen = []
+    for size in ("8k", "64k", "1g"):
+        split(size)
+        rows = common.tagged(many_files, "doc_id", "text").select("doc_id", "tag")
+        seen.append((rows.rdd.getNumPartitions(), {r.doc_id: r.tag for r in rows.collect()}))
+    assert len({n for n, _ in seen}) > 1
+    assert seen[0][1] == seen[1][1] == seen[2][1]
+    assert len(set(seen[0][1].values())) == len(seen[0][1]) == many_files.count()
+    some = common.tagged(many_files.filter("doc_id % 3 = 0").select("text", "doc_id"), "doc_id", "text")
+    assert {r.doc_id: r.tag for r in some.collect()} == {k: v for k, v in seen[0][1].items() if k % 3 == 0}
+
+
+def test_tags_of_frames_without_a_place_in_a_file(spark, odd, none, tmp_path):
+    assert len({r.tag for r in common.tagged(odd, "doc_id", "text").collect()}) == len(odd_rows())
+    assert common.tagged(none, "doc_id", "text").count() == 0
+    odd.write.json(str(tmp_path / "j"))
+    rows = common.tagged(spark.read.schema(SCHEMA).json(str(tmp_path / "j")), "doc_id", "text").collect()
+    assert len({r.tag for r in rows}) == len(odd_rows())
+
+
+@pytest.mark.parametrize("stage", ["keep_quality", "drop_copies", "drop_near_copies"])
+def test_stages_drop_the_same_rows_when_the_splits_change(spark, many_files, split, monkeypatch, stage):
+    run = getattr(corpus_pipeline, stage)
+    want = sorted(r.doc_id for r in run(spark, many_files, TINY).collect())
+    real = corpus_pipeline.written
+
+    def then_other_splits(df, name):
+        out = real(df, name)
+        split("8k")
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "written", then_other_splits)
+    split("1g")
+    got = sorted(r.doc_id for r in run(spark, many_files, TINY).collect())
+    assert got == want and 0 < len(got) < many_files.count()
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark, tiny, odd, none):
