@@ -200,6 +200,31 @@ def test_license_scan(spark, tiny, odd, none, texts):
     assert license_scan.license_scan(none).count() == 0
 
 
+def test_license_paragraphs_that_are_no_training_notice(spark, tiny, texts):
+    t = license_scan.TEXTS
+    lines = [
+        ("All-rights-reserved", "Copyright 1998-2004 Jane Roe and others. All rights reserved."),
+        ("All-rights-reserved", "(c) Acme Widgets Ltd, all rights reserved worldwide"),
+        ("MIT", "[MIT text] " + t["MIT"][0]), ("MIT", t["MIT"][1].replace("the Software", "the Library")),
+        ("BSD", "* " + t["BSD"][1][3:]), ("BSD", t["BSD"][3].replace("the copyright holder", "Acme Widgets")),
+        ("Apache", "// Example. " + t["Apache"][0]), ("Apache", "Note: " + t["Apache"][1]),
+        ("GPL", t["GPL"][0].replace("This program", "Frobnicate")), ("GPL", t["GPL"][2].replace("This program", "It")),
+        ("LGPL", t["LGPL"][0].replace("This library", "Frobnicate")),
+        ("AGPL", t["AGPL"][0].replace("This program", "Frobnicate")),
+    ]
+    assert not {body for _, body in lines} & {r.body for r in license_scan.notices(spark).collect()}
+    new = [(10**9 + i, body) for i, (_, body) in enumerate(lines)]
+    plain = (2 * 10**9, "The rights of the tenants were reserved in all earlier contracts of the town.")
+    docs = tiny.select("doc_id", "text").unionByName(spark.createDataFrame([*new, plain], "doc_id long, text string"))
+    got = license_scan.license_scan(docs).collect()
+    families = {r.doc_id: r.family for r in got if r.confirmed}
+    assert {b: families.get(i) for i, b in new} == {b: f for f, b in lines}
+    assert plain[0] not in families
+    held = {(i, k) for i, text in texts.items() for k, p in enumerate(text.split("\n"))
+            if p.strip() == "All rights reserved."}
+    assert held <= {(r.doc_id, r.paragraph) for r in got if r.confirmed and r.family == license_scan.RIGHTS}
+
+
 # ---- 7 packing
 
 def check_packing(rows, capacity):
