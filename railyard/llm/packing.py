@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, python_ready, tagged, written
-from .tokens import encoder
+from .tokens import encoder, slices
 
 GROUP = 16_384            # pieces that are packed together
 UNDERFULL = 0.98          # bins filled less are packed again
@@ -36,39 +36,43 @@ PLACED = PIECES + ", bin int, offset bigint, fill bigint"
 
 # ---- pieces ---------------------------------------------------------------
 
-def _cut(ranks_path: str, pattern: str, end_id: int, capacity: int):
-    end = np.array([end_id], "<u4").tobytes()
-
+def _cut(ranks_path: str, pattern: str, end_id: int, capacity: int, added: dict[str, int] | None):
     def run(batches):
-        enc = encoder(ranks_path, pattern)
+        enc = encoder(ranks_path, pattern, added)
         for batch in batches:
-            texts = column(batch, "text")
-            row, piece, start, length, crc = [], [], [], [], []
-            for i in range(len(texts)):
-                ids = enc.encode(texts[i].as_py()) + end
-                n = len(ids) // 4
-                at, stop, k = 0, (n - 1) % capacity + 1, 0
-                while at < n:
-                    row.append(i)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(stop - at)
-                    crc.append(zlib.crc32(ids[4 * at:4 * stop]))
-                    at, stop, k = stop, stop + capacity, k + 1
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id").take(take), column(batch, "tag").take(take),
-                 pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                 pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["doc_id", "tag", "piece", "start", "length", "ids_crc32"])
+            for lo, hi in slices(column(batch, "text")):
+                part = batch.slice(lo, hi - lo)
+                ids, at = enc.encode_all(column(part, "text"), end_id)
+                row, piece, start, length = cuts(np.diff(at), capacity)
+                raw, begin = memoryview(ids.tobytes()), 4 * (at[row] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist(),
+                                                            strict=True)]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [column(part, "doc_id").take(take), column(part, "tag").take(take),
+                     pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
+                    names=["doc_id", "tag", "piece", "start", "length", "ids_crc32"])
     return run
 
 
+def cuts(tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number, start and length of the pieces of texts of so many tokens
+    (one at least): all pieces but a text's first are full."""
+    n = -(-tokens // capacity)
+    row = np.repeat(np.arange(len(tokens)), n)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    head = ((tokens - 1) % capacity + 1)[row]
+    start = np.where(piece == 0, 0, head + (piece - 1) * capacity)
+    return row, piece, start, np.where(piece == 0, head, capacity)
+
+
 def pieces(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 2, capacity: int = 1024,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text", added: dict[str, int] | None = None) -> DataFrame:
+    """Pieces of all texts; ``added`` are tokens that the vocabulary's own
+    library finds in any text (``tokens.added_tokens``)."""
     python_ready(docs.sparkSession)
     return tagged(docs, id_col, text_col).mapInArrow(
-        _cut(ranks_path, pattern, end_id, capacity), PIECES)
+        _cut(ranks_path, pattern, end_id, capacity, added), PIECES)
 
 
 # ---- one group ------------------------------------------------------------
@@ -224,8 +228,9 @@ def _with_group(capacity: int):
     return run
 
 
-def best_fit_packing(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 2,
-                     capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit_packing(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 2, capacity: int = 1024,
+                     id_col: str = "doc_id", text_col: str = "text",
+                     added: dict[str, int] | None = None) -> DataFrame:
     """``doc_id, tag, piece, start, length, ids_crc32, sequence_id, offset``."""
-    return pack(written(pieces(docs, ranks_path, pattern, end_id, capacity, id_col, text_col),
+    return pack(written(pieces(docs, ranks_path, pattern, end_id, capacity, id_col, text_col, added),
                         "pieces"), capacity)

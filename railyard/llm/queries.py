@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from . import (exact_dedup, fingerprint, language_id, license_scan, mixing, packing, quality,
                simhash_dedup, suffix_dedup, token_counts)
 from .common import documents
+from .tokens import added_tokens
 
 VOCABULARY = os.environ.get("LLM_VOCABULARY") or public_tokenizers.path("byte_bpe_50k.tiktoken")
+ADDED = os.environ.get("LLM_ADDED_TOKENS") or public_tokenizers.path("byte_bpe_50k.json")
 END_OF_TEXT = 50_256      # free id of that vocabulary
 
 # Production parameters, also the pipeline's.
@@ -57,7 +59,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(documents(spark, sf_dir), VOCABULARY, public_tokenizers.PATTERN,
-                                    END_ID, CAPACITY).drop("tag")
+                                    END_ID, CAPACITY, added=added_tokens(ADDED)).drop("tag")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def _flat(ranks_path: str, pattern: str, end_id: int, width: str):
         for batch in batches:
             docs, texts = column(batch, "doc_id"), column(batch, "text")
             for i in range(len(texts)):
-                held += np.frombuffer(enc.encode(texts[i].as_py()), "<u4").astype(width).tobytes() + end
+                held += np.array(enc.encode(texts[i].as_py()), width).tobytes() + end
                 ids.append(docs[i].as_py())
                 at = 0
                 while len(held) - at >= BLOCK_BYTES:

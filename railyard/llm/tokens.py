@@ -1,84 +1,81 @@
-"""Token ids of a public byte-level vocabulary, fast for running text.
-
-The library's pre-tokeniser never joins a lone blank between two non-blank
-characters to what stands before it, so a text without other white space next
-to a blank can be cut there and each piece encoded by itself.  Pieces repeat,
-so a bounded table keeps their ids; anything else is encoded whole.
-"""
+"""Token ids of a public byte-level vocabulary."""
 
 from __future__ import annotations
 
 import base64
+import json
 import re
-import sys
-from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import tiktoken
 
-_UNSAFE = re.compile(r" \s|\s ")
-_WORD_MARKS = re.compile(r"([^\W\d_]+)([^\w\s]+)")
-_KEEP_PIECES = 150_000    # pieces kept per generation
-_KEEP_MARKS = 4096
-_KEEP_CHARS = 48          # longer pieces are not kept
+from .common import buffers
+
+SLICE_BYTES = 8 << 20     # text whose ids are held at a time
 
 _ENCODERS: dict = {}
 
 
-class _Pieces(dict):
-    """Ids (little-endian bytes) of a piece with a blank before it.  Letters
-    with marks behind them are two tokens' worth for the pre-tokeniser, so
-    they are looked up apart."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.old, self.marks = encode, {}, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            parts = _WORD_MARKS.fullmatch(piece)
-            if parts and parts[1].isalpha():
-                marks = self.marks.get(parts[2])
-                if marks is None:
-                    marks = self.encode(parts[2])
-                    if len(self.marks) < _KEEP_MARKS:
-                        self.marks[parts[2]] = marks
-                ids = self[parts[1]] + marks
-            else:
-                ids = self.encode(" " + piece)
-        if len(piece) <= _KEEP_CHARS:
-            if len(self) >= _KEEP_PIECES:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a ``tokenizers`` file: the library finds them in any
+    text before all else."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    if any(t.get(k) for t in found for k in ("lstrip", "rstrip", "single_word", "normalized")):
+        raise ValueError("only added tokens that stand for themselves are supported")
+    return {t["content"]: t["id"] for t in found}
 
 
 class Encoder:
-    """``encode(text)``: ids as unsigned little-endian 32-bit words."""
+    """Ids of whole texts.  Without ``added`` tokens their strings are
+    ordinary text."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None):
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._core = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._pieces = _Pieces(self._direct)
+        core = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._plain = core.encode_ordinary
+        self._added = dict(added or {})
+        self.tokens = [b""] * (max([*ranks.values(), *self._added.values()]) + 1)    # bytes of each id
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        marks = sorted(self._added, key=len, reverse=True)
+        self._marks = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
+
+    def encode(self, text: str) -> list[int]:
+        if self._marks is None or not self._marks.search(text):
+            return self._plain(text)
+        ids: list[int] = []
+        for k, part in enumerate(self._marks.split(text)):       # marks at the odd places
+            if k % 2:
+                ids.append(self._added[part])
+            else:
+                ids += self._plain(part)
+        return ids
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, offsets)`` of texts without nulls: text i has the unsigned
+        32-bit ids ``offsets[i]:offsets[i + 1]``, the last being ``end_id``."""
+        found = [np.array([*self.encode(t), end_id], "<u4") for t in texts.to_pylist()]
+        offsets = np.cumsum([0, *map(len, found)], dtype=np.int64)
+        return np.concatenate(found) if found else np.zeros(0, "<u4"), offsets
 
-    def _direct(self, text: str) -> bytes:
-        ids = array("I", self._core.encode_ordinary(text))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if _UNSAFE.search(text):
-            return self._direct(text)
-        head, *rest = text.split(" ")
-        return (self._direct(head) if head else b"") + b"".join(map(self._pieces.__getitem__, rest))
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``limit`` bytes, one row at least."""
+    offsets, _ = buffers(texts)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        yield lo, hi
+        lo = hi
 
 
-def encoder(ranks_path: str, pattern: str) -> Encoder:
-    """One encoder per Python worker."""
-    key = (ranks_path, pattern)
+def encoder(ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> Encoder:
+    """One encoder per Python worker and set of files."""
+    key = (ranks_path, pattern, tuple(sorted((added or {}).items())))
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(ranks_path, pattern)
+        _ENCODERS[key] = Encoder(ranks_path, pattern, added)
     return _ENCODERS[key]

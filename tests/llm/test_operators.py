@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -52,18 +53,37 @@ def texts(tiny):
     return {r.doc_id: r.text or "" for r in tiny.collect()}
 
 
-def reference_encode():
+def reference_encode(plain=False):
+    """Ids by the public library as it is; ``plain``: the strings of added
+    tokens are ordinary text."""
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    if plain:
+        t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-def test_token_ids_equal_the_public_tokenizer(texts):
-    enc, want = tokens.Encoder(queries.VOCABULARY, public_tokenizers.PATTERN), reference_encode()
+MARKED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y ", "<|endoftext|>\n a", "<|endoftext|",
+          "<|endoftext|> a"]
+
+
+@pytest.mark.parametrize("plain", [True, False])
+def test_token_ids_equal_the_public_tokenizer(texts, plain):
+    added = {} if plain else tokens.added_tokens(queries.ADDED)
+    enc, want = tokens.Encoder(queries.VOCABULARY, public_tokenizers.PATTERN, added), reference_encode(plain)
     some = [*list(texts.values())[:60], "", " ", "a  b", "don't we'll 'x", "x² ½ a_b a__ _a", "é! ñ...", "\n a \n",
-            "foo.\nbar, baz\t q", "12,3 4", "it's.", "a'", "é. x", "<|endoftext|> a", "“q” t", "é. b", "a b c"]
-    for text in some * 2:
-        assert np.frombuffer(enc.encode(text), "<u4").tolist() == want(text), text[:40]
+            "foo.\nbar, baz\t q", "12,3 4", "it's.", "a'", "é. x", "“q” t", "é. b", "a b c", "日本 語", *MARKED]
+    for text in some:
+        assert enc.encode(text) == want(text), text[:40]
+    ids, at = enc.encode_all(pa.array(some), 7)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*want(t), 7] for t in some]
+
+
+def test_slices_cover_all_rows():
+    for texts, limit in (([], 4), (["abc", "", "abcdefgh", "a", "b", "c"], 4), (["é" * 5, None][:1], 1)):
+        arr = pa.array(texts, pa.string()).slice(0)
+        got = list(tokens.slices(arr, limit))
+        assert [i for lo, hi in got for i in range(lo, hi)] == list(range(len(texts)))
+        assert all(sum(len(t.encode()) for t in texts[lo:hi]) <= limit or hi - lo == 1 for lo, hi in got)
 
 
 # ---- 1 exact dedup
@@ -126,7 +146,7 @@ def test_codewords_are_apart():
 
 def test_token_counts_against_the_tokenizer(spark, texts, monkeypatch):
     monkeypatch.setattr(token_counts, "BLOCK_BYTES", 1000)
-    want = reference_encode()
+    want = reference_encode(plain=True)
     got = {r.doc_id: r.n_tokens for r in queries.op3_token_counts(spark, TINY).collect()}
     assert got == {k: len(want(t)) for k, t in texts.items()}
 
@@ -240,13 +260,22 @@ def check_packing(rows, capacity):
     return len(by)
 
 
-def test_packing_round_trip(spark, texts):
-    rows = queries.op7_packing(spark, TINY).collect()
+@pytest.fixture(scope="module")
+def marked_dir(spark, tiny, tmp_path_factory):
+    """The documents, some of them with the strings of added tokens."""
+    path = str(tmp_path_factory.mktemp("marked"))
+    more = spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(MARKED)], "doc_id long, text string")
+    tiny.unionByName(more, allowMissingColumns=True).write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_packing_round_trip(spark, texts, marked_dir):
+    rows = queries.op7_packing(spark, marked_dir).collect()
     want, total = reference_encode(), 0
     by = collections.defaultdict(list)
     for r in rows:
         by[r.doc_id].append(r)
-    for k, text in texts.items():
+    for k, text in [*texts.items(), *((10_000 + k, t) for k, t in enumerate(MARKED))]:
         ids = np.array([*want(text), queries.END_ID], "<u4")
         parts = sorted(by[k], key=lambda r: r.piece)
         assert [r.piece for r in parts] == list(range(len(parts))) and parts[0].start == 0
