@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, fingerprint, language_id, license_scan, mixing, packing, quality,
-               simhash_dedup, suffix_dedup, token_counts)
+from . import (exact_dedup, fingerprint, language_id, lexical_search, license_scan, mixing, packing, quality,
+               simhash_dedup, spelling, suffix_dedup, token_counts, window_packing)
 from .common import documents
 from .tokens import added_tokens
 
@@ -23,6 +23,8 @@ END_OF_TEXT = 50_256      # free id of that vocabulary
 MIX = {"temperature": 0.5, "epochs": 1.0, "seed": 7}
 SHINGLE, MAX_BITS = 4, 4
 END_ID, CAPACITY = 2, 1024
+WINDOW_END_ID, WINDOW = 1, 2048
+TOP = 20
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,11 +77,30 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = window_packing.pack_windows(documents(spark, sf_dir), VOCABULARY, public_tokenizers.PATTERN,
+                                         WINDOW_END_ID, WINDOW, added_tokens(ADDED))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(documents(spark, sf_dir))
+    return lexical_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), TOP)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_token_counts, op4_poisson_mix, op5_quality,
                             op6_license_scan, op7_packing, op8_suffix_dedup, op9_simhash_dedup,
-                            op10_fingerprints)}
+                            op10_fingerprints, op11_spelling_variants, op12_window_packing,
+                            op13_lexical_search)}
 
+_TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
 _UNIT = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0"
 
 ORACLE_SQL: dict[str, str] = {
@@ -111,4 +132,19 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.rate AS mix_rate, c.n AS
        substr(md5(concat_ws(':', 'order7', coalesce(d.doc_id::VARCHAR, sha256(coalesce(d.text, ''))),
                             j.j::VARCHAR)), 1, 16) AS mix_order
 FROM documents d JOIN counted c USING (doc_id), unnest(range(0, c.n)) j(j)""",
+    "op13_lexical_search": f"""
+WITH d AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+post AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM post GROUP BY doc_id),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes),
+norm AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM sizes, whole),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM post, whole GROUP BY term),
+asked AS (SELECT item_id, term, count(*) AS times
+          FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+           FROM asked JOIN weights USING (term) JOIN post USING (term) JOIN norm USING (doc_id) GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank,
+                  doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20""",
 }
