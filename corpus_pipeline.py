@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from railyard.llm import exact_dedup, mixing, packing, quality, simhash_dedup
 from railyard.llm.common import documents, numbered, stable, written
-from railyard.llm.queries import CAPACITY, END_ID, MAX_BITS, MIX, SHINGLE, VOCABULARY
+from railyard.llm.queries import ADDED, CAPACITY, END_ID, MAX_BITS, MIX, SHINGLE, VOCABULARY
+from railyard.llm.tokens import added_tokens
 
 _TAG = "__pipeline_tag"
 
@@ -56,7 +57,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: pieces of all documents with their place in a sequence."""
-    return packing.best_fit_packing(docs, VOCABULARY, public_tokenizers.PATTERN, END_ID, CAPACITY).drop("tag")
+    return packing.best_fit_packing(docs, VOCABULARY, public_tokenizers.PATTERN, END_ID, CAPACITY,
+                                    added=added_tokens(ADDED)).drop("tag")
 
 
 STAGES = [
