@@ -990,15 +990,6 @@ def _finite(spark, df, name, wait_ms=0):
             lambda: sm.stage_end(df, path, DELAY_MS + wait_ms + 1000))
 
 
-def _due_sql(rows: str) -> str:
-    return f"(SELECT * FROM {rows} WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM {rows}) - {DELAY_MS})"
-
-
-APP_STREAM_SQL = APP_EVENTS_SQL.replace(
-    "ae2 AS (SELECT * FROM ae WHERE state IS NOT NULL)",
-    f"ae1 AS (SELECT * FROM ae WHERE state IS NOT NULL), ae2 AS {_due_sql('ae1')}")
-
-
 @register("st1_stream_registry_state", REG_EVENTS_SQL + """,
 lr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app, exec ORDER BY ts DESC, eid DESC) rn
                       FROM re WHERE kind = 'register') t WHERE rn = 1),
@@ -1013,7 +1004,7 @@ def q_stream_registry_state(spark, sf):
     return sm.registry_from_changes(changes).withColumn("reg_ts", F.col("reg_ts").cast("timestamp_ntz"))
 
 
-@register("st2_stream_lifecycle_state", APP_STREAM_SQL + """
+@register("st2_stream_lifecycle_state", APP_EVENTS_SQL + """
 SELECT app, arg_max(state, ts) FILTER (WHERE disposition = 'applied') AS state,
        CAST(SUM(CASE WHEN disposition = 'applied' THEN 1 ELSE 0 END) AS BIGINT) AS n_applied,
        CAST(SUM(CASE WHEN disposition = 'ignored' THEN 1 ELSE 0 END) AS BIGINT) AS n_ignored,
@@ -1027,20 +1018,16 @@ def q_stream_lifecycle_state(spark, sf):
 
 
 def _timed_sql(channel: str, shown: str) -> str:
-    """Decided pairs of a one-day give-up time, at the final watermark."""
+    """Matches with a one-day give-up time; once the input is flushed, no
+    request waits any more."""
     rows = f"""
-  SELECT * FROM (SELECT {channel} AS channel, ts, event_id AS eid,
-                        CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS is_req
-                 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) e
-                 WHERE event_type IN ('signup', 'purchase')) t
-  WHERE epoch_ms(ts) < (SELECT wm FROM mark)"""
-    mark = ("mark AS (SELECT max(epoch_ms(ts)) - " + str(DELAY_MS) + " AS wm FROM events "
-            "WHERE event_type IN ('signup', 'purchase')), ev AS (")
-    return queue_walk_sql(rows, 86_400_000_000).replace("ev AS (", mark, 1) + f"""
+  SELECT {channel} AS channel, ts, event_id AS eid, CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS is_req
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) e
+  WHERE event_type IN ('signup', 'purchase')"""
+    return queue_walk_sql(rows, 86_400_000_000) + f"""
 SELECT {shown}, req_id, req_ts, resp_id, resp_ts, status FROM done
 UNION ALL
-SELECT {shown}, req_id, make_timestamp(us), NULL, NULL, 'timed_out'
-FROM waiting WHERE us + 86400000000 < 1000 * (SELECT wm FROM mark)
+SELECT {shown}, req_id, make_timestamp(us), NULL, NULL, 'timed_out' FROM waiting
 """
 
 
@@ -1071,7 +1058,7 @@ s AS (SELECT *, SUM(brk) OVER (PARTITION BY channel ORDER BY ts) AS sid FROM g),
 ss AS (SELECT channel, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
               COUNT(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts
        FROM s GROUP BY channel, sid)
-SELECT * FROM ss WHERE session_end <= (SELECT max(ts) FROM t) - INTERVAL 8 DAY
+SELECT * FROM ss
 """)
 def q_stream_idle_sessions(spark, sf):
     from railyard import streaming as sm
@@ -1136,13 +1123,12 @@ def q_stream_reassemble(spark, sf):
 
 
 @register("st7_listener_sink", APP_EVENTS_SQL.replace(
-    "ae2 AS (SELECT * FROM ae WHERE state IS NOT NULL)", f"""
+    "ae2 AS (SELECT * FROM ae WHERE state IS NOT NULL)", """
 ai AS (SELECT user_id AS app, ts, event_id AS eid, NULL AS state FROM e
        WHERE event_type = 'purchase' AND k >= 5),
 aa AS (SELECT * FROM ae WHERE state IS NOT NULL UNION ALL SELECT * FROM ai),
-du AS {_due_sql('aa')},
-ae2 AS (SELECT * FROM du WHERE state IS NOT NULL),
-info AS (SELECT app, ts, eid FROM du WHERE state IS NULL)""") + """,
+ae2 AS (SELECT * FROM aa WHERE state IS NOT NULL),
+info AS (SELECT app, ts, eid FROM aa WHERE state IS NULL)""") + """,
 ok AS (SELECT app, ts, eid, state FROM tr WHERE disposition = 'applied')
 SELECT app, ts, eid, state, 'state_changed' AS change FROM ok
 UNION ALL
