@@ -308,6 +308,34 @@ def conversation_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
     return chunks, ann
 
 
+def timed_conversation_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """ST6: as ``conversation_streams``, a conversation begins at some minute
+    of four weeks and has a turn a minute."""
+    chunks, ann = conversation_streams(spark, sf_dir)
+    minute = F.col("stream_id") * 97 % 40_000 + F.col("chunk_idx")
+    return chunks.withColumn("ts", F.timestamp_seconds(1704067200 + 60 * minute).cast("timestamp_ntz")), ann
+
+
+def view_click_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST4: requests = ``view``, responses = ``click``, channel = ``user_id``."""
+    return table(spark, sf_dir, "events").filter("event_type IN ('view', 'click')").select(
+        F.col("user_id").alias("channel"), "ts", F.col("event_id").alias("eid"),
+        F.when(F.col("event_type") == "view", 1).otherwise(0).alias("is_req"))
+
+
+def orders_and_shipments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """ST3: request = order, at a second of its date; response = its first
+    shipment; those of ``l_orderkey % 11 = 0`` answer an unknown id."""
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+
+    def at(day: str, key: Column) -> Column:
+        return (F.col(day).cast("timestamp") + F.make_dt_interval(secs=key % 86_400)).cast("timestamp_ntz")
+    key = F.col("l_orderkey")
+    first = items.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("day"))
+    return (orders.select(F.col("o_orderkey").alias("id"), at("o_orderdate", F.col("o_orderkey")).alias("req_ts")),
+            first.select(F.when(key % 11 == 0, -key).otherwise(key).alias("id"), at("day", key * 7).alias("resp_ts")))
+
+
 # ----------------------------------------------------------- rendered files
 # The source operators read files; these helpers render a driver table into
 # such files under the shared checkpoint folder (never a machine-local path

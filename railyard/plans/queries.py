@@ -980,14 +980,14 @@ def _staged(spark, df, ts, name):
     return sm.read_stream(spark, path, df.schema, max_files=4)
 
 
-def _finite(spark, df, name, wait_ms=0):
+def _finite(spark, df, name, wait_ms=0, ts="ts", delay_ms=DELAY_MS):
     """A staged stream and what stages its end row: past it the watermark has
     passed every event, and every time-out of ``wait_ms`` after one."""
     from railyard import streaming as sm
-    df = sm.with_end(df)
-    path = sm.stage_files(df, "ts", 4, name, n_files=3)
+    df = sm.with_end(df, ts)
+    path = sm.stage_files(df, ts, 4, name, n_files=3)
     return (sm.read_stream(spark, path, df.schema, max_files=4),
-            lambda: sm.stage_end(df, path, DELAY_MS + wait_ms + 1000))
+            lambda: sm.stage_end(df, path, delay_ms + wait_ms + 1000, ts))
 
 
 @register("st1_stream_registry_state", REG_EVENTS_SQL + """,
@@ -1049,6 +1049,40 @@ def q_stream_match_by_id(spark, sf):
     return _timed_matches(spark, sf, ("channel", "corr"))
 
 
+@register("st3_stream_timed_join", """
+WITH q AS (SELECT o_orderkey AS id, o_orderdate::TIMESTAMP + to_seconds(o_orderkey % 86400) AS req_ts FROM orders),
+p AS (SELECT CASE WHEN l_orderkey % 11 = 0 THEN -l_orderkey ELSE l_orderkey END AS id,
+             min(l_shipdate)::TIMESTAMP + to_seconds(l_orderkey * 7 % 86400) AS resp_ts
+      FROM lineitem GROUP BY l_orderkey)
+SELECT coalesce(q.id, p.id) AS id, req_ts, resp_ts,
+       CASE WHEN resp_ts IS NULL THEN 'timed_out' WHEN req_ts IS NULL THEN 'orphan' ELSE 'matched' END AS status
+FROM q FULL JOIN p ON q.id = p.id AND resp_ts >= req_ts AND resp_ts <= req_ts + INTERVAL 365 DAY
+""")
+def q_stream_timed_join(spark, sf):
+    from railyard import streaming as sm
+    day = 86_400_000
+    req, resp = b.orders_and_shipments(spark, sf)
+    (req, end_req), (resp, end_resp) = (_finite(spark, df, name, 800 * day, ts, 700 * day) for df, name, ts in
+                                        ((req, "orders", "req_ts"), (resp, "shipments", "resp_ts")))
+
+    def end():
+        end_req()
+        end_resp()
+
+    out = sm.run_available(sm.stream_timed_join(req, resp, ("id",), "365 days", "700 days"), "timed-join", end=end)
+    return out.select("id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("req_ts", "resp_ts")], "status")
+
+
+@register("st4_stream_idle_verdicts", IDLE_SQL.format(close="true").replace(
+    "1800000000", str(FOUR_DAYS * 1_000_000)).replace("(SELECT max(ts) FROM events)", "TIMESTAMP '2100-01-01'")
+    + "WHERE fa.verdict IS NOT NULL")
+def q_stream_idle_verdicts(spark, sf):
+    from railyard import streaming as sm
+    s, end = _finite(spark, b.view_click_events(spark, sf), "traffic-v", 2000 * FOUR_DAYS)
+    out = sm.run_available(sm.stream_idle_verdicts(s, FOUR_DAYS, DELAY, close_idle=True), "verdicts", end=end)
+    return out.withColumn("closed_at", F.col("closed_at").cast("timestamp_ntz"))
+
+
 @register("st4_stream_idle_sessions", """
 WITH t AS (SELECT user_id AS channel, ts FROM events WHERE event_type IN ('view', 'click')),
 g AS (SELECT *, CASE WHEN LAG(ts) OVER (PARTITION BY channel ORDER BY ts) IS NULL
@@ -1082,22 +1116,33 @@ t AS (SELECT request, item, CAST(n.n AS INTEGER) AS attempt, item AS seq,
 o AS (SELECT request, item, attempt, seq, ts,
              CASE WHEN code <= 1 THEN 'io_error' WHEN code = 2 THEN 'fatal' ELSE 'ok' END AS outcome,
              row_number() OVER (PARTITION BY request, item ORDER BY ts, attempt) AS rn,
-             count(*) OVER (PARTITION BY request, item) AS n_answers,
-             max(ts) OVER (PARTITION BY request, item) AS last_ts
+             count(*) OVER (PARTITION BY request, item) AS n_answers
       FROM t)
 SELECT request, item, ts, attempt, seq, outcome, n_answers FROM o
-WHERE rn = 1 AND last_ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM t) - INTERVAL 3 HOUR
+WHERE rn = 1
 """)
 def q_stream_first_answer(spark, sf):
     from railyard import streaming as sm
-    log = b.timed_answers(spark, sf)
+    hour = 3_600_000
     # in no order at all, so in one micro-batch
-    s = sm.read_stream(spark, sm.stage_files(log, name="answers", n_files=6), log.schema)
-    out = sm.run_available(sm.stream_first_answer(s, ("request", "item"), "ts", "3 hours", "2 hours",
-                                                  ("attempt",)), "first-answer")
+    log = sm.with_end(b.timed_answers(spark, sf))
+    path = sm.stage_files(log, name="answers", n_files=6)
+    s = sm.read_stream(spark, path, log.schema)
+    out = sm.run_available(sm.stream_first_answer(s, ("request", "item"), "ts", "3 hours", "2 hours", ("attempt",)),
+                           "first-answer", end=lambda: sm.stage_end(log, path, 5 * hour + 1000))
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@register("st5_stream_report_once", "SELECT DISTINCT l_orderkey AS request, l_linenumber AS item FROM lineitem")
+def q_stream_report_once(spark, sf):
+    """Which answer comes first depends on the files, that each is told once
+    does not."""
+    from railyard import streaming as sm
+    s = _staged(spark, b.timed_answers(spark, sf), "ts", "answers-o")
+    return sm.run_available(sm.stream_report_once(s, ("request", "item"), "ts", "3650 days"),
+                            "report-once").select("request", "item")
+
+
 @register("st6_stream_reassemble", """
 WITH c AS (SELECT conv_id, turn, strlen(text) AS nb FROM conversations),
 r AS (SELECT conv_id, turn,
@@ -1113,13 +1158,15 @@ UNION ALL
 SELECT conv_id, NULL, run, 'complete' FROM j WHERE run = exp
 UNION ALL
 SELECT j.conv_id, NULL, j.run, 'overrun' FROM j JOIN ov ON j.conv_id = ov.conv_id AND j.turn = ov.t
+UNION ALL
+SELECT conv_id, NULL, max(run), 'incomplete' FROM j GROUP BY conv_id HAVING max(run) < any_value(exp)
 """)
 def q_stream_reassemble(spark, sf):
     from railyard import streaming as sm
-    chunks, ann = b.conversation_streams(spark, sf)
-    s = _staged(spark, chunks, None, "conv-chunks")
-    joined = s.join(ann, "stream_id", "inner")
-    return sm.run_available(sm.stream_reassemble(joined), "reassembly")
+    chunks, ann = b.timed_conversation_streams(spark, sf)
+    s, end = _finite(spark, chunks, "conv-chunks", 3_600_000)
+    joined = s.join(ann, "stream_id", "left")         # the end row has no announcement
+    return sm.run_available(sm.stream_reassemble(joined, "1 hour", DELAY), "reassembly", end=end)
 
 
 @register("st7_listener_sink", APP_EVENTS_SQL.replace(

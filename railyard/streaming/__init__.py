@@ -2,6 +2,7 @@
 
 from railyard.streaming.runner import (
     read_stream,
+    rows_dropped,
     run_available,
     run_foreach_batch,
     stage_end,
@@ -9,19 +10,28 @@ from railyard.streaming.runner import (
     with_end,
 )
 from railyard.streaming.stateful import (
+    late_events,
     lifecycle_from_changes,
     registry_from_changes,
+    stream_idle_verdicts,
     stream_lifecycle_state,
     stream_match_responses,
     stream_reassemble,
     stream_registry_state,
     stream_state_changes,
 )
-from railyard.streaming.windowed import listener_sink, stream_first_answer, stream_idle_sessions
+from railyard.streaming.windowed import (
+    listener_sink,
+    stream_first_answer,
+    stream_idle_sessions,
+    stream_report_once,
+    stream_timed_join,
+)
 
 __all__ = [
-    "read_stream", "run_available", "run_foreach_batch", "stage_end", "stage_files", "with_end",
-    "lifecycle_from_changes", "registry_from_changes", "stream_lifecycle_state",
-    "stream_match_responses", "stream_reassemble", "stream_registry_state",
-    "stream_state_changes", "listener_sink", "stream_first_answer", "stream_idle_sessions",
+    "read_stream", "rows_dropped", "run_available", "run_foreach_batch", "stage_end", "stage_files", "with_end",
+    "late_events", "lifecycle_from_changes", "registry_from_changes", "stream_idle_verdicts",
+    "stream_lifecycle_state", "stream_match_responses", "stream_reassemble", "stream_registry_state",
+    "stream_state_changes", "listener_sink", "stream_first_answer", "stream_idle_sessions", "stream_report_once",
+    "stream_timed_join",
 ]

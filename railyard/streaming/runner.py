@@ -26,6 +26,12 @@ from railyard.session import scratch_path
 END = "__end_of_input"
 
 
+def rows_dropped(query) -> int:
+    """Rows that Spark's own stateful operators (session windows, joins,
+    duplicates) have dropped as late, of the batches the query remembers."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def with_end(df: DataFrame, ts: str = "ts") -> DataFrame:
     """``df`` with the column that tells an end row from events."""
     return df.withColumn(END, F.lit(None).cast(df.schema[ts].dataType))
@@ -78,7 +84,7 @@ def stage_files(df: DataFrame, ts: str | None = None, n_slices: int = 4,
 
 
 def read_stream(spark: SparkSession, path: str, schema, max_files: int | None = None,
-                ts_cols: tuple[str, ...] = ("ts", END)) -> DataFrame:
+                ts_cols: tuple[str, ...] = ("ts", "req_ts", "resp_ts", END)) -> DataFrame:
     """Open staged files as a stream; ``TIMESTAMP_NTZ`` event-time columns
     become ``TIMESTAMP`` (watermarks need it; the session zone is UTC).
     ``max_files`` bounds the files of a micro-batch; no result depends on it."""
@@ -106,10 +112,11 @@ def use_rocksdb_state(spark: SparkSession) -> None:
 
 
 def run_available(stream: DataFrame, name: str, output_mode: str = "append",
-                  end: Callable[[], None] | None = None) -> DataFrame:
+                  end: Callable[[], None] | None = None, ended: Callable | None = None) -> DataFrame:
     """Drain ``stream`` (``availableNow``) into a parquet sink under the
     checkpoint folder and return what it wrote.  ``end`` stages the end row
-    of a finite input once all else is drained; the query then resumes."""
+    of a finite input once all else is drained; the query then resumes.
+    ``ended`` is called with each query once it has ended (``rows_dropped``)."""
     spark = stream.sparkSession
     use_rocksdb_state(spark)
     out = scratch_path(spark, name + "-out")
@@ -120,6 +127,8 @@ def run_available(stream: DataFrame, name: str, output_mode: str = "append",
              .option("checkpointLocation", ckpt).option("path", out)
              .trigger(availableNow=True).start())
         q.awaitTermination()
+        if ended:
+            ended(q)
 
     drain()
     if end:

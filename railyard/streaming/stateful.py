@@ -1,38 +1,30 @@
 """Structured Streaming forms of the keyed-state rules.
 
-Custom state goes through ``applyInPandasWithState``: each key's state is a
-small JSON document (bounded by that key's live items: executors of an app,
-pending requests of a channel, counters of a stream, events that the watermark
-has not passed yet).  Event times are epoch microseconds inside the state.
+Custom state goes through ``transformWithState``: list, map and value states
+in RocksDB, event-time timers, one entry read or written at a time.  Rules that
+depend on the order of events derive from ``InTimeOrder``.  Rows that come
+after the watermark are part of the output (see ``late_events``).
 """
 
 from __future__ import annotations
 
-import json
+import datetime as dt
 from collections import deque
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from railyard.operators.state import FINAL_STATES
 from railyard.session import ship_package
-from railyard.streaming.runner import watermarked
+from railyard.streaming.ordered import InTimeOrder, delay_ms, in_time_order
+from railyard.streaming.runner import use_rocksdb_state
 
-_STATE = "blob STRING"
+_EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
 
-def _us(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1000)
-
-
-def _ts(us: int) -> pd.Timestamp:
-    return pd.Timestamp(us * 1000)
-
-
-def _load(state, default):
-    return json.loads(state.get[0]) if state.exists else default
+def _ts(us: int | None):
+    return None if us is None else _EPOCH + dt.timedelta(microseconds=us)
 
 
 # --------------------------------------------------------------------------- ST1
@@ -40,128 +32,156 @@ REGISTRY_OUT = ("app BIGINT, exec BIGINT, info INT, local_dirs ARRAY<STRING>, re
                 "live BOOLEAN, version BIGINT")
 
 
+class _Registry(StatefulProcessor):
+    """Map state: an entry per live executor of the app; the app's latest
+    removal and a counter of changes beside it."""
+
+    def init(self, handle) -> None:
+        self._execs = handle.getMapState("execs", "exec STRING", "us BIGINT, eid BIGINT, info INT, "
+                                         "local_dirs ARRAY<STRING>")
+        self._app = handle.getValueState("app", "us BIGINT, eid BIGINT, version BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues):
+        app = self._app.get()
+        mark, version = ((app[0], app[1]) if app and app[0] is not None else None, app[2] if app else 0)
+        newest: dict = {}                             # per executor of this batch
+        removal = mark
+        for r in rows:
+            at = (r.us, r.eid)
+            if r.kind != "register":
+                removal = at if removal is None else max(removal, at)
+            elif r.exec not in newest or at > newest[r.exec][0]:
+                newest[r.exec] = (at, r.info, r.local_dirs)
+        changed: dict = {}
+        if removal != mark:                           # the app's executors up to the removal go
+            gone = [(k[0], v) for k, v in self._execs.iterator() if (v[0], v[1]) <= removal]
+            for name, v in gone:
+                self._execs.removeKey((name,))
+                changed[int(name) if name else None] = ((v[0], v[1]), v[2], v[3], False)
+        for exec_, (at, info, dirs) in newest.items():
+            name = ("" if exec_ is None else str(exec_),)
+            if removal is not None and at <= removal:
+                continue
+            old = self._execs.getValue(name) if self._execs.containsKey(name) else None
+            if old is None or at > (old[0], old[1]):
+                self._execs.updateValue(name, (*at, info, dirs))
+                changed[exec_] = (at, info, dirs, True)
+        if not changed and removal == mark:
+            return
+        version += 1
+        self._app.update((*(removal or (None, None)), version))
+        for exec_, (at, info, dirs, live) in changed.items():
+            yield Row(app=key[0], exec=exec_, info=info, local_dirs=dirs, reg_ts=_ts(at[0]), live=live,
+                      version=version)
+
+    def close(self) -> None:
+        pass
+
+
 def stream_registry_state(events: DataFrame) -> DataFrame:
-    """Registry changes per app: after each micro-batch that touches an app,
-    one row per executor of the app with its latest registration and whether
-    it is live (registered after the app's latest removal).  Upserts and
-    removals are max-merges on ``(ts, eid)``, so arrival order does not
-    matter.  Keyed by app because a removal touches all its executors."""
-    def fn(key, batches, state):
-        st = _load(state, {"execs": {}, "rm": None, "v": 0})
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                k = [_us(r.ts), int(r.eid)]
-                if r.kind == "register":
-                    cur = st["execs"].get(str(int(r.exec)))
-                    if cur is None or k > cur[0]:
-                        st["execs"][str(int(r.exec))] = [k, int(r.info) if pd.notna(r.info) else None,
-                                                         list(r.local_dirs) if r.local_dirs is not None else None]
-                else:
-                    if st["rm"] is None or k > st["rm"]:
-                        st["rm"] = k
-        st["v"] += 1
-        state.update((json.dumps(st),))
-        rows = [{"app": key[0], "exec": int(e), "info": v[1], "local_dirs": v[2],
-                 "reg_ts": _ts(v[0][0]), "live": st["rm"] is None or v[0] > st["rm"],
-                 "version": st["v"]} for e, v in st["execs"].items()]
-        if rows:
-            yield pd.DataFrame(rows, columns=["app", "exec", "info", "local_dirs", "reg_ts",
-                                              "live", "version"])
-
-    ship_package(events.sparkSession)
-    return events.groupBy("app").applyInPandasWithState(
-        fn, REGISTRY_OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    """Registry changes: whenever a micro-batch changes an executor of an app,
+    one row with its latest registration and whether it is live; a removal
+    gives a row for each executor it ends.  Upserts and removals are merged by
+    ``(ts, eid)``, so arrival order does not matter, and an executor that a
+    removal has ended needs no state any more: whatever is older than the
+    removal is dead.  Keyed by app because a removal ends all its executors."""
+    spark = events.sparkSession
+    ship_package(spark)
+    use_rocksdb_state(spark)
+    rows = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts").filter("us IS NOT NULL")
+    return rows.groupBy("app").transformWithState(_Registry(), REGISTRY_OUT, "append", "none")
 
 
 def registry_from_changes(changes: DataFrame) -> DataFrame:
-    """Current registry from the change rows: each app's last version, live
-    executors only."""
-    last = changes.groupBy("app").agg(F.max("version").alias("version"))
-    return (changes.join(last, ["app", "version"], "inner").filter("live")
-            .select("app", "exec", "info", "local_dirs", "reg_ts"))
+    """Current registry from the change rows: the last change of each
+    executor, if it left it live."""
+    last = changes.groupBy("app", "exec").agg(F.max_by(F.struct("info", "local_dirs", "reg_ts", "live"),
+                                                       "version").alias("c"))
+    return last.filter("c.live").select("app", "exec", "c.info", "c.local_dirs", "c.reg_ts")
 
 
 # --------------------------------------------------------------------------- ST2
 LIFECYCLE_OUT = ("app BIGINT, state STRING, is_final BOOLEAN, n_applied BIGINT, n_ignored BIGINT, "
-                 "version BIGINT")
+                 "version BIGINT, late_ts TIMESTAMP, late_eid BIGINT")
 TRANSITION_OUT = "app BIGINT, ts TIMESTAMP, eid BIGINT, state STRING, change STRING"
+LATE = "late"
 
 
-def _n_bytes(body) -> int:
-    if body is None:
-        return 0
-    return len(body.encode("utf-8")) if isinstance(body, str) else len(body)
+class _Lifecycle(InTimeOrder):
+    """Final states absorb.  ``own``: state, final, applied, ignored, version."""
 
+    event_columns = ("us", "eid", "state", "info")
+    event_schema = "us BIGINT, eid BIGINT, state STRING, info STRING"
 
-def _due(rows, st, state):
-    """Events of a key, ``[micros, ...]``, whose time the watermark has
-    passed, in order; the others wait in ``st["buf"]``.  What is due has no
-    earlier event still to come, however the input was cut into files,
-    Arrow chunks and micro-batches (within the watermark's delay)."""
-    wm = state.getCurrentWatermarkMs()
-    held = sorted(st.get("buf", []) + rows)
-    n = next((i for i, r in enumerate(held) if r[0] // 1000 >= wm), len(held))
-    st["buf"] = held[n:]
-    return held[:n]
+    def open(self, handle):
+        self._state = handle.getValueState("state", "state STRING, final BOOLEAN, applied BIGINT, ignored BIGINT, "
+                                           "version BIGINT")
 
+    def load(self, key):
+        held = self._state.get()
+        return list(held) if held else ["UNKNOWN", False, 0, 0, 0]
 
-def _wait(st, state, *times):
-    """Keep the state; wake when the watermark passes the next event held
-    back or one of ``times`` (micros)."""
-    state.update((json.dumps(st),))
-    times = [t for t in (*times, *(r[0] for r in st["buf"][:1])) if t is not None]
-    if times:
-        state.setTimeoutTimestamp(min(times) // 1000)
+    def apply(self, key, event, own):
+        us, eid, new, info = event
+        if info is not None:                          # told after a final state, too
+            yield from self.told(key, us, eid, own[0], "info_changed")
+        if new is None:
+            return
+        if own[1]:
+            own[3] += 1
+            return
+        own[0], own[1] = new, new in FINAL_STATES
+        own[2] += 1
+        yield from self.told(key, us, eid, new, "state_changed")
 
+    def settle(self, key, own, applied, wm_ms):
+        if applied:
+            own[4] += 1
+            self._state.update(tuple(own))
+        return self.current(key, own) if applied else (), None
 
-def _changes(batches):
-    """State events as ``[micros, eid, state, info]``."""
-    return [[_us(r.ts), int(r.eid), r.state if pd.notna(r.state) else None,
-             r.info if pd.notna(getattr(r, "info", None)) else None]
-            for pdf in batches for r in pdf.itertuples(index=False)]
+    def told(self, key, us, eid, state, change):
+        return ()
 
+    def current(self, key, own):
+        return [Row(app=key[0], state=own[0], is_final=own[1], n_applied=own[2], n_ignored=own[3], version=own[4],
+                    late_ts=None, late_eid=None)]
 
-def _lifecycle(due, st):
-    """Apply events in order; ``(micros, eid, state, change)`` of those that
-    a listener is told."""
-    out = []
-    for us, eid, new, info in due:
-        if info is not None:                      # told after a final state, too
-            out.append((us, eid, st["state"], "info_changed"))
-        if new is None:
-            continue
-        if st["final"]:
-            st["ign"] += 1
-            continue
-        st["state"], st["final"] = new, new in FINAL_STATES
-        st["app_n"] += 1
-        out.append((us, eid, new, "state_changed"))
-    return out
+    def late(self, key, event):
+        return Row(app=key[0], state=event[2], is_final=None, n_applied=None, n_ignored=None, version=None,
+                   late_ts=_ts(event[0]), late_eid=event[1])
+
+
+class _Told(_Lifecycle):
+    def told(self, key, us, eid, state, change):
+        return [Row(app=key[0], ts=_ts(us), eid=eid, state=state, change=change)]
+
+    def current(self, key, own):
+        return ()
+
+    def late(self, key, event):
+        return Row(app=key[0], ts=_ts(event[0]), eid=event[1], state=event[2], change=LATE)
+
+
+def _with_info(events: DataFrame) -> DataFrame:
+    return events if "info" in events.columns else events.withColumn("info", F.lit(None).cast("string"))
 
 
 def stream_lifecycle_state(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Per app, whenever events of it fall due: current state, whether it is
     final, applied and ignored changes.  Final states absorb.  An event is
     applied once the watermark (latest event time less ``watermark``) has
-    passed it, in ``(ts, eid)`` order; later ones are dropped as late."""
-    def fn(key, batches, state):
-        st = _load(state, {"state": "UNKNOWN", "final": False, "app_n": 0, "ign": 0, "v": 0})
-        due = _due([] if state.hasTimedOut else _changes(batches), st, state)
-        _lifecycle(due, st)
-        st["v"] += bool(due)
-        _wait(st, state)
-        if due:
-            yield pd.DataFrame([{"app": key[0], "state": st["state"], "is_final": st["final"],
-                                 "n_applied": st["app_n"], "n_ignored": st["ign"], "version": st["v"]}])
-
-    ship_package(events.sparkSession)
-    return watermarked(events, "ts", watermark).groupBy("app").applyInPandasWithState(
-        fn, LIFECYCLE_OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    passed it, in ``(ts, eid)`` order.  One that comes later than that is not
+    applied but given back with ``late_eid`` (``late_events``)."""
+    return in_time_order(_with_info(events), ["app"], "ts", watermark, _Lifecycle(delay_ms(events, watermark)),
+                         LIFECYCLE_OUT)
 
 
 def lifecycle_from_changes(changes: DataFrame) -> DataFrame:
-    last = changes.groupBy("app").agg(F.max("version").alias("version"))
-    return changes.join(last, ["app", "version"], "inner").drop("version")
+    """Each app's last version."""
+    now = changes.filter("version IS NOT NULL").drop("late_ts", "late_eid")
+    last = now.groupBy("app").agg(F.max("version").alias("version"))
+    return now.join(last, ["app", "version"], "inner").drop("version")
 
 
 def stream_state_changes(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -169,25 +189,70 @@ def stream_state_changes(events: DataFrame, watermark: str = "1 hour") -> DataFr
     for an applied transition (ignored ones are dropped), ``info_changed`` for
     an event whose ``info`` (if there is such a column) is not null, also
     after a final state; an event may be both.  Taken in ``(ts, eid)`` order
-    as in ``stream_lifecycle_state``."""
-    def fn(key, batches, state):
-        st = _load(state, {"state": "UNKNOWN", "final": False, "app_n": 0, "ign": 0})
-        told = _lifecycle(_due([] if state.hasTimedOut else _changes(batches), st, state), st)
-        _wait(st, state)
-        if told:
-            yield pd.DataFrame([{"app": key[0], "ts": _ts(t), "eid": e, "state": s, "change": c}
-                                for t, e, s, c in told],
-                               columns=["app", "ts", "eid", "state", "change"])
-
-    ship_package(events.sparkSession)
-    return watermarked(events, "ts", watermark).groupBy("app").applyInPandasWithState(
-        fn, TRANSITION_OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    as in ``stream_lifecycle_state``; ``late`` for events that came too late
+    to be applied."""
+    return in_time_order(_with_info(events), ["app"], "ts", watermark, _Told(delay_ms(events, watermark)),
+                         TRANSITION_OUT)
 
 
 # --------------------------------------------------------------------------- ST3
 MATCH_OUT = ("req_id BIGINT, req_ts TIMESTAMP, resp_id BIGINT, resp_ts TIMESTAMP, status STRING")
 
 
+class _Match(InTimeOrder):
+    """``own``: the requests that wait, oldest first, and whether they have
+    changed."""
+
+    event_columns = ("us", "is_req", "eid")
+    event_schema = "us BIGINT, is_req INT, eid BIGINT"
+
+    def __init__(self, wait_ms: int, keys: list[str], timeout_us: int):
+        super().__init__(wait_ms)
+        self._keys, self._timeout = keys, timeout_us
+
+    def open(self, handle):
+        self._queue = handle.getListState("queue", "us BIGINT, eid BIGINT")
+
+    def load(self, key):
+        return {"queue": deque(map(tuple, self._queue.get())), "changed": False}
+
+    def _row(self, key, req, resp, status):
+        return Row(**dict(zip(self._keys, key, strict=True)), req_id=req and req[1], req_ts=req and _ts(req[0]),
+                   resp_id=resp and resp[1], resp_ts=resp and _ts(resp[0]), status=status)
+
+    def _give_up(self, key, own, now_us):
+        queue = own["queue"]
+        while queue and queue[0][0] + self._timeout < now_us:
+            own["changed"] = True
+            yield self._row(key, queue.popleft(), None, "timed_out")
+
+    def apply(self, key, event, own):
+        us, is_req, eid = event
+        yield from self._give_up(key, own, us)
+        if is_req == 1:
+            own["changed"] = True
+            own["queue"].append((us, eid))
+        elif own["queue"]:
+            own["changed"] = True
+            yield self._row(key, own["queue"].popleft(), (us, eid), "matched")
+        else:
+            yield self._row(key, None, (us, eid), "orphan")
+
+    def settle(self, key, own, applied, wm_ms):
+        rows = list(self._give_up(key, own, wm_ms * 1000))
+        queue = own["queue"]
+        if own["changed"]:
+            if queue:
+                self._queue.put(list(queue))
+            else:
+                self._queue.clear()
+        return rows, queue[0][0] + self._timeout if queue else None
+
+    def late(self, key, event):
+        us, is_req, eid = event
+        return self._row(key, (us, eid) if is_req == 1 else None, None if is_req == 1 else (us, eid), LATE)
+
+
 def stream_match_responses(events: DataFrame, timeout_seconds: float, watermark: str = "1 day",
                            keys=("channel",)) -> DataFrame:
     """Response matching with a give-up time.
@@ -198,105 +263,204 @@ def stream_match_responses(events: DataFrame, timeout_seconds: float, watermark:
     (``timed_out``) and no longer waits; a response finding nothing waiting
     is an ``orphan``.  Keys ``(channel,)`` match first in, first out;
     ``(channel, correlation id)`` match by id.  Events are taken in ``(ts,
-    is_req, eid)`` order once the watermark has passed them; give-ups with no
-    later traffic are emitted when it passes their deadline.  Keys that are
-    null form one key of their own.
+    is_req, eid)`` order once the watermark has passed them (``late``: they
+    came after that, and are not matched); give-ups with no later traffic are
+    emitted when it passes their deadline.  Keys that are null form one key of
+    their own.
     """
-    t_us = int(round(timeout_seconds * 1_000_000))
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + MATCH_OUT
-
-    def fn(key, batches, state):
-        st = _load(state, {"q": []})
-        queue, out = deque(st["q"]), []
-
-        def expire(now_us):
-            while queue and queue[0][0] + t_us < now_us:
-                ts0, e0 = queue.popleft()
-                out.append((e0, _ts(ts0), None, None, "timed_out"))
-
-        rows = [] if state.hasTimedOut else [[_us(r.ts), int(r.is_req), int(r.eid)] for pdf in batches
-                                             for r in pdf.itertuples(index=False)]
-        for now, is_req, eid in _due(rows, st, state):
-            expire(now)
-            if is_req == 1:
-                queue.append([now, eid])
-            elif queue:
-                ts0, e0 = queue.popleft()
-                out.append((e0, _ts(ts0), eid, _ts(now), "matched"))
-            else:
-                out.append((None, None, eid, _ts(now), "orphan"))
-        expire(state.getCurrentWatermarkMs() * 1000)
-        st["q"] = list(queue)
-        if st["q"] or st["buf"]:
-            _wait(st, state, queue[0][0] + t_us if queue else None)
-        elif state.exists:
-            state.remove()
-        if out:
-            cols = dict(zip(["req_id", "req_ts", "resp_id", "resp_ts", "status"],
-                            map(list, zip(*out, strict=True)), strict=True))
-            for c in ("req_id", "resp_id"):
-                cols[c] = pd.array(cols[c], dtype="Int64")       # no float between
-            yield pd.DataFrame({k: [v] * len(out) for k, v in zip(keys, key, strict=True)} | cols)
-
-    ship_package(events.sparkSession)
-    return (watermarked(events, "ts", watermark).groupBy(*keys)
-            .applyInPandasWithState(fn, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    rows = events.withColumn("is_req", F.col("is_req").cast("int"))
+    return in_time_order(rows, keys, "ts", watermark,
+                         _Match(delay_ms(events, watermark), keys, int(round(timeout_seconds * 1_000_000))), schema)
+
+
+# --------------------------------------------------------------------------- ST4
+VERDICT_OUT = "status STRING, closed_at TIMESTAMP, outstanding BIGINT"
+
+
+class _Idle(InTimeOrder):
+    """``own``: micros and kind of the last event, requests outstanding after
+    it, whether the channel has ended."""
+
+    event_columns = ("us", "is_req", "eid")
+    event_schema = "us BIGINT, is_req INT, eid BIGINT"
+
+    def __init__(self, wait_ms: int, channel: str, timeout_us: int, close_idle: bool):
+        super().__init__(wait_ms)
+        self._channel, self._timeout, self._close_idle = channel, timeout_us, close_idle
+
+    def open(self, handle):
+        self._last = handle.getValueState("last", "us BIGINT, is_req INT, outstanding BIGINT, ended BOOLEAN")
+
+    def load(self, key):
+        held = self._last.get()
+        return list(held) if held else [None, None, 0, False]
+
+    def _deadline(self, own):
+        """When the idle check acts on the last event; null if it never does."""
+        us, is_req, outstanding, ended = own
+        if us is None or ended or not (outstanding or self._close_idle):
+            return None
+        return us + self._timeout * (2 if is_req == 1 else 1)
+
+    def _check(self, key, own, now_us):
+        at = self._deadline(own)
+        if at is not None and at < now_us:
+            own[3] = True
+            yield Row(**{self._channel: key[0]}, status="dead" if own[2] else "idle_closed", closed_at=_ts(at),
+                      outstanding=own[2])
+
+    def apply(self, key, event, own):
+        us, is_req, _ = event
+        yield from self._check(key, own, us)
+        if not own[3]:
+            own[0], own[1], own[2] = us, is_req, own[2] + 1 if is_req == 1 else max(0, own[2] - 1)
+
+    def settle(self, key, own, applied, wm_ms):
+        rows = list(self._check(key, own, wm_ms * 1000))
+        if applied or rows:
+            self._last.update(tuple(own))
+        return rows, self._deadline(own)
+
+    def late(self, key, event):
+        return Row(**{self._channel: key[0]}, status=LATE, closed_at=_ts(event[0]), outstanding=None)
+
+
+def stream_idle_verdicts(events: DataFrame, timeout_seconds: float, watermark: str = "1 hour",
+                         close_idle: bool = False, channel: str = "channel") -> DataFrame:
+    """Idle-timeout verdicts as they fall: ``channel, status, closed_at,
+    outstanding``.
+
+    ``events``: ``channel, ts, eid, is_req`` (1 request / 0 response).  The
+    check fires after every ``timeout_seconds`` of silence and acts if the
+    last request is older than that: after a response on the first check,
+    after a request on the second.  Then the channel is ``dead`` if requests
+    are outstanding, else ``idle_closed`` if idle channels are closed.  The
+    first verdict ends the channel.  An event-time timer per channel gives the
+    verdict of a channel that has fallen silent; a channel without a row is
+    alive.  ``late`` (``closed_at``: its time) for an event that came after
+    the watermark had passed it.
+    """
+    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    rows = events.withColumn("is_req", F.col("is_req").cast("int"))
+    return in_time_order(rows, [channel], "ts", watermark,
+                         _Idle(delay_ms(events, watermark), channel, int(round(timeout_seconds * 1_000_000)), close_idle),
+                         f"`{channel}` {types[channel]}, {VERDICT_OUT}")
 
 
 # --------------------------------------------------------------------------- ST6
 REASSEMBLY_OUT = "stream_id BIGINT, chunk_idx BIGINT, bytes_read BIGINT, event STRING"
 
 
-def stream_reassemble(chunks: DataFrame, idle_timeout_ms: int | None = None, first_idx: int = 0) -> DataFrame:
+class _Reassembly(StatefulProcessor):
+    """Value state: what has been read, the next index, how the stream ended,
+    how many pieces wait; map state: their sizes."""
+
+    event_columns = ("us", "chunk_idx", "n_bytes", "expected_bytes")
+
+    def __init__(self, idle_ms: int | None, first_idx: int):
+        self._idle, self._first = idle_ms, first_idx
+
+    def init(self, handle) -> None:
+        self._handle = handle
+        self._read = handle.getValueState("read", "n BIGINT, next BIGINT, ended STRING, waiting BIGINT, timer BIGINT")
+        self._ahead = handle.getMapState("ahead", "idx BIGINT", "n BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues):
+        wm = timerValues.getCurrentWatermarkInMs() if self._idle else 0
+        held = self._read.get()
+        read, turn, ended, waiting, timer = held if held else (0, self._first, None, 0, None)
+        expected, last, sizes = None, None, {}
+        for r in rows:
+            if self._idle and (r.us is None or r.us // 1000 < wm):
+                yield Row(stream_id=key[0], chunk_idx=r.chunk_idx, bytes_read=None, event=LATE)
+                continue
+            expected = r.expected_bytes
+            last = r.us if last is None else max(last, r.us)
+            if r.chunk_idx is not None and r.chunk_idx >= turn:
+                sizes.setdefault(r.chunk_idx, r.n_bytes)
+        if last is None:
+            return
+        while True:
+            n = sizes.pop(turn, None)
+            if waiting and self._ahead.containsKey((turn,)):
+                n = self._ahead.getValue((turn,))[0]          # it came first
+                self._ahead.removeKey((turn,))
+                waiting -= 1
+            if n is None:
+                break
+            read += n
+            yield Row(stream_id=key[0], chunk_idx=turn, bytes_read=read, event="data")
+            turn += 1
+            now = ended
+            if read == expected and ended is None:
+                now = "complete"
+            elif expected is not None and read > expected and ended != "overrun":
+                now = "overrun"
+            if now != ended:
+                ended = now
+                yield Row(stream_id=key[0], chunk_idx=None, bytes_read=read, event=ended)
+        for idx, n in sizes.items():
+            if not self._ahead.containsKey((idx,)):
+                self._ahead.updateValue((idx,), (n,))
+                waiting += 1
+        if self._idle:
+            due = max(timer or 0, last // 1000 + self._idle + 1)
+            if due != timer:
+                if timer is not None:
+                    self._handle.deleteTimer(timer)
+                self._handle.registerTimer(due)
+                timer = due
+        self._read.update((read, turn, ended, waiting, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = self._read.get()
+        if not held or held[4] != expiredTimerInfo.getExpiryTimeInMs():
+            return                                            # pieces came in this batch
+        self._read.clear()
+        self._ahead.clear()
+        if held[2] is None:
+            yield Row(stream_id=key[0], chunk_idx=None, bytes_read=held[0], event="incomplete")
+
+    def close(self) -> None:
+        pass
+
+
+def stream_reassemble(chunks: DataFrame, idle_timeout: str | None = None, watermark: str = "1 hour",
+                      first_idx: int = 0) -> DataFrame:
     """Incremental reassembly: ``data`` per piece (with the running byte
     count), then ``complete`` once the announced byte count is reached,
-    ``overrun`` if a piece goes past it, and ``incomplete`` when a stream
-    stays silent for ``idle_timeout_ms`` (processing time) before completing.
-    Leave the time-out unset for ``availableNow`` runs: a pending
-    processing-time time-out keeps such a query running until it fires.
+    ``overrun`` if a piece goes past it, and ``incomplete`` when the watermark
+    passes the stream's last piece by ``idle_timeout`` before it has ended.
+    Then the stream's state is removed, whichever way it ended; a piece that
+    is older than the watermark is given back as ``late``.  Without a time-out
+    (no ``ts`` needed) state is kept for ever.
 
-    ``chunks``: ``stream_id, chunk_idx, body, expected_bytes`` (the
+    ``chunks``: ``stream_id, chunk_idx, body, expected_bytes`` and ``ts`` (the
     announcement joined on, e.g. a stream-static join).  Pieces are numbered
     from ``first_idx`` and read in that order whatever order they arrive in:
     a piece that is ahead waits (its size is kept, not its body) until those
     before it are there; one that comes twice is read once.
     """
-    def fn(key, batches, state):
-        if state.hasTimedOut:
-            st = _load(state, {"read": 0, "done": False})
-            state.remove()
-            yield pd.DataFrame([{"stream_id": key[0], "chunk_idx": None,
-                                 "bytes_read": st["read"], "event": "incomplete"}])
-            return
-        st = _load(state, {"read": 0, "done": False, "exp": None, "next": first_idx, "ahead": {}})
-        out = []
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                st["exp"] = int(r.expected_bytes)
-                if r.chunk_idx >= st["next"]:
-                    st["ahead"].setdefault(str(int(r.chunk_idx)), _n_bytes(r.body))
-        while str(st["next"]) in st["ahead"]:
-            st["read"] += st["ahead"].pop(str(st["next"]))
-            out.append((st["next"], st["read"], "data"))
-            st["next"] += 1
-            if st["read"] == st["exp"] and not st["done"]:
-                st["done"] = True
-                out.append((None, st["read"], "complete"))
-            elif st["read"] > st["exp"] and not st.get("over"):
-                st["done"] = st["over"] = True
-                out.append((None, st["read"], "overrun"))
-        state.update((json.dumps(st),))
-        if not st["done"] and idle_timeout_ms:
-            state.setTimeoutDuration(int(idle_timeout_ms))
-        if out:
-            yield pd.DataFrame([{"stream_id": key[0], "chunk_idx": i, "bytes_read": n, "event": e}
-                                for i, n, e in out],
-                               columns=["stream_id", "chunk_idx", "bytes_read", "event"])
-
-    timeout = (GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms
-               else GroupStateTimeout.NoTimeout)
-    ship_package(chunks.sparkSession)
-    return chunks.groupBy("stream_id").applyInPandasWithState(
-        fn, REASSEMBLY_OUT, _STATE, "append", timeout)
+    sized = chunks.withColumn("n_bytes", F.coalesce(F.octet_length("body"), F.lit(0)).cast("bigint")).drop("body")
+    if idle_timeout:
+        return in_time_order(sized, ["stream_id"], "ts", watermark,
+                             _Reassembly(delay_ms(chunks, idle_timeout), first_idx), REASSEMBLY_OUT)
+    spark = chunks.sparkSession
+    ship_package(spark)
+    use_rocksdb_state(spark)
+    return (sized.withColumn("us", F.lit(0).cast("bigint")).groupBy("stream_id")
+            .transformWithState(_Reassembly(None, first_idx), REASSEMBLY_OUT, "append", "none"))
+
+
+# --------------------------------------------------------------------------- late rows
+def late_events(changes: DataFrame) -> DataFrame:
+    """The rows of a stream's output that stand for events which came after
+    the watermark had passed them; count them to see what was not applied."""
+    if "late_eid" in changes.columns:
+        return changes.filter("version IS NULL").select("app", F.col("late_ts").alias("ts"),
+                                                        F.col("late_eid").alias("eid"), "state")
+    kind = next(c for c in ("change", "status", "event") if c in changes.columns)
+    return changes.filter(F.col(kind) == LATE)

@@ -109,6 +109,158 @@ def test_stream_match_keeps_large_ids(spark):
         [(big, big + 2, "matched"), (None, big + 4, "orphan")], key=repr)
 
 
+def test_late_events_are_given_back_and_not_applied(spark):
+    rows_ = [(1, h, h, "RUNNING") for h in range(0, 100, 2)] + [(2, 50, 900, "CONNECTED")]
+    late = [(1, 1, 901, "FAILED"), (2, None, 902, "FAILED")]
+    schema = "app long, h int, eid long, state string"
+
+    def at(data):
+        return sm.with_end(spark.createDataFrame(data, schema).select(
+            "app", F.timestamp_seconds(F.col("h") * 3600).cast("timestamp_ntz").alias("ts"), "eid", "state"))
+    path = sm.stage_files(at(rows_), "ts", 4, "t-late")
+    s = sm.read_stream(spark, path, at(rows_).schema)
+
+    def end():
+        at(late).write.mode("append").parquet(path)
+        sm.run_available(s, "t-none")
+    changes = sm.stream_lifecycle_state(s, "10 hours")
+    out = sm.run_available(changes, "t-late", end=end)
+    assert {(r.app, r.eid, r.state) for r in sm.late_events(out).collect()} == {(1, 901, "FAILED"), (2, 902, "FAILED")}
+    assert not any(r.is_final for r in sm.lifecycle_from_changes(out).collect())
+
+
+def test_order_does_not_depend_on_slots_or_nulls(spark):
+    """A key with most of the events, over many turns of the ring, in one
+    micro-batch and in no order; two events of one time and id."""
+    n = 4000
+    data = [(1, i, i, "FAILED" if i == n - 2 else "RUNNING", None) for i in range(n)]
+    data += [(2, 5, 1, None, "a"), (2, 5, 1, "CONNECTED", None), (2, 5, 1, "CONNECTED", "b")]
+    e = sm.with_end(spark.createDataFrame(data, "app long, m int, eid long, state string, info string").select(
+        "app", F.timestamp_seconds(F.col("m") * 60).cast("timestamp_ntz").alias("ts"), "eid", "state", "info"))
+    path = sm.stage_files(e.orderBy(F.rand(3)), None, 1, "t-ring", 3)
+    s = sm.read_stream(spark, path, e.schema)
+    out = sm.run_available(sm.stream_lifecycle_state(s, "1 hour"), "t-ring",
+                           end=lambda: sm.stage_end(e, path, 3_700_000))
+    got = {r.app: (r.state, r.n_applied, r.n_ignored) for r in sm.lifecycle_from_changes(out).collect()}
+    assert got == {1: ("FAILED", n - 1, 1), 2: ("CONNECTED", 2, 0)}
+
+
+def test_registry_tells_changed_executors_only_and_resumes(spark):
+    def reg(rows_):
+        return spark.createDataFrame(rows_, "app long, exec long, s int, eid long, kind string, info int").select(
+            "app", "exec", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "eid", "kind", "info",
+            F.when(F.col("info").isNotNull(), F.array(F.concat(F.lit("/d"), "info"))).alias("local_dirs"))
+    first = [(1, x, 10, x, "register", x) for x in range(50)] + [(2, None, 10, 99, "register", 1)]
+    schema = reg(first).schema
+    from railyard.session import scratch_path
+    path, out, ckpt = (scratch_path(spark, n) for n in ("reg-in", "reg-out", "reg-ckpt"))
+
+    def step(rows_):
+        reg(rows_).repartition(2).write.mode("append").parquet(path)
+        changes = sm.stream_registry_state(sm.read_stream(spark, path, schema))
+        q = (changes.writeStream.format("parquet").option("checkpointLocation", ckpt).option("path", out)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        return spark.read.schema(changes.schema).parquet(out)
+    before = step(first).count()
+    assert before == 51
+    # a newer and an older registration of one, another app's removal, a late registration from before it
+    after = step([(1, 7, 20, 200, "register", 70), (1, 8, 5, 201, "register", 80), (2, None, 30, 202, "remove", None),
+                  (2, 4, 25, 203, "register", 4)])
+    assert after.count() == before + 2
+    live = {(r.app, r.exec): r.info for r in sm.registry_from_changes(after).collect()}
+    assert live == {(1, x): x if x != 7 else 70 for x in range(50)}
+    again = step([(2, 4, 40, 204, "register", 5), (2, 4, 35, 205, "register", 6)])
+    assert again.count() == before + 3
+    assert {r.exec: r.info for r in sm.registry_from_changes(again).collect() if r.app == 2} == {4: 5}
+
+
+@pytest.mark.parametrize("close", [True, False])
+def test_idle_verdicts_equal_batch(spark, cut, close):
+    from railyard.operators import windows as wn
+    e = sm.with_end(b.view_click_events(spark, SF_TINY))
+    path = sm.stage_files(e, "ts", 3, "t-idle", cut["n_files"])
+    s = sm.read_stream(spark, path, e.schema, cut["max_files"])
+    days = 3
+    out = sm.run_available(sm.stream_idle_verdicts(s, days * 86_400, DELAY, close), "t-idle",
+                           end=lambda: sm.stage_end(e, path, DELAY_MS + 2 * days * 86_400_000 + 1000))
+    req, resp = b.view_click_channels(spark, SF_TINY)
+    batch = wn.idle_channels(wn.outstanding_gauge(req, resp, "channel", "ts", "id"), days * 86_400,
+                             F.lit("2100-01-01").cast("timestamp_ntz"), close_idle=close).filter("status <> 'alive'")
+    cols = "channel", "status", "closed_at", "outstanding"
+    got = rows(out.withColumn("closed_at", F.col("closed_at").cast("timestamp_ntz")), *cols)
+    assert got == rows(batch, *cols) and got
+
+
+def test_idle_verdict_comes_when_the_timer_fires(spark):
+    def ev(rows_):
+        return spark.createDataFrame(rows_, "channel string, s int, eid long, is_req int").select(
+            "channel", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "eid", "is_req")
+    path = sm.stage_files(ev([("a", 0, 1, 1), ("b", 0, 2, 0), (None, 0, 3, 1)]), name="t-fire")
+    s = sm.read_stream(spark, path, ev([]).schema)
+    seen = []
+
+    def later():
+        seen.append(1)
+        ev([("c", 1000, 4, 0)]).write.mode("append").parquet(path)
+    out = sm.run_available(sm.stream_idle_verdicts(s, 60, "1 minute", True), "t-fire", end=later)
+    got = {r.channel: (r.status, r.closed_at.timestamp(), r.outstanding) for r in out.collect()}
+    assert got == {"a": ("dead", 120.0, 1), "b": ("idle_closed", 60.0, 0), None: ("dead", 120.0, 1)}
+
+
+def test_timed_join_equals_batch_join(spark):
+    req, resp = b.orders_and_shipments(spark, SF_TINY)
+    got = rows(_whole(spark, "st3_stream_timed_join"), "id", "req_ts", "resp_ts", "status")
+    j = req.withColumnRenamed("id", "q").join(resp.withColumnRenamed("id", "p"), F.expr(
+        "q = p AND resp_ts >= req_ts AND resp_ts <= req_ts + INTERVAL 365 DAYS"), "full_outer")
+    status = F.expr("CASE WHEN resp_ts IS NULL THEN 'timed_out' WHEN req_ts IS NULL THEN 'orphan' ELSE 'matched' END")
+    want = rows(j.select(F.coalesce("q", "p").alias("id"), "req_ts", "resp_ts", status.alias("status")))
+    assert got == want and len({r[3] for r in got}) == 3
+
+
+def test_rows_that_spark_drops_are_counted(spark):
+    def at(hours):
+        return spark.createDataFrame([(1, h) for h in hours], "channel long, h int").select(
+            "channel", F.timestamp_seconds(F.col("h") * 3600).cast("timestamp_ntz").alias("ts"))
+    path, dropped = sm.stage_files(at([0, 100]), name="t-drop"), []
+    s = sm.read_stream(spark, path, at([0]).schema)
+
+    def end():
+        at([1, 2, 200]).write.mode("append").parquet(path)
+    sm.run_available(sm.stream_idle_sessions(s), "t-drop", end=end, ended=lambda q: dropped.append(sm.rows_dropped(q)))
+    assert dropped == [0, 2]
+
+
+def test_each_item_is_reported_once_and_at_once(spark):
+    log = b.timed_answers(spark, SF_TINY)
+    s = sm.read_stream(spark, sm.stage_files(log, "ts", 4, "t-once", 2), log.schema, max_files=2)
+    out = sm.run_available(sm.stream_report_once(s, ("request", "item"), "ts", "30 days"), "t-once")
+    keys = [(r.request, r.item) for r in out.collect()]
+    assert sorted(keys) == sorted((r.request, r.item) for r in log.select("request", "item").distinct().collect())
+    assert out.columns == log.columns
+
+
+def test_reassembly_ends_by_event_time(spark):
+    def pieces(rows_):
+        return sm.with_end(spark.createDataFrame(rows_, "stream_id long, chunk_idx long, body string, s int").select(
+            "stream_id", "chunk_idx", "body", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts")))
+    ann = spark.createDataFrame([(1, 4), (2, 9), (3, 2), (4, 4), (5, 6)], "stream_id long, expected_bytes long")
+    rows_ = [(1, 1, "cd", 1), (1, 0, "ab", 2), (2, 0, "ab", 3), (2, 2, "z", 4), (3, 0, "abc", 5), (4, 0, "ab", 6),
+             (4, 0, "xyz", 7), (5, 0, None, 8), (5, 1, "", 9)]
+    path = sm.stage_files(pieces(rows_), name="t-end6", n_files=3)
+    s = sm.read_stream(spark, path, pieces(rows_).schema, max_files=1)
+
+    def end():
+        pieces([(4, 1, "cd", 50), (9, 0, "a", 5000)]).coalesce(1).write.mode("append").parquet(path)
+    joined = s.join(ann, "stream_id", "left")
+    out = sm.run_available(sm.stream_reassemble(joined, "10 minutes", "10 seconds"), "t-end6", end=end)
+    got = sorted((r.stream_id, r.event, r.bytes_read, r.chunk_idx) for r in out.collect() if r.event != "data")
+    assert got == [(1, "complete", 4, None), (2, "incomplete", 2, None), (3, "overrun", 3, None),
+                   (4, "complete", 4, None), (5, "incomplete", 0, None)]
+    data = sorted((r.stream_id, r.chunk_idx, r.bytes_read) for r in out.filter("event = 'data'").collect())
+    assert data == [(1, 0, 2), (1, 1, 4), (2, 0, 2), (3, 0, 3), (4, 0, 2), (4, 1, 4), (5, 0, 0), (5, 1, 0), (9, 0, 1)]
+
+
 def test_stream_reassembly_matches_batch(spark):
     chunks, ann = b.conversation_streams(spark, SF_TINY)
     s = sm.read_stream(spark, sm.stage_files(chunks, None, 1, "t-conv", 5), chunks.schema, max_files=2)
@@ -131,8 +283,12 @@ def test_first_answer(spark):
         key = r["request"], r["item"]
         last.setdefault(key, r["ts"])
         want[key] = (r["attempt"], r["outcome"], 4)
+    # not flushed: requests whose last answer the watermark has passed by the lifetime
     assert got == {k: v for k, v in want.items() if (top - last[k]).total_seconds() >= 5 * 3600}
     assert len(got) > len(want) // 2
+    whole = {(r["request"], r["item"]): (r["attempt"], r["outcome"], r["n_answers"])
+             for r in _whole(spark, "st5_stream_first_answer").collect()}
+    assert whole == want
 
 
 def test_sessions(spark):
