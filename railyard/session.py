@@ -72,7 +72,9 @@ def ship_package(spark: SparkSession) -> None:
 
     Zips the package once per SparkContext on the driver and registers it
     with ``addPyFile``; Spark's file server hands it to every executor, so no
-    executor reads a driver path.  The zip goes under the checkpoint root
+    executor reads a driver path.  A stateful stream also starts a Python
+    process beside the driver, which gets no such files; it finds the package
+    by ``PYTHONPATH``.  The zip goes under the checkpoint root
     when that is a local folder, else in the driver's own temp folder.  On a
     cluster that already ships the package (``--py-files``) this is harmless.
     """
@@ -83,6 +85,8 @@ def ship_package(spark: SparkSession) -> None:
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    known = sc.environment.get("PYTHONPATH", "")
+    sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(pkg_dir), known]))
     root = checkpoint_root(spark)
     local_root = root[len("file:"):] if root.startswith("file:") else root
     if "://" not in root and os.path.isabs(local_root):

@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 from railyard.session import ship_package
 from railyard.streaming.runner import use_rocksdb_state, watermarked
 
-SLOTS = 8
+SLOTS = 4
 _NONE = -(1 << 62)        # no event, no timer
 
 
