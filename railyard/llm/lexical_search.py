@@ -45,7 +45,7 @@ BUCKETS = 64                  # first of the two ranked windows
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 SIZES = "docs bigint, terms decimal(38,0)"
-SEGMENT = ("n_docs int, doc_ids array<bigint>, strata array<int>, stratum_docs array<int>, terms array<binary>, "
+SEGMENT = ("slot int, n_docs int, doc_ids array<bigint>, strata array<int>, stratum_docs array<int>, terms array<binary>, "
            "df array<int>, runs array<int>, run_stratum binary, run_tf binary, run_docs binary, postings binary")
 FOUND = "query bigint, bucket int, doc_id bigint, score bigint"
 
@@ -110,7 +110,7 @@ def _segment(doc_ids: list, sizes: list[int], numbers: list[np.ndarray], vocabul
     new = np.ones(len(term), bool)
     new[1:] = (term[1:] != term[:-1]) | (stratum[1:] != stratum[:-1]) | (tf[1:] != tf[:-1])
     head = np.flatnonzero(new)
-    return {"n_docs": len(by_m), "doc_ids": [doc_ids[i] for i in by_m.tolist()], "strata": strata,
+    return {"slot": 0, "n_docs": len(by_m), "doc_ids": [doc_ids[i] for i in by_m.tolist()], "strata": strata,
             "stratum_docs": stratum_docs, "terms": list(vocabulary),
             "df": np.bincount(term, minlength=len(vocabulary)),
             "runs": np.bincount(term[head], minlength=len(vocabulary)),
@@ -120,7 +120,7 @@ def _segment(doc_ids: list, sizes: list[int], numbers: list[np.ndarray], vocabul
 
 
 _SEGMENT_TYPES = pa.schema(
-    [("n_docs", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("strata", pa.list_(pa.int32())),
+    [("slot", pa.int32()), ("n_docs", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("strata", pa.list_(pa.int32())),
      ("stratum_docs", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("df", pa.list_(pa.int32())),
      ("runs", pa.list_(pa.int32())), ("run_stratum", pa.binary()), ("run_tf", pa.binary()),
      ("run_docs", pa.binary()), ("postings", pa.binary())])
@@ -298,7 +298,7 @@ def _search(k: int):
                     for r in row["asked"].as_py():
                         asked[r["query"]].append((r["term"], r["times"]))
                         weights[r["term"]] = r["weight"]
-                segment = Segment({n: row[n].as_py() for n in row if n not in ("block", "asked", "n_docs", "df")},
+                segment = Segment({n: row[n].as_py() for n in row if n not in ("slot", "block", "asked", "n_docs", "df")},
                                   weights)
                 for query, terms in asked.items():
                     mine = best.setdefault(query, _Best(k))
@@ -319,8 +319,9 @@ def search(index: Index, items: DataFrame, k: int = 20, id_col: str = "item_id",
     found = None
     packed = blocks(weighted_terms(index, asked.select("query", "text")))
     for (block,) in sorted(packed.select("block").collect()):
-        one = F.broadcast(packed.filter(F.col("block") == block))       # BLOCK_TERMS at most, or one item
-        part = (index.segments.withColumn("block", F.lit(block)).join(one, "block")
+        # each segment waits at slot 0 for this block: BLOCK_TERMS at most, or one item
+        one = packed.filter(F.col("block") == block).withColumn("slot", F.col("block") - block)
+        part = (index.segments.join(F.broadcast(one), "slot")
                 .mapInArrow(_search(k), "query bigint, doc_id bigint, score bigint"))
         found = part if found is None else found.unionByName(part)
     if found is None:
