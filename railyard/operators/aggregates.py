@@ -54,14 +54,21 @@ def latency_summary(matched: DataFrame, peer: str = "channel", start: str = "req
 
 
 # --------------------------------------------------------------------------- AG1
-def all_or_nothing(items: DataFrame, group: Sequence[str], valid: Column | str) -> DataFrame:
+def all_or_nothing(items: DataFrame, group: Sequence[str], valid: Column | str, store: bool = False) -> DataFrame:
     """One bad item fails its whole group: adds ``group_ok`` (every item of the
     group valid) and ``status`` (``ok`` / ``failed``).  The group verdict is a
     partial aggregate joined back on the group key (AQE splits a hot group's
-    join partition; the verdict side has one row per group)."""
+    join partition; the verdict side has one row per group).  ``store``: the
+    items are costly to compute; they are written once, and the verdict reads
+    the group and validity of the written table."""
     group = list(group)
     v = F.col(valid) if isinstance(valid, str) else valid
     tagged = items.withColumn("__valid", F.coalesce(v, F.lit(False)))
+    if store:
+        from railyard.session import scratch_path
+        path = scratch_path(items.sparkSession, "items")
+        tagged.write.parquet(path)
+        tagged = items.sparkSession.read.schema(tagged.schema).parquet(path)
     verdict = tagged.groupBy(*group).agg(F.bool_and("__valid").alias("group_ok"))
     from railyard.operators.joinback import join_back
     return (join_back(tagged, verdict, group).drop("__valid")

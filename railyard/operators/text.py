@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from railyard.operators.scan import segmented_scan
+
 
 def _c(c):
     return F.col(c) if isinstance(c, str) else c
@@ -47,9 +49,35 @@ def slice_range(df: DataFrame, body: str, offset: Column | str, length: Column |
 
 
 # --------------------------------------------------------------------------- TXT3
+PART_BYTES = 1 << 20
+CELL_BYTES = 1 << 30
+
+
+def reassemble_parts(chunks: DataFrame, stream: str = "stream_id", idx: str = "chunk_idx", body: str = "body",
+                     part_bytes: int = PART_BYTES, block_chunks: int = 4096) -> DataFrame:
+    """A stream's bytes in order, in parts that fit a cell: ``stream, part,
+    offset, n_bytes, n_chunks, body``.
+
+    Pieces are put in order of ``(idx, body)``; a running sum of their sizes
+    gives each its offset, and pieces that start within the same
+    ``part_bytes`` make a part.  So no task and no cell holds a stream: a part
+    is smaller than ``part_bytes`` and one piece together.  ``body`` has the
+    type of the pieces (STRING or BINARY); null pieces count as empty."""
+    rows = chunks.select(F.col(stream), F.col(idx), F.col(body), F.octet_length(_c(body)).cast("bigint").alias("__n"))
+    rows = rows.withColumn("__n", F.coalesce("__n", F.lit(0).cast("bigint")))
+    placed = segmented_scan(rows, [stream], [F.col(idx), F.col(body)], {"__before": ("sum", F.col("__n"))},
+                            block=F.coalesce(F.floor(F.col(idx) / block_chunks), F.lit(-(1 << 62))), inclusive=False)
+    placed = placed.withColumn("__at", F.coalesce("__before", F.lit(0).cast("bigint")))
+    whole = F.expr(f"listagg(`{body}`) WITHIN GROUP (ORDER BY __order)")
+    return (placed.withColumn("__order", F.struct("__at", "__n", idx, body))
+            .groupBy(stream, F.floor(F.col("__at") / part_bytes).alias("part"))
+            .agg(F.min("__at").alias("offset"), F.sum("__n").alias("n_bytes"), F.count(F.lit(1)).alias("n_chunks"),
+                 F.coalesce(whole, F.lit("").cast(chunks.schema[body].dataType)).alias("body")))
+
+
 def reassemble_chunks(chunks: DataFrame, announced: DataFrame, stream: str = "stream_id",
                       idx: str = "chunk_idx", body: str = "body",
-                      expected: str = "expected_bytes") -> DataFrame:
+                      expected: str = "expected_bytes", cell_bytes: int = CELL_BYTES) -> DataFrame:
     """Put pieces back together in index order and check the byte count;
     the result has the type of the pieces, STRING or BINARY.
 
@@ -60,27 +88,25 @@ def reassemble_chunks(chunks: DataFrame, announced: DataFrame, stream: str = "st
     announcement; a 0-byte stream completes at once), ``incomplete`` (fewer:
     the channel ended first) or ``overrun`` (more).
 
-    ``collect_list`` and ``sum`` are both partially aggregated before the
-    shuffle; the reassembled value of a stream is one cell by definition
-    (Spark caps a cell at 2 GiB).
+    The text is joined from the parts of ``reassemble_parts``, for streams of
+    at most ``cell_bytes``; a longer stream has a null ``text`` here and its
+    bytes in its parts.  Counts are partial sums, so no stream is collected.
     """
-    agg = (chunks.groupBy(stream)
-           .agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"),
-                                                     F.col(body).alias("b")))).alias("__parts"),
-                F.sum(F.octet_length(_c(body))).cast("bigint").alias("__bytes"),
-                F.count("*").alias("n_chunks")))
-    j = announced.select(stream, expected).join(agg, stream, "left")
+    sizes = chunks.groupBy(stream).agg(F.coalesce(F.sum(F.octet_length(_c(body))), F.lit(0)).cast("bigint").alias("__bytes"),
+                                       F.count("*").alias("n_chunks"))
+    j = announced.select(stream, expected).join(sizes, stream, "left")
     read = F.coalesce(F.col("__bytes"), F.lit(0).cast("bigint"))
     status = (F.when(read == F.col(expected), "complete")
               .when(read < F.col(expected), "incomplete").otherwise("overrun"))
-    if chunks.schema[body].dataType.typeName() == "binary":
-        whole = F.unhex(F.coalesce(F.array_join(F.transform("__parts", lambda p: F.hex(p["b"])), ""), F.lit("")))
-    else:
-        whole = F.coalesce(F.array_join(F.transform("__parts", lambda p: p["b"]), ""), F.lit(""))
-    return j.select(stream, expected, whole.alias("text"),
-                    read.alias("bytes_read"),
-                    F.coalesce(F.col("n_chunks"), F.lit(0)).alias("n_chunks"),
-                    status.alias("status"))
+    fits = sizes.filter(F.col("__bytes") <= cell_bytes).select(F.col(stream).alias("__fits"))
+    parts = reassemble_parts(chunks.join(fits, F.col(stream) == F.col("__fits"), "left_semi"), stream, idx, body)
+    whole = (parts.groupBy(F.col(stream).alias("__of"))
+             .agg(F.expr("listagg(body) WITHIN GROUP (ORDER BY part)").alias("__whole")))
+    empty = F.lit("").cast(chunks.schema[body].dataType)
+    return (j.join(whole, F.col(stream) == F.col("__of"), "left")
+            .select(stream, expected, F.when(read <= cell_bytes, F.coalesce(F.col("__whole"), empty)).alias("text"),
+                    read.alias("bytes_read"), F.coalesce(F.col("n_chunks"), F.lit(0)).alias("n_chunks"),
+                    status.alias("status")))
 
 
 # --------------------------------------------------------------------------- TXT4

@@ -475,7 +475,8 @@ SELECT r.l_orderkey, r.block_id, r.failure, v.group_ok,
 FROM resolved r JOIN v ON r.l_orderkey = v.l_orderkey
 """)
 def q_all_or_nothing(spark, sf):
-    out = ag.all_or_nothing(_resolved(spark, sf), ["l_orderkey"], F.col("failure").isNull())
+    items = _resolved(spark, sf).select("l_orderkey", "block_id", "failure")
+    out = ag.all_or_nothing(items, ["l_orderkey"], F.col("failure").isNull(), store=True)
     return out.select("l_orderkey", "block_id", "failure", "group_ok", "status")
 
 
@@ -882,6 +883,19 @@ def q_reassemble_chunks(spark, sf):
     return tx.reassemble_chunks(chunks, ann)
 
 
+@register("txt3_reassemble_parts", """
+WITH c AS (SELECT conv_id, turn, text, strlen(text) AS n,
+                  sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn) - strlen(text) AS at
+           FROM conversations)
+SELECT conv_id AS stream_id, CAST(at // 300 AS BIGINT) AS part, CAST(min(at) AS BIGINT) AS "offset",
+       CAST(sum(n) AS BIGINT) AS n_bytes, count(*) AS n_chunks, string_agg(text, '' ORDER BY turn) AS body
+FROM c GROUP BY conv_id, at // 300
+""")
+def q_reassemble_parts(spark, sf):
+    from railyard.operators import text as tx
+    return tx.reassemble_parts(b.conversation_streams(spark, sf)[0], part_bytes=300)
+
+
 # =================================================================== sources
 @register("src1_scan_delimited", "SELECT c_name, c_custkey FROM customer")
 def q_scan_delimited(spark, sf):

@@ -52,6 +52,49 @@ def test_scan_properties(spark, tmp_path):
     assert [tuple(r) for r in bad] == [("file", None, "bad = \\u12", "malformed_escape")]
 
 
+def test_properties_do_not_depend_on_the_splits(spark, tmp_path):
+    import random
+    rng = random.Random(4)
+    pieces = ["a", "b=", " ", "\\", "\\\\", "#", "!", "\t", ":", "\\u00e9", "key", "é", "\\u12", "x\\"]
+    ends = ["\n", "\n", "\r\n", "\r"]
+    for k in range(3):
+        text = "".join("".join(rng.choices(pieces, k=rng.randint(0, 6))) + rng.choice(ends) for _ in range(400))
+        (tmp_path / "p").mkdir(exist_ok=True)
+        with open(tmp_path / "p" / f"{k}.conf", "w", newline="") as f:
+            f.write("one\\\n  two\\\n\\\n# three\nlast = 1\n" + text)
+    old, seen = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}, []
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for size in ("48", "333", "1g"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = src.scan_properties(spark, str(tmp_path / "p"), "x")
+            seen.append(rows(df))
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 300
+    assert sum(r[1] == "onetwo#" and r[2] == "three" for r in seen[0]) == 3
+
+
+def test_segments_of_a_file_larger_than_a_cell(spark, tmp_path):
+    size = 3 << 30                                    # no bytes on disk: a hole
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.write(b"head")
+        f.seek(size - 4)
+        f.write(b"tail")
+    path = "file:" + str(tmp_path / "big.bin")
+    segs = spark.createDataFrame([(path, 0, 6, "x"), (path, size - 6, 6, "x"), (path, 1 << 31, 2, None),
+                                  (path, size - 1, 2, "x"), (path, None, 2, "x"), (path, -1, 2, "x"), (None, 0, 1, "x"),
+                                  (path, size, 0, "x")], "path string, offset long, length long, data string")
+    got = {(r["path"] is None, r["offset"]): r for r in src.scan_segments(
+        spark, str(tmp_path), segs.withColumnRenamed("data", "__path")).collect()}
+    assert bytes(got[False, 0]["data"]) == b"head\0\0" and bytes(got[False, size - 6]["data"]) == b"\0\0tail"
+    assert bytes(got[False, 1 << 31]["data"]) == b"\0\0" and bytes(got[False, size]["data"]) == b""
+    assert {k[1]: r["reject_reason"] for k, r in got.items() if r["reject_reason"]} == {
+        size - 1: "eof", None: "bad_range", -1: "bad_range", 0: "missing_file"} or got[True, 0]["reject_reason"] == "missing_file"
+    assert got[False, 0]["file_size"] == size and got[False, 0]["__path"] == "x"
+
+
 def test_scan_segments(spark, tmp_path):
     d = tmp_path / "files"
     d.mkdir()

@@ -136,3 +136,29 @@ def test_reassemble_binary_keeps_bytes(spark):
     got = {r["stream_id"]: (bytes(r["text"]), r["status"])
            for r in tx.reassemble_chunks(chunks, ann).collect()}
     assert got == {1: (b"\xff\xfe\x00a", "complete"), 2: (b"", "complete"), 3: (b"", "complete")}
+
+
+def test_long_streams_come_in_parts(spark):
+    import random
+    rng = random.Random(2)
+    data = [(s, i, bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 7, 40]))) if rng.random() < 0.95 else None)
+            for s in (1, 2, None) for i in range(300)]
+    df = spark.createDataFrame(rng.sample(data, len(data)), "stream_id long, chunk_idx long, body binary")
+    got = tx.reassemble_parts(df, part_bytes=100, block_chunks=16).orderBy("part").collect()
+    for s in (1, 2, None):
+        mine, at = [r for r in got if r["stream_id"] == s], 0
+        for r in mine:
+            assert r["offset"] == at and r["offset"] // 100 == r["part"] and r["n_bytes"] == len(r["body"]) < 140
+            at += r["n_bytes"]
+        assert b"".join(bytes(r["body"]) for r in mine) == b"".join(x[2] or b"" for x in data if x[0] == s)
+        assert sum(r["n_chunks"] for r in mine) == 300
+
+
+def test_a_stream_over_the_cell_limit_has_no_text(spark):
+    df = spark.createDataFrame([(1, 0, "ab"), (1, 1, "cd"), (2, 1, "é"), (2, 0, "x"), (3, 0, None)],
+                               "stream_id long, chunk_idx long, body string")
+    ann = spark.createDataFrame([(1, 4), (2, 3), (3, 0), (4, 0), (5, 1)], "stream_id long, expected_bytes long")
+    got = {r["stream_id"]: (r["text"], r["bytes_read"], r["n_chunks"], r["status"])
+           for r in tx.reassemble_chunks(df, ann, cell_bytes=3).collect()}
+    assert got == {1: (None, 4, 2, "complete"), 2: ("xé", 3, 2, "complete"), 3: ("", 0, 1, "complete"),
+                   4: ("", 0, 0, "complete"), 5: ("", 0, 0, "incomplete")}
