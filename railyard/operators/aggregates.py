@@ -53,6 +53,21 @@ def latency_summary(matched: DataFrame, peer: str = "channel", start: str = "req
                       (F.col("total_us") / F.col("n")).alias("avg_us"))
 
 
+def connection_summary(connections: DataFrame, peer: str = "peer", start: str = "start_ts",
+                       connected: str = "connected_ts", ready: str = "ready_ts", approx: bool = False) -> DataFrame:
+    """Where the time to a usable connection goes: ``latency_summary`` per
+    peer and ``phase``, ``connect`` (``start`` to ``connected``) and
+    ``bootstrap`` (``connected`` to ``ready``).  A phase without an end is not
+    counted: a connection whose bootstrap failed counts as a connect only."""
+    def phase(name: str, begin: str, end: str) -> Column:
+        return F.struct(F.lit(name).alias("phase"), F.col(begin).alias("begin"), F.col(end).alias("end"))
+    rows = connections.select(F.col(peer).alias("peer"), F.explode(F.array(
+        phase("connect", start, connected), phase("bootstrap", connected, ready))).alias("p"))
+    out = latency_summary(rows.select(F.struct("peer", "p.phase").alias("of"), "p.begin", "p.end"),
+                          "of", "begin", "end", approx)
+    return out.select("peer.peer", "peer.phase", *[c for c in out.columns if c != "peer"])
+
+
 # --------------------------------------------------------------------------- AG1
 def all_or_nothing(items: DataFrame, group: Sequence[str], valid: Column | str, store: bool = False) -> DataFrame:
     """One bad item fails its whole group: adds ``group_ok`` (every item of the

@@ -164,47 +164,53 @@ def match_responses(requests: DataFrame, responses: DataFrame, keys: Sequence[st
 # --------------------------------------------------------------------------- JN3
 def handshake(connections: DataFrame, hellos: DataFrame, pending: DataFrame,
               timeout_seconds: float, who: str = "secret", ts: str = "ts",
-              rid: str = "id", block_unit: str = "day") -> DataFrame:
+              rid: str = "id", block_unit: str = "day", messages: DataFrame | None = None) -> DataFrame:
     """Launcher handshake: each connection must receive a hello carrying a
     pending secret within ``timeout_seconds``; the first connection to do so
     consumes the secret.
 
     ``connections`` and ``hellos``: ``(who, ts, rid)``; ``pending``: one
-    column ``who``.  Status: ``timed_out`` (no hello within the time-out, or
-    a time-out <= 0), ``unknown_secret``, ``duplicate`` (secret already
-    consumed by an earlier connection) or ``connected``.
+    column ``who``; ``messages``: all other messages, as ``hellos``.  Status:
+    ``timed_out`` (no message within the time-out, or a time-out <= 0),
+    ``unexpected_message`` (the first message is no hello: an error that ends
+    the connection and consumes nothing), ``unknown_secret``, ``duplicate``
+    (secret already consumed by an earlier connection) or ``connected``.
 
-    The next hello after each connection is a backward running minimum
+    The next message after each connection is a backward running minimum
     (segmented scan, split by day) — no interval join, so no pairs are ever
     emitted; the per-secret "first" is a partial aggregate.
     """
     ev = (connections.select(F.col(who).alias("who"), F.col(ts).alias("ts"),
-                             F.col(rid).alias("eid"), F.lit(0).alias("is_hello"))
-          .unionByName(hellos.select(F.col(who).alias("who"), F.col(ts).alias("ts"),
-                                     F.col(rid).alias("eid"), F.lit(1).alias("is_hello"))))
-    order = [F.col("ts"), F.col("is_hello"), F.col("eid")]
-    hello_key = F.when(F.col("is_hello") == 1, F.struct(F.col("ts").alias("h_ts"),
-                                                         F.col("eid").alias("h_id")))
-    ev = segmented_scan(ev, ["who"], order, {"nxt": ("min", hello_key)},
+                             F.col(rid).alias("eid"), F.lit(0).alias("kind")))
+    for kind, sent in ((1, hellos), (2, messages)):
+        if sent is not None:
+            ev = ev.unionByName(sent.select(F.col(who).alias("who"), F.col(ts).alias("ts"),
+                                            F.col(rid).alias("eid"), F.lit(kind).alias("kind")))
+    order = [F.col("ts"), F.col("kind"), F.col("eid")]
+    message = F.when(F.col("kind") > 0, F.struct(F.col("ts").alias("h_ts"), F.col("kind").alias("h_kind"),
+                                                 F.col("eid").alias("h_id")))
+    ev = segmented_scan(ev, ["who"], order, {"nxt": ("min", message)},
                         block=time_block("ts", block_unit), direction="backward", inclusive=False)
-    conns = ev.filter("is_hello = 0").select(
-        "who", F.col("ts").alias("conn_ts"), F.col("eid").alias("conn_id"),
-        F.col("nxt.h_ts").alias("hello_ts"), F.col("nxt.h_id").alias("hello_id"))
+    conns = ev.filter("kind = 0").select(
+        "who", F.col("ts").alias("conn_ts"), F.col("eid").alias("conn_id"), F.col("nxt.h_ts").alias("hello_ts"),
+        F.col("nxt.h_id").alias("hello_id"), F.col("nxt.h_kind").alias("__kind"))
     if timeout_seconds <= 0:
         in_time = F.lit(False)
     else:
         in_time = (F.col("hello_ts").isNotNull() &
                    (F.col("hello_ts") <= F.col("conn_ts") + F.make_interval(
                        secs=F.lit(float(timeout_seconds)))))
-    conns = conns.withColumn("hello_ts", F.when(in_time, F.col("hello_ts"))) \
-                 .withColumn("hello_id", F.when(in_time, F.col("hello_id")))
+    is_hello = in_time & (F.col("__kind") == 1)
+    conns = conns.withColumn("__other", in_time & (F.col("__kind") == 2)) \
+                 .withColumn("hello_id", F.when(is_hello, F.col("hello_id"))) \
+                 .withColumn("hello_ts", F.when(is_hello, F.col("hello_ts")))
     pend = pending.select(F.col(who).alias("who")).distinct().withColumn("__pending", F.lit(True))
     conns = conns.join(pend, "who", "left")
     eligible = conns.filter(F.col("hello_ts").isNotNull() & F.col("__pending"))
     winner = eligible.groupBy("who").agg(
         F.min(F.struct("hello_ts", "hello_id", "conn_ts", "conn_id")).alias("w"))
     out = join_back(conns, winner.select("who", F.col("w.conn_id").alias("__win")), ["who"])
-    status = (F.when(F.col("hello_ts").isNull(), "timed_out")
+    status = (F.when(F.col("__other"), "unexpected_message").when(F.col("hello_ts").isNull(), "timed_out")
               .when(F.col("__pending").isNull(), "unknown_secret")
               .when(F.col("conn_id") == F.col("__win"), "connected")
               .otherwise("duplicate"))
@@ -217,9 +223,10 @@ def fail_on_disconnect(requests: DataFrame, disconnects: DataFrame, channel: str
     """Fail requests that were still open when their channel disconnected.
 
     ``requests``: ``channel, req_id, req_ts, resp_ts, status, kind`` (kind in
-    ``rpc``/``chunk``/``stream``); ``disconnects``: ``channel, ts, id``.
-    A request fails with the first disconnect strictly after ``req_ts`` and
-    before its response (or ever, if unanswered).  Queued ``stream`` requests
+    ``rpc``/``chunk``/``stream``); ``disconnects``: ``channel, ts, id`` and
+    maybe ``cause``, which every request that it fails is given.
+    A request fails with the first disconnect (by ``(ts, id)``) strictly after
+    ``req_ts`` and before its response (or ever, if unanswered).  Queued ``stream`` requests
     survive a disconnect unless ``include_streams``.
 
     The "next disconnect" lookup is a backward running minimum over the union
@@ -227,19 +234,21 @@ def fail_on_disconnect(requests: DataFrame, disconnects: DataFrame, channel: str
     """
     r = requests.select("*", F.col(channel).alias("__ch"), F.col("req_ts").alias("__ts"),
                         F.col("req_id").alias("__id"), F.lit(1).alias("__is_req"))
+    cause = F.col("cause") if "cause" in disconnects.columns else F.lit(None).cast("string")
     d = disconnects.select(F.col(channel).alias("__ch"), F.col("ts").alias("__ts"),
-                           F.col("id").alias("__id"), F.lit(0).alias("__is_req"))
+                           F.col("id").alias("__id"), F.lit(0).alias("__is_req"), cause.alias("__cause"))
     u = r.unionByName(d, allowMissingColumns=True)
     order = [F.col("__ts"), F.col("__is_req"), F.col("__id")]
     u = segmented_scan(u, ["__ch"], order,
-                       {"__nd": ("min", F.when(F.col("__is_req") == 0, F.col("__ts")))},
+                       {"__next": ("min", F.when(F.col("__is_req") == 0, F.struct("__ts", "__id", "__cause")))},
                        block=time_block("__ts", block_unit), direction="backward", inclusive=False)
-    u = u.filter("__is_req = 1")
+    u = u.filter("__is_req = 1").withColumn("__nd", F.col("__next.__ts"))
     eligible = F.lit(True) if include_streams else (F.col("kind") != "stream")
     hit = (eligible & F.col("__nd").isNotNull() & (F.col("__nd") > F.col("req_ts")) &
            (F.col("resp_ts").isNull() | (F.col("__nd") < F.col("resp_ts"))))
     return u.select(*requests.columns,
                     F.when(hit, F.col("__nd")).alias("disconnect_ts"),
+                    F.when(hit, F.col("__next.__cause")).alias("cause"),
                     F.when(hit, F.lit("failed_disconnect")).otherwise(F.col("status"))
                     .alias("final_status"))
 

@@ -119,10 +119,39 @@ def launcher_handshakes(spark: SparkSession, sf_dir: str):
     return conns, hellos, pending
 
 
+def other_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN3: an ``error`` is a message that is no hello."""
+    return table(spark, sf_dir, "events").filter("event_type = 'error'").select(
+        F.col("user_id").alias("secret"), "ts", F.col("event_id").alias("id"))
+
+
+def timed_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG2: a connection per lineitem row to ``l_suppkey``, connected after
+    ``l_quantity`` milliseconds; bootstrapped ``l_partkey % 977`` later, but
+    never for ``l_partkey % 23 = 0``."""
+    def later(ts: Column, millis: Column) -> Column:
+        return F.timestamp_add("MILLISECOND", millis.cast("int"), ts)
+    done = later(F.col("l_shipdate"), F.col("l_quantity"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("peer"), F.col("l_shipdate").alias("start_ts"), done.alias("connected_ts"),
+        F.when(F.col("l_partkey") % 23 != 0, later(done, F.col("l_partkey") % 977)).alias("ready_ts"))
+
+
+def rpc_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT1: client = user_id % 7 (null when 0, empty when 1), app = k % 7."""
+    e = events(spark, sf_dir)
+    who = F.col("user_id") % 7
+    return e.select(F.col("event_id").alias("request_id"),
+                    F.when(who == 1, "").when(who > 1, who.cast("string")).alias("client_id"),
+                    (F.col("k") % 7).cast("string").alias("app_id"))
+
+
 def disconnect_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN4: a ``signup`` on the channel is a disconnect."""
+    """JN4: a ``signup`` on the channel is a disconnect, by error if its id
+    is odd."""
     return table(spark, sf_dir, "events").filter("event_type = 'signup'").select(
-        F.col("user_id").alias("channel"), "ts", F.col("event_id").alias("id"))
+        F.col("user_id").alias("channel"), "ts", F.col("event_id").alias("id"),
+        F.when(F.col("event_id") % 2 == 1, "error").otherwise("closed").alias("cause"))
 
 
 def lineitem_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ def q_fifo_match(spark, sf):
     return _fifo(spark, sf)
 
 
-@register("ag2_latency_summary", FIFO_SQL + """
+@register("ag2_latency_summary", QUEUE_FIFO_SQL + """
 SELECT channel AS peer, COUNT(*) AS n, CAST(SUM(lat_us) AS BIGINT) AS total_us,
        MAX(lat_us) AS max_us, MIN(lat_us) AS min_us,
        quantile_cont(lat_us, 0.5) AS p50_us,
@@ -120,10 +120,26 @@ def q_latency_summary(spark, sf):
     return ag.latency_summary(_fifo(spark, sf), "channel", "req_ts", "resp_ts")
 
 
-@register("jn2_fifo_match_hot_channel", FIFO_SQL.replace(
-    "SELECT user_id AS channel,",
-    "SELECT CASE WHEN event_id % 3 = 0 THEN CAST(-1 AS BIGINT) ELSE user_id END AS channel,")
-    + "SELECT * FROM fifo")
+@register("ag2_connection_summary", """
+WITH c AS (SELECT l_suppkey AS peer, CAST(l_quantity AS BIGINT) * 1000 AS connect_us,
+                  CASE WHEN l_partkey % 23 <> 0 THEN l_partkey % 977 * 1000 END AS bootstrap_us FROM lineitem),
+p AS (SELECT peer, 'connect' AS phase, connect_us AS us FROM c
+      UNION ALL SELECT peer, 'bootstrap', bootstrap_us FROM c WHERE bootstrap_us IS NOT NULL)
+SELECT peer, phase, count(*) AS n, CAST(sum(us) AS BIGINT) AS total_us, max(us) AS max_us, min(us) AS min_us,
+       quantile_cont(us, 0.5) AS p50_us, CAST(sum(us) AS DOUBLE) / count(*) AS avg_us
+FROM p GROUP BY ALL
+""")
+def q_connection_summary(spark, sf):
+    return ag.connection_summary(b.timed_connections(spark, sf))
+
+
+@register("jn2_fifo_match_hot_channel", queue_walk_sql(VIEW_CLICKS_SQL.replace(
+    "user_id AS channel", "CASE WHEN event_id % 3 = 0 THEN CAST(-1 AS BIGINT) ELSE user_id END AS channel"))
+    + """
+SELECT * FROM done
+UNION ALL
+SELECT channel, req_id, make_timestamp(us), NULL, NULL, 'outstanding' FROM waiting
+""")
 def q_fifo_match_hot_channel(spark, sf):
     req, resp = b.hot_channel_view_clicks(spark, sf)
     return jn.fifo_match(req, resp, "channel", "ts", "id")
@@ -242,6 +258,16 @@ def q_tenant_isolation(spark, sf):
     return pj.tenant_isolation(req, own)
 
 
+@register("flt1_rpc_isolation", "WITH " + EVENTS_K + """
+SELECT event_id AS request_id, client_id, app_id,
+       CASE WHEN client_id IS NULL OR client_id IS NOT DISTINCT FROM app_id THEN 'authorized' ELSE 'denied' END AS status
+FROM (SELECT event_id, CASE user_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE CAST(user_id % 7 AS VARCHAR) END AS client_id,
+             CAST(k % 7 AS VARCHAR) AS app_id FROM e) t
+""")
+def q_rpc_isolation(spark, sf):
+    return pj.rpc_isolation(b.rpc_requests(spark, sf))
+
+
 @register("flt2_frame_size_guard", """
 WITH f AS (SELECT doc_id, CAST(CASE doc_id % 10 WHEN 0 THEN -1 WHEN 1 THEN 8
                                   WHEN 2 THEN 2147483656 ELSE n_chars + 8 END AS BIGINT) AS declared_len
@@ -298,15 +324,17 @@ def q_response_disposition(spark, sf):
     return jn.match_responses(req, resp, ["user_id", "k"])[1]
 
 
-@register("jn3_handshake", """
+HANDSHAKE_SQL = """
 WITH c AS (SELECT user_id AS who, ts AS conn_ts, event_id AS conn_id FROM events
            WHERE event_type = 'signup'),
-h AS (SELECT user_id AS who, ts AS h_ts, event_id AS h_id FROM events WHERE event_type = 'view'),
-nx AS (SELECT c.who, c.conn_ts, c.conn_id, h.h_ts, h.h_id
+h AS (SELECT user_id AS who, ts AS h_ts, event_id AS h_id, event_type = 'view' AS hello
+      FROM events WHERE event_type IN ({messages})),
+nx AS (SELECT c.who, c.conn_ts, c.conn_id, h.h_ts, h.h_id, h.hello
        FROM c ASOF LEFT JOIN h ON c.who = h.who AND h.h_ts >= c.conn_ts),
 it AS (SELECT who, conn_ts, conn_id,
-              CASE WHEN h_ts <= conn_ts + INTERVAL 1 HOUR THEN h_id END AS hello_id,
-              CASE WHEN h_ts <= conn_ts + INTERVAL 1 HOUR THEN h_ts END AS hello_ts
+              CASE WHEN hello AND h_ts <= conn_ts + INTERVAL 1 HOUR THEN h_id END AS hello_id,
+              CASE WHEN hello AND h_ts <= conn_ts + INTERVAL 1 HOUR THEN h_ts END AS hello_ts,
+              coalesce(NOT hello AND h_ts <= conn_ts + INTERVAL 1 HOUR, false) AS other
        FROM nx),
 pend AS (SELECT DISTINCT user_id AS who FROM events WHERE user_id % 10 <> 0),
 j AS (SELECT it.*, pend.who IS NOT NULL AS pending FROM it LEFT JOIN pend ON it.who = pend.who),
@@ -314,25 +342,35 @@ w AS (SELECT who, conn_id AS win FROM (
         SELECT *, row_number() OVER (PARTITION BY who ORDER BY hello_ts, hello_id, conn_ts, conn_id) rn
         FROM j WHERE hello_ts IS NOT NULL AND pending) t WHERE rn = 1)
 SELECT j.who, j.conn_id, j.conn_ts, j.hello_id, j.hello_ts,
-       CASE WHEN j.hello_ts IS NULL THEN 'timed_out' WHEN NOT j.pending THEN 'unknown_secret'
+       CASE WHEN j.other THEN 'unexpected_message' WHEN j.hello_ts IS NULL THEN 'timed_out' WHEN NOT j.pending THEN 'unknown_secret'
             WHEN j.conn_id = w.win THEN 'connected' ELSE 'duplicate' END AS status
 FROM j LEFT JOIN w ON j.who = w.who
-""")
+"""
+
+
+@register("jn3_handshake", HANDSHAKE_SQL.format(messages="'view'"))
 def q_handshake(spark, sf):
     conns, hellos, pending = b.launcher_handshakes(spark, sf)
     return jn.handshake(conns, hellos, pending, 3600, who="secret")
 
 
+@register("jn3_handshake_messages", HANDSHAKE_SQL.format(messages="'view', 'error'"))
+def q_handshake_messages(spark, sf):
+    conns, hellos, pending = b.launcher_handshakes(spark, sf)
+    return jn.handshake(conns, hellos, pending, 3600, who="secret", messages=b.other_messages(spark, sf))
+
+
 @register("jn4_fail_on_disconnect", QUEUE_FIFO_SQL + """,
 r AS (SELECT channel, req_id, req_ts, resp_ts, status,
              CASE WHEN req_id % 3 = 0 THEN 'stream' ELSE 'rpc' END AS kind
       FROM fifo WHERE status <> 'orphan'),
-d AS (SELECT user_id AS channel, ts AS d_ts FROM events WHERE event_type = 'signup'),
-x AS (SELECT r.*, d.d_ts FROM r ASOF LEFT JOIN d ON r.channel = d.channel AND d.d_ts > r.req_ts),
+d AS (SELECT user_id AS channel, ts AS d_ts, CASE WHEN event_id % 2 = 1 THEN 'error' ELSE 'closed' END AS cause
+      FROM events WHERE event_type = 'signup'),
+x AS (SELECT r.*, d.d_ts, d.cause FROM r ASOF LEFT JOIN d ON r.channel = d.channel AND d.d_ts > r.req_ts),
 y AS (SELECT *, kind <> 'stream' AND d_ts IS NOT NULL
                 AND (resp_ts IS NULL OR d_ts < resp_ts) AS hit FROM x)
 SELECT channel, req_id, req_ts, resp_ts, status, kind,
-       CASE WHEN hit THEN d_ts END AS disconnect_ts,
+       CASE WHEN hit THEN d_ts END AS disconnect_ts, CASE WHEN hit THEN cause END AS cause,
        CASE WHEN hit THEN 'failed_disconnect' ELSE status END AS final_status
 FROM y
 """)
@@ -885,11 +923,11 @@ def q_reassemble_chunks(spark, sf):
 
 @register("txt3_reassemble_parts", """
 WITH c AS (SELECT conv_id, turn, text, strlen(text) AS n,
-                  sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn) - strlen(text) AS at
+                  sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn) - strlen(text) AS before
            FROM conversations)
-SELECT conv_id AS stream_id, CAST(at // 300 AS BIGINT) AS part, CAST(min(at) AS BIGINT) AS "offset",
+SELECT conv_id AS stream_id, CAST(before // 300 AS BIGINT) AS part, CAST(min(before) AS BIGINT) AS "offset",
        CAST(sum(n) AS BIGINT) AS n_bytes, count(*) AS n_chunks, string_agg(text, '' ORDER BY turn) AS body
-FROM c GROUP BY conv_id, at // 300
+FROM c GROUP BY conv_id, before // 300
 """)
 def q_reassemble_parts(spark, sf):
     from railyard.operators import text as tx

@@ -109,6 +109,8 @@ def use_rocksdb_state(spark: SparkSession) -> None:
     current = spark.conf.get(key, None)
     if not current or current.endswith("HDFSBackedStateStoreProvider"):
         spark.conf.set(key, ROCKSDB_PROVIDER)
+        # both sides of a stream-stream join in one store, not four
+        spark.conf.set("spark.sql.streaming.join.stateFormatVersion", "3")
 
 
 def run_available(stream: DataFrame, name: str, output_mode: str = "append",
