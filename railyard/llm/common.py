@@ -53,22 +53,48 @@ def tagged(docs: DataFrame, id_col: str, text_col: str, tag: str = "tag") -> Dat
                     text_of(text_col).alias("text")).select("doc_id", tag, "text")
 
 
+def by_position(df: DataFrame, prefix: str = "c") -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns renamed by position, and the new names: any
+    name (with dots, blanks, or one that an operator adds) can be carried and
+    is given back by ``toDF``."""
+    names = [f"{prefix}{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names
+
+
+def free_name(name: str, taken) -> str:
+    """``name``, longer if a column of that name (in any case) is there."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def numbered(docs: DataFrame, tag: str, *columns: Column) -> DataFrame:
     """``columns`` and a bigint ``tag`` that tells the rows apart: the number
     of the row's file among the frame's files and its place in that file.  It
     is the same in every use of the frame if that is ``stable``, however the
-    scan is split (by cores at hand, for one)."""
+    scan is split (by cores at hand, for one).  The files' numbers are
+    broadcast if they are ``BROADCAST_ROWS`` at most, else shuffled."""
     docs = stable(docs)
     meta = docs.metadataColumn("_metadata")
-    rows = docs.select(*columns, meta["row_index"].alias(tag), F.regexp_replace(meta["file_path"], ":/+", ":/").alias(_FILE))
+    path = F.regexp_replace(meta["file_path"], ":/+", ":/")
+    plain = docs.select(*columns)
     files = sorted({re.sub(":/+", ":/", f) for f in docs.inputFiles()})     # file:/// there, file:/ here
+    file, base = free_name(_FILE, plain.columns), free_name(_BASE, plain.columns)
+    rows = docs.select(*columns, meta["row_index"].alias(tag), path.alias(file))
     if len(files) <= 1:
-        return rows.drop(_FILE)
+        return rows.drop(file)
     known = docs.sparkSession.createDataFrame([(f, i << _ROW_BITS) for i, f in enumerate(files)],
-                                              f"{_FILE} string, {_BASE} bigint")
-    base = F.coalesce(_BASE, F.raise_error(F.concat(F.lit("not among the files: "), _FILE)).cast("bigint"))
-    return (rows.join(F.broadcast(known), _FILE, "left").withColumn(tag, base + F.col(tag))
-            .drop(_FILE, _BASE))
+                                              f"{file} string, {base} bigint")
+    if len(files) <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    at = F.coalesce(base, F.raise_error(F.concat(F.lit("not among the files: "), file)).cast("bigint"))
+    return rows.join(known, file, "left").withColumn(tag, at + F.col(tag)).drop(file, base)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -22,12 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_join, text_of
+from .common import by_position, small_join, tasks, text_of, written
 
 STEP = 30.0               # largest mean inverted at once
 TERMS = 128               # P(X >= 128) at mean 30 is below 2**-53, the step of the hash
-
-ADDED = ["mix_rate", "mix_copies", "mix_copy", "mix_order"]
+TASK_CHARS = 128 << 20    # text of the copies of a task
 
 
 def unit(*parts) -> Column:
@@ -38,10 +37,10 @@ def unit(*parts) -> Column:
 
 def rates(docs: DataFrame, temperature: float = 0.5, weights: dict | None = None,
           epochs: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``src, mix_rate`` per source.  Target shares are ``weights`` (by source
-    name; missing ones zero) or else size ** temperature, normalised."""
-    sizes = docs.groupBy(F.col(source_col).cast("string").alias("src")).agg(
-        F.sum(F.length(text_of(text_col))).cast("double").alias("size"))
+    """``src, size, mix_rate`` per source.  Target shares are ``weights`` (by
+    source name; missing ones zero) or else size ** temperature, normalised."""
+    sizes = written(docs.groupBy(F.col(source_col).cast("string").alias("src")).agg(
+        F.sum(F.length(text_of(text_col))).cast("double").alias("size")), "sizes")
     if weights is None:
         want = F.pow("size", F.lit(float(temperature)))
     else:
@@ -51,7 +50,7 @@ def rates(docs: DataFrame, temperature: float = 0.5, weights: dict | None = None
     total = sizes.agg(F.sum("size").alias("all_size"), F.sum("want").alias("all_want"))
     all_size, all_want = total.first() or (0.0, 0.0)
     rate = (F.col("want") / F.lit(all_want or 1.0) * F.lit((all_size or 0.0) * epochs) / F.col("size"))
-    return sizes.select("src", F.when(F.col("size") > 0, F.round(rate, 9)).otherwise(1.0).alias("mix_rate"))
+    return sizes.select("src", "size", F.when(F.col("size") > 0, F.round(rate, 9)).otherwise(1.0).alias("mix_rate"))
 
 
 def _distribution(rate: Column) -> Column:
@@ -78,20 +77,27 @@ def poisson_mix(docs: DataFrame, temperature: float = 0.5, weights: dict | None
                 epochs: float = 1.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source") -> DataFrame:
     """All columns of ``docs`` for each copy, with ``mix_rate, mix_copies,
-    mix_copy`` (from 0) and ``mix_order`` (sorted within partitions)."""
+    mix_copy`` (from 0) and ``mix_order`` (sorted within partitions).  Columns
+    of ``docs`` of any name stay as they are; of the added ones those are left
+    out whose names ``docs`` has."""
     spark = docs.sparkSession
-    added = [c for c in ADDED if c not in docs.columns]
+    given = {c.lower() for c in docs.columns}
+    added = {"mix_rate": "rate", "mix_copies": "copies", "mix_copy": "copy", "mix_order": "place"}
+    kept = {name: c for name, c in added.items() if name not in given}
     per_source = rates(docs, temperature, weights, epochs, source_col, text_col)
-    per_source = per_source.select(F.col("src").alias("__src"), F.col("mix_rate").alias("__rate"),
-                                   F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / STEP)).cast("int").alias("__draws"))
-    per_source = per_source.withColumn("__cdf", _distribution(F.col("__rate") / F.col("__draws")))
-    key = F.coalesce(F.col(id_col).cast("string"), F.sha2(text_of(text_col), 256))
-    rows = small_join(docs, per_source, F.col(source_col).cast("string").eqNullSafe(F.col("__src")))
-    n = F.when(F.col("__rate") > 0, copies(F.col("__draws"), F.col("__cdf"), key, seed)).otherwise(0)
-    out = (rows.withColumn("__copies", n).filter("__copies > 0")
-           .withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-           .withColumn("__order", F.substring(F.md5(F.concat_ws(
-               ":", F.lit(f"order{seed}"), key, F.col("__copy").cast("string"))), 1, 16)))
-    out = out.select(*docs.columns, "__rate", "__copies", "__copy", "__order")
-    out = out.repartition(partitions(spark), "__order").sortWithinPartitions("__order")
-    return out.select(*docs.columns, *[F.col(c.replace("mix", "_")).alias(c) for c in added])
+    chars = per_source.agg(F.sum(F.col("size") * F.col("mix_rate"))).first()[0] or 0
+    per_source = per_source.select("src", F.col("mix_rate").alias("rate"),
+                                   F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / STEP)).cast("int").alias("draws"))
+    per_source = per_source.withColumn("cdf", _distribution(F.col("rate") / F.col("draws")))
+    plain, names = by_position(docs)
+    at = {c: F.col(name) for c, name in zip(docs.columns, names, strict=True)}
+    key = F.coalesce(at[id_col].cast("string"), F.sha2(F.coalesce(at[text_col].cast("string"), F.lit("")), 256))
+    rows = small_join(plain, per_source, at[source_col].cast("string").eqNullSafe(F.col("src")))
+    n = F.when(F.col("rate") > 0, copies(F.col("draws"), F.col("cdf"), key, seed)).otherwise(0)
+    out = (rows.withColumn("copies", n).filter("copies > 0")
+           .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+           .withColumn("place", F.substring(F.md5(F.concat_ws(
+               ":", F.lit(f"order{seed}"), key, F.col("copy").cast("string"))), 1, 16)))
+    out = out.select(*names, *added.values())
+    out = out.repartition(tasks(spark, int(chars), TASK_CHARS), "place").sortWithinPartitions("place")
+    return out.select(*names, *kept.values()).toDF(*docs.columns, *kept)
