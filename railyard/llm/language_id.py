@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, python_ready, text_of, untagged
+from .common import column, python_ready, small_join, text_of, untagged
 from .linear import fit_sparse, mean_scores, sigmoid, sparse
 
 UNKNOWN = "und"
@@ -101,15 +101,16 @@ def _fit(batches):
 
 
 def train(labelled: DataFrame, per_language: int = 400, text_col: str = "text", lang_col: str = "lang"):
-    """Model fit on at most ``per_language`` texts of each language (those of
-    the smallest hashes); None without labelled texts."""
+    """Model fit on at most ``per_language`` different texts of each language
+    (those of the smallest hashes); None without labelled texts."""
     python_ready(labelled.sparkSession)
     rows = (labelled.select(F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
             .filter("lang IS NOT NULL").withColumn("h", F.xxhash64("text")))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # copies count once, or a text with many would crowd out its language
+    sizes = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # only hashes small enough to be near the bound are ranked
     near = F.pmod("h", F.lit(1 << 30)) < F.lit(2.0 * per_language) / F.col("n") * (1 << 30) + 1
-    few = rows.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "lang").filter(near)
+    few = small_join(rows, sizes, "lang", "inner").filter(near).select("lang", "text", "h").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "text"))
     sample = few.withColumn("k", rank).filter(F.col("k") <= per_language)
     got = (sample.select("lang", "text").repartition(1).sortWithinPartitions(F.xxhash64("text"), "lang")
