@@ -196,12 +196,15 @@ def train(rows: DataFrame, labels: DataFrame, labelled: int = 2400, pool: int =
              .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most"))
              .filter("label = most").select("doc_id", "label"))
     by = F.xxhash64("doc_id", F.lit(5))
-    ids = rows.select("doc_id").filter("doc_id IS NOT NULL")
-    taught = ids.join(named, "doc_id").orderBy(by, "label").limit(labelled)
+    ids = rows.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    taught = ids.join(named, "doc_id").orderBy(by).limit(labelled)
     free = (ids.join(named, "doc_id", "left_anti").orderBy(by).limit(pool)
             .select("doc_id", F.lit(-1).alias("label")))
-    chosen = taught.unionByName(free).dropDuplicates(["doc_id"])     # labelled + pool rows at most
-    sample = rows.join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions(by, "tag")
+    chosen = taught.unionByName(free)                                # labelled + pool ids at most
+    kept = [c for c in rows.columns if c not in ("doc_id", "tag")]
+    sample = (rows.join(F.broadcast(chosen), "doc_id")               # the first row of an id
+              .groupBy("doc_id").agg(F.min(F.struct("tag", *kept, "label")).alias("r")).select("doc_id", "r.*")
+              .repartition(1).sortWithinPartitions(by))
     got = sample.mapInArrow(_fit(rounds), "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else None
 
