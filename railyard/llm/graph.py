@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest reachable number of each of ``n`` points linked by pairs."""
-    root = np.arange(n)
+def forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """Smallest reachable number of each of ``n`` points linked by pairs, and
+    by a forest found before."""
+    root = np.arange(n) if root is None else root.copy()
     while len(a):
         ra, rb = root[a], root[b]
         lo, hi = np.minimum(ra, rb), np.maximum(ra, rb)

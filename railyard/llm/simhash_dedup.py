@@ -37,6 +37,7 @@ from .graph import components, forest
 
 SEED = 42
 LEAF = 64                 # points a leaf compares directly
+BLOCK = 512               # points compared with 8 times as many at a time
 SHARD_MAX = 20_000        # rows of a shard before it is split
 TASK_ROWS = 2_000_000     # rows of all shards of a task, about 50 bytes each
 RING = 8                  # width of a ring, more than max_bits
@@ -113,9 +114,11 @@ def _bits(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def vp_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All index pairs of ``points`` within ``radius`` bits, possibly repeated."""
-    left, right = [], []
+def vp_forest(points: np.ndarray, radius: int) -> np.ndarray:
+    """Smallest index reachable from each of ``points`` over pairs within
+    ``radius`` bits.  Pairs are united block by block, so what is held is a
+    block of distances, however many points are close to each other."""
+    root = np.arange(len(points))
     todo = [np.arange(len(points))]
     while todo:
         own = todo.pop()
@@ -128,14 +131,18 @@ def vp_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             if 0 < len(outer) and len(inner) < len(own):
                 todo += [inner, outer]
                 continue
-        for k in range(0, len(own), 512):
-            rows = own[k:k + 512]
-            i, j = np.nonzero(_bits(points[rows][:, None], points[own[k:]][None, :]) <= radius)
-            keep = i < j
-            left.append(rows[i[keep]])
-            right.append(own[k:][j[keep]])
-    none = np.zeros(0, np.int64)
-    return np.concatenate(left or [none]), np.concatenate(right or [none])
+        for k in range(0, len(own), BLOCK):
+            rows = own[k:k + BLOCK]
+            for m in range(k, len(own), 8 * BLOCK):
+                others = own[m:m + 8 * BLOCK]
+                # points of one component need no link any more
+                known = root[rows][:, None] == root[others][None, :]
+                if known.all():
+                    continue
+                i, j = np.nonzero((_bits(points[rows][:, None], points[others][None, :]) <= radius) & ~known)
+                if len(i):
+                    root = forest(len(points), root[rows[i]], root[others[j]], root)
+    return root
 
 
 def _shard_links(radius: int):
@@ -159,9 +166,10 @@ def _shard_links(radius: int):
             a.append(i)
             b.append(i + step)
         for k in np.flatnonzero(size > LEAF):
-            i, j = vp_links(fp[cut[k]:cut[k + 1]], radius)
+            top = vp_forest(fp[cut[k]:cut[k + 1]], radius)
+            i = np.flatnonzero(top != np.arange(len(top)))
             a.append(i + cut[k])
-            b.append(j + cut[k])
+            b.append(top[i] + cut[k])
         none = np.zeros(0, np.int64)
         root = forest(len(fp), np.concatenate(a or [none]), np.concatenate(b or [none]))
         linked = np.flatnonzero(root != np.arange(len(fp)))
