@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, partitions, python_ready, text_of
+from .common import column, python_ready, tasks, text_of
 
 UNIT = 64
+TASK_BYTES = 128 << 20    # text of a task
+MAX_RANGES = 4096         # ranges of ids, at most
 SIGNS = 256
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 _HELD = 16_384            # paragraph vectors held as bits at a time
@@ -193,7 +195,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     python_ready(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
-    n = 4 * partitions(spark)
+    size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    parts = tasks(spark, size, TASK_BYTES)
+    n = min(4 * parts, MAX_RANGES)
     got = rows.agg(F.min("doc_id"), F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()
     nameless = (rows.filter("doc_id IS NULL")
                 .select((-1 - F.monotonically_increasing_id()).alias("bucket"),
@@ -211,6 +215,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         opens = F.get(first, F.col("home").cast("int")) == F.col("doc_id")
         placed = (named.withColumn("p", F.explode(F.when(opens, F.array(here, back)).otherwise(F.array(here))))
                   .select("p.bucket", "p.turn", "p.guard", "doc_id", "text")).unionByName(nameless)
-    return (placed.repartition(partitions(spark), "bucket")
+    return (placed.repartition(parts, "bucket")
             .sortWithinPartitions("bucket", "turn", "doc_id", "text", "guard")
             .drop("turn").mapInArrow(_walk, RESULT))

@@ -477,6 +477,140 @@ def test_stages_drop_the_same_rows_when_the_splits_change(spark, many_files, spl
 
 # ---- pipeline
 
+CLASHES = ["__copies", "__order", "__src", "__rate", "__pipeline_tag", "a.b", "a b", "c0", "src", "rate", "copies",
+           "place", "tag", "__tag_file", "MIX_copy", "we`ird"]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_columns_of_any_name_stay_as_they_are(spark, tiny, tmp_path, files):
+    wide = tiny.limit(60).repartition(files)
+    for k, name in enumerate(CLASHES):
+        wide = wide.withColumn(name, F.concat(F.lit(f"{k}:"), F.col("doc_id").cast("string")))
+    wide.write.parquet(str(tmp_path / "w"))
+    docs = spark.read.parquet(str(tmp_path / "w"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, TINY)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows
+        for r in rows:
+            assert [r[c] for c in CLASHES] == [f"{k}:{r['doc_id']}" for k in range(len(CLASHES))], name
+    assert corpus_pipeline.pack_sequences(spark, docs, TINY).count() >= 60
+    mixed = mixing.poisson_mix(docs, **queries.MIX)
+    assert mixed.columns == [*docs.columns, "mix_rate", "mix_copies", "mix_order"]
+
+
+def test_mixing_stage_draws_what_the_rule_says(spark, tiny):
+    """Brute force of the draws in plain Python."""
+    import math
+    rows = tiny.collect()
+    size = collections.Counter()
+    for r in rows:
+        size[r.source] += len(r.text or "")
+    want_all, size_all = sum(math.sqrt(v) for v in size.values()), sum(size.values())
+    rate = {s: round(math.sqrt(v) / want_all * size_all / v, 9) if v else 1.0 for s, v in size.items()}
+    want = collections.Counter()
+    for r in rows:
+        draws = max(1, math.ceil(rate[r.source] / 30))
+        mean, n = rate[r.source] / draws, 0
+        for i in range(1, draws + 1):
+            u = int(hashlib.md5(f"7:{r.doc_id}:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            p = c = math.exp(-mean)
+            k = 0
+            while c <= u and k < 127:
+                k += 1
+                p *= mean / k
+                c += p
+                n += 1
+        want[r.doc_id] = n
+    got = collections.Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, tiny, TINY).collect())
+    assert got == +want
+
+
+def test_packing_stage_keeps_every_token(spark, tiny, texts):
+    rows, want = corpus_pipeline.pack_sequences(spark, tiny, TINY).collect(), reference_encode()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+    for k, text in texts.items():
+        ids, at = np.array([*want(text), queries.END_ID], "<u4"), 0
+        for r in sorted(by[k], key=lambda r: r.piece):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at:at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    check_packing(rows, queries.CAPACITY)
+
+
+# ---- samples that copies can't spoil
+
+def test_language_sample_counts_copies_once(spark, tmp_path):
+    rows = [("fr", f"une phrase {i} bonne et belle")for i in range(200)] + [("fr", "la même ligne")] * 20_000
+    rows += [("en", f"some good line {i} of words") for i in range(200)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    seen = []
+    real = language_id._fit
+
+    def spy(batches):
+        import pyarrow as pa
+        held = list(batches)
+        path = str(tmp_path / "sample")
+        with open(path, "a") as f:
+            for b in held:
+                f.writelines(f"{x}\n" for x in b.column("lang").to_pylist())
+        yield from real(iter(held))
+    language_id._fit = spy
+    try:
+        assert language_id.train(df, per_language=400) is not None
+    finally:
+        language_id._fit = real
+    seen = collections.Counter(open(tmp_path / "sample").read().split())
+    assert seen == {"fr": 201, "en": 200}
+
+
+def test_quality_sample_has_one_row_of_an_id(spark, tmp_path):
+    rows = [(7, f"copy {i}", "en", "s", 5) for i in range(5000)] + [(i, f"text {i} here", "en", "s", 9) for i in range(100, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    labels = spark.createDataFrame([(7, 1)] * 50 + [(i, i % 2) for i in range(100, 400)], "doc_id long, quality int")
+    seen, real = str(tmp_path / "ids"), quality._fit
+
+    def spy(rounds):
+        inner = real(rounds)
+
+        def run(batches):
+            held = list(batches)
+            with open(seen, "a") as f:
+                for b in held:
+                    f.writelines(f"{x}\n" for x in b.column("doc_id").to_pylist())
+            yield from inner(iter(held))
+        return run
+    quality._fit = spy
+    try:
+        views = quality._views(docs, "doc_id", "text", "lang", "source", "n_chars")
+        assert quality.train(views, labels, labelled=200, pool=300) is not None
+    finally:
+        quality._fit = real
+    ids = open(seen).read().split()
+    assert len(ids) == len(set(ids)) == 500
+
+
+def test_near_copies_in_one_ball_take_little_memory():
+    import tracemalloc
+    rng = np.random.default_rng(0)
+    flips = np.zeros(100_000, np.uint64)
+    for _ in range(4):
+        flips ^= np.uint64(1) << rng.integers(0, 64, 100_000).astype(np.uint64)
+    points = np.unique(flips ^ np.uint64(0x123456789ABCDEF))
+    tracemalloc.start()
+    root = simhash_dedup.vp_forest(points, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(np.unique(root)) == 1 and peak < 1 << 29
+    few = points[:1500] ^ (rng.integers(0, 2, 1500).astype(np.uint64) << np.uint64(63))
+    got = simhash_dedup.vp_forest(few, 3)
+    i, j = np.nonzero(np.bitwise_count(few[:, None] ^ few[None, :]) <= 3)
+    assert np.array_equal(got, graph.forest(len(few), i, j))
+
+
 def test_pipeline_stages(spark, tiny, odd, none):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "simhash_dedup", "mixing", "packing"]
     docs = corpus_pipeline.keep_quality(spark, tiny, TINY)
