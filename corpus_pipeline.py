@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railyard.llm import exact_dedup, mixing, packing, quality, simhash_dedup
-from railyard.llm.common import documents, numbered, stable, written
+from railyard.llm.common import documents, free_name, numbered, quoted, stable, written
 from railyard.llm.queries import ADDED, CAPACITY, END_ID, MAX_BITS, MIX, SHINGLE, VOCABULARY
 from railyard.llm.tokens import added_tokens
 
@@ -24,8 +24,9 @@ _TAG = "__pipeline_tag"
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose tag is not among ``dropped``."""
-    tagged = numbered(docs, _TAG, *docs.columns)
-    return tagged.join(dropped.select(F.col("tag").alias(_TAG)), _TAG, "left_anti").select(*docs.columns)
+    tag, columns = free_name(_TAG, docs.columns), [quoted(c) for c in docs.columns]
+    rows = numbered(docs, tag, *columns)
+    return rows.join(dropped.select(F.col("tag").alias(tag)), tag, "left_anti").select(*columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: each document as often as its source's rate draws it."""
-    return mixing.poisson_mix(docs, **MIX).select(*docs.columns)
+    mixed = mixing.poisson_mix(docs, **MIX)
+    return mixed.select(*[quoted(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
