@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from railyard.operators.joinback import join_back
 from railyard.operators.joins import fifo_scan
 from railyard.operators.scan import segmented_scan, time_block
 
@@ -78,121 +79,42 @@ def peak_outstanding(gauge: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- WN3
-STATUSES = ["out_of_order", "accepted", "past_end"]
-
-
-def _text_key(df: DataFrame, name: str) -> Column:
-    """A non-null string that tells the values of a column (null too) apart."""
-    c = F.col(name)
-    c = F.hex(c) if df.schema[name].dataType.typeName() == "binary" else c.cast("string")
-    return F.coalesce(F.concat(F.lit("v"), c), F.lit("n"))
-
-
-def _runs(groups, last):
-    """Start positions of the runs of equal strings in an Arrow array, and
-    whether the first run goes on from the run of ``last``."""
-    import numpy as np
-    import pyarrow.compute as pc
-    change = np.asarray(pc.not_equal(groups[1:], groups[:-1])) if len(groups) > 1 else np.zeros(0, bool)
-    return np.concatenate(([0], np.flatnonzero(change) + 1)).tolist(), groups[0].as_py() == last
-
-
-def _transfer_map(indexes, n_chunks: int):
-    """Backward pass over one block's chunk indexes (in arrival order): the
-    entry states the block changes and the state each leaves it in.  State
-    ``e`` = next expected chunk; ``e == n_chunks`` means the stream ended."""
-    moves: dict[int, int] = {}
-    for i in reversed(indexes):
-        if 0 <= i < n_chunks:
-            moves[i] = moves.get(i + 1, i + 1)
-    return list(moves), list(moves.values())
-
-
-def _block_maps(batches):
-    """One row per ``(stream, block)`` with the block's transfer map."""
-    import pyarrow as pa
-    head, indexes, n = None, [], 0
-    names = ["__grp", "__key", "__blk"]
-
-    def rows(heads, maps):
-        table = pa.Table.from_batches(heads).combine_chunks()
-        lists = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [table.column(c).combine_chunks() if table.column(c).num_chunks != 1 else table.column(c).chunk(0)
-             for c in names] + [pa.array([m[0] for m in maps], lists), pa.array([m[1] for m in maps], lists)],
-            names=names + ["__from", "__to"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        starts, same = _runs(batch.column("__grp"), head.column("__grp")[0].as_py() if head else None)
-        values, counts = batch.column("__i").to_pylist(), batch.column("__n")
-        narrow = batch.select(names)
-        heads, maps = [], []
-        for k, at in enumerate(starts):
-            stop = starts[k + 1] if k + 1 < len(starts) else len(values)
-            if k or not same:
-                if head is not None:
-                    heads.append(head)
-                    maps.append(_transfer_map(indexes, n))
-                head, indexes, n = narrow.slice(at, 1), [], counts[at].as_py()
-            indexes.extend(values[at:stop])
-        if heads:
-            yield rows(heads, maps)
-    if head is not None:
-        yield rows([head], [_transfer_map(indexes, n)])
-
-
-def _block_entries(batches):
-    """Next expected chunk at the start of each block of a stream."""
-    import pyarrow as pa
-    key, state = None, 0
-    for batch in batches:
-        entries = []
-        for k, before, after in zip(*(batch.column(c).to_pylist() for c in ("__key", "__from", "__to"))):
-            if k != key:
-                key, state = k, 0
-            entries.append(state)
-            state = dict(zip(before, after)).get(state, state)
-        yield pa.RecordBatch.from_arrays([batch.column("__grp"), pa.array(entries, pa.int64())],
-                                         names=["__grp", "__entry"])
-
-
-def _label(columns):
-    """Rows with their status; the other columns pass as they are."""
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        last, state = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            starts, same = _runs(batch.column("__grp"), last)
-            values, counts, entries = (batch.column(c) for c in ("__i", "__n", "__entry"))
-            values = values.to_pylist()
-            codes = np.zeros(len(values), np.int8)
-            for k, at in enumerate(starts):
-                stop = starts[k + 1] if k + 1 < len(starts) else len(values)
-                if k or not same:
-                    state = entries[at].as_py()
-                n = counts[at].as_py()
-                for r in range(at, stop):
-                    if state >= n:
-                        codes[r:stop] = 2
-                        break
-                    if values[r] == state:
-                        codes[r] = 1
-                        state += 1
-            last = batch.column("__grp")[len(values) - 1].as_py()
-            status = pa.array(STATUSES).take(pa.array(codes))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), status],
-                                             names=[*columns, "status"])
-    return run
+BLOCK_ROWS = 4096         # arrivals of a block where they are numbered
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    from railyard.session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _arrival_block(df: DataFrame, arrival: str) -> Column:
+    """Blocks of a stream's arrivals by day, or by their number."""
+    kind = df.schema[arrival].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return time_block(F.col(arrival).cast("timestamp"))
+    return F.floor(F.col(arrival) / BLOCK_ROWS)
+
+
+def _reached(start: DataFrame, links: DataFrame) -> DataFrame:
+    """``id`` of all rows that lead from ``start`` (``id``) over ``links``
+    (``id, next``), by pointer jumping: in each round what has been reached
+    jumps, and the jumps double, so a chain of n links takes log2(n) rounds.
+    A round is a pair of joins on row ids, which no stream's size skews."""
+    reached, jumps = start, links
+    while True:
+        ahead = reached.join(jumps, "id").select(F.col("next").alias("id"))
+        more = _written(ahead, "reached")
+        if not more.limit(1).count():
+            return reached
+        reached = reached.unionByName(more)
+        on = jumps.select(F.col("id").alias("next"), F.col("next").alias("beyond"))
+        jumps = _written(jumps.join(on, "next").select("id", F.col("beyond").alias("next")), "jumps")
 
 
 def in_order_prefix(df: DataFrame, stream: str, arrival: str, tiebreak: str, idx: str,
-                    n_chunks: int | str, block: Column | None = None,
-                    num_partitions: int | None = None) -> DataFrame:
+                    n_chunks: int | str, block: Column | None = None) -> DataFrame:
     """In-order chunk acceptance per stream.
 
     A request succeeds only when its index equals the next expected one
@@ -202,41 +124,41 @@ def in_order_prefix(df: DataFrame, stream: str, arrival: str, tiebreak: str, idx
     the name of a column that gives it (the same on all rows of a stream; a
     null count serves nothing).  A null stream is a stream of its own.
 
-    The rule is a fold with a small state (next expected index), run as a
-    three-level scan so no stream has to fit one task:
-    (1) per ``(stream, block)``: the block's transfer map (entry state to exit
-    state, only for states the block changes) in one backward pass;
-    (2) per stream, over one row per block: every block's entry state;
-    (3) per ``(stream, block)``: label the rows from that entry state.
-    Each level streams through sorted partitions with ``mapInArrow``, state
-    carried across batches, so only the current block's indexes are buffered
-    and the rows' own columns never leave Arrow.
+    Chunk 0 is accepted at its first arrival, and each further one at its
+    first arrival after the one before it was accepted.  So every arrival of
+    an index is linked to the next arrival of the index after it (a backward
+    running minimum per stream and index, split into blocks of arrivals;
+    ``block``: a column that does not decrease along the arrivals, by default
+    the day or a range of ``arrival``), and what is accepted is what the first
+    arrival of chunk 0 leads to: pointer jumping finds it in the logarithm of
+    the number of chunks.  No task holds a stream.
     """
-    from pyspark.sql import types as T
-
-    from railyard.session import ship_package
-    ship_package(df.sparkSession)
-    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = F.col(n_chunks) if isinstance(n_chunks, str) else F.lit(int(n_chunks))
-    tagged = df.select("*", _text_key(df, stream).alias("__key"),
-                       (block if block is not None else F.lit(0)).alias("__blk"),
-                       F.coalesce(F.col(idx).cast("bigint"), F.lit(-1)).alias("__i"),
-                       F.coalesce(count.cast("bigint"), F.lit(0)).alias("__n"))
-    tagged = tagged.withColumn("__grp", F.concat_ws(":", F.length("__key").cast("string"), "__key",
-                                                    _text_key(tagged, "__blk")))
-    order = ["__grp", arrival, tiebreak]
-    rows = tagged.repartition(parts, "__grp").sortWithinPartitions(*order)
-    if block is None:
-        labelled = rows.withColumn("__entry", F.lit(0).cast("bigint"))
-    else:
-        blk = tagged.schema["__blk"].dataType.simpleString()
-        maps = rows.select("__grp", "__key", "__blk", "__i", "__n").mapInArrow(
-            _block_maps, f"__grp string, __key string, __blk {blk}, __from array<bigint>, __to array<bigint>")
-        entry = (maps.repartition(parts, "__key").sortWithinPartitions("__key", "__blk")
-                 .mapInArrow(_block_entries, "__grp string, __entry bigint"))
-        labelled = rows.join(entry, "__grp", "left").sortWithinPartitions(*order)
-    out = T.StructType(df.schema.fields + [T.StructField("status", T.StringType())])
-    return labelled.mapInArrow(_label(df.columns), out)
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+    rows = _written(df.select(
+        whole.alias("row"), F.monotonically_increasing_id().alias("id"), F.col(stream).alias("stream"),
+        F.col(arrival).alias("at"), F.col(tiebreak).alias("tie"),
+        F.coalesce(F.col(idx).cast("bigint"), F.lit(-1).cast("bigint")).alias("i"),
+        F.coalesce(count.cast("bigint"), F.lit(0).cast("bigint")).alias("n"),
+        (block if block is not None else _arrival_block(df, arrival)).alias("blk")), "arrivals")
+    order = ["at", "tie", "id"]
+    wanted = rows.filter("i >= 0 AND i < n").select("stream", "i", "n", "blk", *order)
+    arrives = F.when(F.col("target"), F.struct(*order))
+    turns = (wanted.withColumn("target", F.lit(True))
+             .unionByName(wanted.filter("i + 1 < n").withColumn("i", F.col("i") + 1).withColumn("target", F.lit(False))))
+    turns = segmented_scan(turns, ["stream", "i"], order, {"next": ("min", arrives)}, block="blk",
+                           direction="backward", inclusive=False)
+    links = _written(turns.filter("NOT target AND next IS NOT NULL").select("id", F.col("next.id").alias("next")), "links")
+    first = (wanted.filter("i = 0").groupBy("stream").agg(F.min(F.struct(*order)).alias("first"))
+             .select(F.col("first.id").alias("id")))
+    accepted = _reached(_written(first, "first"), links).withColumn("accepted", F.lit(True))
+
+    marked = _written(rows.join(accepted, "id", "left"), "marked")
+    ends = (marked.filter("accepted AND i = n - 1").groupBy("stream").agg(F.min(F.struct(*order)).alias("end")))
+    out = join_back(marked, ends, ["stream"])
+    status = (F.when(F.col("n") <= 0, "past_end").when(F.col("accepted"), "accepted")
+              .when(F.struct(*order) > F.col("end"), "past_end").otherwise("out_of_order"))
+    return out.select("row.*", status.alias("status"))
 
 
 # --------------------------------------------------------------------------- WN4

@@ -62,6 +62,30 @@ def test_in_order_prefix_random_blocks(spark):
         assert [out[d[2]] for d in mine] == exp
 
 
+def test_in_order_prefix_of_many_chunks_and_repeated_rows(spark):
+    rnd = random.Random(8)
+    seq = []
+    for k in range(700):
+        seq += [rnd.randint(0, 900) for _ in range(rnd.randint(0, 2))] + [k]
+    data = [("a", i, i, x, 700) for i, x in enumerate(seq + [0, 699, 3])]
+    data += [("b", i, i, x, 3) for i, x in enumerate([0, 2, 1, 1, 0])] + [("b", 9, 9, 2, 3)] * 2
+    df = spark.createDataFrame(data, "`s.t` STRING, at INT, id INT, idx INT, n INT").withColumnRenamed("s.t", "s")
+    got = wn.in_order_prefix(df, "s", "at", "id", "idx", "n").collect()
+    out = {r["id"]: r["status"] for r in got if r["s"] == "a"}
+    mine = [d for d in data if d[0] == "a"]
+    assert [out[d[2]] for d in mine] == simulate_in_order([d[3] for d in mine], 700)
+    assert sum(v == "accepted" for v in out.values()) == 700
+    b_ = sorted((r["id"], r["status"]) for r in got if r["s"] == "b")
+    assert b_ == [(0, "accepted"), (1, "out_of_order"), (2, "accepted"), (3, "out_of_order"), (4, "out_of_order"),
+                  (9, "accepted"), (9, "past_end")]
+
+
+def test_in_order_prefix_has_no_python_stage(spark):
+    plan = wn.in_order_prefix(b.chunk_requests(spark, SF_TINY), "user_id", "ts", "event_id", "idx", 5)
+    text = plan._jdf.queryExecution().toString()
+    assert "MapInArrow" not in text and "Python" not in text
+
+
 def test_in_order_prefix_nulls_large_ids_and_counts(spark):
     big = 1 << 60
     data = [(s, t(i), i, x, n, "p") for i, (s, x, n) in enumerate(
