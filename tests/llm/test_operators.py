@@ -245,6 +245,48 @@ def test_license_paragraphs_that_are_no_training_notice(spark, tiny, texts):
     assert held <= {(r.doc_id, r.paragraph) for r in got if r.confirmed and r.family == license_scan.RIGHTS}
 
 
+def _wrapped(paragraphs, mark=""):
+    import textwrap
+    return "\n".join(mark + line for p in paragraphs for line in textwrap.wrap(p, 76))
+
+
+def test_wrapped_texts_and_two_licences(spark, tiny, texts):
+    t = license_scan.TEXTS
+    cases = [
+        ("MIT", _wrapped(t["MIT"])), ("MIT", _wrapped(t["MIT"][:1], " * ")), ("BSD", _wrapped(t["BSD"][:5], "# ")),
+        ("BSD", _wrapped(t["BSD"][1:2])), ("Apache", _wrapped(t["Apache"], "// ")), ("Apache", _wrapped(t["Apache"][:1])),
+        ("GPL", _wrapped(t["GPL"][:1], " * ")), ("GPL", _wrapped(t["GPL"][2:4])), ("LGPL", _wrapped(t["LGPL"][:1])),
+        ("ISC", _wrapped(t["ISC"])), ("MPL", _wrapped(t["MPL"], "; ")), ("Zlib", _wrapped(t["Zlib"])),
+        ("Unlicense", _wrapped(t["Unlicense"], "-- ")), ("MIT", "Published under the MIT License"),
+        ("MIT|Apache", "Licensed under the MIT License or the Apache License 2.0."),
+        ("GPL|MPL", "This project may be used under the GNU GPL or the MPL-2.0."),
+        ("BSD|MIT", "Dual licensed under the BSD License and the MIT License."),
+        ("AGPL|Apache", "You can choose between AGPL-3.0 and Apache-2.0."),
+        ("MIT|EPL", "Covered by the MIT licence and, in parts,\nby the Eclipse Public License, version 2.0"),
+    ]
+    new = [(10**9 + i, f"Words before.\n\n{body}\n \nwords behind") for i, (_, body) in enumerate(cases)]
+    docs = tiny.select("doc_id", "text").unionByName(spark.createDataFrame(new, "doc_id long, text string"))
+    got = license_scan.license_scan(docs).collect()
+    right = total = 0
+    for i, (family, body) in enumerate(cases):
+        rows = [r for r in got if r.doc_id == 10**9 + i and r.confirmed]
+        want = set(family.split("|"))
+        assert {r.family for r in rows} <= want, body
+        right, total = right + len(want & {r.family for r in rows}), total + len(want)
+        assert all(2 <= r.paragraph <= r["last"] <= 1 + len(body.split("\n")) for r in rows), body
+    assert right >= 0.9 * total
+    plain = license_scan.license_scan(tiny).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in plain) == sorted(
+        (r.doc_id, r.paragraph, r.family) for r in got if r.doc_id < 10**9)
+
+
+def test_ordinary_sample_counts_copies_once(spark):
+    body = ["the same line again and again"] * 5000 + [f"line {i} of many words" for i in range(300)]
+    df = spark.createDataFrame([(b,) for b in body], "body string").repartition(3)
+    got = [r.body for r in license_scan._ordinary(df, 200).collect()]
+    assert len(got) == len(set(got)) == 200
+
+
 # ---- 7 packing
 
 def check_packing(rows, capacity):
