@@ -9,8 +9,8 @@ Members are repeats of history; nonmembers form groups among themselves.
 
 Defined results.  Null text is the empty text.  A null id is the smallest id;
 a group of null ids only has a null ``keep_id``.  Of rows with the same id and
-text (repeated rows) exactly one stays.  An empty table gives no rows.  Other
-columns are not read, whatever their names.
+text (repeated rows) exactly one stays.  Very long texts are hashed and compared
+whole.  An empty table gives no rows.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ paragraphs, within about 1 / sqrt(SIGNS).
 Defined results.  Null text is empty; its fingerprint is all zero, like
 another empty one (1) and unlike all others (0).  Rows without an id stand
 outside the order: their next text is the empty one, as for a table of one
-row the row itself.  Rows with one id follow each other by text.  An empty
+row the row itself.  Rows with one id follow each other by text.  Very long
+texts are read whole, their paragraphs in blocks.  An empty
 table gives no rows.  Other columns are not read.
 """
 

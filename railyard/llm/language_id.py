@@ -9,8 +9,10 @@ codeword are close are flagged ``ambiguous``.
 
 Defined results.  Null text, or text without a letter, gets ``und``, score 0
 and no ambiguity.  Without any labelled text everything is ``und``; with one
-language every text with a letter is that language.  Whole texts are read, of
-any length.  Other columns are not read.
+language every text with a letter is that language.  Of equally near codewords
+that of the first language by name wins (and is ambiguous).  Whole texts are
+read, of any length; repeated rows are predicted each, and taught once.  An
+empty table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations

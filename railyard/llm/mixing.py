@@ -13,7 +13,7 @@ A rate beyond ``STEP`` is drawn as a sum of independent draws of at most
 Defined results.  Null text counts no characters; a null source is a source of
 its own.  A source of empty texts only, or of weight zero, has rate 1 or 0.
 Rows without an id, and repeated rows, draw by the hash of what they hold, so
-equal rows get equal counts.  An empty table gives no rows.  The documents'
+equal rows get equal counts.  Texts of any length are carried whole.  An empty table gives no rows.  The documents'
 columns stay as they are; an added column whose name they have is left out.
 """
 

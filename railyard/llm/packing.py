@@ -10,8 +10,9 @@ Bins still underfull are dissolved and packed again together, until they fit
 one group, so groups cost a few bins in all and no task sees all pieces.
 
 Defined results.  Null text is empty: one piece with the end id only.  A null
-id is kept.  Repeated rows are packed each for itself.  An empty table gives
-no rows.  Other columns are not read.
+id is kept.  Repeated rows are packed each for itself.  Very long texts take as
+many full sequences as they need.  Of bins with equal room the last used is
+filled first, of equal changes the first is made.  An empty table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations

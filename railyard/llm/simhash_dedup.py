@@ -20,7 +20,8 @@ joins (``graph.components``).
 
 Defined results.  Null or word-less text has fingerprint zero and is linked
 like any other.  A null id is never a component's name unless all ids of the
-component are null.  Repeated rows share fingerprint and component.  An empty
+component are null.  Repeated rows share fingerprint and component.  A bit set
+in exactly half of the hashes is 0.  Very long texts are read whole.  An empty
 table gives no rows.  Other columns are not read.
 """
 

@@ -26,7 +26,7 @@ Full suffix arrays of all bytes don't fit the limits on disk (README).
 
 Defined results.  Null text is empty; texts shorter than ``length`` lose
 nothing.  A null id stays null.  Repeated rows are copies: each loses what the
-other holds.  An empty table gives no rows.  Other columns are not read.
+other holds.  Very long texts are read whole by one task.  An empty table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations

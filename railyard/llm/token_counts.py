@@ -11,7 +11,8 @@ documents that cross boundaries.
 Defined results.  A block of null or empty bytes holds no token.  Tokens after
 the last separator of a file are a document with ``ended`` false.  Two
 separators in a row enclose a document of zero tokens.  An empty table gives
-no rows.  Rows with a null file are one file.
+no rows.  Rows with a null file are one file.  Documents of any length are
+counted whole, over as many blocks as they take; repeated rows each.
 """
 
 from __future__ import annotations
