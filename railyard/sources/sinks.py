@@ -21,12 +21,15 @@ HASHED_SCHEMA_EXTRA = "h BIGINT, dir_id INT, sub_id INT, sub_dir STRING"
 
 # --------------------------------------------------------------------------- SNK1
 def write_hashed_layout(df: DataFrame, key: str, n_dirs: int, n_sub: int, path: str,
-                        mode: str = "overwrite") -> None:
+                        mode: str = "overwrite", files_per_dir: int = 4) -> None:
     """Write rows under ``path/dir_id=<d>/sub_dir=<xx>/`` where the placement
     comes from ``place_by_hash`` of ``key``.  Rows are shuffled by the two
-    placement columns first so each directory gets few, large files."""
+    placement columns and dealt out by row, so each directory gets
+    ``files_per_dir`` files, written by as many tasks, however many rows share
+    a key."""
     placed = place_by_hash(df, key, n_dirs, n_sub)
-    (placed.repartition("dir_id", "sub_dir")
+    deal = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_dir))
+    (placed.repartition("dir_id", "sub_dir", deal)
      .write.mode(mode).partitionBy("dir_id", "sub_dir").parquet(path))
 
 
@@ -44,9 +47,10 @@ def write_sorted_blocks(df: DataFrame, map_key: str, reduce_order: Sequence[Colu
     position (``path/data``), and a manifest ``path/index`` with the
     0-based reduce index and ``[offset, next_offset)`` of each block (the
     n+1 offsets of the original index file, one row per block).  Returns the
-    manifest as read back from storage."""
+    manifest as read back from storage.  Files hold ranges of ``(map, reduce
+    position)``, so the blocks of a large map are written by several tasks."""
     indexed = offset_index(df, [map_key], list(reduce_order), size, block=block)
-    (indexed.repartition(map_key).sortWithinPartitions(map_key, "idx")
+    (indexed.repartitionByRange(map_key, "idx").sortWithinPartitions(map_key, "idx")
      .write.mode(mode).parquet(f"{path}/data"))
     spark = df.sparkSession
     manifest = spark.read.parquet(f"{path}/data").select(
