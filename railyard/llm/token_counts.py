@@ -11,7 +11,8 @@ documents that cross boundaries.
 Defined results.  A block of null or empty bytes holds no token.  Tokens after
 the last separator of a file are a document with ``ended`` false.  Two
 separators in a row enclose a document of zero tokens.  An empty table gives
-no rows.  Rows with a null file are one file.  Documents of any length are
+no rows.  Rows with a null file are one file.  A torn id at the end of a block
+is not counted.  Documents of any length are
 counted whole, over as many blocks as they take; repeated rows each.
 """
 
@@ -20,10 +21,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from railyard.operators.scan import segmented_scan
+from railyard.sources import scan_segments
 
 from .common import column, python_ready, untagged, written
 from .tokens import encoder
@@ -84,7 +86,8 @@ def _search(end_id: int, width: str):
             bodies = column(batch, "body")
             ends, sizes = [], []
             for i in range(len(bodies)):
-                ids = np.frombuffer(bodies[i].as_py() or b"", width)
+                raw = bodies[i].as_py() or b""
+                ids = np.frombuffer(raw, width, len(raw) // np.dtype(width).itemsize)
                 ends.append(np.flatnonzero(ids == end_id))
                 sizes.append(len(ids))
             flat = np.concatenate(ends) if ends else np.zeros(0, np.int64)
@@ -96,6 +99,20 @@ def _search(end_id: int, width: str):
     return run
 
 
+def file_blocks(spark: SparkSession, path_glob: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``file, path, block, body`` of raw flat token files, files numbered by
+    path (Spark lists no empty ones).  Blocks are ranges of ``block_bytes`` (a multiple of an id's width),
+    read at their places, so no file is loaded whole."""
+    listed = spark.read.format("binaryFile").load(path_glob).select("path", F.col("length").alias("size"))
+    files = listed.withColumn("file", F.row_number().over(Window.orderBy("path")) - 1)     # a row per file
+    last = F.greatest(F.floor((F.col("size") - 1) / block_bytes), F.lit(0)).cast("bigint")
+    ranges = files.select("file", "path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
+    offset = F.col("block") * block_bytes
+    ranges = ranges.select("file", "path", "block", offset.alias("offset"),
+                           F.least(F.lit(block_bytes).cast("bigint"), F.col("size") - offset).alias("length"))
+    return scan_segments(spark, path_glob, ranges).select("file", "path", "block", F.col("data").alias("body"))
+
+
 def separator_scan(blocks: DataFrame, end_id: int, width: str = "<u2") -> DataFrame:
     """``file, ordinal, start, n_tokens, ended`` of every document in the
     blocks ``(file, block, body)``; start counts the file's tokens."""

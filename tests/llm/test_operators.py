@@ -168,6 +168,24 @@ def test_separator_scan_of_any_cut(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_raw_token_files(spark, tmp_path):
+    rng, want = np.random.default_rng(6), []
+    for f, n in enumerate((5000, 1, 777)):
+        ids = np.where(rng.random(n) < 0.02, 9, rng.integers(10, 60_000, n)).astype("<u2")
+        raw = ids.tobytes() + (b"\1" if f == 2 else b"")          # the last id is torn
+        (tmp_path / f"part-{f}.bin").write_bytes(raw)
+        (tmp_path / f"part-{f}-empty.bin").write_bytes(b"")
+        at = 0
+        for k, end in enumerate([*np.flatnonzero(ids == 9).tolist(), n]):
+            if end < n or at < n:
+                want.append((f, k, at, end - at, end < n))
+            at = end + 1
+    blocks = token_counts.file_blocks(spark, str(tmp_path), 256)
+    assert {len(r.body) for r in blocks.collect()} <= {256, *range(257)} and blocks.count() > 40
+    got = token_counts.separator_scan(blocks, 9).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_token_counts_defined_cases(odd, none):
     got = token_counts.token_counts(odd, queries.VOCABULARY, public_tokenizers.PATTERN, queries.END_OF_TEXT)
     assert got.count() == len(odd_rows())
