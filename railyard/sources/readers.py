@@ -172,7 +172,8 @@ def scan_segments(spark: SparkSession, path_glob: str, segments: DataFrame) -> D
     the ``binaryFile`` source reports it.  Adds ``file_size``, ``data``
     (BINARY) and ``reject_reason``: ``eof`` when the file is shorter than
     ``offset + length`` (an error, never a short read), ``missing_file`` when
-    no such file exists, ``bad_range`` for a negative or null range.
+    no such file exists (or it is empty: Spark lists none of these),
+    ``bad_range`` for a negative or null range.
 
     Only the listing comes from the ``binaryFile`` source, without contents.
     Segments are dealt to tasks by file and ``READ_BLOCK`` and read at their
