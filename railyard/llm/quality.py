@@ -14,7 +14,8 @@ smallest id hashes.
 Defined results.  Null text is empty.  Null language or source is a kind of
 its own; a null stated length is zero.  Labels that are null, repeated with
 both values, or name no document are ignored.  Without labels of both kinds
-nothing is rejected: all scores are 1.  An empty table gives no rows.  Other
+nothing is rejected: all scores are 1.  Texts of any length are read whole, in
+blocks.  Of rows with one id the first teaches, all are scored.  An empty table gives no rows.  Other
 columns are not read, and a row stays one row however often it is labelled.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, column, numbered, python_ready, text_of
+from .common import buffers, column, numbered, python_ready, text_of, written
 from .linear import fit_dense, fit_sparse, mean_scores, sigmoid, sparse, spans
 
 ROUNDS = 4
@@ -201,9 +202,10 @@ def train(rows: DataFrame, labels: DataFrame, labelled: int = 2400, pool: int =
     free = (ids.join(named, "doc_id", "left_anti").orderBy(by).limit(pool)
             .select("doc_id", F.lit(-1).alias("label")))
     chosen = taught.unionByName(free)                                # labelled + pool ids at most
-    kept = [c for c in rows.columns if c not in ("doc_id", "tag")]
-    sample = (rows.join(F.broadcast(chosen), "doc_id")               # the first row of an id
-              .groupBy("doc_id").agg(F.min(F.struct("tag", *kept, "label")).alias("r")).select("doc_id", "r.*")
+    # the first row of each: its place is found without the texts
+    first = (rows.select("doc_id", "tag").join(F.broadcast(chosen), "doc_id")
+             .groupBy("doc_id").agg(F.min("tag").alias("tag"), F.min("label").alias("label")))
+    sample = (rows.join(F.broadcast(written(first, "chosen")), ["doc_id", "tag"])
               .repartition(1).sortWithinPartitions(by))
     got = sample.mapInArrow(_fit(rounds), "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else None
