@@ -25,6 +25,8 @@ def test_oracles_agree_on_tiny_scale(spark):
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_TINY}/{t}.parquet')")
     q, o = entry.queries(), entry.oracle_sql()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")      # state stores are opened per partition
     streams = sorted(n for n in o if n.startswith("st") and ("_stream_" in n or "listener" in n))
     assert len(streams) >= 10
     for name in [*streams, "jn2_fifo_match", "ag2_latency_summary", "jn5_resolve_blocks",
@@ -35,3 +37,4 @@ def test_oracles_agree_on_tiny_scale(spark):
         res = con.sql(o[name])
         assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == \
             rows_of(res.columns, res.fetchall()), name
+    spark.conf.set("spark.sql.shuffle.partitions", old)

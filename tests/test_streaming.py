@@ -14,6 +14,16 @@ DELAY = "11 days"           # more than a third of the events' time
 DELAY_MS = 11 * 86_400_000
 
 
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """State stores are opened per partition and micro-batch."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    yield
+    spark.conf.set(key, old)
+
+
 def _stream(spark, df, ts="ts", n=3, name="t", n_files=None, max_files=1):
     return sm.read_stream(spark, sm.stage_files(df, ts, n, name, n_files), df.schema, max_files)
 
@@ -246,7 +256,7 @@ def test_reassembly_ends_by_event_time(spark):
             "stream_id", "chunk_idx", "body", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts")))
     ann = spark.createDataFrame([(1, 4), (2, 9), (3, 2), (4, 4), (5, 6)], "stream_id long, expected_bytes long")
     rows_ = [(1, 1, "cd", 1), (1, 0, "ab", 2), (2, 0, "ab", 3), (2, 2, "z", 4), (3, 0, "abc", 5), (4, 0, "ab", 6),
-             (4, 0, "xyz", 7), (5, 0, None, 8), (5, 1, "", 9)]
+             (4, 0, "ab", 7), (5, 0, None, 8), (5, 1, "", 9)]
     path = sm.stage_files(pieces(rows_), name="t-end6", n_files=3)
     s = sm.read_stream(spark, path, pieces(rows_).schema, max_files=1)
 
