@@ -85,6 +85,47 @@ def test_handshake(spark):
     assert set(zero) == {("timed_out",)}
 
 
+def test_any_other_message_before_the_hello_is_an_error(spark):
+    cols = "secret STRING, ts TIMESTAMP, id INT"
+    conns = spark.createDataFrame([("s1", t(0), 1), ("s1", t(100), 2), ("s2", t(0), 3), ("s3", t(0), 4),
+                                   (None, t(0), 5)], cols)
+    hellos = spark.createDataFrame([("s1", t(5), 10), ("s1", t(105), 11), ("s2", t(3), 12), ("s3", t(4), 13)], cols)
+    other = spark.createDataFrame([("s1", t(4), 20), ("s2", t(3), 21), ("s3", t(5), 22), (None, t(2), 23)], cols)
+    pending = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "secret STRING")
+    got = rows(jn.handshake(conns, hellos, pending, 10, messages=other), "conn_id", "status", "hello_id")
+    # s1's first connection is refused, so its second is the one that consumes the secret;
+    # of messages at one time the hello comes first
+    assert got == [(1, "unexpected_message", None), (2, "connected", 11), (3, "connected", 12), (4, "connected", 13),
+                   (5, "unexpected_message", None)]
+    assert {r[0] for r in rows(jn.handshake(conns, hellos, pending, 0, messages=other), "status")} == {"timed_out"}
+
+
+def test_requests_fail_with_the_cause_of_the_disconnect(spark):
+    reqs = spark.createDataFrame(
+        [(1, 1, t(0), t(50), "matched", "rpc"), (1, 2, t(30), None, "outstanding", "rpc"), (1, 3, t(60), None, "outstanding", "rpc"),
+         (1, 4, t(0), t(10), "matched", "rpc")],
+        "channel INT, req_id INT, req_ts TIMESTAMP, resp_ts TIMESTAMP, status STRING, kind STRING")
+    disc = spark.createDataFrame([(1, t(20), 101, "reset"), (1, t(20), 100, None), (1, t(40), 102, "closed")],
+                                 "channel INT, ts TIMESTAMP, id INT, cause STRING")
+    got = rows(jn.fail_on_disconnect(reqs, disc), "req_id", "final_status", "disconnect_ts", "cause")
+    assert got == [(1, "failed_disconnect", t(20), None), (2, "failed_disconnect", t(40), "closed"),
+                   (3, "outstanding", None, None), (4, "matched", None, None)]
+
+
+def test_connect_and_bootstrap_times(spark):
+    from railyard.operators.aggregates import connection_summary
+    c = spark.createDataFrame([("a", t(0), t(1), t(4)), ("a", t(0), t(3), None), ("a", t(0), None, None),
+                               (None, t(0), t(2), t(2))],
+                              "peer STRING, start_ts TIMESTAMP, connected_ts TIMESTAMP, ready_ts TIMESTAMP")
+    for approx in (False, True):
+        got = rows(connection_summary(c, approx=approx), "peer", "phase", "n", "total_us", "max_us", "min_us")
+        assert got == sorted([("a", "connect", 2, 4_000_000, 3_000_000, 1_000_000),
+                              ("a", "bootstrap", 1, 3_000_000, 3_000_000, 3_000_000),
+                              (None, "connect", 1, 2_000_000, 2_000_000, 2_000_000),
+                              (None, "bootstrap", 1, 0, 0, 0)], key=repr)
+    assert ("a", "connect", 2_000_000.0) in rows(connection_summary(c), "peer", "phase", "p50_us")
+
+
 def test_fail_on_disconnect(spark):
     reqs = spark.createDataFrame(
         [(1, 1, t(0), t(50), "matched", "rpc"), (1, 2, t(0), None, "outstanding", "rpc"),
