@@ -298,6 +298,16 @@ def test_wrapped_texts_and_two_licences(spark, tiny, texts):
         (r.doc_id, r.paragraph, r.family) for r in got if r.doc_id < 10**9)
 
 
+def test_any_of_matches_the_words_and_no_others():
+    import itertools
+    import re
+    words = ["1", "1.0", "2020", "2021", "a", "ab", "abc", "b+", "gpl-3.0", "gpl"]
+    for n in (1, 2, len(words)):
+        for some in itertools.combinations(words, n):
+            pattern = re.compile(license_scan.any_of(list(some)))
+            assert [w for w in [*words, "", "202", "abcd", "1-0"] if pattern.fullmatch(w)] == list(some)
+
+
 def test_ordinary_sample_counts_copies_once(spark):
     body = ["the same line again and again"] * 5000 + [f"line {i} of many words" for i in range(300)]
     df = spark.createDataFrame([(b,) for b in body], "body string").repartition(3)
