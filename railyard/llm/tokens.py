@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,9 +59,12 @@ class Encoder:
     def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)`` of texts without nulls: text i has the unsigned
         32-bit ids ``offsets[i]:offsets[i + 1]``, the last being ``end_id``."""
-        found = [np.array([*self.encode(t), end_id], "<u4") for t in texts.to_pylist()]
-        offsets = np.cumsum([0, *map(len, found)], dtype=np.int64)
-        return np.concatenate(found) if found else np.zeros(0, "<u4"), offsets
+        ids, ends = array("I"), [0]
+        for text in texts.to_pylist():
+            ids.fromlist(self.encode(text))
+            ids.append(end_id)
+            ends.append(len(ids))
+        return np.frombuffer(ids, np.uint32).astype("<u4", copy=False), np.array(ends, np.int64)
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -75,6 +75,9 @@ class SentenceEnds:
         return np.flatnonzero(self.line[ids] | self.wide[ids] | stop & blank) + 1
 
 
+_ENDS: dict = {}
+
+
 def candidates(ends: np.ndarray, inner: np.ndarray, costs: Costs, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of possible cuts behind 0, ascending, and their penalties, from
     document ends and sentence ends."""
@@ -110,23 +113,29 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, capacity: int, costs: Costs,
     first = np.searchsorted(behind[order], np.arange(len(place) + 1)).tolist()
 
     place, fixed = place.tolist(), [0.0, *(penalty + costs.window).tolist()]
-    cost, came = [0.0] * len(place), [0] * len(place)
-    key = [0.0] * len(place)                          # cost + place
-    queue, head = [0], 0                              # keys ascend along the queue
+    cost, came, key = [0.0], [0], [0.0]               # key: cost + place
+    queue, head, low = [0], 0, 0                      # keys ascend along the queue
     for j in range(1, len(place)):
         here = place[j]
-        while here - place[queue[head]] > capacity:
+        while here - place[low] > capacity:
             head += 1
-        i = queue[head]
-        best = key[i] + capacity - here
-        for k in range(first[j], first[j + 1]):
+            low = queue[head]
+        i, best = low, key[low] + capacity - here
+        k, stop = first[j], first[j + 1]
+        while k < stop:
             if cost[exact[k]] < best:
                 i = exact[k]
                 best = cost[i]
-        came[j] = i
-        cost[j] = best = best + fixed[j]
-        key[j] = best = best + here
-        while len(queue) > head and key[queue[-1]] > best:
+            k += 1
+        best += fixed[j]
+        came.append(i)
+        cost.append(best)
+        best += here
+        key.append(best)
+        if key[low] > best:                           # all that wait are dearer
+            queue, head, low = [j], 0, j
+            continue
+        while key[queue[-1]] > best:
             queue.pop()
         queue.append(j)
 
@@ -211,7 +220,8 @@ class _Run:
 def _pack(ranks_path: str, pattern: str, added: dict[str, int] | None, end_id: int, capacity: int, costs: Costs):
     def run(batches):
         enc = encoder(ranks_path, pattern, added)
-        sentence_ends = SentenceEnds(enc.tokens)
+        sentence_ends = _ENDS.get(ranks_path) or SentenceEnds(enc.tokens)
+        _ENDS[ranks_path] = sentence_ends             # one per Python worker
         task = TaskContext.get().partitionId()
         open_ = _Run(capacity, costs, task << 40)
         for batch in batches:
