@@ -80,10 +80,8 @@ def all_or_nothing(items: DataFrame, group: Sequence[str], valid: Column | str,
     v = F.col(valid) if isinstance(valid, str) else valid
     tagged = items.withColumn("__valid", F.coalesce(v, F.lit(False)))
     if store:
-        from railyard.session import scratch_path
-        path = scratch_path(items.sparkSession, "items")
-        tagged.write.parquet(path)
-        tagged = items.sparkSession.read.schema(tagged.schema).parquet(path)
+        from railyard.session import stored
+        tagged = stored(tagged, "items")
     verdict = tagged.groupBy(*group).agg(F.bool_and("__valid").alias("group_ok"))
     from railyard.operators.joinback import join_back
     return (join_back(tagged, verdict, group).drop("__valid")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from railyard.operators.joinback import join_back
 from railyard.operators.joins import fifo_scan
 from railyard.operators.scan import segmented_scan, time_block
+from railyard.session import stored
 
 
 # --------------------------------------------------------------------------- WN1
@@ -82,13 +83,6 @@ def peak_outstanding(gauge: DataFrame) -> DataFrame:
 BLOCK_ROWS = 4096         # arrivals of a block where they are numbered
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    from railyard.session import scratch_path
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _arrival_block(df: DataFrame, arrival: str) -> Column:
     """Blocks of a stream's arrivals by day, or by their number."""
     kind = df.schema[arrival].dataType.typeName()
@@ -105,12 +99,12 @@ def _reached(start: DataFrame, links: DataFrame) -> DataFrame:
     reached, jumps = start, links
     while True:
         ahead = reached.join(jumps, "id").select(F.col("next").alias("id"))
-        more = _written(ahead, "reached")
+        more = stored(ahead, "reached")
         if not more.limit(1).count():
             return reached
         reached = reached.unionByName(more)
         on = jumps.select(F.col("id").alias("next"), F.col("next").alias("beyond"))
-        jumps = _written(jumps.join(on, "next").select("id", F.col("beyond").alias("next")), "jumps")
+        jumps = stored(jumps.join(on, "next").select("id", F.col("beyond").alias("next")), "jumps")
 
 
 def in_order_prefix(df: DataFrame, stream: str, arrival: str, tiebreak: str, idx: str,
@@ -135,7 +129,7 @@ def in_order_prefix(df: DataFrame, stream: str, arrival: str, tiebreak: str, idx
     """
     count = F.col(n_chunks) if isinstance(n_chunks, str) else F.lit(int(n_chunks))
     whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
-    rows = _written(df.select(
+    rows = stored(df.select(
         whole.alias("row"), F.monotonically_increasing_id().alias("id"), F.col(stream).alias("stream"),
         F.col(arrival).alias("at"), F.col(tiebreak).alias("tie"),
         F.coalesce(F.col(idx).cast("bigint"), F.lit(-1).cast("bigint")).alias("i"),
@@ -148,12 +142,12 @@ def in_order_prefix(df: DataFrame, stream: str, arrival: str, tiebreak: str, idx
              .unionByName(wanted.filter("i + 1 < n").withColumn("i", F.col("i") + 1).withColumn("target", F.lit(False))))
     turns = segmented_scan(turns, ["stream", "i"], order, {"next": ("min", arrives)}, block="blk",
                            direction="backward", inclusive=False)
-    links = _written(turns.filter("NOT target AND next IS NOT NULL").select("id", F.col("next.id").alias("next")), "links")
+    links = stored(turns.filter("NOT target AND next IS NOT NULL").select("id", F.col("next.id").alias("next")), "links")
     first = (wanted.filter("i = 0").groupBy("stream").agg(F.min(F.struct(*order)).alias("first"))
              .select(F.col("first.id").alias("id")))
-    accepted = _reached(_written(first, "first"), links).withColumn("accepted", F.lit(True))
+    accepted = _reached(stored(first, "first"), links).withColumn("accepted", F.lit(True))
 
-    marked = _written(rows.join(accepted, "id", "left"), "marked")
+    marked = stored(rows.join(accepted, "id", "left"), "marked")
     ends = (marked.filter("accepted AND i = n - 1").groupBy("stream").agg(F.min(F.struct(*order)).alias("end")))
     out = join_back(marked, ends, ["stream"])
     status = (F.when(F.col("n") <= 0, "past_end").when(F.col("accepted"), "accepted")

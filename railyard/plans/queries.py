@@ -474,10 +474,8 @@ FROM f
 
 def _resolved(spark, sf):
     # the index is a stored table that both the requests and the manifest read
-    from railyard.session import scratch_path
-    idx, path = _offset_index(spark, sf), scratch_path(spark, "offset-index")
-    idx.write.parquet(path)
-    idx = spark.read.schema(idx.schema).parquet(path)
+    from railyard.session import stored
+    idx = stored(_offset_index(spark, sf), "offset-index")
     manifest = idx.select(b.app_of("l_suppkey").alias("app_id"), F.col("l_suppkey").cast("string").alias("exec_id"),
                           F.lit(0).alias("shuffle_id"), F.col("l_orderkey").try_cast("int").alias("map_id"),
                           F.col("idx").alias("reduce_id"), "offset", "next_offset")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from railyard.session import stored
+
 
 # --------------------------------------------------------------------------- SRC1
 def _with_reject(schema: StructType | str, reject_col: str | None) -> StructType | str:
@@ -72,10 +74,11 @@ def _unescape(c: Column) -> Column:
 
 def _natural_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines as they lie in the files: ``file, block`` (where the split they
-    were read by starts), ``row`` (their order in a split) and ``line``."""
-    return (spark.read.text(path)
-            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("row"), F.col("value").alias("line")))
+    were read by starts), ``row`` (their order in a split) and ``line``,
+    stored, as both scans below go by the splits and rows."""
+    return stored(spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").alias("line")), "lines")
 
 
 def _logical_lines(lines: DataFrame) -> DataFrame:
@@ -92,8 +95,8 @@ def _logical_lines(lines: DataFrame) -> DataFrame:
     lines = lines.withColumn("goes_on", odd)
     decides = F.when(~(F.col("goes_on") & comment), F.struct(*order, "goes_on"))
     lines = segmented_scan(lines, ["file"], order, {"last": ("max", decides)}, block="block", inclusive=False)
-    lines = lines.withColumn("starts", ~F.coalesce(F.col("last.goes_on"), F.lit(False)))
-    lines = segmented_scan(lines.drop("last"), ["file"], order, {"at": ("sum", F.col("starts").cast("bigint"))},
+    lines = stored(lines.withColumn("starts", ~F.coalesce(F.col("last.goes_on"), F.lit(False))).drop("last"), "starts")
+    lines = segmented_scan(lines, ["file"], order, {"at": ("sum", F.col("starts").cast("bigint"))},
                            block="block")
     body = F.when(F.col("starts"), F.col("line")).otherwise(F.regexp_replace("line", r"^[ \t\f]+", ""))
     # a comment is not continued; all other lines of odd ends lose the last backslash
