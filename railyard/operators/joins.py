@@ -66,8 +66,7 @@ def fifo_scan(requests: DataFrame, responses: DataFrame, channel: str, ts: str,
                           F.sum("t_s").over(before).alias("c_s"),
                           F.sum("t_req").over(before).alias("c_req"),
                           F.sum("t_cnt").over(before).alias("c_cnt"),
-                          F.min("first_ts").over(wb.rowsBetween(1, Window.unboundedFollowing))
-                          .alias("c_next"))
+                          F.lead("first_ts").over(wb).alias("c_next"))
     carry = carry.select("channel", "__blk", "c_s", "c_req", "c_cnt", "c_next",
                          F.min(F.coalesce(F.col("c_s"), F.lit(0)) + F.col("m_b"))
                          .over(before).alias("c_min"))

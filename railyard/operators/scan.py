@@ -39,11 +39,14 @@ from pyspark.sql import functions as F
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def _frame(direction: str, inclusive: bool):
+def _towards(direction: str, order: Sequence[Column | str]) -> list[Column | str]:
+    """The order a scan walks in.  A backward scan walks the reversed order with
+    a frame that grows, as Spark computes a frame that ends at the last row anew
+    for every row, which is quadratic in the rows of a window."""
     if direction == "forward":
-        return (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+        return list(order)
     if direction == "backward":
-        return (Window.currentRow if inclusive else 1, Window.unboundedFollowing)
+        return [(F.col(o) if isinstance(o, str) else o).desc() for o in order]
     raise ValueError(f"direction must be 'forward' or 'backward', got {direction!r}")
 
 
@@ -62,7 +65,8 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     ``kind(expr)`` over the rows of the same key that come before (forward) or
     after (backward) each row in ``order``; ``inclusive`` adds the row itself.
 
-    ``order`` must be a total order inside a key (add a tie-breaker column).
+    ``order`` must be a total order inside a key (add a tie-breaker column) of
+    plain columns, which sort upwards with nulls first.
     ``block`` must be non-decreasing along ``order`` inside a key; ``None``
     falls back to one window per key (fine for keys known to be small).  Pass
     the *name* of a block column already in ``df`` to chain scans: the rows
@@ -70,16 +74,17 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     scans' windows over the same keys and block need no new shuffle.
     """
     keys = list(keys)
-    lo, hi = _frame(direction, inclusive)
+    walk = _towards(direction, order)
+    lo, hi = Window.unboundedPreceding, Window.currentRow if inclusive else -1
     if block is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(lo, hi)
+        w = Window.partitionBy(*keys).orderBy(*walk).rowsBetween(lo, hi)
         return df.select("*", *[_AGG[k](e).over(w).alias(n) for n, (k, e) in aggs.items()])
 
     if isinstance(block, str):
         blk, tagged = block, df
     else:
         blk, tagged = "__blk", df.withColumn("__blk", block)
-    w_local = Window.partitionBy(*keys, blk).orderBy(*order).rowsBetween(lo, hi)
+    w_local = Window.partitionBy(*keys, blk).orderBy(*walk).rowsBetween(lo, hi)
     local = tagged.select("*", *[_AGG[k](e).over(w_local).alias("__l_" + n)
                                  for n, (k, e) in aggs.items()])
 
@@ -87,9 +92,8 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     # by (keys, block): a plain aggregate, no second shuffle of the input.
     totals = local.groupBy(*keys, blk).agg(*[_AGG[k](e).alias("__t_" + n)
                                              for n, (k, e) in aggs.items()])
-    clo, chi = ((Window.unboundedPreceding, -1) if direction == "forward"
-                else (1, Window.unboundedFollowing))
-    w_blk = Window.partitionBy(*keys).orderBy(blk).rowsBetween(clo, chi)
+    w_blk = Window.partitionBy(*keys).orderBy(*_towards(direction, [blk])).rowsBetween(
+        Window.unboundedPreceding, -1)
     carry = totals.select(*[F.col(k).alias("__ck_" + k) for k in keys],
                           F.col(blk).alias("__ck_blk"),
                           *[_AGG[k](F.col("__t_" + n)).over(w_blk).alias("__c_" + n)

@@ -51,3 +51,24 @@ def test_struct_min_gives_next_occurrence(spark):
                          direction="backward", inclusive=False)
     got = {r["t"]: (r["n"]["t"] if r["n"] else None) for r in out.collect()}
     assert got == {1: 2, 2: 4, 3: 4, 4: None}
+
+
+def test_backward_scan_has_frames_that_grow(spark):
+    """A frame up to the last row is computed anew for each row."""
+    df = spark.createDataFrame([(1, 1, 1)], "k INT, t INT, blk INT")
+    for block in (None, "blk"):
+        for inclusive in (True, False):
+            out = segmented_scan(df, ["k"], ["t"], {"n": ("min", F.col("t"))}, block=block,
+                                 direction="backward", inclusive=inclusive)
+            plan = out._jdf.queryExecution().analyzed().toString().lower()
+            assert "windowspec" in plan and "unboundedfollowing" not in plan
+
+
+def test_backward_scan_with_nulls_in_the_order(spark):
+    df = spark.createDataFrame([(1, None, 7), (1, 1, 5), (1, 2, None), (1, 3, 4), (None, 1, 2), (None, 2, 1)],
+                               "k INT, t INT, v INT")
+    for block in (None, F.floor(F.col("t") / 2)):
+        out = segmented_scan(df, ["k"], ["t"], {"n": ("sum", F.col("v"))}, block=block, direction="backward",
+                             inclusive=False)
+        assert {(r["k"], r["t"]): r["n"] for r in out.collect()} == {
+            (1, None): 9, (1, 1): 4, (1, 2): 4, (1, 3): None, (None, 1): 1, (None, 2): None}
