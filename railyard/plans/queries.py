@@ -1018,8 +1018,8 @@ def q_write_sorted_blocks(spark, sf):
 
 
 # ================================================================= streaming
-# Streams read 12 files, the rows of a quarter of the time in no order in three
-# of them, in three micro-batches; the delay covers such a quarter.
+# Streams read 12 files or more, the rows of a quarter of the time in no order in
+# a quarter of them, in three micro-batches; the delay covers such a quarter.
 DELAY = "8 days"
 DELAY_MS = 8 * 86_400_000
 
@@ -1027,7 +1027,7 @@ DELAY_MS = 8 * 86_400_000
 def _staged(spark, df, ts, name):
     from railyard import streaming as sm
     path = sm.stage_files(df, ts, 4, name, n_files=3)
-    return sm.read_stream(spark, path, df.schema, max_files=4)
+    return sm.read_stream(spark, path, df.schema, max_files=sm.share_of_files(spark, path, 3))
 
 
 def _finite(spark, df, name, wait_ms=0, ts="ts", delay_ms=DELAY_MS):
@@ -1036,8 +1036,8 @@ def _finite(spark, df, name, wait_ms=0, ts="ts", delay_ms=DELAY_MS):
     from railyard import streaming as sm
     df = sm.with_end(df, ts)
     path = sm.stage_files(df, ts, 4, name, n_files=3)
-    return (sm.read_stream(spark, path, df.schema, max_files=4),
-            lambda: sm.stage_end(df, path, delay_ms + wait_ms + 1000, ts))
+    return (sm.read_stream(spark, path, df.schema, max_files=sm.share_of_files(spark, path, 3)),
+            lambda: sm.stage_end(spark.read.schema(df.schema).parquet(path), path, delay_ms + wait_ms + 1000, ts))
 
 
 @register("st1_stream_registry_state", REG_EVENTS_SQL + """,
@@ -1179,7 +1179,8 @@ def q_stream_first_answer(spark, sf):
     path = sm.stage_files(log, name="answers", n_files=6)
     s = sm.read_stream(spark, path, log.schema)
     out = sm.run_available(sm.stream_first_answer(s, ("request", "item"), "ts", "3 hours", "2 hours", ("attempt",)),
-                           "first-answer", end=lambda: sm.stage_end(log, path, 5 * hour + 1000))
+                           "first-answer", end=lambda: sm.stage_end(spark.read.schema(log.schema).parquet(path), path,
+                                                          5 * hour + 1000))
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

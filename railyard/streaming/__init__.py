@@ -5,6 +5,7 @@ from railyard.streaming.runner import (
     rows_dropped,
     run_available,
     run_foreach_batch,
+    share_of_files,
     stage_end,
     stage_files,
     with_end,
@@ -29,7 +30,8 @@ from railyard.streaming.windowed import (
 )
 
 __all__ = [
-    "read_stream", "rows_dropped", "run_available", "run_foreach_batch", "stage_end", "stage_files", "with_end",
+    "read_stream", "rows_dropped", "run_available", "run_foreach_batch", "share_of_files", "stage_end",
+    "stage_files", "with_end",
     "late_events", "lifecycle_from_changes", "registry_from_changes", "stream_idle_verdicts",
     "stream_lifecycle_state", "stream_match_responses", "stream_reassemble", "stream_registry_state",
     "stream_state_changes", "listener_sink", "stream_first_answer", "stream_idle_sessions", "stream_report_once",

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railyard.session import scratch_path
+from railyard.session import scratch_path, stored
 
 # Null in events; in the end row of a finite input, its event time.
 END = "__end_of_input"
@@ -57,32 +57,49 @@ def watermarked(events: DataFrame, ts: str, delay: str) -> DataFrame:
     return out.filter(F.coalesce(F.col(ts) != F.col(END), F.lit(True))).drop(END)
 
 
+FILE_ROWS = 1_000_000     # of a staged file, beyond which a slice has more files
+
+
 def stage_files(df: DataFrame, ts: str | None = None, n_slices: int = 4,
                 name: str = "stream-in", n_files: int | None = None) -> str:
     """Write ``df`` as ``n_slices`` time-ordered slices (slice i holds the
     i-th range of ``ts``, one write each so the file source lists them in
     order); without ``ts`` a single slice.  ``n_files`` deals the rows of a
-    slice out over that many files in no order.  Returns the folder."""
+    slice out over that many files in no order, or over more if a file would
+    hold more than ``FILE_ROWS`` rows.  ``df`` is computed once and kept, as
+    every slice and the range of ``ts`` read it.  Returns the folder."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    df = stored(df, name + "-all")
+    sliced = ts is not None and n_slices > 1
     if n_files:
-        df = df.repartition(n_files)
-    if ts is None or n_slices <= 1:
-        df.write.parquet(path)
+        n_files = max(n_files, -(-df.count() // (FILE_ROWS * (n_slices if sliced else 1))))
+
+    def dealt(part: DataFrame) -> DataFrame:
+        return part.repartition(n_files) if n_files else part
+
+    if not sliced:
+        dealt(df).write.parquet(path)
         return path
     sec = F.unix_seconds(F.col(ts).cast("timestamp"))
     bounds = df.select(F.min(sec).alias("lo"), F.max(sec).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     if lo is None:
-        df.write.parquet(path)
+        dealt(df).write.parquet(path)
         return path
     step = max(1, (hi - lo) // n_slices + 1)
     for i in range(n_slices):
         part = df.filter((sec >= lo + i * step) & (sec < lo + (i + 1) * step))
-        part.write.mode("append").parquet(path)
+        dealt(part).write.mode("append").parquet(path)
     return path
 
 
+def share_of_files(spark: SparkSession, path: str, share: int) -> int:
+    """The ``max_files`` (``read_stream``) with which a staged folder is drained
+    in ``share`` micro-batches, however many files it has."""
+    return max(1, -(-len(spark.read.parquet(path).inputFiles()) // share))
+
+
 def read_stream(spark: SparkSession, path: str, schema, max_files: int | None = None,
                 ts_cols: tuple[str, ...] = ("ts", "req_ts", "resp_ts", END)) -> DataFrame:
     """Open staged files as a stream; ``TIMESTAMP_NTZ`` event-time columns
@@ -111,6 +128,10 @@ def use_rocksdb_state(spark: SparkSession) -> None:
         spark.conf.set(key, ROCKSDB_PROVIDER)
         # both sides of a stream-stream join in one store, not four
         spark.conf.set("spark.sql.streaming.join.stateFormatVersion", "3")
+        # a count of keys costs a read before every write
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
+        # a commit writes what has changed, not the files of the whole store
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def run_available(stream: DataFrame, name: str, output_mode: str = "append",
