@@ -112,14 +112,13 @@ class _Lifecycle(InTimeOrder):
 
     event_columns = ("us", "eid", "state", "info")
     event_schema = "us BIGINT, eid BIGINT, state STRING, info STRING"
+    own_schema = "state STRING, final BOOLEAN, applied BIGINT, ignored BIGINT, version BIGINT"
 
-    def open(self, handle):
-        self._state = handle.getValueState("state", "state STRING, final BOOLEAN, applied BIGINT, ignored BIGINT, "
-                                           "version BIGINT")
+    def load(self, saved):
+        return list(saved) if saved else ["UNKNOWN", False, 0, 0, 0]
 
-    def load(self, key):
-        held = self._state.get()
-        return list(held) if held else ["UNKNOWN", False, 0, 0, 0]
+    def save(self, own):
+        return tuple(own) if own[4] else None
 
     def apply(self, key, event, own):
         us, eid, new, info = event
@@ -137,7 +136,6 @@ class _Lifecycle(InTimeOrder):
     def settle(self, key, own, applied, wm_ms):
         if applied:
             own[4] += 1
-            self._state.update(tuple(own))
         return self.current(key, own) if applied else (), None
 
     def told(self, key, us, eid, state, change):
@@ -200,53 +198,43 @@ MATCH_OUT = ("req_id BIGINT, req_ts TIMESTAMP, resp_id BIGINT, resp_ts TIMESTAMP
 
 
 class _Match(InTimeOrder):
-    """``own``: the requests that wait, oldest first, and whether they have
-    changed."""
+    """``own``: the requests that wait, oldest first."""
 
     event_columns = ("us", "is_req", "eid")
     event_schema = "us BIGINT, is_req INT, eid BIGINT"
+    own_schema = "queue ARRAY<STRUCT<us BIGINT, eid BIGINT>>"
 
     def __init__(self, wait_ms: int, keys: list[str], timeout_us: int):
         super().__init__(wait_ms)
         self._keys, self._timeout = keys, timeout_us
 
-    def open(self, handle):
-        self._queue = handle.getListState("queue", "us BIGINT, eid BIGINT")
+    def load(self, saved):
+        return deque(map(tuple, saved[0])) if saved else deque()
 
-    def load(self, key):
-        return {"queue": deque(map(tuple, self._queue.get())), "changed": False}
+    def save(self, own):
+        return ([*own],) if own else None
 
     def _row(self, key, req, resp, status):
         return Row(**dict(zip(self._keys, key, strict=True)), req_id=req and req[1], req_ts=req and _ts(req[0]),
                    resp_id=resp and resp[1], resp_ts=resp and _ts(resp[0]), status=status)
 
     def _give_up(self, key, own, now_us):
-        queue = own["queue"]
-        while queue and queue[0][0] + self._timeout < now_us:
-            own["changed"] = True
-            yield self._row(key, queue.popleft(), None, "timed_out")
+        while own and own[0][0] + self._timeout < now_us:
+            yield self._row(key, own.popleft(), None, "timed_out")
 
     def apply(self, key, event, own):
         us, is_req, eid = event
         yield from self._give_up(key, own, us)
         if is_req == 1:
-            own["changed"] = True
-            own["queue"].append((us, eid))
-        elif own["queue"]:
-            own["changed"] = True
-            yield self._row(key, own["queue"].popleft(), (us, eid), "matched")
+            own.append((us, eid))
+        elif own:
+            yield self._row(key, own.popleft(), (us, eid), "matched")
         else:
             yield self._row(key, None, (us, eid), "orphan")
 
     def settle(self, key, own, applied, wm_ms):
         rows = list(self._give_up(key, own, wm_ms * 1000))
-        queue = own["queue"]
-        if own["changed"]:
-            if queue:
-                self._queue.put(list(queue))
-            else:
-                self._queue.clear()
-        return rows, queue[0][0] + self._timeout if queue else None
+        return rows, own[0][0] + self._timeout if own else None
 
     def late(self, key, event):
         us, is_req, eid = event
@@ -286,17 +274,17 @@ class _Idle(InTimeOrder):
 
     event_columns = ("us", "is_req", "eid")
     event_schema = "us BIGINT, is_req INT, eid BIGINT"
+    own_schema = "us BIGINT, is_req INT, outstanding BIGINT, ended BOOLEAN"
 
     def __init__(self, wait_ms: int, channel: str, timeout_us: int, close_idle: bool):
         super().__init__(wait_ms)
         self._channel, self._timeout, self._close_idle = channel, timeout_us, close_idle
 
-    def open(self, handle):
-        self._last = handle.getValueState("last", "us BIGINT, is_req INT, outstanding BIGINT, ended BOOLEAN")
+    def load(self, saved):
+        return list(saved) if saved else [None, None, 0, False]
 
-    def load(self, key):
-        held = self._last.get()
-        return list(held) if held else [None, None, 0, False]
+    def save(self, own):
+        return None if own[0] is None else tuple(own)
 
     def _deadline(self, own):
         """When the idle check acts on the last event; null if it never does."""
@@ -320,8 +308,6 @@ class _Idle(InTimeOrder):
 
     def settle(self, key, own, applied, wm_ms):
         rows = list(self._check(key, own, wm_ms * 1000))
-        if applied or rows:
-            self._last.update(tuple(own))
         return rows, self._deadline(own)
 
     def late(self, key, event):

@@ -376,3 +376,46 @@ def test_end_row_is_in_no_result_and_empty_input_has_none(spark):
     out = sm.run_available(sm.stream_lifecycle_state(s, DELAY), "t-end",
                            end=lambda: sm.stage_end(e, path, DELAY_MS))
     assert out.count() == 0
+
+
+def test_staged_files_grow_with_the_rows(spark, monkeypatch):
+    from railyard.streaming import runner
+    monkeypatch.setattr(runner, "FILE_ROWS", 10)
+    log = spark.range(400).select("id", F.timestamp_seconds(F.col("id")).alias("ts"))
+    path = sm.stage_files(log, "ts", 4, "t-grow", n_files=3)
+    staged = spark.read.schema(log.schema).parquet(path)
+    assert len(staged.inputFiles()) == 40 and sm.share_of_files(spark, path, 3) == 14
+    assert sorted(r.id for r in staged.collect()) == list(range(400))
+    whole = sm.stage_files(log, name="t-grow1", n_files=6)
+    assert len(spark.read.parquet(whole).inputFiles()) == 40
+
+
+def test_keys_that_share_a_bucket(spark, monkeypatch):
+    import random
+
+    from railyard.streaming import ordered
+    rnd = random.Random(5)
+    data = [(rnd.choice([*range(20), None]), rnd.randint(0, 5000), i, rnd.randint(0, 1)) for i in range(900)]
+    e = spark.createDataFrame(data, "channel BIGINT, s INT, eid BIGINT, is_req INT").select(
+        "channel", F.timestamp_seconds(F.col("s")).alias("ts"), "eid", "is_req")
+    got = []
+    for buckets in (1, 1024):                         # all events of a bucket in slots; in its value
+        monkeypatch.setattr(ordered, "BUCKETS", buckets)
+        log = sm.with_end(e)
+        path = sm.stage_files(log, "ts", 4, "t-bucket", n_files=2)
+        s = sm.read_stream(spark, path, log.schema, max_files=3)
+        out = sm.run_available(sm.stream_match_responses(s, 60, "1 hour"), "t-bucket",
+                               end=lambda: sm.stage_end(log, path, 3_700_000))
+        got.append(sorted((tuple(r) for r in out.collect()), key=repr))
+    waits, expect = {}, []
+    for ch, at, eid, is_req in sorted(data, key=lambda r: (r[1], r[3], r[2])):
+        queue = waits.setdefault(ch, [])
+        while queue and queue[0][0] + 60 < at:
+            expect.append((ch, queue.pop(0)[1], None, "timed_out"))
+        if is_req:
+            queue.append((at, eid))
+        else:
+            expect.append((ch, queue.pop(0)[1], eid, "matched") if queue else (ch, None, eid, "orphan"))
+    expect += [(ch, eid, None, "timed_out") for ch, queue in waits.items() for _, eid in queue]
+    assert got[0] == got[1]
+    assert sorted(((r[0], r[1], r[3], r[5]) for r in got[0]), key=repr) == sorted(expect, key=repr)
