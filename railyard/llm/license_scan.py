@@ -5,13 +5,14 @@ of lines without a blank line between them, freed of comment marks and joined.
 
 Training set: licence notices made by rule (every frame with every name of
 every family, and frames with the names of two), paragraphs of licence headers
-and texts, and ordinary paragraphs, a bounded sample of the corpus by hash
-that shares no word shingle with a notice; copies of a paragraph count once.  Features are the presence of the
-notices' words and word pairs; each family has a logistic regression with
-sparse (L1) weights against all else, fit by proximal gradient steps in one
-fold over the bounded training set.  The unknown class is calibrated on
-ordinary paragraphs kept out of training: a family must be more probable than
-all but ``false_share`` of those made it.  Every family that reaches the
+and texts, and ordinary paragraphs: all of the corpus that share no word
+shingle with a notice, half of them (by hash) kept out; copies of a paragraph
+count once.  Features are the presence of the notices' words and word pairs;
+paragraphs with the same features are one weighted example.  Each family has a
+logistic regression with sparse (L1) weights against all else, fit by proximal
+gradient steps, each a query over all examples.  The unknown class is
+calibrated on all ordinary paragraphs kept out of training: a family must be
+more probable than all but ``false_share`` of those made it.  Every family that reaches the
 threshold is predicted, and confirmed if a template of its own (a notice, a
 name, a paragraph of its text) has at least ``SIMILAR`` of its five-word
 shingles in the paragraph.  A block reports confirmed families only, and those
@@ -31,6 +32,8 @@ then train the model.  Other columns are not read.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,6 +46,8 @@ SHINGLE = 5
 STEPS, RATE, MOMENTUM, SPARSE = 80, 0.25, 0.9, 2e-4
 LEAST = 0.8               # a family is reported from this probability on, or a higher calibrated one
 COMMON = 0.01             # a gram of more ordinary paragraphs says nothing of licences
+EXAMPLES = 50_000         # different examples of a task
+BINS = 10_000             # steps of probability in which the threshold is looked for
 UNKNOWN = "unknown"
 
 # Names of licence families, and frames of notices.
@@ -250,7 +255,7 @@ def template_shingles(spark: SparkSession) -> DataFrame:
 
 def _ordinary(paras: DataFrame, count: int) -> DataFrame:
     """At most ``count`` different paragraphs of the smallest hashes that
-    share no shingle with a notice."""
+    share no shingle with a notice, to look at; ``train`` takes all."""
     spark = paras.sparkSession
     hashed = paras.select("body", F.xxhash64("body", F.lit(3)).alias("h"))
     kinds = hashed.agg(F.approx_count_distinct("h")).first()[0]
@@ -292,80 +297,135 @@ class Model:
         left, out = np.maximum(self.weights, 0), []
         while by_word and (left.sum(axis=1) >= want).any():
             short = left[left.sum(axis=1) >= want]
-            best = max(by_word, key=lambda w: (-self.plain.get(w, 1 << 30), short[:, by_word[w]].sum(), w))
+            best = max(by_word, key=lambda w: (-self.plain.get(w, 1 << 62), short[:, by_word[w]].sum(), w))
             left[:, by_word.pop(best)] = 0
             out.append(best)
         return out
 
 
-def _fitted(x: Column, by_gram: Column, y: Column, weight: Column) -> Column:
-    """Weights and bias of one logistic regression.  ``x``: grams of each
-    example; ``by_gram``: examples of each gram; ``y``: 0 or 1; ``weight``."""
-    def soft(v):
-        return F.signum(v) * F.greatest(F.abs(v) - RATE * SPARSE, F.lit(0.0))
-
-    def step(s, _):
-        def error(grams_, i):
-            f = F.aggregate(grams_, s["b"], lambda a, g: a + F.get(s["w"], g))
-            return (1 / (1 + F.exp(-f)) - F.get(y, i)) * F.get(weight, i)
-
-        def moved(e):
-            slope = F.transform(by_gram, lambda rows: F.aggregate(rows, F.lit(0.0), lambda a, i: a + F.get(e, i)))
-            push = F.transform(slope, lambda g, k: F.get(s["v"], k) * MOMENTUM - g * RATE)
-            up = s["u"] * MOMENTUM - F.aggregate(e, F.lit(0.0), lambda a, r: a + r) * RATE
-            return _once(push, lambda v: F.struct(
-                F.transform(s["w"], lambda w, k: soft(w + F.get(v, k))).alias("w"), v.alias("v"),
-                (s["b"] + up).alias("b"), up.alias("u")))
-        return _once(F.transform(x, error), moved)
-
-    zero = F.transform(by_gram, lambda _: F.lit(0.0))
-    start = F.struct(zero.alias("w"), zero.alias("v"), F.lit(0.0).alias("b"), F.lit(0.0).alias("u"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)
+def _ordinary_grams(paras: DataFrame, seen: list[str]) -> DataFrame:
+    """``h, x``: every different paragraph that shares no shingle with a
+    notice, and those of its grams that are in ``seen`` (all of notices)."""
+    templates = [r[0] for r in template_shingles(paras.sparkSession).select("shingle").distinct().collect()]  # fixed
+    short = [t for t in templates if t.count(" ") < 2]
+    long = [t.split(" ") for t in templates if t.count(" ") >= 2]
+    single, pairs = [g for g in seen if " " not in g], [g for g in seen if " " in g]
+    first, begin = sorted({t[0] for t in long}), sorted({" ".join(t[:2]) for t in long})
+    sizes = sorted({len(t) for t in long})
+
+    def pair(a, i):
+        return F.concat_ws(" ", a, F.get("w", i + 1))
+
+    def starts(i):
+        return reduce(or_, [F.array_join(F.slice("w", i + 1, n), " ").isin(templates) for n in sizes])
+    rows = paras.select(F.xxhash64("body", F.lit(3)).alias("h"), words(F.col("body")).alias("w"))
+    rows = rows.select("h", "w", F.filter("w", lambda a: a.isin(single)).alias("single"), F.filter(F.transform(
+        "w", lambda a, i: F.when(a.isin(single), pair(a, i))), lambda p: p.isin(pairs)).alias("pairs"), F.filter(F.transform(
+            "w", lambda a, i: F.when(a.isin(first), F.when(pair(a, i).isin(begin), i))), lambda i: i.isNotNull()).alias("at"))
+    rows = rows.select("h", F.sort_array(F.array_distinct(F.concat("single", "pairs"))).alias("x"),
+                       F.exists("at", starts).alias("like"))
+    return rows.filter(~F.col("like") & ~F.exists("x", lambda g: g.isin(short))).select("h", "x").distinct()
+
+
+def _margins(examples: DataFrame, weights: np.ndarray, bias: np.ndarray, *columns: np.ndarray) -> DataFrame:
+    """A row of each example and class ``c``: ``f``, the sum of the weights of
+    its grams ``x`` and the bias; ``columns`` by class follow as ``v0``, ...
+    The weights of the known grams (a fixed set of notices') go to each task,
+    as texts: literals of so many numbers are slow to plan."""
+    rows = [(c, ",".join(map(repr, of)), *more) for c, (of, *more) in enumerate(zip(
+        np.column_stack([weights, bias]).tolist(), *(v.tolist() for v in columns), strict=True))]
+    names = "".join(f", v{i} double" for i in range(len(columns)))
+    table = examples.sparkSession.createDataFrame(rows, "c int, weights string" + names)
+    table = table.withColumn("weights", F.split("weights", ",").cast("array<double>"))
+    f = F.aggregate("x", F.get("weights", F.size("weights") - 1), lambda a, g: a + F.get("weights", g))
+    return examples.crossJoin(F.broadcast(table)).withColumn("f", f).drop("weights")
+
+
+def _fitted(examples: DataFrame, grams_: int, ones: np.ndarray, mass: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of one logistic regression per class over ``x, y,
+    n``.  ``ones``: examples of each class; ``mass``: the weight of all
+    examples together."""
+    weights, bias = np.zeros((len(ones), grams_)), np.zeros(len(ones))
+    push, up = np.zeros_like(weights), np.zeros_like(bias)
+    y, p = F.expr("array_contains(y, c)"), 1 / (1 + F.exp(-F.col("f")))
+    error = (F.when(y, (p - 1) * F.col("v0")).otherwise(p * F.col("v1")) * F.col("n")).alias("error")
+    places = F.concat("x", F.array(F.lit(grams_))).alias("x")                # the bias last
+    for _ in range(STEPS):
+        rows = _margins(examples, weights, bias, 0.5 / ones, 0.5 / (mass - ones)).select("c", places, error)
+        got = rows.select("c", F.explode("x").alias("g"), "error").groupBy("c", "g").agg(F.sum("error")).toArrow()
+        slope = np.zeros((len(ones), grams_ + 1))
+        slope[got[0].to_numpy(), got[1].to_numpy()] = got[2].to_numpy()
+        push, up = push * MOMENTUM - slope[:, :-1] * RATE, up * MOMENTUM - slope[:, -1] * RATE
+        weights, bias = weights + push, bias + up
+        weights = np.sign(weights) * np.maximum(np.abs(weights) - RATE * SPARSE, 0)
+    return weights, bias
+
+
+def _high(held: DataFrame, weights: np.ndarray, bias: np.ndarray, false_share: float) -> float:
+    """The probability that all but ``false_share`` of the paragraphs ``x, n``
+    with a gram of some weight reach at most, to a step of ``BINS`` upwards; 0
+    if it is under ``LEAST``."""
+    used = [int(g) for g in np.flatnonzero(np.abs(weights).max(axis=0) > 0)]
+    some = held.filter(F.exists("x", lambda g: g.isin(used)))
+    some = some.withColumn("e", F.monotonically_increasing_id())
+    best = _margins(some, weights, bias).groupBy("e", "n").agg(F.max("f").alias("f"))
+    bins = (best.select("n", (1 / (1 + F.exp(-F.col("f")))).alias("p"))
+            .groupBy(F.when(F.col("p") >= LEAST, F.floor(F.col("p") * BINS)).alias("bin"))
+            .agg(F.max("p").alias("p"), F.sum("n").alias("n")).collect())
+    left = int(false_share * sum(r["n"] for r in bins))
+    for r in sorted((r for r in bins if r["bin"] is not None), key=lambda r: -r["bin"]):
+        left -= r["n"]
+        if left < 0:
+            return r["p"]
+    return 0.0
 
 
 def train(paras: DataFrame, ordinary: int = 2000, false_share: float = 0.001) -> Model:
-    """The training set becomes one row: all notices and half of at most
-    ``ordinary`` paragraphs, each as the numbers of its known grams.  Grams
-    that stand in more than ``COMMON`` of the ordinary ones are not known."""
+    """Fit on all notices and half of all ordinary paragraphs, calibrated on
+    the other half.  Ordinary paragraphs in training weigh 1 each, as a notice
+    does, and together ``ordinary / 2`` at most, or notices of other families
+    would count for nothing beside them.  Grams that stand in more than
+    ``COMMON`` of the ordinary ones are not known."""
     spark = paras.sparkSession
-    some = written(_ordinary(paras, ordinary), "ordinary")
     hard = spark.createDataFrame([(s,) for s in ORDINARY], "body string")
     taught = (notices(spark).select("family", "body")
               .unionByName(hard.select(F.lit(UNKNOWN).alias("family"), "body"))
-              .unionByName(some.filter("pmod(h, 2) = 0").select(F.lit(UNKNOWN).alias("family"), "body"))
               .withColumn("e", F.monotonically_increasing_id()))
     taught = written(taught.select("e", "family", grams(words(F.col("body"))).alias("grams")), "taught")
-    plain = (F.col("family") == UNKNOWN).cast("int")
-    counts = (taught.select("family", F.explode("grams").alias("gram")).groupBy("gram")
-              .agg(F.sum(plain).alias("plain"), F.sum(1 - plain).alias("notices")))
-    n = taught.agg(F.sum(plain)).first()[0]
-    known = counts.filter((F.col("notices") > 0) & (F.col("plain") <= COMMON * n)).select("gram", "plain")
-    vocabulary = sorted((r["gram"], r["plain"]) for r in known.collect())    # words of a fixed set of notices
+    of_notices = taught.filter(F.col("family") != UNKNOWN).select(F.explode("grams").alias("gram")).distinct()
+    seen = sorted(r["gram"] for r in of_notices.collect())                   # words of a fixed set of notices
+    plain = written(_ordinary_grams(paras, seen), "ordinary")
+    training = F.pmod("h", F.lit(2)) == 0
+    plain_kinds = plain.groupBy(training.alias("training"), "x").agg(F.count(F.lit(1)).alias("n"))
+    taught_kinds = taught.filter(F.col("family") == UNKNOWN).select(F.col("grams").alias("x"), F.lit(1).alias("n"))
+    counts = {r["g"]: r["n"] for r in plain_kinds.filter("training").select("x", "n").unionByName(taught_kinds)
+              .select(F.explode("x").alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n")).collect() if r["g"] in seen}
+    n = plain.filter(training).count()
+    share = min(1.0, ordinary / 2 / max(n, 1))
+    most = COMMON * (n + len(ORDINARY))
+    vocabulary = [(g, counts.get(g, 0)) for g in seen if counts.get(g, 0) <= most]
+    known = [g for g, _ in vocabulary]
     numbers = spark.createDataFrame([(g, i) for i, (g, _) in enumerate(vocabulary)], "gram string, g int")
-    x = (taught.select("e", "family", F.explode("grams").alias("gram")).join(F.broadcast(numbers), "gram", "left")
-         .groupBy("e", "family").agg(F.sort_array(F.collect_list("g")).alias("x")))
-    rows = F.sort_array(F.collect_list(F.struct("e", "family", "x")))
-    one = x.agg(rows.alias("rows")).select(F.col("rows.family").alias("label"), F.col("rows.x").alias("x"))
-    one = written(one.withColumn("by_gram", F.transform(
-        F.sequence(F.lit(0), F.lit(len(vocabulary) - 1)),
-        lambda g: F.filter(F.transform("x", lambda of, i: F.when(F.array_contains(of, g), i)),
-                           lambda i: i.isNotNull()))), "examples")
-    classes = CLASSES
-    each = one.withColumn("family", F.explode(F.array(*map(F.lit, classes))))
-    y = F.transform("label", lambda c: F.array_contains(F.split(c, r"\|"), F.col("family")).cast("double"))
-    ones = F.aggregate("y", F.lit(0.0), lambda a, v: a + v)
-    weight = F.transform("y", lambda v: 0.5 * (v / F.col("ones") + (1 - v) / (F.size("y") - F.col("ones"))))
-    each = written(each.withColumn("y", y).withColumn("ones", ones).repartitionByRange(len(classes), "family")
-                   .withColumn("weight", weight), "tasks")
-    got = {r["family"]: r["m"] for r in each.select("family", _fitted(
-        F.col("x"), F.col("by_gram"), F.col("y"), F.col("weight")).alias("m")).collect()}
-    model = Model(classes, vocabulary, np.array([got[c]["w"] for c in classes]),
-                  np.array([got[c]["b"] for c in classes]))
-    held = some.filter("pmod(h, 2) <> 0").select(F.col("h").alias("tag"), F.lit(0).alias("paragraph"),
-                                                 F.lit(0).alias("last"), "body")
-    best = score(held, model).groupBy("tag").agg(F.max("p").alias("p"))
-    high = best.agg(F.expr(f"percentile_approx(p, {1 - false_share}, 10000)")).first()[0]
-    model.threshold = min(max(LEAST, high or 0.0), 0.95)
+    plain = plain.select(training.alias("training"), F.filter("x", lambda g: g.isin(known)).alias("x"))
+    plain = plain.groupBy("training", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("e", F.monotonically_increasing_id())
+    plain = (plain.select("e", "training", "n", F.explode_outer("x").alias("gram")).join(F.broadcast(numbers), "gram", "left")
+             .groupBy("e", "training", "n").agg(F.sort_array(F.collect_list("g")).alias("x")))
+    plain = written(plain, "plain")
+    of = F.transform(F.split("family", r"\|"), lambda f: F.array_position(F.lit(CLASSES), f).cast("int") - 1)
+    taught = (taught.select("e", F.filter(of, lambda c: c >= 0).alias("y"), F.explode("grams").alias("gram"))
+              .join(F.broadcast(numbers), "gram", "left").groupBy("e", "y").agg(F.sort_array(F.collect_list("g")).alias("x"))
+              .select("x", "y", F.lit(1.0).alias("n")))
+    examples = taught.unionByName(plain.filter("training").select(
+        "x", F.array().cast("array<int>").alias("y"), (F.col("n") * share).alias("n")))
+    parts = 1 + plain.count() // EXAMPLES
+    examples = written(examples.repartition(parts), "examples").coalesce(parts)
+    labels = {r["c"]: r["n"] for r in examples.select(F.explode("y").alias("c")).groupBy("c").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    mass = examples.agg(F.sum("n")).first()[0]
+    weights, bias = _fitted(examples, len(vocabulary), np.array([labels[c] for c in range(len(CLASSES))], float), mass)
+    model = Model(CLASSES, vocabulary, weights, bias)
+    high = _high(plain.filter("NOT training").select("x", "n"), weights, bias, false_share)
+    model.threshold = min(max(LEAST, high), 0.95)
     return model
 
 

@@ -315,6 +315,35 @@ def test_ordinary_sample_counts_copies_once(spark):
     assert len(got) == len(set(got)) == 200
 
 
+def test_license_training_takes_every_ordinary_paragraph(spark):
+    body = [f"story {i} tells of {'a gnu' if i % 150 == 0 else 'rain'}" for i in range(9000)]
+    df = spark.createDataFrame([(b,) for b in body * 2], "body string").repartition(3)
+    model = license_scan.train(df)
+    half = df.distinct().filter("pmod(xxhash64(body, 3), 2) = 0")
+    assert model.plain["gnu"] == half.filter("body LIKE '%gnu%'").count() > 20
+    # calibrated on the other half: a few paragraphs of one kind out of many raise the threshold
+    held = df.distinct().filter("pmod(xxhash64(body, 3), 2) = 1").count()
+    some = spark.createDataFrame([([0], 3), ([1], held), ([], 5)], "x array<int>, n long")
+    weights, bias = np.array([[4.0, 1.0], [0.0, 1.5]]), np.array([-2.0, -1.0])
+    assert license_scan._high(some, weights, bias, 2 / held) == 1 / (1 + np.exp(-2.0))
+    assert license_scan._high(some, weights, bias, 4 / held) == 0
+
+
+def test_license_examples_are_the_words_and_pairs_of_paragraphs(spark):
+    body = ["Licensed under the MIT License.", "The GNU, the gnu; GPL-3.0... and v. 2.0", "...", "under . the terms of", "ÀÉ the\u00a0of",
+            "MIT", "free software\tfree.software or \"software\"", "x" * 50, "of the of the of the", "Apache-2.0 is named here."]
+    df = spark.createDataFrame([(b,) for b in body * 3], "body string").repartition(2)
+    grams = license_scan.grams(license_scan.words(F.col("body")))
+    seen = sorted(r.g for r in license_scan.notices(spark).select(F.explode(grams).alias("g")).distinct().collect())
+    known = {r.shingle for r in license_scan.template_shingles(spark).collect()}
+    every = license_scan.all_shingles(license_scan.words(F.col("body")))
+    want = {r.h: sorted(set(r.g) & set(seen))
+            for r in df.select(F.xxhash64("body", F.lit(3)).alias("h"), grams.alias("g"), every.alias("s")).collect()
+            if not known & set(r.s)}
+    got = license_scan._ordinary_grams(df, seen).collect()
+    assert {r.h: list(r.x) for r in got} == want and len(got) == len(want) == 7
+
+
 # ---- 7 packing
 
 def check_packing(rows, capacity):
