@@ -19,12 +19,17 @@ def java_string_hash(c: Column | str) -> Column:
     def step(h, x):
         over = x - 0x10000
         pair = (h * 31 + F.shiftright(over, 10) + 0xD800) * 31 + over.bitwiseAND(F.lit(0x3FF)) + 0xDC00
-        return F.pmod(F.when(x < 0x10000, h * 31 + x).otherwise(pair), F.lit(_TWO_32))
+        return F.when(x < 0x10000, h * 31 + x).otherwise(pair).bitwiseAND(F.lit(_TWO_32 - 1))
 
     unsigned = F.aggregate(
         F.transform(F.split(_c(c), ""), lambda ch: F.ascii(ch).cast("bigint")),
         F.lit(0).cast("bigint"), step)
-    return F.when(unsigned >= 2**31, unsigned - _TWO_32).otherwise(unsigned)
+    return once(unsigned, lambda u: F.when(u >= 2**31, u - _TWO_32).otherwise(u))
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, not at each mention."""
+    return F.transform(F.array(value), use)[0]
 
 
 def nonneg_hash(c: Column | str) -> Column:

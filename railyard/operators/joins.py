@@ -261,11 +261,13 @@ SORT_MANAGERS = ("org.apache.spark.shuffle.sort.SortShuffleManager",
 
 def _placed_path(dirs: Column, sub_dirs: Column, name: Column) -> Column:
     from railyard.functions import nonneg_hash
-    h = nonneg_hash(name)
+    from railyard.functions.exprs import once
     n = F.size(dirs)
-    d = F.get(dirs, (h % n).cast("int"))
-    sub = F.floor(h / n) % sub_dirs
-    return F.concat_ws("/", d, F.lpad(F.lower(F.hex(sub)), 2, "0"), name)
+
+    def placed(h: Column) -> Column:
+        sub = F.floor(h / n) % sub_dirs
+        return F.concat_ws("/", F.get(dirs, (h % n).cast("int")), F.lpad(F.lower(F.hex(sub)), 2, "0"), name)
+    return once(nonneg_hash(name), placed)
 
 
 def resolve_blocks(requests: DataFrame, registry: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -288,10 +290,9 @@ def resolve_blocks(requests: DataFrame, registry: DataFrame, manifest: DataFrame
                           F.lit(True).alias("__reg"))
     j = p.join(reg, ["app_id", "exec_id"], "left")
     man = manifest.select("app_id", "exec_id", "shuffle_id", "map_id", "reduce_id", "offset", "next_offset")
-    # null-safe keys: rejected ids (null parts) find nothing either way, and
-    # no filter is inferred into the manifest, which is often derived from
-    # the same data as the requests
-    j = join_back(j, man, ["app_id", "exec_id", "shuffle_id", "map_id", "reduce_id"])
+    # rejected ids (null parts) find nothing.  The numbers come first: rows are
+    # sorted by a prefix of the first key, which is the same for all of an app
+    j = j.join(man, ["map_id", "reduce_id", "shuffle_id", "exec_id", "app_id"], "left")
     is_hash = F.col("manager") == HASH_MANAGER
     is_sort = F.col("manager").isin(*SORT_MANAGERS)
     failure = (F.when(F.col("reject_reason").isNotNull(), F.col("reject_reason"))
