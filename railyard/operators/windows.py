@@ -270,22 +270,21 @@ def resolve_retries(attempts: DataFrame, request: str = "request", item: str = "
     request).
 
     The log is reduced once, by partial aggregation, to a row per item with
-    each attempt's first final answer and first ``io_error``.  Attempt ``a``
-    then needs the moments at which a request's earlier attempts were given
-    up: a table of one row per request that each step joins to the items and
-    aggregates into the next, ``max_retries`` times.  The items' shuffle is
-    the same in all steps, so it is reused; nothing runs before an action.
+    each attempt's first final answer and first ``io_error``, and written.
+    Attempt ``a`` then needs the moments at which a request's earlier attempts
+    were given up: a table of one row per request that each step joins to the
+    items' columns it needs and aggregates into the next, ``max_retries``
+    times.  Each is written, so that a task sorts the items of one join only,
+    not those of all steps at a time.
     """
     att, out = F.col(attempt).cast("int"), F.col(outcome)
+    kinds = ("ok", "fatal", "io_error")
     firsts = [F.min(F.when((att == a) & (out == kind), F.col(seq))).alias(f"{kind}{a}")
-              for a in range(max_retries + 1) for kind in ("ok", "fatal", "io_error")]
-    items = (attempts.groupBy(F.col(request).alias("req"), F.col(item).alias("item")).agg(*firsts)
-             .select("req", "item", F.array(*[
-                 F.struct(*[F.col(f"{kind}{a}").alias(kind) for kind in ("ok", "fatal", "io_error")])
-                 for a in range(max_retries + 1)]).alias("tries")))
+              for a in range(max_retries + 1) for kind in kinds]
+    items = stored(attempts.groupBy(F.col(request).alias("req"), F.col(item).alias("item")).agg(*firsts), "retry-items")
 
     def at(a: int, kind: str) -> Column:
-        return F.col("tries")[a][kind]
+        return F.col(f"{kind}{a}")
 
     def first(a: int) -> Column:
         return F.least(at(a, "ok"), at(a, "fatal"))
@@ -300,11 +299,11 @@ def resolve_retries(attempts: DataFrame, request: str = "request", item: str = "
         return (live(a) & first(a).isNotNull()
                 & F.coalesce(first(a) < gave_up(a), F.lit(True)))
 
-    def with_moments(moments: DataFrame | None) -> DataFrame:
+    def with_moments(rows: DataFrame, moments: DataFrame | None) -> DataFrame:
         if moments is None:
-            return items
+            return rows
         moments = moments.withColumnRenamed("req", "__req")
-        return items.join(moments, F.col("req").eqNullSafe(F.col("__req")), "left").drop("__req")
+        return rows.join(moments, F.col("req").eqNullSafe(F.col("__req")), "left").drop("__req")
 
     moments = None
     for a in range(max_retries):
@@ -313,8 +312,9 @@ def resolve_retries(attempts: DataFrame, request: str = "request", item: str = "
         for earlier in range(a):
             open_ = open_ & ~settled(earlier)
         starts = open_ & io.isNotNull() & F.coalesce(first(a) > io, F.lit(True))
-        moments = with_moments(moments).groupBy("req").agg(
-            *[F.min(f"t{b}").alias(f"t{b}") for b in range(a)], F.min(F.when(starts, io)).alias(f"t{a}"))
+        needed = items.select("req", *[f"{kind}{b}" for b in range(a + 1) for kind in kinds[:2]], f"io_error{a}")
+        moments = stored(with_moments(needed, moments).groupBy("req").agg(
+            *[F.min(f"t{b}").alias(f"t{b}") for b in range(a)], F.min(F.when(starts, io)).alias(f"t{a}")), "retry-moments")
 
     last = max_retries
     answers = [at(last, kind) for kind in ("fatal", "io_error", "ok")]
@@ -327,7 +327,7 @@ def resolve_retries(attempts: DataFrame, request: str = "request", item: str = "
     retries = F.lit(0)
     for a in range(last):
         retries = retries + gave_up(a).isNotNull().cast("int")
-    return (with_moments(moments).select("req", "item", F.coalesce(*ends).alias("end"), retries.alias("retries"))
+    return (with_moments(items, moments).select("req", "item", F.coalesce(*ends).alias("end"), retries.alias("retries"))
             .select(F.col("req").alias(request), F.col("item").alias(item),
                     F.coalesce(F.col("end.status"), F.lit("outstanding")).alias("status"),
                     F.col("end.att").alias("attempt_used"), "retries"))

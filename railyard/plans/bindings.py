@@ -256,12 +256,18 @@ def chunk_requests_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("k") % 5).cast("int").alias("idx"))
 
 
+RETRY_ROWS = 500_000       # lineitem rows of a task
+
+
 def retry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN5/ST5: request = order, items = its distinct line numbers, attempts
     0-3 for every item, seq = item, outcome from
     ``(l_orderkey*31 + item*7 + attempt*13) % 5``: 0, 1 io_error; 2 fatal;
-    else ok."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    else ok.  The keys are small, but a row is made of each for every attempt:
+    the shuffle is sized by the rows, not by its bytes."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), li.count() // RETRY_ROWS + 1)
+    li = li.repartition(parts, "l_orderkey", "l_linenumber").distinct()
     a = li.select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("attempt"))
     code = (F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7 + F.col("attempt") * 13) % 5
     return a.select(F.col("l_orderkey").alias("request"), F.col("l_linenumber").alias("item"),
