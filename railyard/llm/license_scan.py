@@ -322,9 +322,10 @@ def _ordinary_grams(paras: DataFrame, seen: list[str]) -> DataFrame:
     rows = rows.select("h", "w", F.filter("w", lambda a: a.isin(single)).alias("single"), F.filter(F.transform(
         "w", lambda a, i: F.when(a.isin(single), pair(a, i))), lambda p: p.isin(pairs)).alias("pairs"), F.filter(F.transform(
             "w", lambda a, i: F.when(a.isin(first), F.when(pair(a, i).isin(begin), i))), lambda i: i.isNotNull()).alias("at"))
-    rows = rows.select("h", F.sort_array(F.array_distinct(F.concat("single", "pairs"))).alias("x"),
-                       F.exists("at", starts).alias("like"))
-    return rows.filter(~F.col("like") & ~F.exists("x", lambda g: g.isin(short))).select("h", "x").distinct()
+    rows = rows.select("h", "w", "at", F.sort_array(F.array_distinct(F.concat("single", "pairs"))).alias("x"))
+    rows = rows.select("h", "x", (F.exists("at", starts) | F.exists("x", lambda g: g.isin(short))).alias("like"))
+    # a filter before this would be pushed down, and the words taken anew at each mention
+    return written(rows.distinct(), "ordinary").filter("NOT like").select("h", "x")
 
 
 def _margins(examples: DataFrame, weights: np.ndarray, bias: np.ndarray, *columns: np.ndarray) -> DataFrame:
@@ -394,7 +395,7 @@ def train(paras: DataFrame, ordinary: int = 2000, false_share: float = 0.001) ->
     taught = written(taught.select("e", "family", grams(words(F.col("body"))).alias("grams")), "taught")
     of_notices = taught.filter(F.col("family") != UNKNOWN).select(F.explode("grams").alias("gram")).distinct()
     seen = sorted(r["gram"] for r in of_notices.collect())                   # words of a fixed set of notices
-    plain = written(_ordinary_grams(paras, seen), "ordinary")
+    plain = _ordinary_grams(paras, seen)
     training = F.pmod("h", F.lit(2)) == 0
     plain_kinds = plain.groupBy(training.alias("training"), "x").agg(F.count(F.lit(1)).alias("n"))
     taught_kinds = taught.filter(F.col("family") == UNKNOWN).select(F.col("grams").alias("x"), F.lit(1).alias("n"))
