@@ -97,10 +97,11 @@ def numbered(docs: DataFrame, tag: str, *columns: Column) -> DataFrame:
     return rows.join(known, file, "left").withColumn(tag, at + F.col(tag)).drop(file, base)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
+def written(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read back.  ``options``
+    are those of the writer."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

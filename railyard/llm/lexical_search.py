@@ -14,7 +14,10 @@ until the bound is below the k-th best score found by the task so far; what is
 left can't enter the ranking.  Scores are exact 64-bit integers.
 
 Items are read in bounded blocks, each joined to all segments; a task returns
-its best k of each item, which are merged by two ranked windows.
+its best k of each item, which are merged by two ranked windows.  A segment is
+a large row, so the index holds about one in a row group, and one at a time
+goes to Python: a task's memory goes by a segment and the postings it has of
+the block's terms, not by how many segments its split holds.
 
 Defined results.  Null text has no term and is never found; an item without
 terms finds nothing.  Equal scores rank by ascending id, null ids last.
@@ -26,12 +29,13 @@ rows.  Other columns are not read.
 from __future__ import annotations
 
 import collections
+import contextlib
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import column, python_ready, small_join, text_of, untagged, written
@@ -40,6 +44,7 @@ SEGMENT_TOKENS = 1 << 21      # terms with repeats of a segment
 SEGMENT_DOCS = 1 << 16
 BLOCK_TERMS = 1 << 16         # distinct terms of a block of items
 BUCKETS = 64                  # first of the two ranked windows
+ROW_GROUP = 1 << 23           # bytes of the index that are read at once, or one segment
 
 # Bytes of UTF-8 that belong to terms, A-Z lower-cased, all others blank.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -158,7 +163,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = untagged(docs, id_col, text_col)
     size = rows.select("text").mapInArrow(_measure, SIZES).agg(F.sum("docs"), F.sum("terms")).first()
     n, length = int(size[0] or 0), int(size[1] or 0)
-    return Index(written(rows.mapInArrow(_segments(n, length), SEGMENT), "segments"), n, length)
+    # sizes are looked at after every row: a hundred segments would be held until the first look
+    by_rows = {"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1}
+    return Index(written(rows.mapInArrow(_segments(n, length), SEGMENT), "segments", by_rows), n, length)
 
 
 # ---- items ------------------------------------------------------------------
@@ -229,10 +236,7 @@ class Segment:
         self.doc_ids = row["doc_ids"]
         self.m = np.array(row["strata"], np.int64)
         self.first_doc = np.concatenate(([0], np.cumsum(row["stratum_docs"], dtype=np.int64)))
-        stratum = np.frombuffer(row["run_stratum"], "<u2").astype(np.int64)
-        tf = np.frombuffer(row["run_tf"], "<u4").astype(np.int64)
-        size = np.frombuffer(row["run_docs"], "<u4").astype(np.int64)
-        post = np.frombuffer(row["postings"], "<u2")
+        size = np.frombuffer(row["run_docs"], "<u4")
         held = [(k, t) for k, t in enumerate(row["terms"]) if t in wanted]
         number = np.array([k for k, _ in held], np.int64)
         runs = np.array(row["runs"], np.int64)
@@ -240,18 +244,21 @@ class Segment:
         self.place = {t: k for k, (_, t) in enumerate(held)}
         term = np.repeat(np.arange(len(held)), runs[number])
         weight = np.array([wanted[t] for _, t in held], np.int64)[term]
-        impact = weight * quotients(tf[run], self.m[stratum[run]])      # once per term, stratum and tf
-        self.docs = post[_ranges((np.cumsum(size) - size)[run], size[run])].astype(np.int64)
-        self.impact = np.repeat(impact, size[run])
-        # bounds and first postings by term and stratum
-        cell = term * len(self.m) + stratum[run]
-        shape = (len(held), len(self.m))
-        self.bound = np.zeros(shape[0] * shape[1], np.int64)
-        np.maximum.at(self.bound, cell, impact)
-        self.bound = self.bound.reshape(shape)
-        self.count = np.bincount(cell, weights=size[run], minlength=shape[0] * shape[1]).astype(np.int64)
-        self.first = (np.cumsum(self.count) - self.count).reshape(shape)
-        self.count = self.count.reshape(shape)
+        first, size = (np.cumsum(size, dtype=np.int64) - size)[run], size[run].astype(np.int64)
+        stratum = np.frombuffer(row["run_stratum"], "<u2")[run].astype(np.int64)
+        tf = np.frombuffer(row["run_tf"], "<u4")[run].astype(np.int64)
+        impact = weight * quotients(tf, self.m[stratum])                # once per term, stratum and tf
+        self.docs = np.frombuffer(row["postings"], "<u2")[_ranges(first, size)]
+        self.impact = np.repeat(impact, size)
+        # bounds and first postings by term and stratum, of the pairs that have any
+        new = np.ones(len(run), bool)
+        new[1:] = (term[1:] != term[:-1]) | (stratum[1:] != stratum[:-1])
+        head = np.flatnonzero(new)
+        self.stratum = stratum[head]
+        self.bound = np.maximum.reduceat(impact, head) if len(head) else impact
+        self.count = np.add.reduceat(size, head) if len(head) else size
+        self.first = np.cumsum(self.count) - self.count
+        self.first_cell = np.concatenate(([0], np.cumsum(np.bincount(term[head], minlength=len(held)))))
 
     def search(self, terms: list[bytes], times: list[int], best: _Best, visit: int = 1024) -> int:
         """Rank an item's documents; the number of documents visited."""
@@ -259,7 +266,11 @@ class Segment:
         if not known:
             return 0
         rows, times = np.array([r for r, _ in known]), np.array([c for _, c in known], np.int64)
-        bound = times @ self.bound[rows]
+        cells = self.first_cell[rows + 1] - self.first_cell[rows]
+        cell, times = _ranges(self.first_cell[rows], cells), np.repeat(times, cells)
+        stratum = self.stratum[cell]
+        bound = np.zeros(len(self.m), np.int64)
+        np.add.at(bound, stratum, times * self.bound[cell])
         order = np.argsort(-bound, kind="stable")
         n_docs = np.diff(self.first_doc)
         lo, seen = 0, 0
@@ -269,9 +280,12 @@ class Segment:
                 docs += int(n_docs[order[hi]])
                 hi += 1
             strata = np.sort(order[lo:hi])
-            start, count = self.first[rows][:, strata], self.count[rows][:, strata]
-            at = _ranges(start.ravel(), count.ravel())
-            gain = self.impact[at] * np.repeat(np.repeat(times, len(strata)), count.ravel())
+            picked = np.zeros(len(self.m), bool)
+            picked[strata] = True
+            picked = picked[stratum]
+            count = self.count[cell[picked]]
+            at = _ranges(self.first[cell[picked]], count)
+            gain = self.impact[at] * np.repeat(times[picked], count)
             score = np.zeros(len(self.doc_ids), np.int64)
             np.add.at(score, self.docs[at], gain)
             found = _ranges(self.first_doc[strata], n_docs[strata])
@@ -298,8 +312,7 @@ def _search(k: int):
                     for r in row["asked"].as_py():
                         asked[r["query"]].append((r["term"], r["times"]))
                         weights[r["term"]] = r["weight"]
-                segment = Segment({n: row[n].as_py() for n in row if n not in ("slot", "block", "asked", "n_docs", "df")},
-                                  weights)
+                segment = Segment({n: row[n].as_py() for n in row if n not in ("slot", "block", "asked")}, weights)
                 for query, terms in asked.items():
                     mine = best.setdefault(query, _Best(k))
                     segment.search(*map(list, zip(*terms, strict=True)), mine)
@@ -311,6 +324,19 @@ def _search(k: int):
     return run
 
 
+@contextlib.contextmanager
+def _row_by_row(spark: SparkSession):
+    """Rows go to Python one at a time in what is run inside: a batch would
+    be filled with segments up to 64 MB, on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def search(index: Index, items: DataFrame, k: int = 20, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``item_id, rank, doc_id, score``: the k best documents of each item."""
     python_ready(items.sparkSession)
@@ -321,8 +347,9 @@ def search(index: Index, items: DataFrame, k: int = 20, id_col: str = "item_id",
     for (block,) in sorted(packed.select("block").collect()):
         # each segment waits at slot 0 for this block: BLOCK_TERMS at most, or one item
         one = packed.filter(F.col("block") == block).withColumn("slot", F.col("block") - block)
-        part = (index.segments.join(F.broadcast(one), "slot")
-                .mapInArrow(_search(k), "query bigint, doc_id bigint, score bigint"))
+        with _row_by_row(items.sparkSession):
+            part = written(index.segments.drop("n_docs", "df").join(F.broadcast(one), "slot")
+                           .mapInArrow(_search(k), "query bigint, doc_id bigint, score bigint"), "found")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return asked.filter("false").select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("doc_id"),

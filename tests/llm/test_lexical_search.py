@@ -3,8 +3,10 @@
 import collections
 import math
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from railyard.llm import lexical_search as ls
@@ -91,3 +93,47 @@ def test_bounds_skip_strata_and_lose_nothing():
         want = sorted(((s, i) for s, i in scores if s), key=lambda r: (-r[0], r[1]))[:2]
         assert best.rows == want
     assert visited < 0.9 * 20 * n
+
+
+def test_a_segment_a_row_group_and_a_row_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(ls, "SEGMENT_TOKENS", 3000)
+    monkeypatch.setattr(ls, "ROW_GROUP", 1)
+    index = ls.build_index(documents(spark, TINY).coalesce(1))
+    read = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.segments.inputFiles()]
+    assert sum(f.num_rows for f in read) > 10
+    assert all(f.row_group(i).num_rows == 1 for f in read for i in range(f.num_row_groups))
+
+    def alone(run):
+        def checked(batches):
+            def each():
+                for batch in batches:
+                    assert batch.num_rows == 1
+                    yield batch
+            yield from run(each())
+        return checked
+    whole = ls._search
+    monkeypatch.setattr(ls, "_search", lambda k: alone(whole(k)))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    assert ls.search(index, spark.read.parquet(f"{TINY}/benchmark.parquet")).count() > 0
+    assert spark.conf.get(key) == before
+
+
+def test_memory_goes_by_postings():
+    """Many rare terms in a segment of many strata: no table of both."""
+    n_docs, per_doc = 1000, 20
+    vocabulary = ls._Vocabulary()
+    words = [[f"t{d}x{i % (5 + d)}".encode() for i in range(max(per_doc, 5 + d))] for d in range(n_docs)]
+    numbers = [np.array([vocabulary[w] for w in t]) for t in words]
+    sizes = [len(t) for t in words]
+    row = ls._segment(list(range(n_docs)), sizes, numbers, vocabulary, n_docs, n_docs)
+    wanted = {t: 1000 for i, t in enumerate(vocabulary) if i % 25 == 0}
+    assert len(row["strata"]) > 900 and len(wanted) > 15_000
+    tracemalloc.start()
+    segment = ls.Segment(row, wanted)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20                            # a table of 8 bytes has over 110 MB, and there were three
+    best, term = ls._Best(3), next(iter(wanted))
+    segment.search([term], [1], best)
+    assert [r[1] for r in best.rows] == [0]
