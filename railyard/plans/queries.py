@@ -1157,6 +1157,11 @@ def q_stream_idle_sessions(spark, sf):
                                     for c in ("first_ts", "last_ts")])
 
 
+# Of the log in a micro-batch: what its shuffle and the sessions it opens take
+# on disk goes by this, not by the log.
+SLICE_ROWS = 25_000_000
+
+
 @register("st5_stream_first_answer", """
 WITH a AS (SELECT DISTINCT l_orderkey AS request, l_linenumber AS item FROM lineitem),
 t AS (SELECT request, item, CAST(n.n AS INTEGER) AS attempt, item AS seq,
@@ -1174,13 +1179,12 @@ WHERE rn = 1
 def q_stream_first_answer(spark, sf):
     from railyard import streaming as sm
     hour = 3_600_000
-    # in no order at all, so in one micro-batch
     log = sm.with_end(b.timed_answers(spark, sf))
-    path = sm.stage_files(log, name="answers", n_files=6)
-    s = sm.read_stream(spark, path, log.schema)
+    path = sm.stage_files(log, "ts", 4, "answers", n_files=3, slice_rows=SLICE_ROWS)
+    s = sm.read_stream(spark, path, log.schema, max_files=sm.files_of_a_slice(spark, path))
     out = sm.run_available(sm.stream_first_answer(s, ("request", "item"), "ts", "3 hours", "2 hours", ("attempt",)),
                            "first-answer", end=lambda: sm.stage_end(spark.read.schema(log.schema).parquet(path), path,
-                                                          5 * hour + 1000))
+                                                                    5 * hour + 1000, instead=True))
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

@@ -1,3 +1,5 @@
+import os
+import time
 from collections import defaultdict, deque
 
 import pytest
@@ -390,6 +392,53 @@ def test_staged_files_grow_with_the_rows(spark, monkeypatch):
     assert len(spark.read.parquet(whole).inputFiles()) == 40
 
 
+def test_staging_and_draining_leave_no_copy_behind(spark):
+    from railyard.session import checkpoint_root
+    root = checkpoint_root(spark).removeprefix("file:")
+    local = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+                 .localDirsString())
+
+    def shuffled():
+        return {f for top in local for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+    def left(before):
+        """Files are deleted behind the job, so a moment later."""
+        until = time.time() + 10
+        while (new := shuffled() - before) and time.time() < until:
+            time.sleep(0.2)
+        return new
+
+    log = sm.with_end(b.timed_answers(spark, SF_TINY))
+    n, before, known = log.count(), shuffled(), set(os.listdir(root))
+    path = sm.stage_files(log, "ts", 4, "t-copy", n_files=3)
+    assert not left(before)
+    assert not [f for f in set(os.listdir(root)) - known if f.startswith("t-copy-all")]
+    assert spark.read.parquet(path).count() == n
+    s = sm.read_stream(spark, path, log.schema, max_files=sm.files_of_a_slice(spark, path))
+    before = shuffled()
+    out = sm.run_available(sm.stream_first_answer(s, ("request", "item"), "ts", "3 hours", "2 hours", ("attempt",)),
+                           "t-copy")
+    assert not left(before) and out.count() > 0
+
+
+def test_slices_of_uneven_size_lose_no_row(spark, monkeypatch):
+    """All but one row in the first slice, whose files go to two micro-batches
+    at most: none of its rows is late."""
+    from railyard.streaming import runner
+    monkeypatch.setattr(runner, "FILE_ROWS", 10)
+    data = [(i, k, 60 * i + 1800 * k) for i in range(300) for k in range(2)] + [(-1, 0, 10 ** 8)]
+    log = sm.with_end(spark.createDataFrame(data, "request INT, attempt INT, s INT").select(
+        "request", "attempt", F.timestamp_seconds("s").alias("ts")))
+    path = sm.stage_files(log, "ts", 4, "t-skew", n_files=3, slice_rows=50)
+    assert sm.files_of_a_slice(spark, path) == 5      # 13 slices of 5 files
+    s, dropped = sm.read_stream(spark, path, log.schema, max_files=5), []
+    out = sm.run_available(sm.stream_first_answer(s, ("request",), "ts", "10 minutes", "1 hour", ("attempt",)), "t-skew",
+                           end=lambda: sm.stage_end(log, path, 4_300_000), ended=lambda q: dropped.append(sm.rows_dropped(q)))
+    assert sorted((r.request, r.attempt, r.n_answers) for r in out.collect()) == \
+        [(-1, 0, 1), *((i, 0, 2) for i in range(300))]
+    assert not any(dropped)
+
+
 def test_keys_that_share_a_bucket(spark, monkeypatch):
     import random
 
